@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,12 +28,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(scale > 0, F.lit(1.0) - dot(a, b) / scale)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_vectors(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to an array; null where the length is no multiple of four."""
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode_vectors(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,10 +35,12 @@ def by_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def browse_predicate(q: str | None = None, status: str | None = None, date_from: str | None = None, date_to: str | None = None) -> Column:
-    """Browse filter. `%` and `_` in `q` are wildcards, case does not matter, dates compare as text."""
+    """Browse filter. `%` and `_` in `q` are wildcards, the case of A-Z does not matter, dates compare as text."""
     parts: list[Column] = []
     if q:
-        parts.append(F.lower("file_path").like(f"%{q.lower()}%"))
+        folded = F.translate("file_path", ascii_uppercase, ascii_lowercase)
+        pattern = q.translate(str.maketrans(ascii_uppercase, ascii_lowercase)).replace("\\", "\\\\")
+        parts.append(folded.like(f"%{pattern}%"))
     if status:
         parts.append(F.col("status") == status)
     if date_from:
