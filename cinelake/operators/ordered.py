@@ -76,14 +76,12 @@ def smooth(path: DataFrame, keys: Sequence[str], frame: str, columns: Sequence[s
     first = marked.filter(~F.col("__missing")).groupBy(*keys).agg(F.min(frame).alias("__first"))
     staged = marked.join(first, list(keys), "left").withColumn("__alpha", alpha)
     start = F.col(frame) == F.col("__first")
-    out = staged
-    for c in columns:
-        out = out.withColumns({
-            "__m": F.when(F.col("__missing"), 1.0).when(start, 0.0).otherwise(F.lit(1.0) - F.col("__alpha")),
-            "__b": F.when(F.col("__missing"), 0.0).when(start, F.col(c)).otherwise(F.col("__alpha") * F.col(c)),
-        })
-        out = affine_scan(out, keys, frame, "__m", "__b", "__s").withColumn(c, F.col("__s")).drop("__s", "__m", "__b")
-    return out.drop("__missing", "__first", "__alpha")
+    steps = staged.withColumns({
+        "__m": F.when(F.col("__missing"), 1.0).when(start, 0.0).otherwise(F.lit(1.0) - F.col("__alpha")),
+        **{f"__b_{c}": F.when(F.col("__missing"), 0.0).when(start, F.col(c)).otherwise(F.col("__alpha") * F.col(c)) for c in columns},
+    })
+    scanned = affine_scan(steps.select(*keys, frame, "__m", *[f"__b_{c}" for c in columns]), keys, frame, "__m", {c: f"__b_{c}" for c in columns})
+    return path.drop(*columns).join(scanned, [*keys, frame])
 
 
 def smoothing_alpha(tau: Column, fps: Column) -> Column:
@@ -120,3 +118,20 @@ def subject_inside(path: DataFrame, keys: Sequence[str], inside: Column) -> Data
     """Share of frames whose subject lies inside the crop, and whether it is above 90 %."""
     agg = path.groupBy(*keys).agg(F.avg(inside.cast("double")).alias("inside_share"))
     return agg.withColumn("meets_target", F.col("inside_share") > 0.9)
+
+
+def sliding_means(vectors: DataFrame, keys: Sequence[str], time: str, vector: str, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Mean vector per key and sliding window (`window_start`)."""
+    parts = vectors.select(*keys, time, F.posexplode(vector).alias("__d", "__x"))
+    means = parts.groupBy(*keys, F.window(time, length, slide).alias("__w"), "__d").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
+    items = F.array_sort(F.collect_list(F.struct("__d", "__m")))
+    return means.groupBy(*keys, F.col("__w.start").alias("window_start")).agg(items.alias("__i")).select(
+        *keys, "window_start", F.transform("__i", lambda s: s["__m"]).alias("mean_vector")
+    )
+
+
+def window_breaks(means: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cosine distance of each window's mean vector to the one before, null for the first."""
+    cut = means.withColumn("__day", F.to_date("window_start"))
+    lagged = neighbour_across(cut, keys, "__day", ["window_start"], {"__before": "mean_vector"})
+    return lagged.withColumn("distance", cosine_distance(F.col("__before"), F.col("mean_vector"))).drop("__before", "__day")

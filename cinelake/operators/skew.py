@@ -7,10 +7,12 @@ segments before (or after) it contribute, so no task ever sees all rows of a hot
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinelake.session import cut_lineage
+
 ROWS_PER_SALT = 1_000_000
 MAX_SALTS = 1024
 
@@ -125,39 +127,51 @@ def last_known_across(
 
 
 def affine_scan(
-    df: DataFrame, keys: Sequence[str], index: str, factor: str, offset: str, name: str, width: int = 256, levels: int = 3
+    df: DataFrame, keys: Sequence[str], index: str, factor: str, offsets: dict[str, str], width: int = 256
 ) -> DataFrame:
-    """Add s[i] = factor[i] * s[i-1] + offset[i], with s = 0 before the first row.
+    """(keys, index, and per entry of `offsets` its scan): s[i] = factor[i] * s[i-1] + offset[i], s = 0 before the first row.
 
-    A run of rows is itself an affine step, so runs of `width` indices are folded alone and the folds are
-    scanned in turn. `index` must be unique within a key; a list never holds more than `width` rows.
+    `offsets` maps new names to offset columns. A run of rows is itself an affine step, so runs of `width`
+    indices are folded alone, and the folds, one row per run, are scanned in turn until a key has no more than
+    `width` of them. `index` counts from 0 and is unique within a key; no list ever holds more than `width` rows.
     """
     keys = list(keys)
-    item = F.struct(F.col(index).alias("i"), F.col(factor).alias("m"), F.col(offset).alias("b"))
+    zero = F.array(*[F.lit(0.0) for _ in offsets])
+    item = F.struct(
+        F.col(index).cast("bigint").alias("i"), F.col(factor).alias("m"), F.array(*[F.col(c).cast("double") for c in offsets.values()]).alias("b")
+    )
+
+    def step(state: Column, x: Column) -> Column:
+        return F.zip_with(state, x["b"], lambda s, b: x["m"] * s + b)
+
     run = F.floor(F.col(index) / width).cast("bigint")
-    if levels == 0:
-        runs = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("__start", F.lit(0.0))
-    else:
-        runs = df.groupBy(*keys, run.alias("__run")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-        folded = runs.select(
-            *keys,
-            "__run",
-            F.aggregate("items", F.lit(1.0), lambda s, x: s * x["m"]).alias("__m"),
-            F.aggregate("items", F.lit(0.0), lambda s, x: x["m"] * s + x["b"]).alias("__b"),
+    runs = df.groupBy(*keys, run.alias("__run")).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    folded = cut_lineage(
+        runs.select(
+            *keys, "__run", F.aggregate("__items", F.lit(1.0), lambda s, x: s * x["m"]).alias("__m"),
+            F.aggregate("__items", zero, step).alias("__b"),
         )
-        scanned = affine_scan(folded, keys, "__run", "__m", "__b", "__end", width, levels - 1)
-        entering = neighbour_across(
-            scanned.withColumn("__group", F.floor(F.col("__run") / width)),
-            keys, "__group", ["__run"], {"__start": "__end"},
-        ).select(*keys, "__run", F.coalesce("__start", F.lit(0.0)).alias("__start"))
-        runs = runs.join(entering, [*keys, "__run"])
-    empty = F.expr("cast(array() as array<struct<i:bigint,s:double>>)")
+    )
+    last = folded.agg(F.max("__run")).first()[0]
+    if last is None or last < width:
+        chain = folded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__run").alias("i"), F.col("__m").alias("m"), F.col("__b").alias("b")))).alias("__items"))
+        starts = _states(chain.withColumn("__start", zero), keys, step).select(*keys, F.col("i").alias("__run"), F.col("before").alias("__start"))
+    else:
+        parts = {f"__b{n}": f"__b{n}" for n in range(len(offsets))}
+        flat = folded.select(*keys, "__run", "__m", *[F.col("__b")[n].alias(f"__b{n}") for n in range(len(offsets))])
+        scanned = cut_lineage(affine_scan(flat, keys, "__run", "__m", parts, width))
+        grouped = scanned.select(*keys, "__run", F.floor(F.col("__run") / width).alias("__group"), F.array(*parts).alias("__end"))
+        starts = neighbour_across(grouped, keys, "__group", ["__run"], {"__start": "__end"}).select(*keys, "__run", F.coalesce("__start", zero).alias("__start"))
+    rows = _states(runs.join(starts, [*keys, "__run"]), keys, step)
+    return rows.select(*keys, F.col("i").alias(index), *[F.col("after")[n].alias(name) for n, name in enumerate(offsets)])
+
+
+def _states(lists: DataFrame, keys: Sequence[str], step: Callable[[Column, Column], Column]) -> DataFrame:
+    """(keys, i, before, after) for each entry of `__items`, starting from `__start`."""
+    empty = F.expr("cast(array() as array<struct<i:bigint,before:array<double>,after:array<double>>>)")
 
     def push(done: Column, x: Column) -> Column:
-        last = F.when(F.size(done) == 0, F.col("__start")).otherwise(F.element_at(done, -1)["s"])
-        return F.concat(done, F.array(F.struct(x["i"].cast("bigint").alias("i"), (x["m"] * last + x["b"]).alias("s"))))
+        before = F.when(F.size(done) == 0, F.col("__start")).otherwise(F.element_at(done, -1)["after"])
+        return F.concat(done, F.array(F.struct(x["i"].alias("i"), before.alias("before"), step(before, x).alias("after"))))
 
-    scanned_rows = runs.select(*keys, F.explode(F.aggregate("items", empty, push)).alias("__x")).select(
-        *keys, F.col("__x.i").alias(index), F.col("__x.s").alias(name)
-    )
-    return df.withColumn(index, F.col(index).cast("bigint")).join(scanned_rows, [*keys, index])
+    return lists.select(*keys, F.explode(F.aggregate("__items", empty, push)).alias("__x")).select(*keys, "__x.*")
