@@ -14,8 +14,6 @@ from small aggregates:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from cinelake.functions.geo import cartesian, chord_m, haversine_m
@@ -73,10 +71,9 @@ def _cell_pairs(nodes: DataFrame, time_s: float) -> DataFrame:
         {"wx": F.floor(F.col("cx") / wide), "wy": F.floor(F.col("cy") / wide), "wz": F.floor(F.col("cz") / wide)}
     )
     axes = ("wx", "wy", "wz", "slot")
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     probe = placed
     for axis in axes:
-        probe = probe.withColumn(axis + "_to", F.explode(F.transform(steps, lambda d, axis=axis: F.col(axis) + d)))
+        probe = probe.withColumn(axis + "_to", F.explode(F.array(F.col(axis) - 1, F.col(axis), F.col(axis) + 1)))
     other = placed.select(
         *[F.col(c).alias(c + "_to") for c in axes],
         *[F.col(c).alias("b_" + c) for c in ("node", "slot", "cx", "cy", "cz", "first_ts", "last_ts")],
