@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cinelake.functions.text import fill, fixed
+
 
 def issue(severity: str, check: str, message: Column) -> Column:
     return F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), message.alias("message"))
@@ -27,12 +29,12 @@ def audio_level_issue(clip_id: Column, level: Column) -> Column:
 
 
 def render_duration_issue(actual: Column, target: Column, tolerance: float = 1.0) -> Column:
-    text = F.format_string("Duration %.1fs differs from target %.1fs by more than 1s", actual, target)
+    text = fill("Duration {}s differs from target {}s by more than 1s", fixed(actual, 1), fixed(target, 1))
     return F.when(F.abs(actual - target) > tolerance, issue("error", "duration", text))
 
 
 def render_resolution_issue(w: Column, h: Column, want_w: int, want_h: int) -> Column:
-    text = F.format_string(f"Resolution %dx%d does not match expected {want_w}x{want_h}", w, h)
+    text = fill(f"Resolution {{}}x{{}} does not match expected {want_w}x{want_h}", w, h)
     return F.when((w != want_w) | (h != want_h), issue("error", "resolution", text))
 
 
@@ -52,8 +54,8 @@ def render_size_issue(size_bytes: Column, duration: Column, want_w: int, want_h:
         return F.lit(None).cast("struct<severity:string,check:string,message:string>")
     mb = size_bytes / F.lit(1048576.0)
     rate = mb / (duration / F.lit(60.0))
-    low = F.format_string(f"File size %.1f MB (%.1f MB/min) is below expected minimum of {MIN_MB_PER_MINUTE} MB/min", mb, rate)
-    high = F.format_string(f"File size %.1f MB (%.1f MB/min) exceeds expected maximum of {MAX_MB_PER_MINUTE} MB/min", mb, rate)
+    low = fill(f"File size {{}} MB ({{}} MB/min) is below expected minimum of {MIN_MB_PER_MINUTE} MB/min", fixed(mb, 1), fixed(rate, 1))
+    high = fill(f"File size {{}} MB ({{}} MB/min) exceeds expected maximum of {MAX_MB_PER_MINUTE} MB/min", fixed(mb, 1), fixed(rate, 1))
     return (
         F.when(~(duration > 0) | size_bytes.isNull(), F.lit(None))
         .when(rate < MIN_MB_PER_MINUTE, issue("warning", "file_size", low))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cinelake.functions.text import fill, padded
+
 
 def timecode_seconds(tc: Column) -> Column:
     """`HH:MM:SS.mmm` to seconds; null when there are not three parts or one is not a number."""
@@ -19,45 +21,36 @@ def seconds_timecode(seconds: Column) -> Column:
     return F.regexp_replace(srt_stamp(seconds), ",", ".")
 
 
+def _hms(total: Column) -> tuple[Column, Column, Column]:
+    total = total.cast("bigint")
+    return F.floor(total / 3600), F.floor(F.pmod(total, F.lit(3600)) / 60), F.pmod(total, F.lit(60))
+
+
 def srt_stamp(seconds: Column) -> Column:
     """`HH:MM:SS,mmm`; milliseconds are cut, not rounded."""
     whole = F.floor(seconds)
-    return F.format_string(
-        "%02d:%02d:%02d,%03d",
-        F.floor(whole / 3600),
-        F.floor(F.pmod(whole, F.lit(3600)) / 60),
-        F.pmod(whole, F.lit(60)),
-        F.floor((seconds - whole) * 1000),
-    )
+    h, m, s = _hms(whole)
+    return fill("{}:{}:{},{}", padded(h, 2), padded(m, 2), padded(s, 2), padded(F.floor((seconds - whole) * 1000), 3))
 
 
 def duration_text(seconds: Column) -> Column:
     """`M:SS`, with hours in front when there are any; `--:--` for null."""
-    total = seconds.cast("bigint")
-    hours = F.floor(total / 3600)
-    minutes = F.floor((total % 3600) / 60)
-    return (
-        F.when(seconds.isNull(), "--:--")
-        .when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, total % 60))
-        .otherwise(F.format_string("%d:%02d", minutes, total % 60))
-    )
+    h, m, s = _hms(seconds)
+    short = fill("{}:{}", m, padded(s, 2))
+    return F.when(seconds.isNull(), "--:--").when(h > 0, fill("{}:{}:{}", h, padded(m, 2), padded(s, 2))).otherwise(short)
 
 
 def clock_text(seconds: Column) -> Column:
     """`HH:MM:SS`; `--:--:--` for null."""
-    total = seconds.cast("bigint")
-    return F.when(seconds.isNull(), "--:--:--").otherwise(
-        F.format_string("%02d:%02d:%02d", F.floor(total / 3600), F.floor((total % 3600) / 60), total % 60)
-    )
+    h, m, s = _hms(seconds)
+    return F.coalesce(fill("{}:{}:{}", padded(h, 2), padded(m, 2), padded(s, 2)), F.lit("--:--:--"))
 
 
 def age_text(seconds: Column) -> Column:
     """Seconds below a minute, minutes below an hour, then hours and minutes."""
-    return (
-        F.when(seconds < 60, F.format_string("%ds", F.floor(seconds)))
-        .when(seconds < 3600, F.format_string("%dm", F.floor(seconds / 60)))
-        .otherwise(F.format_string("%dh%dm", F.floor(seconds / 3600), F.floor((seconds % 3600) / 60)))
-    )
+    h, m, _ = _hms(seconds)
+    whole = F.floor(seconds)
+    return F.when(seconds < 60, fill("{}s", whole)).when(seconds < 3600, fill("{}m", m)).otherwise(fill("{}h{}m", h, m))
 
 
 def parse_iso(raw: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions.vectors import cosine_distance
 from cinelake.operators.skew import affine_scan, last_known_across, neighbour_across, running_sum_across
+from cinelake.session import cut_lineage
 
 
 def split_on_flag(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[str], flag: Column, name: str) -> DataFrame:
@@ -34,10 +35,13 @@ def vector_breaks(df: DataFrame, keys: Sequence[str], segment: str, order: Seque
     return split_on_flag(lagged, keys, segment, order, far, name).drop("__before")
 
 
-def adjacent_overlaps(clips: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str], segment_s: float = 600.0) -> DataFrame:
-    """Clips that end after the next one on their track starts. Touching is fine. Only neighbours are compared."""
+def with_next_clip(clips: DataFrame, keys: Sequence[str], start: str, order: Sequence[str], more: dict[str, str] | None = None, segment_s: float = 600.0) -> DataFrame:
+    """Each clip but the last of its track with `next_start`, where the next one starts, and what `more` names of it.
+
+    A clip overlaps when its end lies after `next_start`; touching is fine. Only neighbours are compared.
+    """
     cut = clips.filter(F.col(start).isNotNull()).withColumn("__segment", F.floor(F.col(start) / F.lit(segment_s)).cast("bigint"))
-    ahead = neighbour_across(cut, keys, "__segment", [start, *order], {"next_start": start}, ahead=True)
+    ahead = neighbour_across(cut, keys, "__segment", [start, *order], {"next_start": start, **(more or {})}, ahead=True)
     return ahead.drop("__segment").filter(F.col("next_start").isNotNull())
 
 
@@ -72,7 +76,7 @@ def smooth(path: DataFrame, keys: Sequence[str], frame: str, columns: Sequence[s
     missing = F.lit(False)
     for c in columns:
         missing = missing | F.col(c).isNull()
-    marked = path.withColumn("__missing", missing)
+    marked = cut_lineage(path.withColumn("__missing", missing))
     first = marked.filter(~F.col("__missing")).groupBy(*keys).agg(F.min(frame).alias("__first"))
     staged = marked.join(first, list(keys), "left").withColumn("__alpha", alpha)
     start = F.col(frame) == F.col("__first")
@@ -81,7 +85,7 @@ def smooth(path: DataFrame, keys: Sequence[str], frame: str, columns: Sequence[s
         **{f"__b_{c}": F.when(F.col("__missing"), 0.0).when(start, F.col(c)).otherwise(F.col("__alpha") * F.col(c)) for c in columns},
     })
     scanned = affine_scan(steps.select(*keys, frame, "__m", *[f"__b_{c}" for c in columns]), keys, frame, "__m", {c: f"__b_{c}" for c in columns})
-    return path.drop(*columns).join(scanned, [*keys, frame])
+    return marked.drop("__missing", *columns).join(scanned, [*keys, frame])
 
 
 def smoothing_alpha(tau: Column, fps: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cinelake.functions.text import fill, fixed
 from cinelake.operators.text import joined_in_order
 from cinelake.operators.topk import top_k
 
@@ -44,9 +45,9 @@ def confidence_notes(rows: DataFrame, keys: Sequence[str], confidence: Column) -
         .otherwise("Low visual quality - many unclear frames")
     )
     weak = F.when(
-        least < 0.5, F.format_string("Some low-confidence frames (min: %.2f) - possible motion blur or poor framing", least)
+        least < 0.5, fill("Some low-confidence frames (min: {}) - possible motion blur or poor framing", fixed(least, 2))
     )
-    text = F.concat_ws("; ", F.format_string("Avg detection confidence: %.2f", mean), weak, band)
+    text = F.concat_ws("; ", fill("Avg detection confidence: {}", fixed(mean, 2)), weak, band)
     return agg.withColumn("visual_quality_notes", F.when(mean.isNull(), "").otherwise(text))
 
 
@@ -54,7 +55,7 @@ def footage_duration(rows: DataFrame, keys: Sequence[str], duration: Column) ->
     """Seconds of footage per key and their text; no footage is `unknown`."""
     total = F.col("total_s")
     agg = rows.groupBy(*keys).agg(F.coalesce(F.sum(duration.try_cast("double")), F.lit(0.0)).alias("total_s"))
-    text = F.format_string("%.0fs (%.1f min)", total, total / F.lit(60.0))
+    text = fill("{}s ({} min)", fixed(total, 0), fixed(total / F.lit(60.0), 1))
     return agg.withColumn("duration_text", F.when(total > 0, text).otherwise("unknown"))
 
 

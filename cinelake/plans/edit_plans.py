@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions.checks import audio_level_issue, issue
 from cinelake.functions.documents import json_field, json_objects
+from cinelake.functions.text import fill, fixed
 from cinelake.functions.timecode import timecode_seconds
-from cinelake.operators.ordered import adjacent_overlaps
+from cinelake.operators.ordered import with_next_clip
 from cinelake.operators.text import paged_text
 from cinelake.schemas import EDL_LISTS
+from cinelake.session import cut_lineage
 
 MAX_ATTEMPTS = 4
 PLAN = ["narrative_id"]
@@ -35,67 +37,74 @@ def with_seconds(clips: DataFrame) -> DataFrame:
     })
 
 
-def _name(clip_id: Column, fallback: str = "unknown") -> Column:
-    return F.coalesce(clip_id.cast("string"), F.lit(fallback))
+def _say(check: str, template: str, *values: Column) -> Column:
+    return issue("error", check, fill(template, *values))
 
 
 def _issues(df: DataFrame, column: Column) -> DataFrame:
     return df.withColumn("__x", column).filter("__x is not null").select(*PLAN, "__x.*")
 
 
+def _listed(df: DataFrame, columns: list[Column]) -> DataFrame:
+    found = F.filter(F.array(*columns), lambda x: x.isNotNull())
+    return df.select(*PLAN, F.explode(found).alias("__x")).select(*PLAN, "__x.*")
+
+
 def overlap_issues(clips: DataFrame) -> DataFrame:
-    """Neighbouring clips of a track that overlap; unreadable in and out timecodes are errors of their own."""
-    no_in = _issues(clips.filter("in_s is null"), issue("error", "overlap", F.concat(F.lit("Clip "), _name(F.col("clip_id")), F.lit(": invalid or missing in_timecode in overlap check"))))
-    ahead = adjacent_overlaps(
-        clips.withColumn("__next", F.col("in_timecode")), [*PLAN, "track"], "in_s", "out_s", ["pos"]
-    )
-    bad_out = issue("error", "overlap", F.concat(F.lit("Clip "), _name(F.col("clip_id")), F.lit(": invalid or missing timecode in overlap check")))
-    meets = issue("error", "overlap", F.format_string("Overlap on track %d: clip ends at %.3fs but next clip starts at %.3fs", F.col("track"), F.col("out_s"), F.col("next_start")))
-    found = F.when(F.col("out_s").isNull(), bad_out).when(F.col("out_s") > F.col("next_start"), meets)
-    return no_in.unionByName(_issues(ahead, found))
+    """Neighbouring clips of a track that overlap. A clip without a readable out point is an error if another follows."""
+    who = F.coalesce(F.col("clip_id").cast("string"), F.lit("unknown"))
+    ahead = with_next_clip(clips, [*PLAN, "track"], "in_s", ["pos"], {"next_in": "in_timecode"})
+    meets = _say("overlap", "Overlap on track {}: clip ends at {} but next clip starts at {}", F.col("track"), F.col("out_timecode"), F.col("next_in"))
+    unread = _say("overlap", "Clip {}: invalid or missing timecode in overlap check", who)
+    return _issues(ahead, F.when(F.col("out_s").isNull(), unread).when(F.col("out_s") > F.col("next_start"), meets))
 
 
 def duration_issues(clips: DataFrame, targets: DataFrame) -> DataFrame:
     """Track-1 length outside ±10 % of a positive target; unreadable clips are errors and do not count."""
     wanted = targets.filter("target_s > 0")
+    who = F.coalesce(F.col("clip_id").cast("string"), F.lit("unknown"))
     first = clips.filter("track = 1")
     unread = _issues(
         first.filter("in_s is null or out_s is null").join(wanted.select(*PLAN), PLAN, "left_semi"),
-        issue("error", "duration", F.concat(F.lit("Clip "), _name(F.col("clip_id")), F.lit(": invalid or missing timecode in duration check"))),
+        _say("duration", "Clip {}: invalid or missing timecode in duration check", who),
     )
     totals = first.groupBy(*PLAN).agg(F.sum(F.col("out_s") - F.col("in_s")).alias("total_s"))
     judged = wanted.join(totals, PLAN, "left").withColumn("total_s", F.coalesce("total_s", F.lit(0.0)))
-    low, high = F.col("target_s") * 0.9, F.col("target_s") * 1.1
-    text = F.format_string("Total duration %.1fs is outside ±10%% of target %.1fs (allowed: %.1f–%.1fs)", F.col("total_s"), F.col("target_s"), low, high)
-    off = F.when((F.col("total_s") < low) | (F.col("total_s") > high), issue("error", "duration", text))
-    return unread.unionByName(_issues(judged, off))
+    total, target = F.col("total_s"), F.col("target_s")
+    low, high = target * 0.9, target * 1.1
+    text = "Total duration {}s is outside ±10% of target {}s (allowed: {}–{}s)"
+    off = _say("duration", text, *[fixed(x, 1) for x in (total, target, low, high)])
+    return unread.unionByName(_issues(judged, F.when((total < low) | (total > high), off)))
 
 
 def missing_clip_issues(clips: DataFrame, media: DataFrame) -> DataFrame:
     """Each clip id a plan uses that the catalog lacks, once."""
-    used = clips.select(*PLAN, F.coalesce("clip_id", F.lit("")).alias("clip_id")).distinct()
+    empty = F.lit("").cast(dict(clips.dtypes)["clip_id"]) if dict(clips.dtypes)["clip_id"] == "string" else F.lit(None)
+    used = clips.select(*PLAN, F.coalesce("clip_id", empty).alias("clip_id")).distinct()
     gone = used.join(media.select("clip_id"), "clip_id", "left_anti")
-    return _issues(gone, issue("error", "clip_id", F.concat(F.lit("Clip not found in catalog: "), "clip_id")))
+    return _issues(gone, _say("clip_id", "Clip not found in catalog: {}", F.col("clip_id")))
 
 
-def bounds_issues(clips: DataFrame, media: DataFrame) -> DataFrame:
-    """In and out points against each other and the media's length. media: clip_id, duration_seconds (any type)."""
+def clip_issues(clips: DataFrame, media: DataFrame) -> DataFrame:
+    """What is wrong with a clip on its own: unreadable timecodes, in and out points against each other and the
+    media's length. media: clip_id, duration_seconds (any type)."""
     rows = clips.join(media.select("clip_id", F.col("duration_seconds").alias("__raw"), F.lit(True).alias("__known")), "clip_id", "left")
     length = F.col("__raw").try_cast("double")
-    who = F.concat(F.lit("Clip "), _name(F.col("clip_id"), ""), F.lit(": "))
-    say = lambda text: issue("error", "bounds", F.concat(who, text))
-    over = lambda name: F.concat(F.lit(f"{name} ("), F.col(name), F.format_string(") exceeds clip duration (%.1fs)", length))
-    none = F.lit(None).cast("struct<severity:string,check:string,message:string>")
-    found = (
-        F.when(F.col("in_s").isNull() | F.col("out_s").isNull(), F.array(say(F.lit("invalid or missing timecode"))))
-        .when(F.col("in_s") >= F.col("out_s"), F.array(say(F.concat(F.lit("in_timecode ("), "in_timecode", F.lit(") must be before out_timecode ("), "out_timecode", F.lit(")")))))
-        .when(F.col("__known").isNull(), F.array(none))
-        .when(length.isNull(), F.array(say(F.lit("non-numeric duration_seconds in catalog"))))
-        .otherwise(F.array(
-            F.when(F.col("out_s") > length, say(over("out_timecode"))), F.when(F.col("in_s") > length, say(over("in_timecode"))),
-        ))
-    )
-    return rows.select(*PLAN, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("__x")).select(*PLAN, "__x.*")
+    clip, none = F.col("clip_id").cast("string"), F.lit(None)
+    who, named = F.coalesce(clip, F.lit("")), F.coalesce(clip, F.lit("unknown"))
+    ins, outs = F.col("in_timecode"), F.col("out_timecode")
+    readable = F.col("in_s").isNotNull() & F.col("out_s").isNotNull()
+    ordered = readable & (F.col("in_s") < F.col("out_s"))
+    measured = ordered & F.col("__known").isNotNull()
+    over = lambda name, at: _say("bounds", "Clip {}: {} ({}) exceeds clip duration ({}s)", who, F.lit(name), at, fixed(length, 1))
+    return _listed(rows, [
+        F.when(F.col("in_s").isNull(), _say("overlap", "Clip {}: invalid or missing in_timecode in overlap check", named)).otherwise(none),
+        F.when(~readable, _say("bounds", "Clip {}: invalid or missing timecode", who)),
+        F.when(readable & ~ordered, _say("bounds", "Clip {}: in_timecode ({}) must be before out_timecode ({})", who, ins, outs)),
+        F.when(measured & length.isNull(), _say("bounds", "Clip {}: non-numeric duration_seconds in catalog", who)),
+        F.when(measured & (F.col("out_s") > length), over("out_timecode", outs)),
+        F.when(measured & (F.col("in_s") > length), over("in_timecode", ins)),
+    ])
 
 
 def level_issues(levels: DataFrame) -> DataFrame:
@@ -103,12 +112,15 @@ def level_issues(levels: DataFrame) -> DataFrame:
 
 
 def edl_issues(clips: DataFrame, targets: DataFrame, media: DataFrame, levels: DataFrame) -> DataFrame:
-    """All findings as (narrative_id, severity, check, message). `clips` come from `with_seconds`."""
-    parts = [overlap_issues(clips), duration_issues(clips, targets), missing_clip_issues(clips, media), bounds_issues(clips, media), level_issues(levels)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All findings as (narrative_id, severity, check, message). `clips` come from `with_seconds`.
+
+    Parsed clips are written once and read by every check, as parsing costs far more than reading.
+    """
+    parsed = cut_lineage(clips.select(*PLAN, "pos", "track", "clip_id", "in_timecode", "out_timecode", "in_s", "out_s"))
+    return (
+        overlap_issues(parsed).unionByName(duration_issues(parsed, targets)).unionByName(missing_clip_issues(parsed, media))
+        .unionByName(clip_issues(parsed, media)).unionByName(level_issues(levels))
+    )
 
 
 def verdicts(subjects: DataFrame, issues: DataFrame, keys: list[str] = PLAN) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cinelake.functions.documents import fenced_json, fill_template, json_field, json_is_array, json_is_object, json_strings
+from cinelake.functions.text import fill, fixed
 
 REQUIRED = {
     "label": ("label", "description"),
@@ -115,8 +116,8 @@ def review_text(narratives: DataFrame) -> DataFrame:
     minutes = F.col("proposed_duration_seconds") / F.lit(60.0)
     lines = F.concat_ws(
         "\n",
-        F.format_string("--- Narrative %d ---", F.col("number")), F.concat(F.lit("  Title: "), "title"),
-        F.format_string("  Duration: %.0fs (%.1f min)", F.col("proposed_duration_seconds"), minutes),
+        fill("--- Narrative {} ---", F.col("number")), F.concat(F.lit("  Title: "), "title"),
+        fill("  Duration: {}s ({} min)", fixed(F.col("proposed_duration_seconds"), 0), fixed(minutes, 1)),
         F.concat(F.lit("  Clusters: "), F.when(ids == "", "none").otherwise(ids)),
         F.when(phases != "", F.concat(F.lit("  Arc:\n"), phases)),
         F.when(F.coalesce("emotional_journey", F.lit("")) != "", F.concat(F.lit("  Emotional journey: "), "emotional_journey")),

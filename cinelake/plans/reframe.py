@@ -9,6 +9,7 @@ from cinelake.functions.timecode import timecode_seconds
 from cinelake.operators.intervals import point_join
 from cinelake.operators.ordered import fill_gaps, smooth, smoothing_alpha
 from cinelake.operators.summaries import subject_track
+from cinelake.session import cut_lineage
 
 ENTRY = ["entry_id"]
 MODES = ("center", "manual_offset", "stabilize_only", "auto_subject")
@@ -60,7 +61,8 @@ def crop_paths(entries: DataFrame, media: DataFrame, boxes: DataFrame, source_w:
 
     tracked = good.filter("mode = 'auto_subject'").withColumn("frame_end", F.col("frame_start") + F.col("n_frames") - 1)
     spans = tracked.select(*ENTRY, "media_id", "frame_start", "frame_end")
-    seen = point_join(boxes, spans, ["media_id"], "frame_number", ("frame_start", "frame_end"), 1800.0)
+    # The detections of the tracked clips are looked up once and used three times.
+    seen = cut_lineage(point_join(boxes, spans, ["media_id"], "frame_number", ("frame_start", "frame_end"), 1800.0))
     chosen = subject_track(seen, ENTRY, ["frame_number", "pos"]).select(*ENTRY, F.col("track_id").alias("__auto"))
     subjects = tracked.join(chosen, ENTRY, "left").withColumn("track_id", F.coalesce("subject_track_id", "__auto").cast("bigint"))
     lost = subjects.filter("track_id is null").select(*ENTRY, F.lit("no tracked detections").alias("reason"))
@@ -73,7 +75,7 @@ def crop_paths(entries: DataFrame, media: DataFrame, boxes: DataFrame, source_w:
     cx, cy = thirds_centre(F.col("box")[0], F.col("box")[1], F.col("box")[3], F.col("crop.w").cast("double"), F.col("crop.h").cast("double"))
     points = first.filter(F.size("box") >= 4).select(*ENTRY, "frame_index", cx.alias("x"), cy.alias("y"))
     usable = followed.join(broken, ENTRY, "left_anti")
-    raw = _frames(usable).join(points, [*ENTRY, "frame_index"], "left")
+    raw = cut_lineage(_frames(usable).join(points, [*ENTRY, "frame_index"], "left"))
     filled = fill_gaps(raw, ENTRY, "frame_index", "x", "y", F.col("rate"), sw / 2, sh / 2)
     smoothed = smooth(filled, ENTRY, "frame_index", ["x", "y"], smoothing_alpha(F.col("tau"), F.col("rate")))
     moving = smoothed.withColumns({"crop_x": corner_clamped(F.col("x"), cw, sw), "crop_y": corner_clamped(F.col("y"), ch, sh)}).select(*keep)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions.checks import issue, render_codec_issue, render_duration_issue, render_resolution_issue, render_size_issue
 from cinelake.functions.documents import json_field
+from cinelake.functions.text import fill, fixed
 from cinelake.operators.intervals import not_contained
 from cinelake.plans.edit_plans import verdicts
 
@@ -35,7 +36,7 @@ def loudness(logs: DataFrame, log: str = "loudness_log") -> DataFrame:
 
 def loudness_issues(measured: DataFrame, target: float = -14.0) -> DataFrame:
     """Loudness more than 1 LUFS off the target, or not readable."""
-    text = F.format_string(f"Integrated loudness %.1f LUFS differs from target {target} LUFS by more than 1 LUFS", F.col("lufs"))
+    text = fill("Integrated loudness {} LUFS differs from target {} LUFS by more than 1 LUFS", fixed(F.col("lufs"), 1), F.lit(str(target)))
     found = (
         F.when(~F.col("has_block"), issue("error", "loudness", F.lit("Could not parse loudnorm output from ffmpeg stderr")))
         .when(F.col("lufs").isNull(), issue("error", "loudness", F.lit("Could not parse LUFS from loudnorm output")))
@@ -69,7 +70,7 @@ def silence_issues(logs: DataFrame, intentional: DataFrame, log: str = "silence_
     """Silences not wholly inside an intentional one. intentional: render_id, start, end."""
     spans = measured_spans(logs, log, SILENCE)
     raw = F.concat(F.lit("Could not parse silencedetect values: "), F.concat_ws(" ", "s", "e", "d"))
-    text = F.format_string("Silence detected: %.1fs–%.1fs (duration: %.1fs)", F.col("start_s"), F.col("end_s"), F.col("duration_s"))
+    text = fill("Silence detected: {}s–{}s (duration: {}s)", *[fixed(F.col(c), 1) for c in ("start_s", "end_s", "duration_s")])
     heard = not_contained(spans.filter(_readable()), intentional, RENDER, ("start_s", "end_s"), ("start", "end"), width_s)
     found = heard.withColumn("message", text).unionByName(spans.filter(~_readable()).withColumn("message", raw))
     return found.select(*RENDER, F.lit("warning").alias("severity"), F.lit("silence").alias("check"), "message")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cinelake.functions.text import fill, fixed
 from cinelake.operators.intervals import overlap_join, point_join
 from cinelake.operators.relations import in_listed_order, with_face_labels
 from cinelake.operators.skew import row_number_across
@@ -80,7 +81,7 @@ def master_storyboard(
     for part in (length, highlights, n_spoken, objects, sounds, quality, people):
         out = out.join(part, "cluster_id", "left")
     moments = F.concat_ws("; ", F.concat(F.lit("Transcript: "), "highlights"), F.concat(F.lit("Detected objects: "), "objects"))
-    tone = F.concat_ws("; ", F.concat(F.lit("Audio: "), "sounds"), F.format_string("Speech detected (%d segments)", F.col("n_segments")))
+    tone = F.concat_ws("; ", F.concat(F.lit("Audio: "), "sounds"), fill("Speech detected ({} segments)", F.col("n_segments")))
     tone = F.when(F.col("n_segments").isNull(), F.coalesce(F.concat(F.lit("Audio: "), "sounds"), F.lit(""))).otherwise(tone)
     line = lambda title, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"- **{title}**: "), value))
     section = F.concat_ws(
@@ -159,9 +160,9 @@ def shot_text(number: str = "shot_number"):
     """The storyboard lines of a shot."""
     line = lambda title, c: F.concat(F.lit(f"- {title}: "), F.col(c))
     head = [
-        F.format_string("### Shot %d (Clip: %s)", F.col(number), F.col("media_id").cast("string")),
-        F.format_string("- Duration: %.1fs", F.col("end_s") - F.col("start_s")),
-        F.format_string("- Source: %s [%.1fs – %.1fs]", F.col("media_id").cast("string"), F.col("start_s"), F.col("end_s")),
+        fill("### Shot {} (Clip: {})", F.col(number), F.col("media_id")),
+        fill("- Duration: {}s", fixed(F.col("end_s") - F.col("start_s"), 1)),
+        fill("- Source: {} [{}s – {}s]", F.col("media_id"), fixed(F.col("start_s"), 1), fixed(F.col("end_s"), 1)),
     ]
     whole = F.concat_ws("\n", *head, line("Transcript", "transcript"), line("Visual", "visual"), line("Objects", "objects"), line("People", "people"), line("Audio", "audio"))
     more = F.concat_ws("\n", line("Transcript", "transcript"), line("Visual", "visual"))

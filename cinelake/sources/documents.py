@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions.checks import asset_priority, asset_sources
+from cinelake.functions.text import fill, fixed
 from cinelake.functions.timecode import srt_stamp
 
 # The head of the fetch list.
@@ -17,15 +18,12 @@ FETCH_LIST_HEAD = (
 
 
 def fetch_list_line(kind: Column, description: Column, start_time: Column, duration: Column) -> Column:
-    return F.concat(
-        F.lit("| "), kind, F.lit(" | "), description, F.lit(" | "), start_time, F.lit(" | "), F.format_string("%.1fs", duration),
-        F.lit(" | "), asset_sources(kind), F.lit(" | "), asset_priority(kind, duration), F.lit(" |"),
-    )
+    return fill("| {} | {} | {} | {}s | {} | {} |", kind, description, start_time, fixed(duration, 1), asset_sources(kind), asset_priority(kind, duration))
 
 
 def srt_cue(number: Column, start: Column, end: Column, text: Column) -> Column:
     """One subtitle cue with the blank line that ends it."""
-    return F.concat(number.cast("string"), F.lit("\n"), srt_stamp(start), F.lit(" --> "), srt_stamp(end), F.lit("\n"), text, F.lit("\n"))
+    return fill("{}\n{} --> {}\n{}\n", number, srt_stamp(start), srt_stamp(end), text)
 
 
 def write_lines(lines: DataFrame, document: str, order: list[str], text: str, path: str, partitions: int | None = None) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinelake.functions.documents import json_strings
+from cinelake.functions.timecode import seconds_timecode
 from cinelake.operators import summaries
 from cinelake.operators.tracks import dense_tracks
 from cinelake.plans import activities, assets, edit_plans, ingest, prompts, publishing, reframe, render_qa, storyboard, timeline, views
@@ -130,23 +131,18 @@ ED = "ed as (select narrative_id, track, clip_id, in_s, round(out_s, 3) as out_s
 
 def _plan_rows(c: Catalog):
     """Plan clips as an edit plan holds them: timecodes as text, a place that settles ties."""
-    from cinelake.functions.timecode import seconds_timecode
-
-    whole = lambda n: F.format_string("00:%02d:%02d.000", F.floor(F.col(n) / 60), F.col(n) % 60)
-    out = F.round("out_s", 3)
     millis = F.round(F.col("out_s") * 1000).cast("bigint")
-    text = F.format_string("00:%02d:%02d.%03d", F.floor(millis / 60000), F.floor(millis / 1000) % 60, millis % 1000)
     return c.plan_clips.select(
-        "narrative_id", F.col("clip_id"), F.format_string("00:%02d:%02d.000", F.floor(F.col("in_s") / 60), F.floor(F.col("in_s")).cast("bigint") % 60).alias("in_timecode"),
-        text.alias("out_timecode"), "track", F.struct("pos", "clip_id", "track", millis.alias("ms")).alias("pos"), F.round("level_db", 6).cast("string").alias("level_db"),
+        "narrative_id", "clip_id", seconds_timecode(F.col("in_s")).alias("in_timecode"), seconds_timecode(F.round("out_s", 3) + 0.0001).alias("out_timecode"),
+        "track", F.struct("pos", "clip_id", "track", millis.alias("ms")).alias("pos"), F.round("level_db", 6).cast("string").alias("level_db"),
     )
 
 
-@query("job07_validate_edl", f"""with {ED}, {EDL_ISSUES} select narrative_id, count(*) filter (severity = 'error') as n_errors, count(*) filter (severity = 'warning') as n_warnings, count(*) filter (severity = 'error') = 0 as passed from (select narrative_id, null as severity from narratives union all select narrative_id, severity from al) group by narrative_id""")
+@query("job07_validate_edl", f"""with {ED}, {EDL_ISSUES} select narrative_id, count(*) filter (severity = 'error') as n_errors, count(*) filter (severity = 'warning') as n_warnings, count(*) filter (severity = 'error') = 0 as passed from (select narrative_id, null as severity from narratives union all select narrative_id, null from plan_clips union all select narrative_id, severity from al) group by narrative_id""")
 def validate(c: Catalog):
     rows = _plan_rows(c)
     issues = edit_plans.edl_issues(edit_plans.with_seconds(rows), c.narratives.select("narrative_id", "target_s"), c.clip_media, rows.select("narrative_id", "clip_id", "level_db"))
-    subjects = c.narratives.select("narrative_id").unionByName(issues.select("narrative_id"))
+    subjects = c.narratives.select("narrative_id").unionByName(c.plan_clips.select("narrative_id"))
     return edit_plans.verdicts(subjects, issues)
 
 

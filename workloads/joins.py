@@ -141,7 +141,7 @@ def missing_clips(c: Catalog):
     from plan_clips join clip_media using (clip_id) where in_s < out_s and in_s > duration_seconds""")
 def bounds(c: Catalog):
     clips = c.plan_clips.withColumns({"in_timecode": F.format_string("%.3f", "in_s"), "out_timecode": F.format_string("%.3f", "out_s")})
-    return edit_plans.bounds_issues(clips, c.clip_media).select("narrative_id", "message")
+    return edit_plans.clip_issues(clips, c.clip_media).select("narrative_id", "message")
 
 
 @query("join17_uncovered_gaps", """select s.media_id, pos from segments s where not exists (select 1 from shots h where h.media_id = s.media_id and h.start_s <= s.start_s and h.end_s >= s.end_s)""")

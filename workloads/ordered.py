@@ -26,7 +26,7 @@ def breaks(c: Catalog):
 
 @query("win03_adjacent_overlaps", """select narrative_id, track, in_s, out_s, next_start from (select *, lead(in_s) over (partition by narrative_id, track order by in_s, pos, clip_id, out_s, level_db) as next_start from plan_clips) where out_s > next_start""")
 def overlaps(c: Catalog):
-    out = ordered.adjacent_overlaps(c.plan_clips, ["narrative_id", "track"], "in_s", "out_s", ["pos", "clip_id", "out_s", "level_db"], segment_s=10.0)
+    out = ordered.with_next_clip(c.plan_clips, ["narrative_id", "track"], "in_s", ["pos", "clip_id", "out_s", "level_db"], segment_s=10.0)
     return out.filter("out_s > next_start").select("narrative_id", "track", "in_s", "out_s", "next_start")
 
 
