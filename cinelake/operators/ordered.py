@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions.vectors import cosine_distance
-from cinelake.operators.skew import affine_scan, last_known_across, neighbour_across, running_sum_across
+from cinelake.operators.skew import ROWS_PER_SALT, affine_scan, last_known_across, neighbour_across, range_segments, running_sum_across
 from cinelake.session import cut_lineage
 
 
@@ -35,12 +35,12 @@ def vector_breaks(df: DataFrame, keys: Sequence[str], segment: str, order: Seque
     return split_on_flag(lagged, keys, segment, order, far, name).drop("__before")
 
 
-def with_next_clip(clips: DataFrame, keys: Sequence[str], start: str, order: Sequence[str], more: dict[str, str] | None = None, segment_s: float = 600.0) -> DataFrame:
+def with_next_clip(clips: DataFrame, keys: Sequence[str], start: str, order: Sequence[str], more: dict[str, str] | None = None, rows_per_segment: int = ROWS_PER_SALT) -> DataFrame:
     """Each clip but the last of its track with `next_start`, where the next one starts, and what `more` names of it.
 
     A clip overlaps when its end lies after `next_start`; touching is fine. Only neighbours are compared.
     """
-    cut = clips.filter(F.col(start).isNotNull()).withColumn("__segment", F.floor(F.col(start) / F.lit(segment_s)).cast("bigint"))
+    cut = range_segments(clips.filter(F.col(start).isNotNull()), keys, [start, *order], rows_per_segment=rows_per_segment)
     ahead = neighbour_across(cut, keys, "__segment", [start, *order], {"next_start": start, **(more or {})}, ahead=True)
     return ahead.drop("__segment").filter(F.col("next_start").isNotNull())
 
@@ -92,9 +92,9 @@ def smoothing_alpha(tau: Column, fps: Column) -> Column:
     return F.lit(1.0) - F.exp(F.lit(-1.0) / (tau * fps))
 
 
-def timeline_offsets(clips: DataFrame, keys: Sequence[str], pos: str, tie: Sequence[str], length: Column, name: str = "offset_s", segment_rows: int = 256) -> DataFrame:
+def timeline_offsets(clips: DataFrame, keys: Sequence[str], pos: str, tie: Sequence[str], length: Column, name: str = "offset_s", rows_per_segment: int = ROWS_PER_SALT) -> DataFrame:
     """Where each clip starts on the timeline: the lengths of the clips before it."""
-    cut = clips.withColumn("__segment", F.floor(F.col(pos) / segment_rows).cast("bigint"))
+    cut = range_segments(clips, keys, [pos, *tie], rows_per_segment=rows_per_segment)
     return running_sum_across(cut, keys, "__segment", [pos, *tie], length, name, exclusive=True).drop("__segment")
 
 

@@ -1,12 +1,13 @@
 """Joins and ordered computations that stay parallel when one key holds much of the table.
 
 Ordered computations take a `segment` column: a coarse, monotone function of the order (a time bucket, a
-position range). Each (key, segment) is worked on by itself; one aggregate row per segment carries what the
+position range, or what `range_segments` adds). Each (key, segment) is worked on by itself; one aggregate row per segment carries what the
 segments before (or after) it contribute, so no task ever sees all rows of a hot key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -49,6 +50,20 @@ def salted_lookup(
     return spread.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
+def range_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "__segment", rows_per_segment: int = ROWS_PER_SALT) -> DataFrame:
+    """Add a segment column for orders without a natural bucket.
+
+    While no key has more than `rows_per_segment` rows, one segment does. Otherwise the table is range-partitioned
+    by key and order, which cuts a hot key wherever its rows are many, and written once, so that the partition a
+    row fell into stays its segment.
+    """
+    size = df.groupBy(*keys).count().agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
+    if (size["most"] or 0) <= rows_per_segment:
+        return df.withColumn(name, F.lit(0))
+    n = math.ceil(size["total"] / rows_per_segment) + 1
+    return cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn(name, F.spark_partition_id()))
+
+
 def _edges(df: DataFrame, keys: Sequence[str], segment: str, value: Column) -> DataFrame:
     return df.groupBy(*keys, segment).agg(value.alias("__edge"))
 

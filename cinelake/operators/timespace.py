@@ -66,29 +66,28 @@ def _timeline_edges(nodes: DataFrame, time_s: float) -> DataFrame:
 def _cell_pairs(nodes: DataFrame, time_s: float) -> DataFrame:
     """Pairs of positioned nodes whose cells come within reach, with `sure` when every pair of their rows does."""
     k = CELLS_PER_REACH
-    wide = k + 1
-    placed = nodes.filter(F.col("cx").isNotNull()).withColumns(
-        {"wx": F.floor(F.col("cx") / wide), "wy": F.floor(F.col("cy") / wide), "wz": F.floor(F.col("cz") / wide)}
-    )
-    axes = ("wx", "wy", "wz", "slot")
-    probe = placed
+    reach = k + 1
+    axes = ("cx", "cy", "cz")
+    # Coarse cells are twice the reach wide, so along each axis a partner lies in the same one or in the one on
+    # the nearer side. Partners are looked for in the same slot and the next, which finds each pair once.
+    wide = lambda axis: F.floor(F.col(axis) / (2 * reach))
+    placed = nodes.filter(F.col("cx").isNotNull())
+    probe = placed.withColumn("slot_to", F.explode(F.array(F.col("slot"), F.col("slot") + 1)))
     for axis in axes:
-        probe = probe.withColumn(axis + "_to", F.explode(F.array(F.col(axis) - 1, F.col(axis), F.col(axis) + 1)))
+        nearer = F.when(F.pmod(F.col(axis), F.lit(2 * reach)) < reach, wide(axis) - 1).otherwise(wide(axis) + 1)
+        probe = probe.withColumn(axis + "_to", F.explode(F.array(wide(axis), nearer)))
     other = placed.select(
-        *[F.col(c).alias(c + "_to") for c in axes],
+        F.col("slot").alias("slot_to"), *[wide(a).alias(a + "_to") for a in axes],
         *[F.col(c).alias("b_" + c) for c in ("node", "slot", "cx", "cy", "cz", "first_ts", "last_ts")],
     )
-    pairs = probe.join(other, [c + "_to" for c in axes]).filter(F.col("node") < F.col("b_node"))
+    once = (F.col("b_slot") > F.col("slot")) | (F.col("node") < F.col("b_node"))
+    pairs = probe.join(other, ["slot_to", *[a + "_to" for a in axes]]).filter(once)
     gap, span = F.lit(0), F.lit(0)
-    for axis in ("cx", "cy", "cz"):
+    for axis in axes:
         d = F.abs(F.col(axis) - F.col("b_" + axis))
         near, far = F.greatest(d - 1, F.lit(0)), d + 1
         gap, span = gap + near * near, span + far * far
-    in_time = (
-        F.when(F.col("b_slot") == F.col("slot"), F.lit(True))
-        .when(F.col("b_slot") > F.col("slot"), F.col("b_first_ts") - F.col("last_ts") <= time_s)
-        .otherwise(F.col("first_ts") - F.col("b_last_ts") <= time_s)
-    )
+    in_time = (F.col("b_slot") == F.col("slot")) | (F.col("b_first_ts") - F.col("last_ts") <= time_s)
     return pairs.filter(in_time & (gap <= k * k)).select(
         F.col("node").alias("a"), F.col("b_node").alias("b"), (span <= k * k).alias("sure")
     )

@@ -9,6 +9,7 @@ from cinelake.functions.documents import json_field, json_objects
 from cinelake.functions.text import fill, fixed
 from cinelake.functions.timecode import timecode_seconds
 from cinelake.operators.ordered import with_next_clip
+from cinelake.operators.skew import range_segments
 from cinelake.operators.text import paged_text
 from cinelake.schemas import EDL_LISTS
 from cinelake.session import cut_lineage
@@ -153,7 +154,7 @@ def edl_feedback(verdict_rows: DataFrame, issues: DataFrame, attempts: DataFrame
     )
     # Headings sort before messages: their check is empty.
     rows = lines.select("narrative_id", "attempt", "__o", "check", "message", "line").unionByName(firsts)
-    segment = rows.withColumn("__segment", F.concat_ws(":", F.col("__o").cast("string"), "check"))
+    segment = range_segments(rows, ["narrative_id", "attempt"], ["__o", "check", "message"])
     body = paged_text(segment, ["narrative_id", "attempt"], "__segment", ["__o", "check", "message"], "line", "\n", "lines", page_rows)
     lead = "\n\nThe EDL you generated has validation errors. Please fix these issues and regenerate the EDL:\n\n"
     return body.select("narrative_id", "attempt", "page", F.concat(F.when(F.col("page") == 0, lead).otherwise(""), F.col("lines")).alias("feedback"))

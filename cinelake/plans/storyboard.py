@@ -16,6 +16,7 @@ from cinelake.operators.skew import row_number_across
 from cinelake.operators.summaries import confidence_notes, footage_duration, top_classes
 from cinelake.operators.text import first_seen, joined_in_order, paged_text
 from cinelake.operators.topk import top_k
+from cinelake.session import cut_lineage
 
 SHOT_KEY = ["media_id", "shot_pos"]
 BUCKET_S = 60.0
@@ -28,8 +29,8 @@ def per_cluster(signal: DataFrame, members: DataFrame) -> DataFrame:
 
 def cluster_transcripts(segments: DataFrame, members: DataFrame, page_rows: int = 500) -> DataFrame:
     """All speech of a cluster in clip and segment order, in pages."""
-    rows = per_cluster(segments, members)
-    return paged_text(rows, ["cluster_id"], "clip_pos", ["clip_pos", "pos"], "text", " ", "transcripts", page_rows)
+    rows = per_cluster(segments, members).withColumn("__part", F.struct("clip_pos", F.floor(F.col("pos") / 1000)))
+    return paged_text(rows, ["cluster_id"], "__part", ["clip_pos", "pos"], "text", " ", "transcripts", page_rows)
 
 
 def cluster_summary(clusters: DataFrame, members: DataFrame, media: DataFrame, signals: dict[str, DataFrame], top_n: int = 10) -> DataFrame:
@@ -135,7 +136,8 @@ def shot_signals(shots: DataFrame, media: DataFrame, signals: dict[str, DataFram
 
     Transcript and captions longer than `page_rows` entries go on in further rows of the shot (`page` 1, 2, ...).
     """
-    spoken = paged_text(shot_transcripts(signals["segments"], shots), SHOT_KEY, "pos", ["pos", "start_s"], "text", " ", "transcript", page_rows)
+    parts = shot_transcripts(signals["segments"], shots).withColumn("__part", F.floor(F.col("pos") / 1000).cast("bigint"))
+    spoken = paged_text(parts, SHOT_KEY, "__part", ["pos", "start_s"], "text", " ", "transcript", page_rows)
     pages = spoken
     if "captions" in signals:
         cut = shot_captions(signals["captions"], shots).withColumn("__minute", F.floor(F.col("start_s") / 60).cast("bigint"))
@@ -175,9 +177,12 @@ def narrative_storyboard(narratives: DataFrame, cluster_ids: str, clusters: Data
     Shots are numbered within a cluster over its clips. Clusters a narrative names but the catalog lacks drop out.
     Row 0 of a cluster is its heading. Texts in row order, joined by blank lines, are the storyboard.
     """
+    # Assembling the shots is the costly part; they are numbered and then read again.
+    shot_rows = cut_lineage(shot_rows)
+    placed = per_cluster(shot_rows.filter("page = 0").select(*SHOT_KEY), members)
     numbered = row_number_across(
-        shot_rows.filter("page = 0").select(*SHOT_KEY).join(members.select("cluster_id", F.col("pos").alias("clip_pos"), "media_id"), "media_id"),
-        ["cluster_id"], "clip_pos", ["clip_pos", "shot_pos"], "shot_number",
+        placed.withColumn("__part", F.struct("clip_pos", F.floor(F.col("shot_pos") / 1000))),
+        ["cluster_id"], "__part", ["clip_pos", "shot_pos"], "shot_number",
     ).select("cluster_id", "clip_pos", *SHOT_KEY, "shot_number")
     body = shot_rows.join(numbered, SHOT_KEY).select("cluster_id", "shot_number", "page", shot_text().alias("text"))
     label = F.coalesce(F.nullif("label", F.lit("")), F.lit("Unlabeled"))

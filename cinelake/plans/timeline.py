@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cinelake.functions.checks import render_route
 from cinelake.functions.documents import canonical_hash
 from cinelake.operators.ordered import timeline_offsets
-from cinelake.operators.skew import row_number_across
+from cinelake.operators.skew import range_segments, row_number_across
 from cinelake.sources.documents import srt_cue
 
 PLAN = ["narrative_id"]
@@ -48,7 +48,7 @@ def timeline_rows(clips: DataFrame, media: DataFrame, transitions: DataFrame) ->
     A transition sits after the clip at its position; cuts are implicit, and half its length goes to each side.
     """
     placed = clips.join(media.select("clip_id", "file_path", "fps"), "clip_id", "left")
-    cut = placed.withColumn("__segment", F.floor(F.col("in_s") / 600).cast("bigint"))
+    cut = range_segments(placed, [*PLAN, "track"], ["in_s", "pos"])
     numbered = row_number_across(cut, [*PLAN, "track"], "__segment", ["in_s", "pos"], "__n")
     rows = numbered.select(
         *PLAN, "track", (F.col("__n") - 1).alias("place"), "clip_id", F.coalesce("file_path", F.col("clip_id").cast("string")).alias("target"),
@@ -112,6 +112,6 @@ def subtitles(clips: DataFrame, segments: DataFrame) -> DataFrame:
         segments.select("clip_id", F.col("pos").alias("seg_pos"), "start_s", "end_s", "text"), "clip_id"
     )
     shifted = spoken.withColumns({"start_s": F.coalesce("start_s", F.lit(0.0)) + F.col("offset_s"), "end_s": F.coalesce("end_s", F.lit(0.0)) + F.col("offset_s")})
-    cut = shifted.withColumn("__segment", F.floor(F.col("clip_pos") / 64).cast("bigint"))
+    cut = shifted.withColumn("__segment", F.struct("clip_pos", "clip_id", F.floor(F.col("seg_pos") / 1000)))
     numbered = row_number_across(cut, PLAN, "__segment", ["clip_pos", "clip_id", "seg_pos"], "cue")
     return numbered.select(*PLAN, "cue", "start_s", "end_s", "text", srt_cue(F.col("cue"), F.col("start_s"), F.col("end_s"), F.col("text")).alias("srt"))

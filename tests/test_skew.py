@@ -83,6 +83,16 @@ def test_interval_joins_against_brute_force(spark, rows):
     assert got == sorted(((x[1],) for x in a if not any(x[0] == y[0] and y[2] <= x[2] and y[3] >= x[3] for y in b)), key=repr)
 
 
+def test_range_segments_cut_hot_keys(spark, table):
+    tied = table.withColumn("same", F.lit(1))
+    cut = skew.range_segments(tied, ["k"], ["same", "i"], "r", rows_per_segment=40)
+    hot = [r["count"] for r in cut.filter("k = 'hot'").groupBy("r").count().collect()]
+    assert len(hot) > 3 and max(hot) < 150
+    got = skew.neighbour_across(cut, ["k"], "r", ["same", "i"], {"n": "i"})
+    same(got.select("k", "i", "n"), table.select("k", "i", F.lag("i").over(window()).alias("n")))
+    assert skew.range_segments(tied, ["k"], ["i"], "r").select("r").distinct().count() == 1
+
+
 def test_paged_text_is_whole(table):
     texts = table.withColumn("t", F.col("i").cast("string"))
     pages = paged_text(texts, ["k"], "seg", ["i"], "t", ",", "all", page_rows=50)

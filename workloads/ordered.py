@@ -26,7 +26,7 @@ def breaks(c: Catalog):
 
 @query("win03_adjacent_overlaps", """select narrative_id, track, in_s, out_s, next_start from (select *, lead(in_s) over (partition by narrative_id, track order by in_s, pos, clip_id, out_s, level_db) as next_start from plan_clips) where out_s > next_start""")
 def overlaps(c: Catalog):
-    out = ordered.with_next_clip(c.plan_clips, ["narrative_id", "track"], "in_s", ["pos", "clip_id", "out_s", "level_db"], segment_s=10.0)
+    out = ordered.with_next_clip(c.plan_clips, ["narrative_id", "track"], "in_s", ["pos", "clip_id", "out_s", "level_db"])
     return out.filter("out_s > next_start").select("narrative_id", "track", "in_s", "out_s", "next_start")
 
 
@@ -64,7 +64,7 @@ def smoothing(c: Catalog):
 @query("win06_timeline_offsets", """select narrative_id, pos, clip_id, round(coalesce(sum(out_s - in_s) over (partition by narrative_id order by pos, clip_id, in_s, out_s, level_db, track rows between unbounded preceding and 1 preceding), 0), 4) as offset_s from plan_clips""")
 def offsets(c: Catalog):
     tie = ["clip_id", "in_s", "out_s", "level_db", "track"]
-    out = ordered.timeline_offsets(c.plan_clips, ["narrative_id"], "pos", tie, F.col("out_s") - F.col("in_s"), segment_rows=16)
+    out = ordered.timeline_offsets(c.plan_clips, ["narrative_id"], "pos", tie, F.col("out_s") - F.col("in_s"))
     return out.select("narrative_id", "pos", "clip_id", F.round("offset_s", 4).alias("offset_s"))
 
 
