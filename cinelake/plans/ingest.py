@@ -8,16 +8,18 @@ from cinelake.operators.filters import not_duplicate
 from cinelake.operators.relations import pending_work
 from cinelake.operators.skew import salted_lookup
 from cinelake.operators.summaries import duplicate_groups
+from cinelake.session import cut_lineage
 
 
 def duplicate_pairs(media: DataFrame, digest: str = "sha256_prefix", ident: str = "id", place: str = "ingest_seq") -> DataFrame:
     """(kept_id, duplicate_id): the first-ingested member of each group with every other one.
 
-    Groups are found by an aggregate, so a digest shared by a third of the media costs one row per task; the
+    Ids and digests are written once, so that contents hashed on the way are read once. Groups are found by an aggregate, so a digest shared by a third of the media costs one row per task; the
     lookup back to the media is salted by the group's size.
     """
-    groups = duplicate_groups(media, digest, ident, place)
-    members = salted_lookup(media.select(ident, digest), groups, [digest], "n_copies")
+    keyed = cut_lineage(media.select(*dict.fromkeys((ident, digest, place))).filter(F.col(digest).isNotNull()))
+    groups = duplicate_groups(keyed, digest, ident, place)
+    members = salted_lookup(keyed.select(ident, digest), groups, [digest], "n_copies")
     return members.filter(F.col(ident) != F.col("kept_id")).select("kept_id", F.col(ident).alias("duplicate_id"))
 
 

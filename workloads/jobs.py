@@ -82,14 +82,15 @@ def shot_storyboard(c: Catalog):
     body as (select cluster_id, n as shot_number, concat_ws(chr(10), '### Shot ' || cast(n as varchar) || ' (Clip: ' || cast(media_id as varchar) || ')', '- Duration: ' || printf('%.1f', end_s - start_s) || 's', '- Source: ' || cast(media_id as varchar) || ' [' || printf('%.1f', start_s) || 's – ' || printf('%.1f', end_s) || 's]',
     '- Transcript: ' || transcript, '- Visual: ' || visual, '- Objects: ' || objects, '- People: ' || people, '- Audio: ' || audio) as text from nb union all select cluster_id, 0, concat_ws(chr(10), '## Cluster: ' || cluster_id || ' — ' || coalesce(nullif(label, ''), 'Unlabeled'), 'Description: ' || description) from clusters),
     l as (select narrative_id, from_json(cluster_ids_json, '["VARCHAR"]') as ids from plans_of where json_valid(cluster_ids_json)), e as (select narrative_id, unnest(ids) as cluster_id, generate_subscripts(ids, 1) - 1 as pos from l)
-    select narrative_id, cast(e.pos as bigint) as cluster_pos, cluster_id, count(*) as n_rows, sum(length(text))::bigint as n_chars, md5(string_agg(text, chr(10) order by shot_number)) as digest from e join body using (cluster_id) group by all""")
+    select narrative_id, cast(e.pos as bigint) as cluster_pos, cluster_id, count(*) as n_rows, sum(length(text))::bigint as n_chars, md5(string_agg(md5(text), '' order by shot_number)) as digest from e join body using (cluster_id) group by all""")
 def narrative_storyboard(c: Catalog):
     shots = storyboard.shot_signals(c.shots, c.media, signals(c), c.face_clusters)
     narratives = c.plans_of.withColumn("ids", json_strings(F.col("cluster_ids_json")))
     rows = storyboard.narrative_storyboard(narratives, "ids", c.clusters, c.members, shots)
-    # The digest is for checking only: these clusters are short.
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shot_number", "page", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("narrative_id", "cluster_pos", "cluster_id").agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars"), F.md5(texts).alias("digest"))
+    # Digests of the texts in order, for checking: a narrative lists few clusters, and these are short.
+    marked = rows.select("narrative_id", "cluster_pos", "cluster_id", "shot_number", "page", F.length("text").alias("n"), F.md5("text").alias("d"))
+    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shot_number", "page", "d"))), lambda x: x["d"]), "")
+    return marked.groupBy("narrative_id", "cluster_pos", "cluster_id").agg(F.count("*").alias("n_rows"), F.sum("n").cast("bigint").alias("n_chars"), F.md5(digests).alias("digest"))
 
 
 @query("job04_prompt_requests", """select 'script' as kind, narrative_id as target_id, page, 'planner' as model, case when page = 0 then '## Approved Narrative' || chr(10) || chr(10) || '**Title**: ' || title || chr(10) || '**Description**: ' || status || chr(10) || '**Proposed duration**: ' || cast(target_s as varchar) || ' seconds' || chr(10) || '**Arc**: ' || chr(10) || '**Emotional journey**: ' || chr(10) || chr(10) || '## Full L-Storyboard' || chr(10) || chr(10) else '' end || text as prompt
