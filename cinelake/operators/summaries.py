@@ -134,13 +134,22 @@ QUEUE_STATES = ("completed", "in_flight", "dead", "retry", "pending")
 
 
 def queue_counts(queue: DataFrame) -> DataFrame:
-    return queue.groupBy("group_id", "status").agg(F.count("*").alias("n"))
+    """Rows per group and state, with the oldest of them where the queue has times."""
+    oldest = F.min("created_at") if "created_at" in queue.columns else F.lit(None)
+    return queue.groupBy("group_id", "status").agg(F.count("*").alias("n"), oldest.alias("oldest_at"))
 
 
-def queue_summary(counts: DataFrame, oldest_age: DataFrame | None = None) -> DataFrame:
-    """One row of totals. Dead or retrying rows make a queue unhealthy; pending ones do not."""
+UNHEALTHY_STATES = ("pending", "retry", "dead")
+
+
+def queue_summary(counts: DataFrame) -> DataFrame:
+    """One row of totals. Dead or retrying rows make a queue unhealthy; pending ones do not.
+
+    `oldest_unhealthy_at` is the time of the oldest pending, retrying or dead row.
+    """
     state = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(s)
-    out = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), *[state(s) for s in QUEUE_STATES])
+    oldest = F.min(F.when(F.col("status").isin(*UNHEALTHY_STATES), F.col("oldest_at"))).alias("oldest_unhealthy_at")
+    out = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), *[state(s) for s in QUEUE_STATES], oldest)
     return out.withColumn("healthy", (F.col("dead") == 0) & (F.col("retry") == 0))
 
 
@@ -151,7 +160,7 @@ def unhealthy_groups(counts: DataFrame) -> DataFrame:
 
 def oldest_unhealthy_age(queue: DataFrame, now: Column) -> DataFrame:
     """One row: seconds since the oldest pending, retrying or dead row; null when there is none."""
-    waiting = queue.filter(F.col("status").isin("pending", "retry", "dead"))
+    waiting = queue.filter(F.col("status").isin(*UNHEALTHY_STATES))
     return waiting.agg((now - F.min("created_at")).alias("age_s"))
 
 

@@ -37,13 +37,13 @@ def narration(script_json):
 def upload_metadata(narratives: DataFrame, cluster_ids: str, scripts: DataFrame, clusters: DataFrame, classes: DataFrame, category: str = "22", privacy: str = "unlisted") -> DataFrame:
     """One row per narrative: title, description with narration, cluster tags and class tags as text, category, privacy.
 
-    Classes are names from a detector's fixed label set, so their list is one short string shared by all rows.
+    Classes are names from a detector's fixed label set; their list is one value, computed once for all rows.
     """
     tags = upload_tags(narratives, cluster_ids, clusters, classes)
     own = tags.filter("narrative_id is not null").groupBy("narrative_id").agg(joined_in_order(F.col("place"), F.col("tag"), ",").alias("cluster_tags"))
-    shared = classes.agg(F.array_join(F.array_sort(F.collect_set("class")), ",").alias("class_tags")).withColumn("one", F.lit(1))
+    shared = classes.agg(F.array_join(F.array_sort(F.collect_set("class")), ",")).scalar()
     said = scripts.select("narrative_id", narration(F.col("script_json")).alias("said"))
-    rows = narratives.join(said, "narrative_id", "left").join(own, "narrative_id", "left").withColumn("one", F.lit(1)).join(F.broadcast(shared), "one")
+    rows = narratives.join(said, "narrative_id", "left").join(own, "narrative_id", "left").withColumn("class_tags", shared)
     text = F.concat(F.coalesce("description", F.lit("")), F.coalesce(F.concat(F.lit("\n\n"), "said"), F.lit("")))
     title = F.coalesce("title", F.col("narrative_id").cast("string"))
     return rows.select("narrative_id", title.alias("title"), text.alias("description"), F.concat_ws(",", F.nullif("cluster_tags", F.lit("")), F.nullif("class_tags", F.lit(""))).alias("tags"), F.lit(category).alias("category_id"), F.lit(privacy).alias("privacy_status"))

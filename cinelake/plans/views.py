@@ -65,8 +65,7 @@ def queue_health(queue: DataFrame, now: Column, project: str | None = None) -> t
     """(one-row summary, counts per group and state, unhealthy groups). `created_at` and `now` are in seconds."""
     scoped = project_scope(queue, project) if project else queue
     counts = summaries.queue_counts(scoped)
-    age = summaries.oldest_unhealthy_age(scoped, now).withColumn("one", F.lit(1))
-    summary = summaries.queue_summary(counts).withColumn("one", F.lit(1)).join(age, "one").drop("one")
+    summary = summaries.queue_summary(counts).withColumn("age_s", now - F.col("oldest_unhealthy_at")).drop("oldest_unhealthy_at")
     return summary.withColumn("oldest_age", age_text(F.col("age_s"))), counts, summaries.unhealthy_groups(counts)
 
 

@@ -1,24 +1,34 @@
-"""The catalog on disk: Parquet versions of each table behind a pointer that is switched last."""
+"""The catalog on disk: Parquet buckets of each table behind a pointer that is switched last.
+
+Rows are bucketed by a hash of the table's first key column. A version folder holds the buckets one change wrote, and
+the pointer lists the buckets that make up the table now. So an append adds files and rewrites none, and an upsert,
+update or delete rewrites the buckets its keys fall into and no others.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinelake.operators import maintenance
 from cinelake.schemas import DEFAULTS, KEYS, REFERENCES, TABLES
 
+_BUCKET = "__bucket"
+
 
 class CatalogTables:
-    """Reads and writes the tables below one root path.
+    """Reads and changes the tables below one root path, by one writer at a time.
 
-    A new version is written whole before the pointer file moves, so readers see the old rows or the new ones.
+    A change is written whole before the pointer file moves, so readers see the old rows or the new ones. `buckets`
+    is fixed for the life of a catalog: choose it so that a bucket of the largest table is worth rewriting.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -28,19 +38,23 @@ class CatalogTables:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/CURRENT"
 
-    def versions(self, name: str) -> list[str]:
-        """Folders the table is made of now."""
+    def parts(self, name: str) -> list[str]:
+        """The bucket folders the table is made of now."""
         fs, path = self._fs()
         if not fs.exists(path(self._pointer(name))):
             return []
-        return [r[0] for r in self.spark.read.text(self._pointer(name)).collect()]
+        return [r[0] for r in self.spark.read.text(self._pointer(name)).collect() if r[0]]
+
+    @staticmethod
+    def _bucket_of(part: str) -> int:
+        return int(part.rsplit("=", 1)[1])
 
-    def read(self, name: str) -> DataFrame:
-        """The table's rows; an unwritten table is empty."""
-        folders = self.versions(name)
-        if not folders:
+    def read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """The table's rows, or those of some buckets; an unwritten table is empty."""
+        parts = [p for p in self.parts(name) if buckets is None or self._bucket_of(p) in buckets]
+        if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{name}/{v}" for v in folders])
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
     def conform(self, name: str, df: DataFrame) -> DataFrame:
         """Columns in table order and type; missing ones are null or the column's default."""
@@ -53,57 +67,84 @@ class CatalogTables:
             out.append(column.cast(field.dataType).alias(field.name))
         return df.select(*out)
 
-    def _write(self, name: str, df: DataFrame) -> str:
+    def _bucket(self, name: str):
+        key = KEYS[name][0]
+        field = next(f for f in self.spark.createDataFrame([], TABLES[name]).schema.fields if f.name == key)
+        return F.pmod(F.xxhash64(F.col(key).cast(field.dataType)), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, name: str, keys: DataFrame) -> set[int]:
+        """Buckets the keys fall into; at most `buckets` numbers."""
+        if KEYS[name][0] not in keys.columns:
+            return set(range(self.buckets))
+        return {r[0] for r in keys.select(self._bucket(name).alias("b")).distinct().collect()}
+
+    def _write(self, name: str, df: DataFrame) -> list[str]:
         version = f"v-{uuid.uuid4().hex}"
-        self.conform(name, df).sortWithinPartitions(*KEYS[name]).write.parquet(f"{self.root}/{name}/{version}")
-        return version
+        target = f"{self.root}/{name}/{version}"
+        # Rebalancing keeps a bucket's files few and splits a bucket that holds much of the table.
+        rows = self.conform(name, df).withColumn(_BUCKET, self._bucket(name)).hint("rebalance", _BUCKET)
+        rows.sortWithinPartitions(_BUCKET, *KEYS[name]).write.partitionBy(_BUCKET).parquet(target)
+        fs, path = self._fs()
+        found = [s.getPath().getName() for s in fs.listStatus(path(target)) if s.isDirectory()]
+        return sorted(f"{version}/{n}" for n in found if n.startswith(f"{_BUCKET}="))
 
-    def _switch(self, name: str, versions: list[str]) -> None:
+    def _switch(self, name: str, parts: list[str]) -> None:
         fs, path = self._fs()
         staged = f"{self.root}/{name}/NEXT-{uuid.uuid4().hex}"
         stream = fs.create(path(staged), True)
-        stream.write(bytearray("\n".join(versions).encode()))
+        stream.write(bytearray("\n".join(parts).encode()))
         stream.close()
         fs.delete(path(self._pointer(name)), True)
         if not fs.rename(path(staged), path(self._pointer(name))):
             raise OSError(f"could not switch {name}")
 
+    def _rewrite(self, name: str, buckets: set[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace some buckets by what `change` makes of their rows."""
+        kept = [p for p in self.parts(name) if self._bucket_of(p) not in buckets]
+        self._switch(name, kept + self._write(name, change(self.read(name, buckets))))
+
     def replace_all(self, name: str, df: DataFrame) -> None:
-        """Write all rows as a new version, then switch to it."""
-        self._switch(name, [self._write(name, df)])
+        """Write all rows anew, then switch to them."""
+        self._switch(name, self._write(name, df))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Add a folder of rows with new keys; a clash raises. Nothing happens for no rows. Old folders stay as they are."""
+        """Add rows with new keys; a clash raises. Nothing happens for no rows. Existing files stay as they are."""
         if rows.isEmpty():
             return
         rows = self.conform(name, rows)
-        clash = maintenance.key_conflicts(self.read(name), rows, KEYS[name]).limit(1).collect()
+        clash = maintenance.key_conflicts(self.read(name, self._touched(name, rows)), rows, KEYS[name]).limit(1).collect()
         if clash:
             raise maintenance.KeyConflict(f"key {clash[0].asDict()} cannot be appended to {name}")
-        self._switch(name, [*self.versions(name), self._write(name, rows)])
+        self._switch(name, self.parts(name) + self._write(name, rows))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        self.replace_all(name, maintenance.upsert_replace(self.read(name), self.conform(name, rows), KEYS[name]))
+        rows = self.conform(name, rows)
+        self._rewrite(name, self._touched(name, rows), lambda old: maintenance.upsert_replace(old, rows, KEYS[name]))
 
     def merge(self, name: str, rows: DataFrame) -> None:
-        self.replace_all(name, maintenance.upsert_merge(self.read(name), rows, KEYS[name]))
+        self._rewrite(name, self._touched(name, rows), lambda old: maintenance.upsert_merge(old, rows, KEYS[name]))
 
     def insert_if_absent(self, name: str, rows: DataFrame) -> None:
-        self.replace_all(name, maintenance.insert_if_absent(self.read(name), self.conform(name, rows), KEYS[name]))
+        """Append the rows whose keys are new."""
+        rows = self.conform(name, rows)
+        self.append(name, rows.join(self.read(name, self._touched(name, rows)).select(*KEYS[name]), list(KEYS[name]), "left_anti"))
 
     def update(self, name: str, patch: DataFrame) -> int:
         """Patch rows by key; returns how many were touched."""
         keys = list(KEYS[name])
-        allowed = maintenance.UPDATABLE.get(name, [c for c in self.read(name).columns if c not in keys])
-        current = self.read(name)
-        changed = maintenance.keyed_update(current, patch, keys, allowed)
-        touched = maintenance.affected_rows(current, patch, keys).first()["affected"]
+        allowed = maintenance.UPDATABLE.get(name, [f for f in self.read(name, set()).columns if f not in keys])
+        bad = sorted(set(patch.columns) - set(keys) - set(allowed))
+        if bad:
+            raise ValueError(f"Disallowed column(s) for {name}: {bad}")
+        buckets = self._touched(name, patch)
+        touched = maintenance.affected_rows(self.read(name, buckets), patch, keys).first()["affected"]
         if touched:
-            self.replace_all(name, changed)
+            self._rewrite(name, buckets, lambda old: maintenance.keyed_update(old, patch, keys, allowed))
         return touched
 
     def delete(self, name: str, keys: DataFrame) -> None:
-        self.replace_all(name, maintenance.keyed_delete(self.read(name), keys, [k for k in KEYS[name] if k in keys.columns]))
+        shared = [k for k in KEYS[name] if k in keys.columns]
+        self._rewrite(name, self._touched(name, keys), lambda old: maintenance.keyed_delete(old, keys, shared))
 
     def rejects(self, name: str) -> DataFrame:
         """Rows of the table whose references do not resolve, with the column at fault."""

@@ -79,9 +79,13 @@ def test_catalog_tables(spark, rows, tmp_path):
     with pytest.raises(maintenance.KeyConflict):
         catalog.append("narratives", n(("z", "1", None), ("z", "2", None)))
     assert rows(catalog.read("narratives"), "narrative_id", "status") == [("a", "proposed"), ("b", "approved")]
+    before = catalog.parts("narratives")
     catalog.append("narratives", n(("c", "C", None)))
-    assert len(catalog.versions("narratives")) == 2
+    assert catalog.parts("narratives")[: len(before)] == before and len(catalog.parts("narratives")) == len(before) + 1
     catalog.upsert("narratives", n(("a", "A2", "rejected")))
+    # Only the bucket of `a` was written anew.
+    assert len({p.split("/")[0] for p in catalog.parts("narratives")} - {p.split("/")[0] for p in before}) == 2
+    assert sum(p in before for p in catalog.parts("narratives")) >= len(before) - 1
     catalog.merge("narratives", n(("b", None, "scripted"), ("d", "D", "proposed")))
     catalog.insert_if_absent("narratives", n(("a", "never", "never"), ("e", "E", None)))
     assert rows(catalog.read("narratives"), "narrative_id", "title", "status") == [("a", "A2", "rejected"), ("b", "B", "scripted"), ("c", "C", "proposed"), ("d", "D", "proposed"), ("e", "E", "proposed")]
