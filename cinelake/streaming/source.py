@@ -41,7 +41,11 @@ def run_to_table(stream: DataFrame, mode: str, folder: str | None = None, prepar
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*")
+    rows = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not rows.getFileSystem(spark._jsc.hadoopConfiguration()).exists(rows):
+        empty = spark.createDataFrame([], stream.schema)
+        return (prepare(empty) if prepare else empty).withColumn("batch", F.lit(0))
+    return spark.read.parquet(f"{folder}/rows")
 
 
 def newest(written: DataFrame, keys: list[str]) -> DataFrame:
