@@ -7,8 +7,43 @@ from pyspark.sql import Column, functions as F
 from cinelake.functions.text import fill, fixed
 
 
-def issue(severity: str, check: str, message: Column) -> Column:
-    return F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), message.alias("message"))
+# Texts of findings, each `{}` in turn a value of the case at hand.
+MESSAGES = {
+    "in_unread": "Clip {}: invalid or missing in_timecode in overlap check",
+    "out_unread": "Clip {}: invalid or missing timecode in overlap check",
+    "overlap": "Overlap on track {}: clip ends at {} but next clip starts at {}",
+    "length_unread": "Clip {}: invalid or missing timecode in duration check",
+    "length": "Total duration {}s is outside ±10% of target {}s (allowed: {}–{}s)",
+    "no_clip": "Clip not found in catalog: {}",
+    "unread": "Clip {}: invalid or missing timecode",
+    "backwards": "Clip {}: in_timecode ({}) must be before out_timecode ({})",
+    "no_duration": "Clip {}: non-numeric duration_seconds in catalog",
+    "out_beyond": "Clip {}: out_timecode ({}) exceeds clip duration ({}s)",
+    "in_beyond": "Clip {}: in_timecode ({}) exceeds clip duration ({}s)",
+    "level_text": "Audio level for clip {}: non-numeric level_db value '{}'",
+    "level_high": "Audio level for clip {}: {} dB exceeds 0 dB (clipping risk)",
+    "level_low": "Audio level for clip {}: {} dB is below -24 dB (may be inaudible)",
+    "render_length": "Duration {}s differs from target {}s by more than 1s",
+    "resolution": "Resolution {}x{} does not match expected {}x{}",
+    "codec": "Codec '{}' does not match expected '{}'",
+    "too_small": "File size {} MB ({} MB/min) is below expected minimum of {} MB/min",
+    "too_big": "File size {} MB ({} MB/min) exceeds expected maximum of {} MB/min",
+    "no_loudness_block": "Could not parse loudnorm output from ffmpeg stderr",
+    "no_loudness": "Could not parse LUFS from loudnorm output",
+    "loudness": "Integrated loudness {} LUFS differs from target {} LUFS by more than 1 LUFS",
+    "black": "Black frame detected: {}s–{}s (duration: {}s)",
+    "black_unread": "Could not parse blackdetect values: {} {} {}",
+    "silence": "Silence detected: {}s–{}s (duration: {}s)",
+    "silence_unread": "Could not parse silencedetect values: {} {} {}",
+}
+
+
+def message(name: str, *values: Column) -> Column:
+    return fill(MESSAGES[name], *values)
+
+
+def issue(severity: str, check: str, text: Column) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), text.alias("message"))
 
 
 def number_text(value: Column) -> Column:
@@ -19,28 +54,27 @@ def number_text(value: Column) -> Column:
 def audio_level_issue(clip_id: Column, level: Column) -> Column:
     """Above 0 dB clips, below -24 dB may be inaudible, text that is no number is an error, null is fine."""
     db = level.try_cast("double")
-    who = F.concat(F.lit("Audio level for clip "), F.coalesce(clip_id, F.lit("unknown")), F.lit(": "))
+    who = F.coalesce(clip_id, F.lit("unknown"))
     return (
         F.when(level.isNull(), F.lit(None))
-        .when(db.isNull(), issue("error", "audio", F.concat(who, F.lit("non-numeric level_db value '"), level.cast("string"), F.lit("'"))))
-        .when(db > 0, issue("error", "audio", F.concat(who, number_text(db), F.lit(" dB exceeds 0 dB (clipping risk)"))))
-        .when(db < -24, issue("warning", "audio", F.concat(who, number_text(db), F.lit(" dB is below -24 dB (may be inaudible)"))))
+        .when(db.isNull(), issue("error", "audio", message("level_text", who, level)))
+        .when(db > 0, issue("error", "audio", message("level_high", who, number_text(db))))
+        .when(db < -24, issue("warning", "audio", message("level_low", who, number_text(db))))
     )
 
 
 def render_duration_issue(actual: Column, target: Column, tolerance: float = 1.0) -> Column:
-    text = fill("Duration {}s differs from target {}s by more than 1s", fixed(actual, 1), fixed(target, 1))
+    text = message("render_length", fixed(actual, 1), fixed(target, 1))
     return F.when(F.abs(actual - target) > tolerance, issue("error", "duration", text))
 
 
 def render_resolution_issue(w: Column, h: Column, want_w: int, want_h: int) -> Column:
-    text = fill(f"Resolution {{}}x{{}} does not match expected {want_w}x{want_h}", w, h)
+    text = message("resolution", w, h, F.lit(want_w), F.lit(want_h))
     return F.when((w != want_w) | (h != want_h), issue("error", "resolution", text))
 
 
 def render_codec_issue(codec: Column, want: str) -> Column:
-    text = F.concat(F.lit("Codec '"), codec, F.lit(f"' does not match expected '{want}'"))
-    return F.when(codec != want, issue("error", "codec", text))
+    return F.when(codec != want, issue("error", "codec", message("codec", codec, F.lit(want))))
 
 
 # Expected size of 1080p h264, in MB (2^20 bytes) per minute.
@@ -54,8 +88,8 @@ def render_size_issue(size_bytes: Column, duration: Column, want_w: int, want_h:
         return F.lit(None).cast("struct<severity:string,check:string,message:string>")
     mb = size_bytes / F.lit(1048576.0)
     rate = mb / (duration / F.lit(60.0))
-    low = fill(f"File size {{}} MB ({{}} MB/min) is below expected minimum of {MIN_MB_PER_MINUTE} MB/min", fixed(mb, 1), fixed(rate, 1))
-    high = fill(f"File size {{}} MB ({{}} MB/min) exceeds expected maximum of {MAX_MB_PER_MINUTE} MB/min", fixed(mb, 1), fixed(rate, 1))
+    low = message("too_small", fixed(mb, 1), fixed(rate, 1), F.lit(MIN_MB_PER_MINUTE))
+    high = message("too_big", fixed(mb, 1), fixed(rate, 1), F.lit(MAX_MB_PER_MINUTE))
     return (
         F.when(~(duration > 0) | size_bytes.isNull(), F.lit(None))
         .when(rate < MIN_MB_PER_MINUTE, issue("warning", "file_size", low))

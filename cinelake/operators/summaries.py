@@ -34,20 +34,22 @@ def top_classes(rows: DataFrame, keys: Sequence[str], label: str, place: Sequenc
     return best.groupBy(*keys).agg(joined_in_order(F.col("rank"), text, ", ").alias(name))
 
 
+# Sentences about picture quality.
+QUALITY_MEAN = "Avg detection confidence: {}"
+QUALITY_WEAK = "Some low-confidence frames (min: {}) - possible motion blur or poor framing"
+QUALITY_GOOD = "Overall good visual quality"
+QUALITY_FAIR = "Moderate visual quality"
+QUALITY_POOR = "Low visual quality - many unclear frames"
+
+
 def confidence_notes(rows: DataFrame, keys: Sequence[str], confidence: Column) -> DataFrame:
     """Mean and least confidence per key with the sentence about picture quality. Values that are no numbers are skipped."""
     value = confidence.try_cast("double")
     agg = rows.groupBy(*keys).agg(F.avg(value).alias("avg_conf"), F.min(value).alias("min_conf"))
     mean, least = F.col("avg_conf"), F.col("min_conf")
-    band = (
-        F.when(mean >= 0.8, "Overall good visual quality")
-        .when(mean >= 0.6, "Moderate visual quality")
-        .otherwise("Low visual quality - many unclear frames")
-    )
-    weak = F.when(
-        least < 0.5, fill("Some low-confidence frames (min: {}) - possible motion blur or poor framing", fixed(least, 2))
-    )
-    text = F.concat_ws("; ", fill("Avg detection confidence: {}", fixed(mean, 2)), weak, band)
+    band = F.when(mean >= 0.8, QUALITY_GOOD).when(mean >= 0.6, QUALITY_FAIR).otherwise(QUALITY_POOR)
+    weak = F.when(least < 0.5, fill(QUALITY_WEAK, fixed(least, 2)))
+    text = F.concat_ws("; ", fill(QUALITY_MEAN, fixed(mean, 2)), weak, band)
     return agg.withColumn("visual_quality_notes", F.when(mean.isNull(), "").otherwise(text))
 
 

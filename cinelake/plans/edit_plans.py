@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cinelake.functions.checks import audio_level_issue, issue
+from cinelake.functions.checks import audio_level_issue, issue, message
 from cinelake.functions.documents import json_field, json_objects
-from cinelake.functions.text import fill, fixed
+from cinelake.functions.text import fixed
 from cinelake.functions.timecode import timecode_seconds
 from cinelake.operators.ordered import with_next_clip
 from cinelake.operators.skew import range_segments
@@ -15,6 +15,12 @@ from cinelake.schemas import EDL_LISTS
 from cinelake.session import cut_lineage
 
 MAX_ATTEMPTS = 4
+
+# What a planner is told after a failed attempt.
+FEEDBACK_LEAD = "\n\nThe EDL you generated has validation errors. Please fix these issues and regenerate the EDL:\n\n"
+FEEDBACK_ERRORS = "**Errors:**"
+FEEDBACK_WARNINGS = "\n**Warnings:**"
+
 PLAN = ["narrative_id"]
 
 
@@ -38,8 +44,8 @@ def with_seconds(clips: DataFrame) -> DataFrame:
     })
 
 
-def _say(check: str, template: str, *values: Column) -> Column:
-    return issue("error", check, fill(template, *values))
+def _error(check: str, name: str, *values: Column) -> Column:
+    return issue("error", check, message(name, *values))
 
 
 def _issues(df: DataFrame, column: Column) -> DataFrame:
@@ -55,8 +61,8 @@ def overlap_issues(clips: DataFrame) -> DataFrame:
     """Neighbouring clips of a track that overlap. A clip without a readable out point is an error if another follows."""
     who = F.coalesce(F.col("clip_id").cast("string"), F.lit("unknown"))
     ahead = with_next_clip(clips, [*PLAN, "track"], "in_s", ["pos"], {"next_in": "in_timecode"})
-    meets = _say("overlap", "Overlap on track {}: clip ends at {} but next clip starts at {}", F.col("track"), F.col("out_timecode"), F.col("next_in"))
-    unread = _say("overlap", "Clip {}: invalid or missing timecode in overlap check", who)
+    meets = _error("overlap", "overlap", F.col("track"), F.col("out_timecode"), F.col("next_in"))
+    unread = _error("overlap", "out_unread", who)
     return _issues(ahead, F.when(F.col("out_s").isNull(), unread).when(F.col("out_s") > F.col("next_start"), meets))
 
 
@@ -67,14 +73,13 @@ def duration_issues(clips: DataFrame, targets: DataFrame) -> DataFrame:
     first = clips.filter("track = 1")
     unread = _issues(
         first.filter("in_s is null or out_s is null").join(wanted.select(*PLAN), PLAN, "left_semi"),
-        _say("duration", "Clip {}: invalid or missing timecode in duration check", who),
+        _error("duration", "length_unread", who),
     )
     totals = first.groupBy(*PLAN).agg(F.sum(F.col("out_s") - F.col("in_s")).alias("total_s"))
     judged = wanted.join(totals, PLAN, "left").withColumn("total_s", F.coalesce("total_s", F.lit(0.0)))
     total, target = F.col("total_s"), F.col("target_s")
     low, high = target * 0.9, target * 1.1
-    text = "Total duration {}s is outside ±10% of target {}s (allowed: {}–{}s)"
-    off = _say("duration", text, *[fixed(x, 1) for x in (total, target, low, high)])
+    off = _error("duration", "length", *[fixed(x, 1) for x in (total, target, low, high)])
     return unread.unionByName(_issues(judged, F.when((total < low) | (total > high), off)))
 
 
@@ -83,7 +88,7 @@ def missing_clip_issues(clips: DataFrame, media: DataFrame) -> DataFrame:
     empty = F.lit("").cast(dict(clips.dtypes)["clip_id"]) if dict(clips.dtypes)["clip_id"] == "string" else F.lit(None)
     used = clips.select(*PLAN, F.coalesce("clip_id", empty).alias("clip_id")).distinct()
     gone = used.join(media.select("clip_id"), "clip_id", "left_anti")
-    return _issues(gone, _say("clip_id", "Clip not found in catalog: {}", F.col("clip_id")))
+    return _issues(gone, _error("clip_id", "no_clip", F.col("clip_id")))
 
 
 def clip_issues(clips: DataFrame, media: DataFrame) -> DataFrame:
@@ -97,14 +102,13 @@ def clip_issues(clips: DataFrame, media: DataFrame) -> DataFrame:
     readable = F.col("in_s").isNotNull() & F.col("out_s").isNotNull()
     ordered = readable & (F.col("in_s") < F.col("out_s"))
     measured = ordered & F.col("__known").isNotNull()
-    over = lambda name, at: _say("bounds", "Clip {}: {} ({}) exceeds clip duration ({}s)", who, F.lit(name), at, fixed(length, 1))
     return _listed(rows, [
-        F.when(F.col("in_s").isNull(), _say("overlap", "Clip {}: invalid or missing in_timecode in overlap check", named)).otherwise(none),
-        F.when(~readable, _say("bounds", "Clip {}: invalid or missing timecode", who)),
-        F.when(readable & ~ordered, _say("bounds", "Clip {}: in_timecode ({}) must be before out_timecode ({})", who, ins, outs)),
-        F.when(measured & length.isNull(), _say("bounds", "Clip {}: non-numeric duration_seconds in catalog", who)),
-        F.when(measured & (F.col("out_s") > length), over("out_timecode", outs)),
-        F.when(measured & (F.col("in_s") > length), over("in_timecode", ins)),
+        F.when(F.col("in_s").isNull(), _error("overlap", "in_unread", named)).otherwise(none),
+        F.when(~readable, _error("bounds", "unread", who)),
+        F.when(readable & ~ordered, _error("bounds", "backwards", who, ins, outs)),
+        F.when(measured & length.isNull(), _error("bounds", "no_duration", who)),
+        F.when(measured & (F.col("out_s") > length), _error("bounds", "out_beyond", who, outs, fixed(length, 1))),
+        F.when(measured & (F.col("in_s") > length), _error("bounds", "in_beyond", who, ins, fixed(length, 1))),
     ])
 
 
@@ -150,11 +154,10 @@ def edl_feedback(verdict_rows: DataFrame, issues: DataFrame, attempts: DataFrame
     lines = issues.join(retry.select("narrative_id", "attempt"), "narrative_id").withColumns({"__o": order, "line": F.concat(F.lit("- "), "message")})
     firsts = lines.groupBy("narrative_id", "attempt", "__o").agg(F.lit(1).alias("one")).select(
         "narrative_id", "attempt", "__o", F.lit("").alias("check"), F.lit("").alias("message"),
-        F.when(F.col("__o") == 0, "**Errors:**").otherwise("\n**Warnings:**").alias("line"),
+        F.when(F.col("__o") == 0, FEEDBACK_ERRORS).otherwise(FEEDBACK_WARNINGS).alias("line"),
     )
     # Headings sort before messages: their check is empty.
     rows = lines.select("narrative_id", "attempt", "__o", "check", "message", "line").unionByName(firsts)
     segment = range_segments(rows, ["narrative_id", "attempt"], ["__o", "check", "message"])
     body = paged_text(segment, ["narrative_id", "attempt"], "__segment", ["__o", "check", "message"], "line", "\n", "lines", page_rows)
-    lead = "\n\nThe EDL you generated has validation errors. Please fix these issues and regenerate the EDL:\n\n"
-    return body.select("narrative_id", "attempt", "page", F.concat(F.when(F.col("page") == 0, lead).otherwise(""), F.col("lines")).alias("feedback"))
+    return body.select("narrative_id", "attempt", "page", F.concat(F.when(F.col("page") == 0, FEEDBACK_LEAD).otherwise(""), F.col("lines")).alias("feedback"))

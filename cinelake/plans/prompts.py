@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from cinelake.functions.documents import fenced_json, fill_template, json_field, json_is_array, json_is_object, json_strings
 from cinelake.functions.text import fill, fixed
 
+# Heads of the requests, and the fields a response must have.
+SCRIPT_HEAD = (
+    "## Approved Narrative\n\n**Title**: {}\n**Description**: {}\n**Proposed duration**: {} seconds\n**Arc**: {}\n"
+    "**Emotional journey**: {}\n\n## Full L-Storyboard\n\n"
+)
+EDL_HEAD = (
+    "## Narrative\n\n**Title**: {}\n**Description**: {}\n**Target duration**: {} seconds\n\n"
+    "## Script\n\n```json\n{}\n```\n\n## Storyboard\n\n"
+)
 REQUIRED = {
     "label": ("label", "description"),
     "narrative": ("title", "activity_cluster_ids", "proposed_duration_seconds"),
@@ -31,11 +40,7 @@ def script_requests(narratives: DataFrame, storyboards: DataFrame, model: str) -
     storyboards: narrative_id, page, storyboard. Page 0 carries the description.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    head = F.concat(
-        F.lit("## Approved Narrative\n\n**Title**: "), text("title"), F.lit("\n**Description**: "), text("description"),
-        F.lit("\n**Proposed duration**: "), text("proposed_duration_seconds"), F.lit(" seconds\n**Arc**: "), text("arc_notes"),
-        F.lit("\n**Emotional journey**: "), text("emotional_journey"), F.lit("\n\n## Full L-Storyboard\n\n"),
-    )
+    head = fill(SCRIPT_HEAD, *[text(c) for c in ("title", "description", "proposed_duration_seconds", "arc_notes", "emotional_journey")])
     return narratives.join(storyboards, "narrative_id").select(
         F.lit("script").alias("kind"), F.col("narrative_id").alias("target_id"), "page", F.lit(model).alias("model"),
         F.concat(F.when(F.col("page") == 0, head).otherwise(""), F.col("storyboard")).alias("prompt"),
@@ -45,10 +50,7 @@ def script_requests(narratives: DataFrame, storyboards: DataFrame, model: str) -
 def edl_requests(narratives: DataFrame, scripts: DataFrame, storyboards: DataFrame, model: str) -> DataFrame:
     """As `script_requests`, with the script between description and storyboard."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    head = F.concat(
-        F.lit("## Narrative\n\n**Title**: "), text("title"), F.lit("\n**Description**: "), text("description"), F.lit("\n**Target duration**: "),
-        text("proposed_duration_seconds"), F.lit(" seconds\n\n## Script\n\n```json\n"), text("script_json"), F.lit("\n```\n\n## Storyboard\n\n"),
-    )
+    head = fill(EDL_HEAD, *[text(c) for c in ("title", "description", "proposed_duration_seconds", "script_json")])
     return narratives.join(scripts.select("narrative_id", "script_json"), "narrative_id").join(storyboards, "narrative_id").select(
         F.lit("edl").alias("kind"), F.col("narrative_id").alias("target_id"), "page", F.lit(model).alias("model"),
         F.concat(F.when(F.col("page") == 0, head).otherwise(""), F.col("storyboard")).alias("prompt"),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cinelake.functions.checks import issue, render_codec_issue, render_duration_issue, render_resolution_issue, render_size_issue
+from cinelake.functions.checks import issue, message, render_codec_issue, render_duration_issue, render_resolution_issue, render_size_issue
 from cinelake.functions.documents import json_field
-from cinelake.functions.text import fill, fixed
+from cinelake.functions.text import fixed
 from cinelake.operators.intervals import not_contained
 from cinelake.plans.edit_plans import verdicts
 
@@ -36,10 +36,10 @@ def loudness(logs: DataFrame, log: str = "loudness_log") -> DataFrame:
 
 def loudness_issues(measured: DataFrame, target: float = -14.0) -> DataFrame:
     """Loudness more than 1 LUFS off the target, or not readable."""
-    text = fill("Integrated loudness {} LUFS differs from target {} LUFS by more than 1 LUFS", fixed(F.col("lufs"), 1), F.lit(str(target)))
+    text = message("loudness", fixed(F.col("lufs"), 1), F.lit(str(target)))
     found = (
-        F.when(~F.col("has_block"), issue("error", "loudness", F.lit("Could not parse loudnorm output from ffmpeg stderr")))
-        .when(F.col("lufs").isNull(), issue("error", "loudness", F.lit("Could not parse LUFS from loudnorm output")))
+        F.when(~F.col("has_block"), issue("error", "loudness", message("no_loudness_block")))
+        .when(F.col("lufs").isNull(), issue("error", "loudness", message("no_loudness")))
         .when(F.abs(F.col("lufs") - target) > 1.0, issue("error", "loudness", text))
     )
     return measured.withColumn("x", found).filter("x is not null").select(*RENDER, "x.*")
@@ -61,16 +61,16 @@ def _readable() -> Column:
 
 def black_issues(logs: DataFrame, log: str = "black_log") -> DataFrame:
     spans = measured_spans(logs, log, BLACK)
-    raw = F.concat(F.lit("Could not parse blackdetect values: "), F.concat_ws(" ", "s", "e", "d"))
-    text = F.concat(F.lit("Black frame detected: "), F.col("s"), F.lit("s–"), F.col("e"), F.lit("s (duration: "), F.col("d"), F.lit("s)"))
+    texts = [F.col(c) for c in ("s", "e", "d")]
+    raw, text = message("black_unread", *texts), message("black", *texts)
     return spans.select(*RENDER, issue("warning", "black_frames", F.when(_readable(), text).otherwise(raw)).alias("x")).select(*RENDER, "x.*")
 
 
 def silence_issues(logs: DataFrame, intentional: DataFrame, log: str = "silence_log", width_s: float = 60.0) -> DataFrame:
     """Silences not wholly inside an intentional one. intentional: render_id, start, end."""
     spans = measured_spans(logs, log, SILENCE)
-    raw = F.concat(F.lit("Could not parse silencedetect values: "), F.concat_ws(" ", "s", "e", "d"))
-    text = fill("Silence detected: {}s–{}s (duration: {}s)", *[fixed(F.col(c), 1) for c in ("start_s", "end_s", "duration_s")])
+    raw = message("silence_unread", *[F.col(c) for c in ("s", "e", "d")])
+    text = message("silence", *[fixed(F.col(c), 1) for c in ("start_s", "end_s", "duration_s")])
     heard = not_contained(spans.filter(_readable()), intentional, RENDER, ("start_s", "end_s"), ("start", "end"), width_s)
     found = heard.withColumn("message", text).unionByName(spans.filter(~_readable()).withColumn("message", raw))
     return found.select(*RENDER, F.lit("warning").alias("severity"), F.lit("silence").alias("check"), "message")

@@ -18,6 +18,20 @@ from cinelake.operators.text import first_seen, joined_in_order, paged_text
 from cinelake.operators.topk import top_k
 from cinelake.session import cut_lineage
 
+# Lines of the storyboards.
+CLUSTER_HEAD = "## Cluster: {}"
+CLUSTER_TITLE = "## Cluster: {} — {}"
+CLUSTER_ABOUT = "Description: {}"
+CLUSTER_LINE = "- **{}**: "
+SHOT_HEAD = "### Shot {} (Clip: {})"
+SHOT_LENGTH = "- Duration: {}s"
+SHOT_SOURCE = "- Source: {} [{}s – {}s]"
+SPOKEN = "Transcript: {}"
+SEEN = "Detected objects: {}"
+HEARD = "Audio: {}"
+SPEECH = "Speech detected ({} segments)"
+UNLABELLED = "Unlabeled"
+
 SHOT_KEY = ["media_id", "shot_pos"]
 BUCKET_S = 60.0
 
@@ -81,16 +95,15 @@ def master_storyboard(
     out = clusters
     for part in (length, highlights, n_spoken, objects, sounds, quality, people):
         out = out.join(part, "cluster_id", "left")
-    moments = F.concat_ws("; ", F.concat(F.lit("Transcript: "), "highlights"), F.concat(F.lit("Detected objects: "), "objects"))
-    tone = F.concat_ws("; ", F.concat(F.lit("Audio: "), "sounds"), fill("Speech detected ({} segments)", F.col("n_segments")))
-    tone = F.when(F.col("n_segments").isNull(), F.coalesce(F.concat(F.lit("Audio: "), "sounds"), F.lit(""))).otherwise(tone)
-    line = lambda title, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"- **{title}**: "), value))
+    moments = F.concat_ws("; ", fill(SPOKEN, F.col("highlights")), fill(SEEN, F.col("objects")))
+    tone = F.concat_ws("; ", fill(HEARD, F.col("sounds")), fill(SPEECH, F.col("n_segments")))
+    line = lambda title, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(CLUSTER_LINE.format(title)), value))
     section = F.concat_ws(
         "\n",
-        F.concat(F.lit("## Cluster: "), F.col("cluster_id")),
-        F.concat(F.lit("- **Label**: "), F.coalesce(F.nullif("label", F.lit("")), F.lit("Unlabeled"))),
+        fill(CLUSTER_HEAD, F.col("cluster_id")),
+        line("Label", F.coalesce(F.nullif("label", F.lit("")), F.lit(UNLABELLED))),
         line("Description", F.col("description")),
-        F.concat(F.lit("- **Duration**: "), F.coalesce("duration_text", F.lit("unknown"))),
+        line("Duration", F.coalesce("duration_text", F.lit("unknown"))),
         line("Key moments", moments), line("People present", F.col("people")), line("Emotional tone", tone),
         line("Visual quality", F.col("visual_quality_notes")),
     )
@@ -162,9 +175,9 @@ def shot_text(number: str = "shot_number"):
     """The storyboard lines of a shot."""
     line = lambda title, c: F.concat(F.lit(f"- {title}: "), F.col(c))
     head = [
-        fill("### Shot {} (Clip: {})", F.col(number), F.col("media_id")),
-        fill("- Duration: {}s", fixed(F.col("end_s") - F.col("start_s"), 1)),
-        fill("- Source: {} [{}s – {}s]", F.col("media_id"), fixed(F.col("start_s"), 1), fixed(F.col("end_s"), 1)),
+        fill(SHOT_HEAD, F.col(number), F.col("media_id")),
+        fill(SHOT_LENGTH, fixed(F.col("end_s") - F.col("start_s"), 1)),
+        fill(SHOT_SOURCE, F.col("media_id"), fixed(F.col("start_s"), 1), fixed(F.col("end_s"), 1)),
     ]
     whole = F.concat_ws("\n", *head, line("Transcript", "transcript"), line("Visual", "visual"), line("Objects", "objects"), line("People", "people"), line("Audio", "audio"))
     more = F.concat_ws("\n", line("Transcript", "transcript"), line("Visual", "visual"))
@@ -185,9 +198,9 @@ def narrative_storyboard(narratives: DataFrame, cluster_ids: str, clusters: Data
         ["cluster_id"], "__part", ["clip_pos", "shot_pos"], "shot_number",
     ).select("cluster_id", "clip_pos", *SHOT_KEY, "shot_number")
     body = shot_rows.join(numbered, SHOT_KEY).select("cluster_id", "shot_number", "page", shot_text().alias("text"))
-    label = F.coalesce(F.nullif("label", F.lit("")), F.lit("Unlabeled"))
-    title = F.concat(F.lit("## Cluster: "), F.col("cluster_id"), F.lit(" — "), label)
-    about = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("Description: "), "description"))
+    label = F.coalesce(F.nullif("label", F.lit("")), F.lit(UNLABELLED))
+    title = fill(CLUSTER_TITLE, F.col("cluster_id"), label)
+    about = F.when(F.coalesce("description", F.lit("")) != "", fill(CLUSTER_ABOUT, F.col("description")))
     heads = clusters.select("cluster_id", F.lit(0).cast("bigint").alias("shot_number"), F.lit(0).cast("bigint").alias("page"), F.concat_ws("\n", title, about).alias("text"))
     listed = in_listed_order(narratives, "narrative_id", cluster_ids, clusters.select("cluster_id"), "cluster_id")
     return listed.join(heads.unionByName(body), "cluster_id").select(

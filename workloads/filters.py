@@ -84,6 +84,12 @@ def fraction(c: Catalog):
     return filters.fixed_fraction(c.media.select("media_id", "status"), 0.25, ["media_id"], seed=3)
 
 
+@query("flt12_sample_size", "select cast(greatest(1, floor(count(*) * 0.1)) as bigint) as n_rows, cast(greatest(1, floor(count(*) * 0.1)) as bigint) as n_distinct from events")
+def sample_size(c: Catalog):
+    taken = filters.fixed_fraction(c.events.select("event_id"), 0.1, ["event_id"])
+    return taken.agg(F.count("*").alias("n_rows"), F.countDistinct("event_id").alias("n_distinct"))
+
+
 @query("top01_browse_page", """select media_id, status, duration_seconds, media_id in (select media_id from segments) as has_transcript,
     media_id in (select media_id from detections) as has_detections, media_id in (select media_id from audio_events) as has_audio_events
     from media where status = 'ingested' order by duration_seconds desc, media_id limit 50 offset 50""")

@@ -62,13 +62,19 @@ def durations(c: Catalog):
     return out.select("job_id", "outcome", F.round("duration_seconds", 3).alias("duration_seconds"))
 
 
-@query("str06_gate_decisions")
+@query("str06_gate_decisions", """with recursive e as (select cast(user_id as varchar) as gate, epoch_us(ts) / 1e6 as t, event_type as et, row_number() over (partition by user_id order by ts) as n from events),
+    r as (select distinct gate, 0::bigint as n, null::double as since, false as late, '' as decision, '' as who, 0.0::double as waited from e
+    union all select gate, n, case when et in ('click', 'view') then case when s1 is not null then s1 when et = 'click' then t end end, late, case when et = 'view' and s1 is null then 'approved' when et not in ('click', 'view') and s1 is not null then case et when 'error' then 'skipped' else 'approved' end else '' end,
+    case when et = 'view' then 'system' else 'user' end, case when et = 'view' then 0 else coalesce(t - s1, 0) end from (select e.*, coalesce(t - r.since > 14400, false) as late, case when coalesce(t - r.since > 14400, false) then null else r.since end as s1 from r join e on e.gate = r.gate and e.n = r.n + 1)),
+    l as (select gate, arg_max(since, n) as since, max(n) as n from r group by gate having arg_max(coalesce(since, -1), n) >= 0)
+    select gate, decision, who as decided_by, round(waited, 3) as waited_s from r where decision <> '' union all select gate, 'approved', 'system', 14400.0 from r where late
+    union all select gate, 'approved', 'system', 14400.0 from l where since + 14400 < (select max(epoch_us(ts)) / 1e6 - 600 from events)""")
 def gates(c: Catalog):
     kind = F.when(F.col("event_type").isin("click", "view"), "arrive").when(F.col("event_type") == "error", "skip").otherwise("approve")
     rows = stream(c).select(
         F.col("user_id").cast("string").alias("gate"), F.col("ts").alias("at"), kind.alias("kind"), F.when(F.col("event_type") == "view", "notify").otherwise("pause").alias("mode"), F.lit(4.0).alias("timeout_hours"),
     )
-    return run_to_table(ev.gate_decisions(rows), "append").drop("batch")
+    return run_to_table(ev.gate_decisions(rows), "append").select("gate", "decision", "decided_by", F.round("waited_s", 3).alias("waited_s"))
 
 
 @query("str07_run_budget", "select extract(day from ts)::bigint as run_id, count(*) as n_stages, round(sum(value), 3) as spent_s, round(1000 - sum(value), 3) as budget_remaining_s from events group by 1")
@@ -78,7 +84,8 @@ def budget(c: Catalog):
     return out.select("run_id", "n_stages", F.round("spent_s", 3).alias("spent_s"), F.round("budget_remaining_s", 3).alias("budget_remaining_s"))
 
 
-@query("str08_stalled_jobs")
+@query("str08_stalled_jobs", """select cast(user_id as varchar) as job_id, cast(user_id % 9 as varchar) as stage, 7200.0::double as running_s from (select *, lead(ts) over (partition by user_id order by ts) as nx from events) where event_type = 'click'
+    and epoch_us(coalesce(nx, (select max(ts) - interval 10 minutes from events))) / 1e6 - epoch_us(ts) / 1e6 > 7200""")
 def stalled(c: Catalog):
     kind = F.when(F.col("event_type") == "click", "start").otherwise("finish")
     rows = stream(c).select(F.col("user_id").cast("string").alias("job_id"), (F.col("user_id") % 9).cast("string").alias("stage"), F.col("ts").alias("at"), kind.alias("kind"))
