@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinelake.operators import summaries
-from cinelake.plans import activities, edit_plans, people, storyboard, views
-from cinelake.schemas import STAGES
+from cinelake.plans import activities, edit_plans, storyboard, views
 from workloads.registry import query
 from workloads.views import Catalog
 

@@ -28,12 +28,13 @@ def probe(c: Catalog):
     return out.select("doc_id", F.coalesce("codec", F.lit("")).alias("codec"), F.coalesce(F.round("fps", 6), F.lit(-1.0)).alias("fps"), "duration_seconds", F.coalesce("audio_channels", F.lit(-1).cast("bigint")).alias("audio_channels"), "created_at", "gps_lat")
 
 
-@query("exp01_haversine", """select s_suppkey, c_custkey, round(2 * 6371000 * atan2(sqrt(a), sqrt(1 - a)), 3) as metres from (select s_suppkey, c_custkey, power(sin(radians(c_acctbal / 200 - s_acctbal / 200) / 2), 2)
-    + cos(radians(s_acctbal / 200)) * cos(radians(c_acctbal / 200)) * power(sin(radians((c_custkey % 360) - (s_suppkey % 360)) / 2), 2) as a from supplier join customer on s_nationkey = c_nationkey)""")
+@query("exp01_haversine", """select c_custkey, round(2 * 6371000 * atan2(sqrt(a), sqrt(1 - a)), 3) as metres from (select c_custkey, power(sin(radians(c_acctbal / 200 - (n_nationkey * 3 - 36)) / 2), 2)
+    + cos(radians(n_nationkey * 3 - 36)) * cos(radians(c_acctbal / 200)) * power(sin(radians((c_custkey % 360) - n_nationkey * 10) / 2), 2) as a from customer join nation on n_nationkey = c_nationkey)""")
 def haversine(c: Catalog):
-    rows = c.supplier.join(c.customer, F.col("s_nationkey") == F.col("c_nationkey"))
-    d = geo.haversine_m(F.col("s_acctbal") / 200, F.col("s_suppkey") % 360, F.col("c_acctbal") / 200, F.col("c_custkey") % 360)
-    return rows.select("s_suppkey", "c_custkey", F.round(d, 3).alias("metres"))
+    """Each customer's place against its nation's."""
+    rows = c.customer.join(c.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    d = geo.haversine_m(F.col("n_nationkey") * 3 - 36, F.col("n_nationkey") * 10, F.col("c_acctbal") / 200, F.col("c_custkey") % 360)
+    return rows.select("c_custkey", F.round(d, 3).alias("metres"))
 
 
 @query("exp02_timecodes", """select event_id, case when event_type = 'error' then -1 else (event_id % 30) * 3600 + (event_id % 60) * 60 + round(value, 3) end as seconds from events""")

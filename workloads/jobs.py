@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cinelake.functions.documents import json_strings
 from cinelake.functions.timecode import seconds_timecode
-from cinelake.operators import summaries
 from cinelake.operators.tracks import dense_tracks
 from cinelake.plans import activities, assets, edit_plans, ingest, prompts, publishing, reframe, render_qa, storyboard, timeline, views
 from cinelake.sources import signals as signal_rows

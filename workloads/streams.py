@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from cinelake.operators import summaries
 from cinelake.session import ensure_checkpoint_dir
 from cinelake.sources.tables import CatalogTables
 from cinelake.streaming import events as ev
