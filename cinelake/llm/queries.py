@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import quality
+from cinelake.llm import quality, topk_segments
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -12,3 +12,25 @@ from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition counts and the verdict for every document."""
     return quality.repetition_report(table(spark, folder, "documents"))
+
+
+@query(
+    "op2_exact_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), pairs AS (
+        SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.x, r.x)::BIGINT AS score
+        FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id
+    ), ranked AS (
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM pairs
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+)
+def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best partners of every vector whose id is divisible by 50."""
+    vectors = table(spark, folder, "embeddings")
+    return topk_segments.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
