@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import quality, topk_segments
+from cinelake.llm import packing, quality, topk_segments
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -34,3 +34,15 @@ def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five best partners of every vector whose id is divisible by 50."""
     vectors = table(spark, folder, "embeddings")
     return topk_segments.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())

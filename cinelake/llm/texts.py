@@ -143,3 +143,13 @@ def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(edges, starts, 1)
     np.add.at(edges, np.minimum(starts + width, n), -1)
     return np.cumsum(edges[:n]) > 0
+
+
+def kept_in_worker(name: str, make):
+    """An object that stays with a Python worker over its tasks (workers are reused), made at its first use."""
+    import sys
+
+    store = sys.modules["__main__"].__dict__.setdefault("__cinelake_kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
