@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import packing, quality, topk_segments
+from cinelake.llm import packing, quality, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -46,3 +46,9 @@ def tokenizer_path() -> str:
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document."""
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
