@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import packing, quality, topk_segments, toxicity
+from cinelake.llm import mixing, packing, quality, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -52,3 +52,9 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A toxicity score for every document."""
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_source_mix")
+def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return mixing.mix(table(spark, folder, "documents"))

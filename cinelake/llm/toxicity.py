@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cinelake.llm.texts import runs
 from cinelake.session import cut_lineage
@@ -88,8 +88,7 @@ def log_ratios(grams: DataFrame) -> DataFrame:
         mask = F.lit((1 << (8 * order)) - 1)
         followed = counts.groupBy(F.col("gram").bitwiseAND(mask).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
         if order == 1:
-            total = followed.agg(F.sum("n").alias("all"))
-            return followed.crossJoin(F.broadcast(total)).select("suffix", (F.col("n") / F.col("all")).alias("p"))  # one row
+            return followed.select("suffix", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))  # 256 rows at most
         followed = followed.withColumn("before", F.shiftrightunsigned("suffix", 8))
         around = followed.groupBy("before").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
         less = lower(order - 1, followed.select(F.col("suffix").alias("gram"))).withColumnsRenamed({"suffix": "shorter", "p": "p_shorter"})
