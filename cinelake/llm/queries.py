@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import mixing, packing, quality, topk_segments, toxicity
+from cinelake.llm import mixing, packing, pii, quality, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -58,3 +58,9 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(table(spark, folder, "documents"))
