@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import mixing, packing, pii, quality, topk_segments, toxicity
+from cinelake.llm import minhash, mixing, packing, pii, quality, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -64,3 +64,9 @@ def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(table(spark, folder, "documents"))
+
+
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
