@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import minhash, mixing, packing, pii, quality, topk_segments, toxicity
+from cinelake.llm import minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -70,3 +70,15 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of 35 words that occur elsewhere."""
+    return substring_dedup.remove_repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that occur elsewhere."""
+    return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents"))

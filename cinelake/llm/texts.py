@@ -66,13 +66,19 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE_VALUES[data]
 
 
+_PLACE_BITS = 26
+
+
 def least_positions(values: np.ndarray, width: int) -> np.ndarray:
-    """For every window of `width` values, the position of its smallest value; the leftmost of equals."""
+    """For every window of `width` values, the position of its smallest value by the upper 38 bits; the leftmost of equals."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    bits = max(1, int(len(values)).bit_length())
-    low = np.uint64((1 << bits) - 1)
+    most = 1 << _PLACE_BITS
+    if len(values) > most:
+        step = most - width + 1
+        return np.concatenate([least_positions(values[i : i + most], width) + i for i in range(0, n, step)])
+    low = np.uint64(most - 1)
     best = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     span = 1
     while span < width:
