@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinelake.llm import minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
+from cinelake.llm import licenses, minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -82,3 +82,9 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the strings of 400 bytes that occur elsewhere."""
     return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents"))
+
+
+@query("op10_license_scan", licenses.oracle())
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence of every document, found in it or inherited; its path is source, language and id."""
+    return licenses.scan(table(spark, folder, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
