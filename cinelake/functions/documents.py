@@ -29,11 +29,21 @@ def json_strings(raw: Column) -> Column:
     return F.filter(texts, lambda t: t.isNotNull())
 
 
-def json_objects(raw: Column, fields: dict[str, str], required: tuple[str, ...] = ()) -> Column:
-    """A JSON array read as structs. Elements that are no objects, or lack a required field, are dropped."""
+def json_objects(raw: Column, fields: dict[str, str], required: tuple[str, ...] = (), absent: dict[str, str] | None = None) -> Column:
+    """A JSON array read as structs. Elements that are no objects, or lack a required field, are dropped.
+
+    `absent` gives values for fields an object does not have; a field that is there and null stays null.
+    """
+
+    def value(item: Column, name: str, kind: str) -> Column:
+        got = F.try_variant_get(item, f"$.{name}", kind)
+        if name not in (absent or {}):
+            return got
+        there = F.map_contains_key(F.try_variant_get(item, "$", "map<string,variant>"), name)
+        return F.when(there, got).otherwise(F.lit(absent[name]).cast(kind))
 
     def read(item: Column) -> Column:
-        return F.struct(*[F.try_variant_get(item, f"$.{n}", t).alias(n) for n, t in fields.items()])
+        return F.struct(*[value(item, n, t).alias(n) for n, t in fields.items()])
 
     def keep(item: Column) -> Column:
         ok = F.schema_of_variant(item).startswith("OBJECT")

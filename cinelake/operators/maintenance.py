@@ -12,8 +12,11 @@ class KeyConflict(ValueError):
 
 
 def latest(source: DataFrame, keys: Sequence[str], place: str | None) -> DataFrame:
-    """The last row per key. Without a place, keys must be unique already."""
+    """The last row per key. Without a place, a repeated key raises `KeyConflict`."""
     if place is None:
+        again = source.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
+        if again:
+            raise KeyConflict(f"key {again[0].asDict()} is given more than once")
         return source
     columns = [c for c in source.columns if c not in keys]
     picked = source.groupBy(*keys).agg(F.max_by(F.struct(*columns), place).alias("__row"))
@@ -52,8 +55,9 @@ def upsert_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], plac
     return merged.select(*keys, *[value(c).alias(c) for c in target.columns if c not in keys])
 
 
-def insert_if_absent(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    new = source.join(target.select(*keys), list(keys), "left_anti")
+def insert_if_absent(target: DataFrame, source: DataFrame, keys: Sequence[str], place: str | None = None) -> DataFrame:
+    """Add the rows whose keys are new; of a repeated source key the last row, or `KeyConflict` without a place."""
+    new = latest(source, keys, place).join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(new, allowMissingColumns=True)
 
 
@@ -67,8 +71,12 @@ UPDATABLE = {
 }
 
 
-def keyed_update(target: DataFrame, patch: DataFrame, keys: Sequence[str], allowed: Iterable[str]) -> DataFrame:
-    """Set the patch's columns on matching rows; a null in the patch clears. Unknown columns raise at once."""
+def keyed_update(target: DataFrame, patch: DataFrame, keys: Sequence[str], allowed: Iterable[str], place: str | None = None) -> DataFrame:
+    """Set the patch's columns on matching rows; a null in the patch clears. Unknown columns raise at once.
+
+    Of a repeated patch key the last row counts, or `KeyConflict` is raised without a place.
+    """
+    patch = latest(patch, keys, place)
     columns = [c for c in patch.columns if c not in keys]
     bad = sorted(set(columns) - set(allowed))
     if bad:
@@ -93,9 +101,8 @@ def keyed_delete(target: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> D
 
 
 def evolve(table: DataFrame, column: str, dtype: str, default: object) -> DataFrame:
-    """Add a column with a default, or fill its nulls where it exists; applying it twice changes nothing."""
-    current = F.col(column) if column in table.columns else F.lit(None)
-    return table.withColumn(column, F.coalesce(current.cast(dtype), F.lit(default).cast(dtype)))
+    """Add a column with a default; a column that exists is left alone, nulls and all."""
+    return table if column in table.columns else table.withColumn(column, F.lit(default).cast(dtype))
 
 
 def orphans(table: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:

@@ -31,7 +31,8 @@ def score_in_order(df: DataFrame, key: str, order: str, load: Callable[[], Calla
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, model = object(), None
         for pdf in batches:
-            for value, chunk in pdf.groupby(key, sort=False):
+            for value, chunk in pdf.groupby(key, sort=False, dropna=False):
+                value = None if pd.isna(value) else value  # null is a key like any other
                 if value != current:
                     current, model = value, load()
                 yield from model(iter([chunk]))

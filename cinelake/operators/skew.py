@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cinelake.session import cut_lineage
 
 ROWS_PER_SALT = 1_000_000
-MAX_SALTS = 1024
 
 _CARRY = "__carry"
 
@@ -30,14 +29,13 @@ def salted_lookup(
 ) -> DataFrame:
     """Join `facts` with `lookup`, which has one row per key and the number of fact rows of that key.
 
-    Keys with more than `rows_per_salt` facts are split over several tasks. There are at most
-    (fact rows / rows_per_salt) such keys, which is what bounds the broadcast below.
+    Keys with more than `rows_per_salt` facts are split over as many tasks as that takes.
     """
     keys = list(keys)
-    n_salts = F.least(F.lit(MAX_SALTS), F.floor(F.col(row_count) / rows_per_salt) + 1).cast("int")
+    n_salts = (F.floor(F.col(row_count) / rows_per_salt) + 1).cast("int")
     hot = lookup.filter(F.col(row_count) > rows_per_salt).select(*keys, n_salts.alias("__salts"))
     spread = (
-        facts.join(F.broadcast(hot), keys, "left")
+        facts.join(hot, keys, "left")
         .withColumn(
             "__salt",
             F.when(

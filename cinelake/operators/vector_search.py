@@ -13,20 +13,26 @@ from pyspark.sql import DataFrame, functions as F
 from cinelake.functions.vectors import dot, normalise
 from cinelake.operators.topk import top_k
 
-EXACT_BELOW = 256
 QUERY_BATCH = 512
 MAX_BROADCAST_QUERIES = 4096
 ROW_BLOCK = 16_384
 
 
 def _best_rows(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query ids, row ids, scores) of the rows that can still be among each query's k best; ties at the edge stay."""
+    """(query ids, row ids, scores) of each query's k best rows; ties go to the smaller row id."""
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
     for start in range(0, len(query_ids), QUERY_BATCH):
         some = query_ids[start : start + QUERY_BATCH]
         scores = vectors @ queries[start : start + QUERY_BATCH].T
         keep = min(k, len(ids))
         edge = -np.partition(-scores, keep - 1, axis=0)[keep - 1]
         r, c = np.nonzero(scores >= edge[None, :])
+        order = np.lexsort((place[r], -scores[r, c], c))
+        r, c = r[order], c[order]
+        first = np.searchsorted(c, np.arange(len(some)))
+        won = np.arange(len(c)) - first[c] < k
+        r, c = r[won], c[won]
         yield some[c], ids[r], scores[r, c]
 
 
@@ -41,7 +47,7 @@ def exact_top_k(
     """(query, row, score, rank) of the k rows with the largest inner product, for every query.
 
     Queries are normalised. Up to `max_broadcast` of them, by count, travel to every task; more are cut into
-    blocks that meet blocks of rows. Either way a task keeps only the rows that can still win.
+    blocks that meet blocks of rows. Either way a task hands on at most k rows per query and block of rows it read.
     """
     q = queries.select(F.col(query_id), normalise(F.col(query_vector)).alias("__q"))
     rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(ident), F.col(vector).alias("__v"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cinelake.functions.timecode import parse_iso
 from cinelake.operators.ordered import vector_breaks
 from cinelake.operators.skew import salted_lookup
 from cinelake.operators.timespace import SPACE_LIMIT_M, TIME_LIMIT_S, time_space_components
@@ -60,10 +61,11 @@ def cluster_activities(clips: DataFrame, vectors: DataFrame | None = None, time_
 def merge_clusters(clusters: DataFrame, members: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merge the clusters named in each request.
 
-    clusters: cluster_id, time_start, time_end (timestamps), ...; members: cluster_id, pos, media_id; requests:
+    clusters: cluster_id, time_start, time_end (ISO texts), ...; members: cluster_id, pos, media_id; requests:
     request_id, pos, cluster_id. The survivor has the most clips, the first in the request on ties; it takes all
     clips in request order without repeats and the widest time range, and keeps its own label and position.
-    Requests with fewer than two ids or an unknown one are rejected. Returns (merged, rejects); merged rows are
+    Times are compared as points in time; missing and empty ones are skipped. Requests with fewer than two ids, an unknown one or a
+    time that cannot be read are rejected. Returns (merged, rejects); merged rows are
     (request_id, survivor_id, time_start, time_end, clips as rows via `merged_members`).
     """
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n_clips"))
@@ -72,10 +74,11 @@ def merge_clusters(clusters: DataFrame, members: DataFrame, requests: DataFrame)
     agg = asked.groupBy("request_id").agg(
         F.count("*").alias("n_ids"), F.count_if(F.col("__known").isNull()).alias("n_unknown"),
         F.max_by("cluster_id", F.struct(F.col("n_clips").alias("n"), (-F.col("pos")).alias("p"))).alias("survivor_id"),
-        F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
+        F.min_by("time_start", parse_iso(F.col("time_start"))).alias("time_start"), F.max_by("time_end", parse_iso(F.col("time_end"))).alias("time_end"),
+        F.count_if((F.coalesce("time_start", F.lit("")) != "") & parse_iso(F.col("time_start")).isNull() | (F.coalesce("time_end", F.lit("")) != "") & parse_iso(F.col("time_end")).isNull()).alias("n_unread"),
     )
-    fine = (F.col("n_ids") >= 2) & (F.col("n_unknown") == 0)
-    reason = F.when(F.col("n_ids") < 2, "at least 2 cluster ids required").otherwise("unknown cluster id")
+    fine = (F.col("n_ids") >= 2) & (F.col("n_unknown") == 0) & (F.col("n_unread") == 0)
+    reason = F.when(F.col("n_ids") < 2, "at least 2 cluster ids required").when(F.col("n_unknown") > 0, "unknown cluster id").otherwise("unreadable time")
     merged = agg.filter(fine).select("request_id", "survivor_id", "time_start", "time_end")
     return merged, agg.filter(~fine).select("request_id", reason.alias("reason"))
 

@@ -28,7 +28,7 @@ def explode_edl(plans: DataFrame, part: str, raw: str = "edl_json") -> DataFrame
     """Items of one of the eight lists of each plan, with their place as `pos`."""
     doc = F.try_parse_json(F.col(raw))
     listed = F.try_variant_get(doc, f"$.{part}", "string")
-    items = json_objects(listed, EDL_LISTS[part])
+    items = json_objects(listed, EDL_LISTS[part], absent={"type": "cut"} if part == "transitions" else None)
     return plans.select(*PLAN, F.posexplode(items).alias("pos", "__i")).select(*PLAN, F.col("pos").cast("bigint").alias("pos"), "__i.*")
 
 

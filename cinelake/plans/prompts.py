@@ -89,7 +89,9 @@ def parse_narratives(responses: DataFrame, text: str = "response") -> tuple[Data
     e = F.col("e")
     fields = F.try_variant_get(e, "$", "map<string,variant>")
     missing = F.array_join(F.filter(F.array(*[F.lit(x) for x in sorted(REQUIRED["narrative"])]), lambda n: ~F.map_contains_key(fields, n)), ", ")
-    error = F.when(F.col("pos").isNull(), None).when(fields.isNull(), "entry is no object").when(missing != "", F.concat(F.lit("missing "), missing))
+    error = F.when(F.col("pos").isNull(), None).when(fields.isNull(), "entry is no object").when(missing != "", F.concat(F.lit("missing "), missing)).when(
+        F.try_variant_get(e, "$.proposed_duration_seconds", "string").try_cast("double").isNull(), "proposed_duration_seconds is no number"
+    )
     read = entries.withColumn("error", error)
     spoiled = read.filter("error is not null").groupBy("target_id").agg(F.min_by("error", "pos").alias("error"), F.first(text).alias(text))
     at = lambda path, t="string": F.try_variant_get(e, path, t)

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from cinelake.operators.vector_search import EXACT_BELOW, assign_lists, centroid_table, exact_top_k, probe_top_k, train_lists
+from cinelake.operators.vector_search import assign_lists, centroid_table, exact_top_k, probe_top_k, train_lists
 
 
-def build_index(vectors: DataFrame, vector: str, seed: int = 1, max_iter: int = 20) -> tuple[DataFrame, DataFrame] | None:
-    """(vectors with list_id, centres), with about sqrt(n) lists; None when search should be exact (few vectors)."""
+def build_index(vectors: DataFrame, vector: str, seed: int = 1, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(vectors with list_id, centres), with about sqrt(n) lists, two at least. Whether to search by index or exactly is the caller's choice."""
     n = vectors.count()
-    if n < EXACT_BELOW:
-        return None
-    model = train_lists(vectors, vector, int(math.sqrt(n)), seed, max_iter)
+    if n == 0:
+        return vectors.withColumn("list_id", F.lit(0)), vectors.sparkSession.createDataFrame([], "list_id int, centroid array<double>")
+    model = train_lists(vectors, vector, max(2, int(math.sqrt(n))), seed, max_iter)
     return assign_lists(vectors, vector, model), centroid_table(vectors.sparkSession, model)
 
 

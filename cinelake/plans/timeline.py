@@ -15,6 +15,11 @@ PLAN = ["narrative_id"]
 # How far a clip may move unnoticed, and the length of a transition that gives none.
 TOLERANCE_S = 0.05
 DEFAULT_TRANSITION_S = 0.5
+# What a timeline calls the transitions of a plan, and the note on those that only stand in for a fade.
+TIMELINE_TRANSITIONS = {"crossfade": "SMPTE_Dissolve", "dissolve": "SMPTE_Dissolve", "fade_in": "SMPTE_Dissolve", "fade_out": "SMPTE_Dissolve"}
+OTHER_TRANSITION = "SMPTE_Dissolve"
+FADES = ("fade_in", "fade_out")
+FADE_NOTE = "Rendered as SMPTE_Dissolve (cross-dissolve between adjacent clips). True fade-to/from-black requires an opacity-based Effect on the clip."
 
 
 def render_inputs(clips: DataFrame, media: DataFrame, crop_modes: DataFrame, crop_tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +50,8 @@ def render_inputs(clips: DataFrame, media: DataFrame, crop_modes: DataFrame, cro
 def timeline_rows(clips: DataFrame, media: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clip rows, transition rows). Clips of a track are in order of their in point, numbered from 0.
 
-    A transition sits after the clip at its position; cuts are implicit, and half its length goes to each side.
+    A transition sits after the clip at its position; cuts are implicit, and half its length goes to each side. A type that is null or
+    unknown falls back to a dissolve under its own name; fades carry a note that they are approximated.
     """
     placed = clips.join(media.select("clip_id", "file_path", "fps"), "clip_id", "left")
     cut = range_segments(placed, [*PLAN, "track"], ["in_s", "pos"])
@@ -54,13 +60,15 @@ def timeline_rows(clips: DataFrame, media: DataFrame, transitions: DataFrame) ->
         *PLAN, "track", (F.col("__n") - 1).alias("place"), "clip_id", F.coalesce("file_path", F.col("clip_id").cast("string")).alias("target"),
         "in_s", (F.col("out_s") - F.col("in_s")).alias("duration_s"), F.coalesce("fps", F.lit(30.0)).alias("fps"),
     )
-    kept = transitions.filter(F.coalesce("type", F.lit("cut")) != "cut").withColumns({
+    kept = transitions.withColumn("type", F.coalesce("type", F.lit(""))).filter("type <> 'cut'").withColumns({
         "track": F.coalesce("track", F.lit(1)).cast("bigint"), "place": F.coalesce(F.col("position").try_cast("bigint"), F.lit(0)).cast("bigint"),
         "__half": F.coalesce(F.nullif("duration", F.lit(0.0)), F.lit(DEFAULT_TRANSITION_S)) / F.lit(2.0),
     })
     last = kept.groupBy(*PLAN, "track", "place").agg(F.max_by(F.struct("type", "__half"), "pos").alias("t"))
     marks = last.join(rows.select(*PLAN, "track", "place"), [*PLAN, "track", "place"], "left_semi")
-    return rows, marks.select(*PLAN, "track", "place", F.col("t.type").alias("type"), F.col("t.__half").alias("in_offset_s"), F.col("t.__half").alias("out_offset_s"))
+    named = F.coalesce(*(F.when(F.col("t.type") == ours, theirs) for ours, theirs in TIMELINE_TRANSITIONS.items()), F.lit(OTHER_TRANSITION))
+    note = F.when(F.col("t.type").isin(*FADES), F.lit(FADE_NOTE))
+    return rows, marks.select(*PLAN, "track", "place", F.col("t.type").alias("type"), named.alias("transition_type"), note.alias("approximation"), F.col("t.__half").alias("in_offset_s"), F.col("t.__half").alias("out_offset_s"))
 
 
 def plan_hashes(clips: DataFrame) -> DataFrame:
@@ -114,4 +122,4 @@ def subtitles(clips: DataFrame, segments: DataFrame) -> DataFrame:
     shifted = spoken.withColumns({"start_s": F.coalesce("start_s", F.lit(0.0)) + F.col("offset_s"), "end_s": F.coalesce("end_s", F.lit(0.0)) + F.col("offset_s")})
     cut = shifted.withColumn("__segment", F.struct("clip_pos", "clip_id", F.floor(F.col("seg_pos") / 1000)))
     numbered = row_number_across(cut, PLAN, "__segment", ["clip_pos", "clip_id", "seg_pos"], "cue")
-    return numbered.select(*PLAN, "cue", "start_s", "end_s", "text", srt_cue(F.col("cue"), F.col("start_s"), F.col("end_s"), F.col("text")).alias("srt"))
+    return numbered.select(*PLAN, "cue", "start_s", "end_s", "text", srt_cue(F.col("cue"), F.col("start_s"), F.col("end_s"), F.coalesce("text", F.lit(""))).alias("srt"))

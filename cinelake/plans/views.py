@@ -13,6 +13,10 @@ from cinelake.operators.topk import browse_order, page_of
 FLAGS = {"has_transcript": "transcripts", "has_detections": "detections", "has_faces": "faces", "has_embeddings": "clip_embeddings", "has_audio_events": "audio_events", "has_captions": "captions"}
 
 
+# The report's heads and the width of its state column.
+GROUPS_HEAD, UNHEALTHY_HEAD, STATUS_WIDTH = "Per-group breakdown:", "Unhealthy groups:", 12
+
+
 def media_browser(
     media: DataFrame, signals: dict[str, DataFrame], q: str | None = None, status: str | None = None, date_from: str | None = None,
     date_to: str | None = None, sort: str = "created_at", order: str = "desc", page: int = 1, per_page: int = 50,
@@ -70,13 +74,19 @@ def queue_health(queue: DataFrame, now: Column, project: str | None = None) -> t
 
 
 def queue_report(queue: DataFrame, now: Column, project: str | None = None) -> DataFrame:
-    """(part, key, line): the health report as ordered lines."""
+    """(part, key, line): the health report as ordered lines. Group names are padded to the longest one."""
     summary, counts, bad = queue_health(queue, now, project)
     named = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("total_rows", "completed", "in_flight", "dead", "retry", "pending")])
     head = F.concat(F.lit("HEALTH: "), F.when(F.col("healthy"), "HEALTHY").otherwise("UNHEALTHY"))
     age = F.concat(F.lit(" oldest_dead_age="), F.col("oldest_age"))
     tops = summary.select(F.posexplode(F.array(head, F.concat(named, F.coalesce(age, F.lit(""))))).alias("part", "line")).select("part", F.lit("").alias("key"), "line")
-    group = F.col("group_id").cast("string")
-    rows = counts.select(F.lit(2).alias("part"), F.concat_ws("|", group, "status").alias("key"), F.concat_ws("  ", group, "status", F.col("n").cast("string")).alias("line"))
-    worst = bad.select(F.lit(3).alias("part"), group.alias("key"), F.concat_ws("  ", group, *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("dead", "retry", "pending")]).alias("line"))
-    return tops.unionByName(rows).unionByName(worst)
+    group = F.coalesce(F.col("group_id").cast("string"), F.lit(""))
+    width = counts.agg(F.max(F.length(group))).first()[0]  # one number
+    heads = counts.agg(F.count("*").alias("n")).select(F.lit(2).alias("part"), F.lit(GROUPS_HEAD).alias("line"), "n").unionByName(
+        bad.agg(F.count("*").alias("n")).select(F.lit(4).alias("part"), F.lit(UNHEALTHY_HEAD).alias("line"), "n")
+    ).filter("n > 0").select("part", F.posexplode(F.array(F.lit(""), F.col("line"))).alias("place", "line")).select("part", F.col("place").cast("string").alias("key"), "line")
+    padded = lambda c, n: F.rpad(c, F.greatest(F.length(c), F.lit(n)), " ")
+    line = F.concat(F.lit("  "), padded(group, width or 0), F.lit("  "), padded(F.col("status"), STATUS_WIDTH), F.lit("  "), F.col("n").cast("string"))
+    rows = counts.select(F.lit(3).alias("part"), F.concat_ws("|", group, "status").alias("key"), line.alias("line"))
+    worst = bad.select(F.lit(5).alias("part"), group.alias("key"), F.concat(F.lit("  "), F.concat_ws("  ", group, *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("dead", "retry", "pending")])).alias("line"))
+    return tops.unionByName(heads).unionByName(rows).unionByName(worst)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,6 @@ from cinelake.functions.documents import json_field
 # File endings the catalog takes in.
 EXTENSIONS = (".mp4", ".mov", ".wav", ".mp3", ".aac", ".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp")
 
-FINGERPRINT_BYTES = 64 * 1024 * 1024
 READ_BYTES = 8 * 1024
 
 
@@ -27,21 +27,23 @@ def media_inventory(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", "modificationTime").filter(supported(F.col("path")))
 
 
-def fingerprint(content: Column, max_bytes: int = FINGERPRINT_BYTES) -> Column:
-    """SHA-256 of the first `max_bytes` bytes of a binary column."""
-    return F.sha2(F.substring(content, 1, max_bytes), 256)
+def fingerprint(content: Column, max_bytes: int | None = None) -> Column:
+    """SHA-256 of a binary column, or of its first `max_bytes` bytes if asked for."""
+    return F.sha2(content if max_bytes is None else F.substring(content, 1, max_bytes), 256)
 
 
-def fingerprint_files(files: DataFrame, path: str = "path", max_bytes: int = FINGERPRINT_BYTES) -> DataFrame:
-    """Add `sha256_prefix` by reading each file in small pieces, for files too big for one row.
+def fingerprint_files(files: DataFrame, path: str = "path", max_bytes: int | None = None) -> DataFrame:
+    """Add `sha256_prefix`, the digest of the whole file, by reading it in small pieces, for files too big for one row.
+
+    With `max_bytes` only the start of each file counts, so files that differ later get the same digest.
 
     Paths must be readable on the executors under the given name.
     """
 
     def digest(name: str) -> str:
-        h, left = hashlib.sha256(), max_bytes
+        h, left = hashlib.sha256(), math.inf if max_bytes is None else max_bytes
         with open(name.removeprefix("file:"), "rb") as f:
-            while left > 0 and (piece := f.read(min(READ_BYTES, left))):
+            while left > 0 and (piece := f.read(int(min(READ_BYTES, left)))):
                 h.update(piece)
                 left -= len(piece)
         return h.hexdigest()

@@ -1,7 +1,7 @@
-"""The catalog on disk: Parquet buckets of each table behind a pointer that is switched last.
+"""The catalog on disk: Parquet buckets of each table behind numbered pointers, the highest of which counts.
 
 Rows are bucketed by a hash of the table's first key column. A version folder holds the buckets one change wrote, and
-the pointer lists the buckets that make up the table now. So an append adds files and rewrites none, and an upsert,
+a pointer lists the buckets that make up the table. So an append adds files and rewrites none, and an upsert,
 update or delete rewrites the buckets its keys fall into and no others.
 """
 
@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cinelake.operators import maintenance
 from cinelake.schemas import DEFAULTS, KEYS, REFERENCES, TABLES
 
-_BUCKET = "__bucket"
+_BUCKET, _POINTER = "__bucket", "CURRENT-"
 
 
 class CatalogTables:
     """Reads and changes the tables below one root path, by one writer at a time.
 
-    A change is written whole before the pointer file moves, so readers see the old rows or the new ones. `buckets`
+    A change is written whole, then published by creating the next pointer, which never replaces a file: until then readers
+    see the old rows, whatever becomes of the writer. `buckets`
     is fixed for the life of a catalog: choose it so that a bucket of the largest table is worth rewriting.
     """
 
@@ -35,15 +36,22 @@ class CatalogTables:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    def _latest(self, name: str) -> int:
+        """The number of the pointer that counts; 0 before the first change."""
+        fs, path = self._fs()
+        folder = path(f"{self.root}/{name}")
+        if not fs.exists(folder):
+            return 0
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        numbers = [int(n.removeprefix(_POINTER)) for n in names if n.startswith(_POINTER)]
+        return max(numbers, default=0)
 
     def parts(self, name: str) -> list[str]:
         """The bucket folders the table is made of now."""
-        fs, path = self._fs()
-        if not fs.exists(path(self._pointer(name))):
+        number = self._latest(name)
+        if not number:
             return []
-        return [r[0] for r in self.spark.read.text(self._pointer(name)).collect() if r[0]]
+        return [r[0] for r in self.spark.read.text(f"{self.root}/{name}/{_POINTER}{number}").collect() if r[0]]
 
     @staticmethod
     def _bucket_of(part: str) -> int:
@@ -56,10 +64,10 @@ class CatalogTables:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
-    def conform(self, name: str, df: DataFrame) -> DataFrame:
-        """Columns in table order and type; missing ones are null or the column's default."""
+    def conform(self, name: str, df: DataFrame, insert: bool = True) -> DataFrame:
+        """Columns in table order and type; missing ones are null, or for new rows the column's default, as are their nulls."""
         out = []
-        defaults = DEFAULTS.get(name, {})
+        defaults = DEFAULTS.get(name, {}) if insert else {}
         for field in self.spark.createDataFrame([], TABLES[name]).schema.fields:
             column = F.col(field.name) if field.name in df.columns else F.lit(None)
             if field.name in defaults:
@@ -82,7 +90,7 @@ class CatalogTables:
         version = f"v-{uuid.uuid4().hex}"
         target = f"{self.root}/{name}/{version}"
         # Rebalancing keeps a bucket's files few and splits a bucket that holds much of the table.
-        rows = self.conform(name, df).withColumn(_BUCKET, self._bucket(name)).hint("rebalance", _BUCKET)
+        rows = self.conform(name, df, insert=False).withColumn(_BUCKET, self._bucket(name)).hint("rebalance", _BUCKET)
         rows.sortWithinPartitions(_BUCKET, *KEYS[name]).write.partitionBy(_BUCKET).parquet(target)
         fs, path = self._fs()
         found = [s.getPath().getName() for s in fs.listStatus(path(target)) if s.isDirectory()]
@@ -90,13 +98,13 @@ class CatalogTables:
 
     def _switch(self, name: str, parts: list[str]) -> None:
         fs, path = self._fs()
+        target = f"{self.root}/{name}/{_POINTER}{self._latest(name) + 1}"
         staged = f"{self.root}/{name}/NEXT-{uuid.uuid4().hex}"
-        stream = fs.create(path(staged), True)
+        stream = fs.create(path(staged), False)
         stream.write(bytearray("\n".join(parts).encode()))
         stream.close()
-        fs.delete(path(self._pointer(name)), True)
-        if not fs.rename(path(staged), path(self._pointer(name))):
-            raise OSError(f"could not switch {name}")
+        if fs.exists(path(target)) or not fs.rename(path(staged), path(target)):
+            raise OSError(f"could not publish {target}")
 
     def _rewrite(self, name: str, buckets: set[int], change: Callable[[DataFrame], DataFrame]) -> None:
         """Replace some buckets by what `change` makes of their rows."""
@@ -105,7 +113,7 @@ class CatalogTables:
 
     def replace_all(self, name: str, df: DataFrame) -> None:
         """Write all rows anew, then switch to them."""
-        self._switch(name, self._write(name, df))
+        self._switch(name, self._write(name, self.conform(name, df)))
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows with new keys; a clash raises. Nothing happens for no rows. Existing files stay as they are."""
@@ -118,11 +126,20 @@ class CatalogTables:
         self._switch(name, self.parts(name) + self._write(name, rows))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
+        """Replace rows by key, or add them; a repeated key raises `KeyConflict`."""
         rows = self.conform(name, rows)
         self._rewrite(name, self._touched(name, rows), lambda old: maintenance.upsert_replace(old, rows, KEYS[name]))
 
     def merge(self, name: str, rows: DataFrame) -> None:
-        self._rewrite(name, self._touched(name, rows), lambda old: maintenance.upsert_merge(old, rows, KEYS[name]))
+        """Values that are given win; rows with new keys are added with the defaults. A repeated key raises `KeyConflict`."""
+        keys = list(KEYS[name])
+
+        def change(old: DataFrame) -> DataFrame:
+            given = maintenance.latest(rows, keys, None)
+            known = maintenance.upsert_merge(old, given.join(old.select(*keys), keys, "left_semi"), keys)
+            return known.unionByName(self.conform(name, given.join(old.select(*keys), keys, "left_anti")))
+
+        self._rewrite(name, self._touched(name, rows), change)
 
     def insert_if_absent(self, name: str, rows: DataFrame) -> None:
         """Append the rows whose keys are new."""
@@ -130,7 +147,7 @@ class CatalogTables:
         self.append(name, rows.join(self.read(name, self._touched(name, rows)).select(*KEYS[name]), list(KEYS[name]), "left_anti"))
 
     def update(self, name: str, patch: DataFrame) -> int:
-        """Patch rows by key; returns how many were touched."""
+        """Patch rows by key, where null clears; returns how many were touched. A repeated key raises `KeyConflict`."""
         keys = list(KEYS[name])
         allowed = maintenance.UPDATABLE.get(name, [f for f in self.read(name, set()).columns if f not in keys])
         bad = sorted(set(patch.columns) - set(keys) - set(allowed))

@@ -163,11 +163,11 @@ def test_faces_against_plain_dbscan(spark, seed):
 
 
 def test_merge(spark, rows):
-    clusters = spark.createDataFrame([("a", "09:00", "10:00"), ("b", "08:00", "09:30"), ("c", None, None)], "cluster_id string, time_start string, time_end string")
+    clusters = spark.createDataFrame([("a", "09:00", "10:00"), ("b", "08:00", "09:30"), ("c", None, None), ("d", "2024-01-01T09:00:00+07:00", ""), ("e", "2024-01-01T03:00:00Z", "2024-01-01T04:00:00Z"), ("f", "soon", None)], "cluster_id string, time_start string, time_end string")
     members = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "y"), ("b", 1, "z")], "cluster_id string, pos int, media_id string")
-    requests = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (2, 0, "a"), (3, 0, "a"), (3, 1, "nope")], "request_id int, pos int, cluster_id string")
+    requests = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (2, 0, "a"), (3, 0, "a"), (3, 1, "nope"), (4, 0, "e"), (4, 1, "d"), (5, 0, "e"), (5, 1, "f")], "request_id int, pos int, cluster_id string")
     merged, rejects = activities.merge_clusters(clusters, members, requests)
-    assert rows(merged) == [(1, "b", "08:00", "10:00")]
-    assert rows(rejects) == [(2, "at least 2 cluster ids required"), (3, "unknown cluster id")]
+    assert rows(merged) == [(1, "b", "08:00", "10:00"), (4, "e", "2024-01-01T09:00:00+07:00", "2024-01-01T04:00:00Z")]
+    assert rows(rejects) == [(2, "at least 2 cluster ids required"), (3, "unknown cluster id"), (5, "unreadable time")]
     placed = activities.merged_members(members, requests, merged).orderBy("place").collect()
     assert [r.media_id for r in placed] == ["y", "z", "x"]

@@ -171,10 +171,13 @@ def test_subtitles_and_timeline(spark, rows):
 
     full = clips.withColumns({"track": F.lit(1).cast("bigint"), "out_s": F.coalesce("out_s", F.lit(1.0))})
     media = spark.createDataFrame([("a", "a.mp4", 25.0)], "clip_id string, file_path string, fps double")
-    marks = spark.createDataFrame([("n", "dissolve", "0", None, None, 0), ("n", "cut", "1", 2.0, None, 1), ("n", "wipe", "9", 1.0, None, 2)], "narrative_id string, type string, position string, duration double, track bigint, pos bigint")
+    marks = spark.createDataFrame([("n", "dissolve", "0", None, None, 0), ("n", "cut", "1", 2.0, None, 1), ("n", "wipe", "9", 1.0, None, 2), ("n", None, "1", 1.0, None, 3), ("n", "fade_in", "2", 4.0, None, 4)], "narrative_id string, type string, position string, duration double, track bigint, pos bigint")
     placed, transitions = timeline.timeline_rows(full, media, marks)
     assert rows(placed, "place", "clip_id", "target", "fps") == [(0, "b", "b", 30.0), (1, "a", "a.mp4", 25.0), (2, "a", "a.mp4", 25.0)]
-    assert rows(transitions) == [("n", 1, 0, "dissolve", 0.25, 0.25)]
+    assert rows(transitions, "place", "type", "transition_type", "in_offset_s") == [(0, "dissolve", "SMPTE_Dissolve", 0.25), (1, "", "SMPTE_Dissolve", 0.5), (2, "fade_in", "SMPTE_Dissolve", 2.0)]
+    assert [r.place for r in transitions.filter("approximation is not null").collect()] == [2]
+    silent = timeline.subtitles(clips, segments.withColumn("text", F.lit(None).cast("string")))
+    assert [r.srt for r in silent.orderBy("cue").collect()][0] == "1\n00:00:01,000 --> 00:00:02,500\n\n"
 
     same = timeline.timeline_diff(full.filter("clip_id = 'b'"), full.filter("clip_id = 'b'"))
     assert rows(same) == []

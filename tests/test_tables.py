@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cinelake.functions import documents, timecode
 from cinelake.functions.vectors import decode_vectors
 from cinelake.operators import filters, maintenance, topk
+from cinelake.operators.scoring import score_in_order
 from cinelake.operators.vector_search import exact_top_k, recall
 from cinelake.plans import ingest, search, views
 from cinelake.schemas import KEYS, TABLES
@@ -160,7 +161,12 @@ def test_search_paths_agree(spark, rows, tmp_path):
     blocks = exact_top_k(vectors, "id", "v", queries, "q", "qv", 5, max_broadcast=7)
     assert rows(near, "q", "id", "rank") == rows(blocks, "q", "id", "rank") and near.count() == 200
     assert exact_top_k(vectors.limit(3), "id", "v", queries.limit(1), "q", "qv", 5).count() == 3
-    assert search.build_index(vectors.limit(255), "v") is None
+    few = search.build_index(vectors.limit(255), "v")
+    assert few[0].count() == 255 and few[1].count() == 15  # an index whatever the size
+    copies = vectors.filter("id = 5").select(F.explode(F.sequence(F.lit(5000), F.lit(5500))).alias("id"), "v")
+    tied = exact_top_k(copies, "id", "v", queries.limit(2), "q", "qv", 4)
+    assert rows(tied.groupBy("q").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")) == [([5000, 5001, 5002, 5003],)] * 2
+    assert search.build_index(vectors.limit(0), "v")[0].count() == 0
     indexed, centroids = search.build_index(vectors, "v")
     path = str(tmp_path / "index")
     assert write_index(indexed, centroids, path) and not write_index(indexed.limit(0), centroids, str(tmp_path / "none"))
@@ -198,3 +204,36 @@ def test_documents_on_disk(spark, tmp_path):
 def test_fixed_order(spark):
     df = spark.createDataFrame([("upload",), ("odd",), ("ingest",)], "stage string")
     assert [r.stage for r in topk.fixed_order(df, "stage", ["ingest", "upload"]).collect()] == ["ingest", "upload", "odd"]
+
+
+def test_catalog_keeps_keys_clears_nulls_and_publishes_whole(spark, rows, tmp_path, monkeypatch):
+    tables = CatalogTables(spark, str(tmp_path / "catalog"), buckets=2)
+    gate = lambda *r: spark.createDataFrame(list(r), "stage string, mode string, decided_by string")
+    tables.append("pipeline_gates", gate(("narrate", "auto", "me"), ("render", "pause", None)))
+    first = rows(tables.read("pipeline_gates"), "stage", "decided_by")
+    assert first[0] == ("narrate", "me") and first[1][1] is not None  # a new row takes the default
+    for change in (tables.upsert, tables.merge, tables.update):
+        with pytest.raises(maintenance.KeyConflict):
+            change("pipeline_gates", gate(("narrate", "auto", "a"), ("narrate", "auto", "b")))
+    assert tables.update("pipeline_gates", gate(("narrate", "auto", "me")).withColumn("decided_by", F.lit(None).cast("string"))) == 1
+    assert rows(tables.read("pipeline_gates").filter("stage = 'narrate'"), "decided_by") == [(None,)]
+    before = rows(tables.read("pipeline_gates"), "stage", "mode", "decided_by")
+    with monkeypatch.context() as stopped:
+        stopped.setattr(CatalogTables, "_switch", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            tables.upsert("pipeline_gates", gate(("narrate", "x", "y"), ("upload", "x", "y")))
+    assert rows(CatalogTables(spark, str(tmp_path / "catalog"), buckets=2).read("pipeline_gates"), "stage", "mode", "decided_by") == before
+    tables.merge("pipeline_gates", gate(("upload", "x", None), ("narrate", None, "z")))
+    assert rows(tables.read("pipeline_gates"), "stage", "mode", "decided_by")[0] == ("narrate", "auto", "z") and tables.read("pipeline_gates").count() == 3
+
+
+def test_an_existing_column_is_left_alone(spark, rows):
+    table = spark.createDataFrame([(1, None), (2, "x")], "id int, note string")
+    assert rows(maintenance.evolve(table, "note", "string", "none")) == [(1, None), (2, "x")]
+    assert rows(maintenance.evolve(table, "seen", "boolean", False), "id", "seen") == [(1, False), (2, False)]
+
+
+def test_null_keys_reach_the_model(spark, rows):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, n int")
+    out = score_in_order(df, "k", "n", lambda: lambda chunks: (c for c in chunks), "k string, n int")
+    assert rows(out) == sorted([(None, 1), (None, 2), ("a", 1)], key=repr)

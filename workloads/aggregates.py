@@ -102,6 +102,11 @@ def detection_summary(c: Catalog):
     return summaries.detection_summary(c.detections.select("media_id", "frame_number").distinct(), c.detections)
 
 
+@query("agg11_class_counts", "select media_id, coalesce(class, 'unknown') as class, count(*) as n from detections group by all")
+def class_counts(c: Catalog):
+    return summaries.class_counts(c.detections)
+
+
 @query("agg12_faces_per_cluster", "select media_id, coalesce(cluster_id, -1) as cluster_id, count(*) as n from faces group by all")
 def faces(c: Catalog):
     return summaries.faces_per_cluster(c.faces).withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("bigint")))

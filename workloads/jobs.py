@@ -325,10 +325,12 @@ def pipeline_status(c: Catalog):
     return views.pipeline_status(stages, c.jobs, c.gates)
 
 
-@query("job21_queue_report", """select 2 as part, cast(group_id as varchar) || '  ' || status || '  ' || cast(count(*) as varchar) as line from queue group by group_id, status
+@query("job21_queue_report", """with w as (select max(length(cast(group_id as varchar))) as w from queue)
+    select 3 as part, '  ' || rpad(cast(group_id as varchar), any_value(w)::int, ' ') || '  ' || rpad(status, 12, ' ') || '  ' || cast(count(*) as varchar) as line from queue, w group by group_id, status
+    union all select 2, unnest(['', 'Per-group breakdown:']) union all select 4, unnest(['', 'Unhealthy groups:'])
     union all select 0, 'HEALTH: UNHEALTHY' union all select 1, 'total_rows=' || count(*) || ' completed=' || count(*) filter (status = 'completed') || ' in_flight=' || count(*) filter (status = 'in_flight') || ' dead=' || count(*) filter (status = 'dead') || ' retry=' || count(*) filter (status = 'retry') || ' pending=' || count(*) filter (status = 'pending') || ' oldest_dead_age='
     || cast(floor((1800000000 - epoch(min(created_at) filter (status in ('pending', 'retry', 'dead')))) / 3600) as bigint) || 'h' || cast(floor((1800000000 - epoch(min(created_at) filter (status in ('pending', 'retry', 'dead')))) % 3600 / 60) as bigint) || 'm' from queue
-    union all select 3, cast(group_id as varchar) || '  dead=' || count(*) filter (status = 'dead') || '  retry=' || count(*) filter (status = 'retry') || '  pending=' || count(*) filter (status = 'pending') from queue group by group_id having count(*) filter (status in ('dead', 'retry')) > 0""")
+    union all select 5, '  ' || cast(group_id as varchar) || '  dead=' || count(*) filter (status = 'dead') || '  retry=' || count(*) filter (status = 'retry') || '  pending=' || count(*) filter (status = 'pending') from queue group by group_id having count(*) filter (status in ('dead', 'retry')) > 0""")
 def queue_report(c: Catalog):
     queue = c.queue.withColumn("created_at", F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6)
     return views.queue_report(queue, F.lit(1_800_000_000.0)).select("part", "line")

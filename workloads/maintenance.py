@@ -85,9 +85,9 @@ def replace_all(c: Catalog):
     return tables.read("captions").select("media_id", "start_time", "end_time", "caption")
 
 
-@query("src11_evolve", "select cluster_id, label, false as reviewed, coalesce(label, 'none') as shown from clusters")
+@query("src11_evolve", "select cluster_id, label, false as reviewed, nullif(label, '') as shown from clusters")
 def evolve(c: Catalog):
-    rows = c.clusters.select("cluster_id", "label", F.col("label").alias("shown"))
+    rows = c.clusters.select("cluster_id", "label", F.nullif("label", F.lit("")).alias("shown"))
     once = maintenance.evolve(maintenance.evolve(rows, "reviewed", "boolean", False), "shown", "string", "none")
     return maintenance.evolve(once, "reviewed", "boolean", True)
 
