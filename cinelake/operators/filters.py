@@ -91,13 +91,13 @@ def caption_candidates(media: DataFrame, key: str = "id") -> DataFrame:
 def fixed_fraction(df: DataFrame, rate: float, key: Sequence[str], seed: int = 0) -> DataFrame:
     """Exactly max(1, int(n * rate)) rows, the same ones on every run; all of them from rate 1 on.
 
-    Rows are ranked by a hash. Counting the hashes in 65,536 ranges finds the range the cut falls in, so
-    only that range is ever sorted.
+    Rows are ranked by the MD5 of their key and the seed, joined by colons. Counting the digests in 65,536 ranges finds the range the
+    cut falls in, so only that range is ever sorted.
     """
     if rate >= 1.0:
         return df
-    place = F.xxhash64(*key, F.lit(seed))
-    span = F.shiftrightunsigned(place, 48)
+    place = F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in key), F.lit(str(seed))).cast("binary"))
+    span = F.substring(place, 1, 4)
     counts = sorted((r[0], r[1]) for r in df.groupBy(span.alias("span")).count().collect())
     left = max(1, int(sum(n for _, n in counts) * rate))
     for edge, n in counts:

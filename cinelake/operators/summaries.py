@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions.text import fill, fixed
@@ -216,8 +218,6 @@ def dominant_event(events: DataFrame, window_s: float) -> DataFrame:
 
 
 def mean_vectors(vectors: DataFrame, keys: Sequence[str], vector: str, name: str = "mean_vector") -> DataFrame:
-    """Element-wise mean per key. Sums combine before the shuffle; only dimensions, not rows, reach a group."""
-    parts = vectors.select(*keys, F.posexplode(vector).alias("__d", "__x"))
-    means = parts.groupBy(*keys, "__d").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
-    items = F.array_sort(F.collect_list(F.struct("__d", "__m")))
-    return means.groupBy(*keys).agg(items.alias("__i")).select(*keys, F.transform("__i", lambda s: s["__m"]).alias(name))
+    """Element-wise mean per key; null vectors do not count. Vectors are summed whole, and partial sums combine before the shuffle."""
+    rows = vectors.filter(F.col(vector).isNotNull()).select(*keys, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    return rows.groupBy(*keys).agg(Summarizer.mean(F.col("__v")).alias("__m")).select(*keys, vector_to_array("__m").alias(name))

@@ -10,8 +10,8 @@ def write_index(indexed: DataFrame, centroids: DataFrame, path: str) -> bool:
     if indexed.isEmpty():
         return False
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-    # A list may be large; hashing the rest of the row keeps its files many.
-    indexed.repartition("list_id", *[c for c in indexed.columns if c != "list_id"][:1]).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/vectors")
+    # Rebalancing keeps a list's files few and splits a list that holds much of the table.
+    indexed.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/vectors")
     return True
 
 

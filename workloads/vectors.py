@@ -52,6 +52,15 @@ def inverted(c: Catalog):
     return out
 
 
+@query("top05_all_lists", TOPK)
+def all_lists(c: Catalog):
+    """Probing every list of the index finds what exact search finds."""
+    queries = c.embeddings.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    indexed, centres = search.build_index(c.embeddings.select("vec_id", "embedding"), "embedding")
+    found = search.search(c.embeddings, "vec_id", "embedding", queries, "q", "qv", 10, (indexed, centres), nprobe=1_000_000)
+    return found.select("q", "vec_id", "rank", F.round("score", 5).alias("score"))
+
+
 FACES = """recursive v as (select vec_id as i, list_transform(embedding, lambda x: x::double / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as u from embeddings),
     e as (select a.i as a, b.i as b from v a, v b where 1 - list_inner_product(a.u, b.u) <= 0.6 or a.i = b.i), core as (select a as i from e group by a having count(*) >= 3),
     ce as (select a, b from e where a in (select i from core) and b in (select i from core)), r as (select i, i as root from core union select ce.b, r.root from r join ce on ce.a = r.i),
