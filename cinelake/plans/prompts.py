@@ -34,6 +34,16 @@ def system_prompt(template: str, creator: dict[str, str]):
     return fill_template(template, {k: F.lit(v) for k, v in creator.items()})
 
 
+def narrative_requests(storyboards: DataFrame, model: str, template: str, creator: dict[str, str]) -> DataFrame:
+    """One request per master storyboard page: the planner's template with the creator's profile, and the page.
+
+    storyboards: target_id, page, storyboard.
+    """
+    return storyboards.select(
+        F.lit("narrative").alias("kind"), "target_id", "page", F.lit(model).alias("model"), system_prompt(template, creator).alias("system"), F.col("storyboard").alias("prompt")
+    )
+
+
 def script_requests(narratives: DataFrame, storyboards: DataFrame, model: str) -> DataFrame:
     """One request per narrative and storyboard page: its description, then the storyboard.
 

@@ -100,6 +100,13 @@ def prompt_requests(c: Catalog):
     return prompts.script_requests(narratives, pages, "planner")
 
 
+@query("job04_narrative_requests", """select 'narrative' as kind, conv_id as target_id, turn as page, 'planner' as model, 'Plan for Ana in calm style, 10 minutes, {other}' as system, text as prompt from conversations""")
+def narrative_requests(c: Catalog):
+    pages = c.conversations.select(F.col("conv_id").alias("target_id"), F.col("turn").alias("page"), F.col("text").alias("storyboard"))
+    creator = {"creator_name": "Ana", "channel_style": "calm", "default_video_duration": "10"}
+    return prompts.narrative_requests(pages, "planner", "Plan for {creator_name} in {channel_style} style, {default_video_duration} minutes, {other}", creator)
+
+
 @query("job05_parse_labels", """select conv_id * 1000 + turn as target_id, case when role = 'user' and turn % 4 = 0 then text else '' end as label, case when role <> 'user' then 'not JSON' when turn % 4 = 0 then '' else 'missing description' end as error from conversations""")
 def parse_labels(c: Catalog):
     j = F.to_json(F.struct(F.col("text").alias("label"), F.when(F.col("turn") % 4 == 0, "d").alias("description")))
