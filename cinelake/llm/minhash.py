@@ -4,8 +4,9 @@ A text is the multiset of its five-word shingles. Every shingle runs Poisson pro
 of two; the earliest point that falls into a signature slot below the shingle's weight is the slot's value. Two texts agree in a slot with
 the probability of their weighted Jaccard similarity. Slots are banded, and what shares a band is verified on exact multiset overlap.
 
-Within a bucket, texts are compared with a leader, so links grow with the texts and not with their square. Texts whose bucket then still
-holds several classes are compared in blocks inside tasks, which pass on only pairs that agree in enough bands; no link is lost to leaders.
+Within a bucket, texts are first compared with a leader, so links grow with the texts and not with their square. Where a bucket then still
+holds several classes, its signatures meet in blocks inside tasks: these pass on the pairs of a forest that joins the classes over the most
+similar signatures, and at last every pair of different classes whose signatures allow the similarity, so no link is lost to the order.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from cinelake.session import cut_lineage
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: A pair at the least similarity shares a band with probability 0.41 each; fewer than this many of 32 are shared once in 100,000 pairs.
-LEAST_BANDS = 3
-LEADER_ROUNDS = 2
+#: Pairs at the least similarity agree in 102 of 128 slots on average; fewer than these happen once in 30,000 of them.
+LEAST_SLOTS = 84
+LEADER_ROUNDS, FOREST_ROUNDS = 1, 2
 _RUN, _PER_SALT, _BLOCK = 2 << 20, 256, 1024
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_GOLD, _ALL = 0x9E3779B97F4A7C15, 2**64 - 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,10 +61,10 @@ def signatures(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_text
     time = np.zeros(len(element))
     best = np.full(n_texts * SLOTS, np.inf)
     most = np.full(n_texts, np.inf)
-    point = np.uint64(0)
+    point = 0
     while len(seed):
-        point += np.uint64(3)
-        gap, place = mix(seed + point * _GOLD), mix(seed + (point + np.uint64(1)) * _GOLD)
+        point += 3
+        gap, place = (mix(seed + np.uint64(p * _GOLD & _ALL)) for p in (point, point + 1))
         time = time - np.log1p(-(gap >> np.uint64(11)).astype(np.float64) / 2**53) / length
         slot = (place & np.uint64(SLOTS - 1)).astype(np.int64)
         level = low + 1 + ((place >> np.uint64(32)).astype(np.int64) * length >> 32)
@@ -80,7 +81,7 @@ def _banded(values: np.ndarray) -> np.ndarray:
     bits = values.view(np.uint64).reshape(len(values), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bits.shape[:2])
     for i in range(ROWS):
-        key = mix(key * _GOLD ^ bits[:, :, i])
+        key = mix(key * np.uint64(_GOLD) ^ bits[:, :, i])
     return key.view(np.int64)
 
 
@@ -91,9 +92,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(offsets) - 1
             text, hashes, weights = shingles(data, offsets)
             size = np.bincount(text, weights=weights, minlength=n).astype(np.int64)
-            bands = _banded(signatures(text, hashes, weights, n))
+            values = signatures(text, hashes, weights, n)
+            bands, prints = _banded(values), (mix(values.view(np.uint64)) >> np.uint64(48)).astype("<u2")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield others.slice(first, n).append_column("size", pa.array(size)).append_column("bands", lists)
+            yield others.slice(first, n).append_column("size", pa.array(size)).append_column("bands", lists).append_column("print", pa.array([p.tobytes() for p in prints], pa.binary()))
 
 
 def _node(text: Column) -> Column:
@@ -153,27 +155,53 @@ def _leader_pairs(buckets: DataFrame, threshold: float, order: int) -> DataFrame
     return met.filter(_sized_alike(F.col("leader.size"), F.col("size"), threshold)).select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _alike(threshold: float):
-    """Stream rows of blocks in order; pass on pairs of different classes that agree in enough bands, each from the first band they share."""
+def _forest(a: np.ndarray, b: np.ndarray, kind: np.ndarray, agreed: np.ndarray) -> np.ndarray:
+    """Of the pairs (a, b), those of a forest over the classes `kind` that joins the most similar first (Kruskal's)."""
+    root = {k: k for k in np.unique(kind).tolist()}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    left, chosen = np.argsort(-agreed, kind="stable"), []
+    while len(left):
+        for i in left[:4096].tolist():
+            x, y = find(int(kind[a[i]])), find(int(kind[b[i]]))
+            if x != y:
+                root[x] = y
+                chosen.append(i)
+        names, at = np.unique(kind, return_inverse=True)
+        now = np.array([find(k) for k in names.tolist()])[at]
+        left = left[4096:]
+        left = left[now[a[left]] != now[b[left]]]
+    return np.array(chosen, np.int64)
+
+
+def _alike(threshold: float, forest: bool):
+    """Stream rows of blocks in order; pass on pairs of different classes whose signatures and sizes allow the similarity, or a forest of them."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
+        held: list[tuple] = []
         block = None
 
         def pairs():
-            node, kind, size, band = (np.array(c) for c in zip(*(h[:4] for h in held)))
-            bands = np.array([h[4] for h in held], np.int64)
-            a, b = [], []
-            step = max(1, (8 << 20) // (len(node) * BANDS))
+            node, kind, size = (np.array(c) for c in zip(*(h[:3] for h in held)))
+            slots = np.frombuffer(b"".join(h[3] for h in held), "<u2").reshape(len(held), SLOTS)
+            found = []
+            step = max(1, (32 << 20) // (len(node) * SLOTS))
             for i in range(0, len(node), step):
-                same = bands[i : i + step, None, :] == bands[None, :, :]
-                rows, cols = np.nonzero((same.sum(axis=2) >= LEAST_BANDS) & (same.argmax(axis=2) == band[0]))
-                rows += i
-                lo, hi = np.minimum(size[rows], size[cols]), np.maximum(size[rows], size[cols])
-                good = (node[rows] < node[cols]) & (kind[rows] != kind[cols]) & (lo >= threshold * hi)
-                a.append(node[rows[good]])
-                b.append(node[cols[good]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                agreed = (slots[i : i + step, None, :] == slots[None, :, :]).sum(axis=2, dtype=np.int16)
+                rows, cols = np.nonzero(agreed >= LEAST_SLOTS)
+                at = rows + i
+                good = (node[at] < node[cols]) & (kind[at] != kind[cols]) & (np.minimum(size[at], size[cols]) >= threshold * np.maximum(size[at], size[cols]))
+                found.append((at[good], cols[good], agreed[rows[good], cols[good]]))
+            a, b, agreed = (np.concatenate(f) for f in zip(*found))
+            if forest and len(a):
+                kept = _forest(a, b, kind, agreed)
+                a, b = a[kept], b[kept]
+            return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -188,16 +216,41 @@ def _alike(threshold: float):
     return compare
 
 
-def _rest_pairs(buckets: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def _block_pairs(buckets: DataFrame, signed: DataFrame, threshold: float, forest: bool) -> DataFrame:
     """Candidate pairs across classes in the buckets that still hold several, found in blocks of about `_BLOCK` texts."""
     open_ = buckets.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most")
-    rows = buckets.join(open_.select("bucket", "n"), "bucket").join(signed.select("node", "bands"), "node")
+    rows = buckets.join(open_.select("bucket", "n"), "bucket").join(signed.select("node", "print"), "node")
     n_blocks = F.floor(F.col("n") / _BLOCK) + 1
     own = F.pmod(F.xxhash64("node", F.lit("block")), n_blocks)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class", "size", "band", "bands")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class", "size", "print")
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(_alike(threshold), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_alike(threshold, forest), "a bigint, b bigint").distinct()
+
+
+def _classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From rows of doc_id, text and node: (doc_id, node) of every row, (node, found) of linked texts, and the verified links (a, b)."""
+    signed = cut_lineage(rows.select("doc_id", "node", "text").mapInArrow(_sign, "doc_id bigint, node bigint, size bigint, bands array<bigint>, print binary"))
+    firsts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    single = cut_lineage(signed.filter("size > 0").join(firsts, ["node", "doc_id"]))
+    buckets = single.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket")
+    buckets = cut_lineage(buckets.join(shared, "bucket").withColumn("class", F.col("node")))
+    wanted = buckets.select("node").distinct().join(firsts, "node")
+    texts = cut_lineage(rows.select("node", "doc_id", "text").join(wanted, ["node", "doc_id"]).select("node", "text"))
+
+    links = classes = None
+    turns = [lambda: _leader_pairs(buckets, threshold, turn)] * LEADER_ROUNDS
+    turns += [lambda: _block_pairs(buckets, single, threshold, True)] * FOREST_ROUNDS + [lambda: _block_pairs(buckets, single, threshold, False)]
+    for turn, candidates in enumerate(turns):
+        pairs = cut_lineage(candidates())
+        if classes is not None and pairs.isEmpty():
+            continue
+        fresh = cut_lineage(_verified(pairs, texts, threshold))
+        links = fresh if links is None else cut_lineage(links.unionByName(fresh))
+        classes = connected_components(links, "a", "b").withColumnRenamed("component", "found")
+        buckets = cut_lineage(buckets.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found"))
+    return signed.select("doc_id", "node"), classes, links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,25 +262,20 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, doc_id: str
     its class, not all that exist. Rows with a null id belong to the class of their text; a class of such rows only has class_id null.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("node", _node(F.col("text")))
-    signed = cut_lineage(rows.select("doc_id", "node", "text").mapInArrow(_sign, "doc_id bigint, node bigint, size bigint, bands array<bigint>"))
-    firsts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    single = cut_lineage(signed.filter("size > 0").join(firsts, ["node", "doc_id"]))
-    buckets = single.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket")
-    buckets = cut_lineage(buckets.join(shared, "bucket").withColumn("class", F.col("node")))
-    wanted = buckets.select("node").distinct().join(firsts, "node")
-    texts = cut_lineage(rows.join(wanted, ["node", "doc_id"]).select("node", "text"))
-
-    links = None
-    for turn in range(LEADER_ROUNDS + 1):
-        pairs = _leader_pairs(buckets, threshold, turn) if turn < LEADER_ROUNDS else _rest_pairs(buckets, single, threshold)
-        fresh = cut_lineage(_verified(cut_lineage(pairs), texts, threshold))
-        links = fresh if links is None else cut_lineage(links.unionByName(fresh))
-        classes = connected_components(links, "a", "b").withColumnRenamed("component", "found")
-        if turn < LEADER_ROUNDS:
-            buckets = cut_lineage(buckets.join(classes, "node", "left").withColumn("class", F.coalesce("found", "class")).drop("found"))
+    named, classes, links = _classes(rows, threshold)
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = signed.select("doc_id", "node").join(classes, "node", "left").join(degrees, "node", "left").withColumn("class", F.coalesce("found", "node"))
+    placed = named.join(classes, "node", "left").join(degrees, "node", "left").withColumn("class", F.coalesce("found", "node"))
     placed = placed.select("doc_id", "class", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     names = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return placed.join(names, "class").select("doc_id", "class_id", "n_links")
+
+
+def keep_one_of_each(docs: DataFrame, threshold: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of every near-duplicate class, with all its columns: the one with the smallest id (null last, then by text)."""
+    rows = docs.withColumn("__node", _node(F.col(text).cast("string"))).withColumn("__id", F.col(doc_id).cast("bigint"))
+    named, classes, _ = _classes(rows.select(F.col("__id").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("__node").alias("node")), threshold)
+    placed = named.join(classes, "node", "left").select("doc_id", "node", F.coalesce("found", "node").alias("class"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best")
+    kept = placed.groupBy("class").agg(best).select(F.col("best.node").alias("__node"), F.col("best.doc_id").alias("__kept"))
+    met = rows.join(kept, "__node").filter(F.col("__id").eqNullSafe(F.col("__kept")))
+    return met.dropDuplicates(["__node"]).select(*docs.columns)
