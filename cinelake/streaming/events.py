@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -90,6 +92,25 @@ def tile_scores(scores: DataFrame, time: str, seconds: str = "1 second", latenes
     )
 
 
+def tile_top_classes(scores: DataFrame, time: str, k: int, seconds: str = "1 second", lateness: str = "10 seconds") -> DataFrame:
+    """The `k` best classes of each media and tumbling window with their ranks, ties by name, once the window is closed (append mode)."""
+    timed = scores.withWatermark(time, lateness) if scores.isStreaming else scores
+    best = timed.groupBy("media_id", F.window(time, seconds).alias("w"), "class").agg(F.max("probability").alias("probability"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("minus"), "class")))  # as long as there are classes
+    tiles = best.groupBy("media_id", F.window(F.window_time("w"), seconds).alias("v")).agg(F.slice(listed, 1, k).alias("top"))
+    return tiles.select("media_id", F.col("v.start").alias("tile_start"), F.posexplode("top").alias("place", "t")).select(
+        "media_id", "tile_start", (F.col("place") + 1).alias("rank"), "t.class", (-F.col("t.minus")).alias("probability")
+    )
+
+
+def sliding_means(vectors: DataFrame, time: str, vector: str, length: str = "5 minutes", slide: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
+    """Mean vector and count per media and sliding window. Vectors are summed whole. Works in update mode."""
+    timed = vectors.withWatermark(time, lateness) if vectors.isStreaming else vectors
+    rows = timed.filter(F.col(vector).isNotNull()).select("media_id", time, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    means = rows.groupBy("media_id", F.window(time, length, slide).alias("w")).agg(Summarizer.mean(F.col("__v")).alias("__m"), F.count("*").alias("n"))
+    return means.select("media_id", F.col("w.start").alias("window_start"), vector_to_array("__m").alias("mean_vector"), "n")
+
+
 def sliding_sums(vectors: DataFrame, time: str, vector: str, length: str = "5 minutes", slide: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
     """Per media, window and dimension: sum and count, from which means follow. Works in update mode."""
     timed = vectors.withWatermark(time, lateness) if vectors.isStreaming else vectors

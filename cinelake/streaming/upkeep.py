@@ -18,7 +18,8 @@ def ingest_batches(arrivals: DataFrame, catalog: CatalogTables, folder: str) ->
     def add(batch: DataFrame, batch_id: int) -> None:
         known = catalog.read("media_files").select("id", "sha256_prefix")
         fresh = batch.join(known.select("id"), "id", "left_anti").dropDuplicates(["id"])
-        everything = known.withColumn("__seq", F.struct(F.lit(0).alias("b"), F.col("id").alias("i"))).unionByName(
+        met = known.join(fresh.select("sha256_prefix").distinct(), "sha256_prefix", "left_semi")  # what the batch can repeat
+        everything = met.select("id", "sha256_prefix").withColumn("__seq", F.struct(F.lit(0).alias("b"), F.col("id").alias("i"))).unionByName(
             fresh.select("id", "sha256_prefix").withColumn("__seq", F.struct(F.lit(1).alias("b"), F.col("id").alias("i")))
         )
         pairs = duplicate_pairs(everything, "sha256_prefix", "id", "__seq").select(F.col("duplicate_id").alias("id"))

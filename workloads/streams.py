@@ -128,6 +128,22 @@ def sliding_sums(c: Catalog):
     return out.select("media_id", F.unix_seconds("window_start").alias("window_s"), F.col("dim").cast("bigint").alias("dim"), F.round("total", 3).alias("total"), "n")
 
 
+@query("str10_tile_top_classes", """with t as (select user_id % 100 as media_id, date_trunc('hour', ts) as tile, event_type as class, max(value) as probability from events group by all)
+    select media_id, epoch(tile)::bigint as tile_s, rank::integer as rank, class, probability from (select *, row_number() over (partition by media_id, tile order by probability desc, class) as rank from t) where rank <= 3 and tile + interval 1 hour <= (select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)""")
+def tile_top_classes(c: Catalog):
+    rows = stream(c).select((F.col("user_id") % 100).alias("media_id"), "ts", F.col("event_type").alias("class"), F.col("value").alias("probability"))
+    out = run_to_table(ev.tile_top_classes(rows, "ts", 3, "1 hour", "1 hour"), "append")
+    return out.select("media_id", F.unix_seconds("tile_start").alias("tile_s"), "rank", "class", "probability")
+
+
+@query("str11_sliding_means", """select user_id % 10 as media_id, w * 60 as window_s, round(avg(embedding[1]), 5) as first_value, round(avg(list_sum(embedding::double[])), 5) as total, count(*) as n from (select user_id, embedding, epoch(date_trunc('minute', ts))::bigint // 60 - k as w from events join embeddings on vec_id = event_id, (select unnest([0, 1, 2, 3, 4]) as k)) group by all""")
+def sliding_means(c: Catalog):
+    rows = stream(c).join(c.embeddings, F.col("vec_id") == F.col("event_id")).select((F.col("user_id") % 10).alias("media_id"), "ts", "embedding")
+    out = newest(run_to_table(ev.sliding_means(rows, "ts", "embedding"), "update"), ["media_id", "window_start"])
+    total = F.aggregate("mean_vector", F.lit(0.0), lambda a, x: a + x)
+    return out.select("media_id", F.unix_seconds("window_start").alias("window_s"), F.round(F.col("mean_vector")[0], 5).alias("first_value"), F.round(total, 5).alias("total"), "n")
+
+
 @query("str12_session_activities", """select user_id as camera, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as end_us, count(*) as n_clips from (select *, sum(coalesce(gap > interval 30 minutes, false)::int) over (partition by user_id order by ts, event_id) as s from
     (select *, ts - lag(ts) over (partition by user_id order by ts, event_id) as gap from events)) group by user_id, s having max(ts) + interval 30 minutes <= (select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)""")
 def sessions(c: Catalog):
