@@ -6,9 +6,12 @@ BENCH_QUERIES: comma-separated names instead of the default list.
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 from cinelake.session import build_session
@@ -28,8 +31,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(HEADLINE)
     queries, _ = load()
+    shared = tempfile.mkdtemp(prefix="spark-")  # one machine: any folder is shared
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
     spark = build_session(
-        "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false", spark__driver__memory="12g",
+        "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false", spark__checkpoint__dir=shared, spark__driver__memory="12g",
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import atexit
 import math
+import shutil
 import sys
+import tempfile
 import time
 import traceback
 
@@ -62,7 +65,9 @@ def main() -> int:
     args = parser.parse_args()
     folder = f"{args.root}/sf{args.sf}"
     queries, oracles = load()
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
+    shared = tempfile.mkdtemp(prefix="spark-")  # one machine: any folder is shared
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__checkpoint__dir=shared, spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
