@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cinelake.llm.texts import runs
 from cinelake.session import cut_lineage
 
-ORDER = 6
+ORDER = 5
 DISCOUNT = 0.75
 #: What travels to the workers: log ratios in 2**BUCKET_BITS cells, however many n-grams there are.
 BUCKET_BITS = 20
@@ -24,6 +24,7 @@ STRETCHES = (1, 3, 10)
 #: The calibration is fitted on at most about this many labelled rows.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
+RIDGE = 1.0
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,34 +45,38 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of n-grams by class; merged within the task so that each n-gram leaves it about once."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Partial counts of n-grams by half and class; merged within the task so that each n-gram leaves it about once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def merged():
-        keys = np.concatenate([h[0] for h in held])
-        names, at = np.unique(keys, return_inverse=True)
-        return names, *(np.bincount(at, weights=np.concatenate([h[i] for h in held]), minlength=len(names)) for i in (1, 2))
+        names, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        counts = np.vstack([h[1] for h in held])
+        return names, np.stack([np.bincount(at, weights=c, minlength=len(names)) for c in counts.T], axis=1)
 
     for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        group = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for first, data, offsets in runs(batch.column(0)):
             gram, whole = _grams(data, offsets)
-            label = np.repeat(toxic[first : first + len(offsets) - 1], np.diff(offsets))[whole]
+            column = np.repeat(group[first : first + len(offsets) - 1], np.diff(offsets))[whole]
             names, at = np.unique(gram[whole], return_inverse=True)
-            held.append((names, np.bincount(at, weights=label, minlength=len(names)), np.bincount(at, weights=~label, minlength=len(names))))
+            held.append((names, np.bincount(at * 4 + column, minlength=4 * len(names)).reshape(-1, 4).astype(float)))
             size += len(names)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 held = [merged()]
-                if len(held[0][0]) > 2_000_000:
+                if len(held[0][0]) > 1_000_000:
                     yield _partial(held.pop())
                 size = sum(len(h[0]) for h in held)
     if held:
         yield _partial(merged())
 
 
+COUNTS = ("ordinary_a", "toxic_a", "ordinary_b", "toxic_b")
+
+
 def _partial(counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in counts], ["gram", "toxic", "ordinary"])
+    names, table = counts
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *(pa.array(c.astype(np.int64)) for c in table.T)], ["gram", *COUNTS])
 
 
 def log_ratios(grams: DataFrame) -> DataFrame:
@@ -82,20 +87,17 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     """
     d = DISCOUNT
     grams = grams.withColumn("context", F.shiftrightunsigned("gram", 8))
+    tail = lambda order: F.lit((1 << (8 * order)) - 1)
+    followed, source = {}, grams.select(F.col("gram").alias("suffix"))
+    for order in range(ORDER - 1, 0, -1):
+        source = followed[order] = cut_lineage(source.groupBy(F.col("suffix").bitwiseAND(tail(order)).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))).select("suffix", "n")
+    shared = followed[1].select("suffix", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))  # 256 rows at most
+    for order in range(2, ORDER):
+        before = Window.partitionBy(F.shiftrightunsigned("suffix", 8))
+        here = followed[order].withColumn("all", F.sum("n").over(before)).withColumn("kinds", F.count(F.lit(1)).over(before)).withColumn("shorter", F.col("suffix").bitwiseAND(tail(order - 1)))
+        less = shared.withColumnsRenamed({"suffix": "shorter", "p": "p_shorter"})
+        shared = here.join(less, "shorter").select("suffix", ((F.col("n") - d + d * F.col("kinds") * F.col("p_shorter")) / F.col("all")).alias("p"))
 
-    def lower(order: int, counts: DataFrame) -> DataFrame:
-        """(suffix, p): shared continuation probability of the last byte after the `order - 1` before it."""
-        mask = F.lit((1 << (8 * order)) - 1)
-        followed = counts.groupBy(F.col("gram").bitwiseAND(mask).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
-        if order == 1:
-            return followed.select("suffix", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))  # 256 rows at most
-        followed = followed.withColumn("before", F.shiftrightunsigned("suffix", 8))
-        around = followed.groupBy("before").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-        less = lower(order - 1, followed.select(F.col("suffix").alias("gram"))).withColumnsRenamed({"suffix": "shorter", "p": "p_shorter"})
-        joined = followed.join(around, "before").withColumn("shorter", F.col("suffix").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))).join(less, "shorter")
-        return joined.select("suffix", ((F.col("n") - d + d * F.col("kinds") * F.col("p_shorter")) / F.col("all")).alias("p"))
-
-    shared = lower(ORDER - 1, grams)
     around = grams.groupBy("context").agg(
         *(F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")), *(F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_kinds") for c in ("toxic", "ordinary"))
     )
@@ -185,8 +187,8 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     w = np.zeros(N_FEATURES + 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (y - p) - 1e-2 * w
-        curve = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w))
+        slope = z.T @ (y - p) - RIDGE * w
+        curve = (z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w))
         w = w + np.linalg.solve(curve, slope)
     return centre, scale, w
 
@@ -216,38 +218,41 @@ class ToxicityModel:
         self.shared, self.fitted = spark.sparkContext.broadcast(tables), fitted
 
     def score(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
-        """All columns of `docs`, the text too, and the score; whole texts. Null and empty texts get the score of an empty text."""
+        """All columns of `docs`, the text too, and the score; whole texts. Null and empty texts get the score of an empty text.
+
+        A column that already has the name of the score is replaced.
+        """
+        docs = docs.drop(name)
         plain = docs.select("*", F.col(text).alias("__scored"))
         others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        if name in docs.columns:
-            raise ValueError(f"{name} is a column already")
         return plain.mapInArrow(_score(self.shared, self.fitted, len(docs.columns)), f"{others}, `{name}` double")
 
 
 def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> ToxicityModel:
     """Learn from every row of `labelled` with a label; counts cover all of them, the calibration a bounded sample (by hash of the key).
 
-    Rows with a null label or text teach nothing. Without any rows every score is 0.5; with one class only, scores follow that class.
+    Rows with a null key, label or text teach nothing. Without any rows every score is 0.5; with one class only, scores follow that class.
     """
     spark = labelled.sparkSession
-    rows = labelled.select(F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic"), F.col(key).alias("key")).filter("text IS NOT NULL AND toxic IS NOT NULL")
-    # n-grams of one half score the other half for the calibration, so that it sees texts the counts do not hold
-    half = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(4)) == 0
-    rows = cut_lineage(rows.withColumn("half", half))
-    count = lambda part: part.select("text", "toxic").mapInArrow(_count, "gram bigint, toxic bigint, ordinary bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    counts = cut_lineage(count(rows.filter("NOT half")))
-    first = spark.sparkContext.broadcast(_tables(log_ratios(counts)))
-    held = rows.filter("half")
-    size = held.count()
+    hashed = F.xxhash64(F.col(key).cast("string"))
+    # n-grams of one part score the other part for the calibration, so that it sees texts the counts do not hold
+    held = F.pmod(hashed, F.lit(4)) == 0
+    usable = labelled.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(toxic).isNotNull())
+    group = F.when(held, F.lit(2)).otherwise(F.lit(0)) + (F.col(toxic) == 1).cast("int")
+    partial = usable.select(F.col(text).alias("text"), group.alias("part")).mapInArrow(_count, "gram bigint, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    counts = cut_lineage(partial.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS)))
+    part = counts.filter("ordinary_a + toxic_a > 0").select("gram", F.col("toxic_a").alias("toxic"), F.col("ordinary_a").alias("ordinary"))
+    first = spark.sparkContext.broadcast(_tables(log_ratios(part)))
+    size = usable.select(key).filter(held).count()
     share = min(1.0, CALIBRATION_ROWS / max(size, 1))
-    part = held.filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else held
-    seen = part.select("text", "toxic").mapInArrow(_score(first, None, 0), "toxic boolean, features array<double>").toArrow()
-    x = np.array(seen.column("features").to_pylist(), float).reshape(-1, N_FEATURES)
+    sample = usable.filter(held & (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000)))
+    seen = sample.select(F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic")).mapInArrow(_score(first, None, 0), "toxic boolean, features array<double>").toArrow()
+    x = np.array(seen.column("features").combine_chunks().flatten().to_numpy(), float).reshape(-1, N_FEATURES)
     y = seen.column("toxic").to_numpy().astype(float)
     fitted = _fit(x, y)
     first.destroy()
-    both = counts.unionByName(count(held)).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    return ToxicityModel(spark, _tables(log_ratios(cut_lineage(both))), fitted)
+    both = counts.select("gram", (F.col("toxic_a") + F.col("toxic_b")).alias("toxic"), (F.col("ordinary_a") + F.col("ordinary_b")).alias("ordinary"))
+    return ToxicityModel(spark, _tables(log_ratios(both)), fitted)
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -266,3 +271,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     model = train_on_labels(docs, labels)
     scored = model.score(docs.select("doc_id", "text"))
     return scored.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose score stays below the threshold, with all their columns."""
+    scored = train_on_labels(docs, labels).score(docs, name="__toxicity")
+    return scored.filter(F.col("__toxicity") < threshold).select(*docs.columns)
