@@ -117,29 +117,61 @@ def sized_sources(docs: DataFrame) -> DataFrame:
     return sizes.withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, shards: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) for every row of `docs`.
+def _planned(keyed: DataFrame, shards: int | None) -> DataFrame:
+    """From rows of key, source and size: the same with start (words of the source before it), source_size, target, block_length, times and taken.
 
-    A document's words lie in one or more blocks of its source; it gives the words of every block as often as the mix takes the block,
-    three times at most. Without a given number of output shards, a shard has `SLOTS_PER_SHARD` blocks, more if there were over
-    `MOST_SHARDS` shards. Null sources are a source of their own, null texts have no words; repeated rows are documents of their own;
-    an empty table gives no rows. The same rows give the same mix at every run, however they are partitioned.
+    times lists, for the blocks the row has words in, how often the mix takes each. Equal rows share a key and lie one after another.
     """
-    sized = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("__text"))
-    rows = cut_lineage(sized)
+    rows = cut_lineage(keyed)
     sources = cut_lineage(sized_sources(rows))
     if shards is None:
         slots = sources.agg(F.sum("expected")).first()[0] or 0
         shards = int(min(MOST_SHARDS, max(1, slots // SLOTS_PER_SHARD)))
-    placed = running_totals(rows, ["source"], ["doc_id", "size", "__text"], "size", "__start").drop("group_rows", "group_total")
-    placed = placed.withColumn("__row", F.xxhash64("doc_id", "source", "size", "__text", "__start"))
+    placed = running_totals(rows, ["source"], ["key"], "size", "start").drop("group_rows", "group_total")
     l, r = placed.alias("l"), sources.alias("r")  # noqa: E741
     full = l.join(r, F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.source_size", "r.target", "r.block_length")
     times = mixed_blocks(draw_counts(sources.select("source", "n_blocks", "expected"), shards)).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    first, last = F.floor(F.col("__start") / F.col("block_length")), F.floor((F.col("__start") + F.col("size") - 1) / F.col("block_length"))
-    parts = full.filter("size > 0").select("__row", "source", "__start", "size", "block_length", F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least(F.col("__start") + F.col("size"), (F.col("l.block") + 1) * F.col("block_length")) - F.greatest(F.col("__start"), F.col("l.block") * F.col("block_length"))
+    first, last = F.floor(F.col("start") / F.col("block_length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block_length"))
+    parts = full.filter("size > 0").select("key", "source", "start", "size", "block_length", F.explode(F.sequence(first, last)).alias("block"))
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_length")) - F.greatest(F.col("start"), F.col("block") * F.col("block_length"))
+    parts = parts.withColumn("overlap", overlap).drop("size", "block_length")
     l, r = parts.alias("l"), times.alias("r")  # noqa: E741
-    met = l.join(r, (F.col("l.block") == F.col("r.block")) & F.col("l.source").eqNullSafe(F.col("r.source")))
-    given = met.groupBy("__row").agg(F.sum(overlap * F.col("times")).alias("taken"))
-    return full.join(given, "__row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    met = l.join(r, (F.col("l.block") == F.col("r.block")) & F.col("l.source").eqNullSafe(F.col("r.source")), "left").select("l.*", F.coalesce("times", F.lit(0)).alias("times"))
+    given = met.groupBy("key", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"), F.array_sort(F.collect_list(F.struct("block", "times"))).alias("blocks"))
+    # an empty row starts where the next one does and has no blocks
+    empty = full.filter("size = 0").withColumn("taken", F.lit(0).cast("bigint")).withColumn("times", F.array().cast("array<bigint>"))
+    filled = full.filter("size > 0").join(given, ["key", "start"]).withColumn("times", F.transform("blocks", lambda b: b["times"])).drop("blocks")
+    return filled.unionByName(empty)
+
+
+def mix(docs: DataFrame, shards: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) for every row of `docs`.
+
+    A document's words lie in one or more blocks of its source; it gives the words of every block as often as the mix takes the block,
+    three times at most. Without a given number of output shards, a shard has `SLOTS_PER_SHARD` blocks, more if there were over
+    `MOST_SHARDS` shards. Null sources are a source of their own, null texts have no words; repeated rows are documents of their own;
+    an empty table gives no rows. The same rows give the same mix at every run, however they are partitioned.
+    """
+    keyed = docs.select(
+        F.xxhash64(doc_id, source, text).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")
+    )
+    return _planned(keyed, shards).select("doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, shards: int | None = None, text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself, with the columns of `docs`: up to `MOST_PASSES` rows a document.
+
+    The n-th row holds the words of the blocks that the mix takes at least n times, joined by one space; where that is the whole document,
+    its text is left as it is. Rows without words are not part of the mix.
+    """
+    rows = docs.withColumn("__key", F.xxhash64(*docs.columns))
+    planned = _planned(rows.select(F.col("__key").alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), shards)
+    plans = planned.filter("taken > 0").groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "block_length", "times")).alias("__plans"))
+    met = rows.join(plans, "__key").dropDuplicates(["__key"]).withColumn("__plan", F.explode("__plans")).drop("__plans")
+    met = met.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max("__plan.times").cast("int"))))
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    length, start = F.col("__plan.block_length"), F.col("__plan.start")
+    place = lambda i: (F.floor((start + i) / length) - F.floor(start / length)).cast("int")
+    some = F.array_join(F.filter(words, lambda w, i: F.get(F.col("__plan.times"), place(i)) >= F.col("__pass")), " ")
+    taken = F.when(F.array_min("__plan.times") >= F.col("__pass"), F.col(text)).otherwise(some)
+    return met.withColumn(text, taken).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,12 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have finished steps' shuffle files deleted: Spark does that when the driver collects what no longer refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of (spark, folder), and the SQL that gives the same rows."""
 
