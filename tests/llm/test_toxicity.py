@@ -1,7 +1,8 @@
 import random
+import zlib
+from math import log
 
 import pytest
-from pyspark.sql import functions as F
 
 from cinelake.llm import toxicity
 
@@ -68,8 +69,6 @@ def test_ratios_match_kneser_ney_by_hand(spark):
             total[s[:-1]], kinds[s[:-1]] = total.get(s[:-1], 0) + x, kinds.get(s[:-1], 0) + 1
         return {s: (x - d + d * kinds[s[:-1]] * less[s[1:]]) / total[s[:-1]] for s, x in n.items()}
 
-    from math import log
-
     low = shared(ORDER - 1)
 
     def p(gram, c):
@@ -100,5 +99,5 @@ def test_filter_keeps_rows_as_they_are_and_handles_no_labels(spark):
     kept = toxicity.without_toxic(docs, labels, threshold=0.6)
     assert kept.columns == docs.columns and kept.count() == 3
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
-    assert [r["h"] for r in spark.createDataFrame([(0,), (7,)], "doc_id bigint").select(toxicity.is_held_out().alias("h")).collect()] == [__import__("zlib").crc32(b"0") % 4 == 2, __import__("zlib").crc32(b"7") % 4 == 2]
-    assert F is not None
+    ids = spark.range(20).withColumnRenamed("id", "doc_id")
+    assert [r["h"] for r in ids.select(toxicity.is_held_out().alias("h")).collect()] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(20)]
