@@ -22,7 +22,7 @@ from cinelake.llm.texts import kept_in_worker
 from cinelake.session import cut_lineage
 
 CAPACITY, END_ID = 4096, 1
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+KEPT_WORDS, KEPT_PARTS, KEPT_LENGTH = 250_000, 1_000_000, 64
 PLAN_CELLS = 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 # the tokenizer's own split, for lower-case ASCII
@@ -49,7 +49,7 @@ class _Encoder:
         lists = [[] if _ODD.search(t) else t.split() for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words = {}
-        if len(self.parts) > KEPT_WORDS:
+        if len(self.parts) > KEPT_PARTS:
             self.parts = {}
         new = set().union(*lists).difference(self.words)
         cut = {w: _ASCII_PARTS.findall(w.lower()) if w.isascii() and "<|" not in w else [w] for w in new}
