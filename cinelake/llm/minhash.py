@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cinelake.llm.registry import release_shuffles
 from cinelake.llm.texts import Spans, Words, mix, runs
 from cinelake.operators.components import connected_components
 from cinelake.session import cut_lineage
@@ -26,7 +27,7 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Pairs at the least similarity agree in 102 of 128 slots on average; fewer than these happen once in 30,000 of them.
 LEAST_SLOTS = 84
-LEADER_ROUNDS, FOREST_ROUNDS = 1, 2
+LEADER_ROUNDS, FOREST_ROUNDS = 1, 1
 _RUN, _PER_SALT, _BLOCK = 2 << 20, 256, 1024
 _GOLD, _ALL = 0x9E3779B97F4A7C15, 2**64 - 1
 
@@ -150,8 +151,8 @@ def _leader_pairs(buckets: DataFrame, threshold: float, order: int) -> DataFrame
     """(a, b): every text of a bucket with the bucket's leader, if it is of another class and their sizes allow the similarity."""
     place = F.xxhash64("node", F.lit(order))  # one order for all bands, so that a group's bands mostly share their leader
     leader = F.min_by(F.struct("node", "class", "size"), place).alias("leader")
-    led = buckets.groupBy("bucket").agg(leader, F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most")
-    met = buckets.join(led.select("bucket", "leader"), "bucket").filter(F.col("leader.class") != F.col("class"))
+    led = buckets.groupBy("bucket").agg(leader)
+    met = buckets.join(led, "bucket").filter(F.col("leader.class") != F.col("class"))
     return met.filter(_sized_alike(F.col("leader.size"), F.col("size"), threshold)).select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -218,8 +219,8 @@ def _alike(threshold: float, forest: bool):
 
 def _block_pairs(buckets: DataFrame, signed: DataFrame, threshold: float, forest: bool) -> DataFrame:
     """Candidate pairs across classes in the buckets that still hold several, found in blocks of about `_BLOCK` texts."""
-    open_ = buckets.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most")
-    rows = buckets.join(open_.select("bucket", "n"), "bucket").join(signed.select("node", "print"), "node")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    rows = buckets.join(sizes, "bucket").join(signed.select("node", "print"), "node")
     n_blocks = F.floor(F.col("n") / _BLOCK) + 1
     own = F.pmod(F.xxhash64("node", F.lit("block")), n_blocks)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
@@ -228,17 +229,22 @@ def _block_pairs(buckets: DataFrame, signed: DataFrame, threshold: float, forest
     return dealt.mapInArrow(_alike(threshold, forest), "a bigint, b bigint").distinct()
 
 
+def _open(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one class."""
+    several = buckets.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("bucket")
+    return cut_lineage(buckets.join(several, "bucket"))
+
+
 def _classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From rows of doc_id, text and node: (doc_id, node) of every row, (node, found) of linked texts, and the verified links (a, b)."""
     signed = cut_lineage(rows.select("doc_id", "node", "text").mapInArrow(_sign, "doc_id bigint, node bigint, size bigint, bands array<bigint>, print binary"))
     firsts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     single = cut_lineage(signed.filter("size > 0").join(firsts, ["node", "doc_id"]))
-    buckets = single.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket")
-    buckets = cut_lineage(buckets.join(shared, "bucket").withColumn("class", F.col("node")))
+    buckets = _open(single.select("node", "size", F.col("node").alias("class"), F.explode("bands").alias("bucket")))
     wanted = buckets.select("node").distinct().join(firsts, "node")
     texts = cut_lineage(rows.select("node", "doc_id", "text").join(wanted, ["node", "doc_id"]).select("node", "text"))
 
+    release_shuffles(rows.sparkSession)
     links = classes = None
     turns = [lambda: _leader_pairs(buckets, threshold, turn)] * LEADER_ROUNDS
     turns += [lambda: _block_pairs(buckets, single, threshold, True)] * FOREST_ROUNDS + [lambda: _block_pairs(buckets, single, threshold, False)]
@@ -247,9 +253,10 @@ def _classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
         if classes is not None and pairs.isEmpty():
             continue
         fresh = cut_lineage(_verified(pairs, texts, threshold))
-        links = fresh if links is None else cut_lineage(links.unionByName(fresh))
+        links = fresh if links is None else links.unionByName(fresh)
         classes = connected_components(links, "a", "b").withColumnRenamed("component", "found")
-        buckets = cut_lineage(buckets.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found"))
+        buckets = _open(buckets.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found"))
+        release_shuffles(rows.sparkSession)
     return signed.select("doc_id", "node"), classes, links
 
 
