@@ -4,7 +4,8 @@ Every window of `width` units picks an anchor, the least of the hashed `gram`-un
 the same place, so a window needs to be compared only with windows that have an equal anchor. Consecutive windows with one anchor form a
 segment; a text is a few segments per `width` units. Segments found twice are settled by counting. Only where segments with an equal anchor
 differ is their content fetched, one copy of each, and given to a resolver (a suffix automaton, a column-wise order) class by class; classes
-with more than `MOST_IN_CLASS` different segments are split into their windows first, so no task sees a large class.
+with more than `MOST_IN_CLASS` different segments are split first, by longer strings that their windows share and at last into single windows,
+so no task sees a large class.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cinelake.llm.texts import Spans, Words, byte_values, cover, least_positions, runs
+from cinelake.llm.registry import release_shuffles
+from cinelake.llm.texts import Spans, Words, byte_values, cover, least_positions, mix, runs
 from cinelake.session import cut_lineage
 
 MOST_IN_CLASS = 200
+PARTS = 8
 
 
 class ByWords:
@@ -117,11 +120,14 @@ def _sign(kind: Windows):
     return sign
 
 
-_CONTENT = "key bigint, hash bigint, weight bigint, offset int, content binary, window_hash bigint, window int"
+_CONTENT = "key bigint, hash bigint, weight bigint, offset int, content binary, parent_key bigint, parent_hash bigint, base int, windows int"
+_CONTENT_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+_NAMES = ("key", "hash", "weight", "offset", "content", "parent_key", "parent_hash", "base", "windows")
 
 
 def _fetch(kind: Windows):
-    """From (text, list of wanted segments): their content, or the hashes of their windows where the class is large."""
+    """From (text, list of wanted segments): their content. Segments of large classes come in parts, in classes of what a part's windows all hold."""
+    step = max(1, (kind.width - kind.gram + 1) // PARTS)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,21 +139,43 @@ def _fetch(kind: Windows):
                 for i in range(len(offsets) - 1):
                     base = int(units.bounds[i])
                     for w in wanted[first + i]:
-                        start = base + w["start"]
+                        start, n, anchor = base + w["start"], w["windows"], base + w["start"] + w["offset"]
                         if not w["large"]:
-                            rows.append((w["key"], w["hash"], w["weight"], w["offset"], units.content(start, start + w["windows"] + kind.width - 1), None, None))
+                            rows.append((w["key"], w["hash"], w["weight"], w["offset"], units.content(start, start + n + kind.width - 1), None, None, None, n))
                             continue
                         spans = spans or Spans(units.values)
-                        at = np.arange(start, start + w["windows"])
-                        for j, h in enumerate(spans.of(at, at + kind.width).view(np.int64).tolist()):
-                            rows.append((w["key"], w["hash"], w["weight"], w["offset"], None, h, j))
+                        for part in range((w["offset"] - n + 1) // step, w["offset"] // step + 1):
+                            # the windows that begin step * part to step * (part + 1) - 1 before the anchor, and what they have in common
+                            lo, hi = max(start, anchor - step * (part + 1) + 1), min(start + n, anchor - step * part + 1)
+                            ends = np.array([[anchor - step * part, anchor - step * (part + 1) + 1 + kind.width], [lo, hi + kind.width - 1]])
+                            core, own = spans.of(ends[:, 0], ends[:, 1])
+                            key = int((mix(core[None] ^ np.uint64(part + 1))).view(np.int64)[0])
+                            rows.append((key, int(own.view(np.int64)), w["weight"], anchor - lo, units.content(lo, hi + kind.width - 1), w["key"], w["hash"], lo - start, hi - lo))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "hash", "weight", "offset", "content", "window_hash", "window"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CONTENT_KINDS)], list(_NAMES))
 
     return fetch
 
 
+def _windows(kind: Windows):
+    """From (key, hash, weight, content): the hash of every window."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in runs(batch.column(3)):
+                units = kind.units(data, offsets)
+                hashes = Spans(units.values).windows(kind.width)
+                at = np.arange(len(hashes))
+                text = np.searchsorted(units.bounds, at, "right") - 1
+                whole = at + kind.width <= units.bounds[text + 1]
+                at, text = at[whole], text[whole]
+                columns = [batch.column(c).slice(first, len(offsets) - 1).take(pa.array(text)) for c in range(3)]
+                columns += [pa.array(hashes[at].view(np.int64)), pa.array((at - units.bounds[text]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "hash", "weight", "window_hash", "window"])
+
+    return windows
+
+
 _BATCH_SEGMENTS = 8192
 
 
@@ -238,14 +266,26 @@ def repeated_segments(rows: DataFrame, kind: Windows) -> tuple[DataFrame, DataFr
     open_ = segments.join(classes, "key").select("first.*", "key", "hash", "weight", (F.col("n") > MOST_IN_CLASS).alias("large"))
     wanted = open_.groupBy("node").agg(F.collect_list(F.struct("key", "hash", "weight", "start", "windows", "offset", "large")).alias("wanted"))
     content = cut_lineage(rows.join(wanted, "node").select("text", "wanted").mapInArrow(_fetch(kind), _CONTENT))
-    small = content.filter("content IS NOT NULL").select("key", "hash", "offset", "content").repartition("key").sortWithinPartitions("key", "hash")
-    settled = small.mapInArrow(_settle(kind), "key bigint, hash bigint, repeated array<int>")
-    windows = content.filter("content IS NULL").select("key", "hash", "weight", "window_hash", "window").distinct()
+    release_shuffles(rows.sparkSession)  # the texts' first exchange, before their second
+    parts = content.filter("parent_key IS NOT NULL")
+    part = parts.groupBy("key", "hash").agg(F.sum("weight").alias("weight"), F.first("content").alias("content"), F.first("offset").alias("offset"))
+    met = part.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least")).filter("n > 1 AND least = 1")
+    met = part.join(met, "key")
+    small = content.filter("parent_key IS NULL").select("key", "hash", "offset", "content").unionByName(met.filter(F.col("n") <= MOST_IN_CLASS).select("key", "hash", "offset", "content"))
+    settled = small.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(_settle(kind), "key bigint, hash bigint, repeated array<int>")
+    settled = cut_lineage(settled)
+    windows = met.filter(F.col("n") > MOST_IN_CLASS).select("key", "hash", "weight", "content").mapInArrow(_windows(kind), "key bigint, hash bigint, weight bigint, window_hash bigint, window int")
     many = windows.groupBy("window_hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("window_hash")
     split = windows.join(many, "window_hash").groupBy("key", "hash").agg(F.collect_list("window").alias("repeated"))
+    twice = part.filter("weight > 1").select("key", "hash", F.lit(None).cast("array<int>").alias("repeated"))
+    of_parts = twice.unionByName(settled.unionByName(split).join(part.filter("weight = 1").select("key", "hash"), ["key", "hash"], "left_semi"))
+    every = F.sequence(F.lit(0), F.col("windows") - 1)
+    within = parts.join(of_parts, ["key", "hash"]).select(
+        F.col("parent_key").alias("key"), F.col("parent_hash").alias("hash"), F.transform(F.coalesce("repeated", every), lambda w: w + F.col("base")).alias("repeated")
+    ).groupBy("key", "hash").agg(F.flatten(F.collect_list("repeated")).alias("repeated"))
     counted = segments.filter("weight > 1").select("key", "hash", F.lit(None).cast("array<int>").alias("repeated"))
     single = segments.filter("weight = 1").select("key", "hash")
-    verdicts = counted.unionByName(settled.unionByName(split).join(single, ["key", "hash"], "left_semi"))
+    verdicts = counted.unionByName(settled.unionByName(within).join(single, ["key", "hash"], "left_semi"))
     known = listed.select("node", "key", "hash").join(verdicts, ["key", "hash"]).groupBy("node").agg(F.collect_list(F.struct("hash", "repeated")).alias("known"))
     return known, firsts.filter("copies > 1").select("node", "copies")
 
