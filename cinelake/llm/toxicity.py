@@ -11,15 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cinelake.llm.texts import runs
+from cinelake.llm.registry import release_shuffles
+from cinelake.llm.texts import mix, runs
 from cinelake.session import cut_lineage
 
 ORDER = 5
 DISCOUNT = 0.75
-#: What travels to the workers: log ratios in 2**BUCKET_BITS cells, however many n-grams there are.
-BUCKET_BITS = 20
+#: Texts of about so many bytes ask for their distinct n-grams together; what they hold travels in pieces of PIECE_BYTES.
+BLOCK_BYTES, PIECE_BYTES = 32 << 20, 4 << 20
+#: The table of log ratios is dealt to shards of about this many rows; a task holds one shard at a time.
+SHARD_ROWS, LEAST_SHARDS = 500_000, 64
 STRETCHES = (1, 3, 10)
 #: The calibration is fitted on at most about this many labelled rows.
 CALIBRATION_ROWS = 20_000
@@ -119,38 +123,134 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     return by_gram.unionByName(by_context)
 
 
-def _cell(keys: np.ndarray, kind: int) -> np.ndarray:
-    """The cell of an n-gram; the same in SQL and in numpy."""
-    return ((keys * np.uint64(0x9E3779B97F4A7C15 if kind else 0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+_ROW = "place int, kind int, block string, payload binary"
+_CONTEXTS, _GRAMS, _ASKED, _TEXTS = range(4)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _row(place: int, kind: int, block: str | None, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.string()), pa.array([payload], pa.binary())], ["place", "kind", "block", "payload"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None, bytes]]:
     for batch in batches:
-        kind, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
-        cell = np.where(kind == 1, _cell(key, 1), _cell(key, 0))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), batch.column(2), batch.column(3)], ["kind", "cell", "ratio", "weight"])
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(c)[i].as_py() for c in range(4))
 
 
-def _tables(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log ratios by cell, of contexts and of n-grams, and which n-gram cells are in use. Where n-grams share a cell, the commoner counts more."""
-    cells = ratios.mapInArrow(_cells, "kind int, cell bigint, ratio double, weight bigint").groupBy("kind", "cell").agg(
-        (F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio")
-    )
-    found = cells.toArrow()  # at most 2 * 2**BUCKET_BITS rows
-    kind, cell, ratio = (found.column(c).to_numpy() for c in ("kind", "cell", "ratio"))
-    out = np.zeros((2, 1 << BUCKET_BITS), np.float32)
-    used = np.zeros(1 << BUCKET_BITS, bool)
-    out[kind, cell] = ratio
-    used[cell[kind == 1]] = True
-    return out[0], out[1], used
+def _packed(keys: np.ndarray, ratios: np.ndarray | None = None) -> bytes:
+    """Ascending keys, and their ratios, as bytes: differences byte plane by byte plane, compressed."""
+    planes = lambda x: x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    raw = planes(np.diff(keys, prepend=np.uint64(0))) + (b"" if ratios is None else planes(ratios.astype(np.float32)))
+    return len(keys).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(payload[:8], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(payload[8:], 12 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    keys = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(keys, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.float32).ravel()
+
+
+def _dealt(kind: int, block: str | None, keys: np.ndarray, ratios: np.ndarray | None, shards: int) -> Iterator[pa.RecordBatch]:
+    """Ascending keys by shard. An n-gram goes with its context, so that one shard answers for both."""
+    shard = (mix(keys if kind == _CONTEXTS else keys >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    ends = np.cumsum(np.bincount(shard, minlength=shards))
+    for place, (start, end) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+        if end > start:
+            some = order[start:end]
+            yield _row(place, kind, block, _packed(keys[some], np.zeros(len(some), np.float32) if ratios is None else ratios[some]))
+
+
+def _deal_table(shards: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def dealt():
+            kind, key, ratio = (np.concatenate([h[c] for h in held]) for c in range(3))
+            for k in (_CONTEXTS, _GRAMS):
+                here = np.flatnonzero(kind == k)
+                here = here[np.argsort(key[here])]
+                yield from _dealt(k, None, key[here], ratio[here], shards)
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy()))
+            size += batch.num_rows
+            if size >= SHARD_ROWS:
+                yield from dealt()
+                held, size = [], 0
+        if held:
+            yield from dealt()
+
+    return deal
+
+
+def _ask(text: int, shards: int):
+    """The rows in pieces as they are, and the distinct n-grams of each block of them by shard."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n_blocks, n_pieces, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for first, data, offsets in runs(batch.column(text), PIECE_BYTES):
+                piece = batch.slice(first, len(offsets) - 1)
+                for _, some, places in runs(piece.column(text)):
+                    gram, whole = _grams(some, places)
+                    held.append(np.unique(gram[whole]))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
+                    out.write_batch(piece)
+                yield _row((part + n_pieces) % shards, _TEXTS, f"{part}-{n_blocks}", sink.getvalue().to_pybytes())
+                n_pieces, size = n_pieces + 1, size + len(data)
+                if size >= BLOCK_BYTES:
+                    yield from _dealt(_ASKED, f"{part}-{n_blocks}", np.unique(np.concatenate(held)), None, shards)
+                    held, size, n_blocks = [], 0, n_blocks + 1
+        if held:
+            yield from _dealt(_ASKED, f"{part}-{n_blocks}", np.unique(np.concatenate(held)), None, shards)
+
+    return ask
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ascending keys hold what is wanted, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard, its table first: every n-gram asked for gets its own ratio, that of its context if it was never counted, or else 0."""
+    here, table, ready = None, {}, False
+    for place, kind, block, payload in _rows(batches):
+        if kind == _TEXTS:
+            yield _row(place, kind, block, payload)
+            continue
+        if place != here:
+            here, table, ready = place, {_CONTEXTS: [], _GRAMS: []}, False
+        if kind != _ASKED:
+            table[kind].append(_unpacked(payload))
+            continue
+        if not ready:
+            for k, pieces in table.items():
+                keys, ratios = (np.concatenate([p[c] for p in pieces]) if pieces else np.zeros(0, (np.uint64, np.float32)[c]) for c in range(2))
+                order = np.argsort(keys)
+                table[k] = keys[order], ratios[order]
+            ready = True
+        grams, ratio = _unpacked(payload)
+        ratio = np.zeros(len(grams), np.float32)
+        for k, keys in ((_CONTEXTS, grams >> np.uint64(8)), (_GRAMS, grams)):
+            at, known = _at(table[k][0], keys)
+            ratio[known] = table[k][1][at[known]]
+        yield _row(place, kind, block, _packed(grams, ratio))
 
 
 N_FEATURES = 2 + len(STRETCHES)
 
 
-def _features(data: np.ndarray, offsets: np.ndarray, tables) -> np.ndarray:
+def _features(data: np.ndarray, offsets: np.ndarray, answers) -> np.ndarray:
     """Per text: the mean log ratio per character, log length, and the best mean over stretches of words."""
-    contexts, grams, used = tables
+    grams, ratios = answers
     n_texts = len(offsets) - 1
     out = np.zeros((n_texts, N_FEATURES))
     sizes = np.diff(offsets)
@@ -158,9 +258,13 @@ def _features(data: np.ndarray, offsets: np.ndarray, tables) -> np.ndarray:
     if not len(data):
         return out
     gram, whole = _grams(data, offsets)
-    at = _cell(gram, 1)
-    ratio = np.where(used[at], grams[at], contexts[_cell(gram >> np.uint64(8), 0)])
-    ratio = np.where(whole, ratio, 0).astype(np.float64)
+    names, back = np.unique(gram[whole], return_inverse=True)
+    at, known = _at(grams, names)
+    if not known.all():
+        raise RuntimeError("the texts changed between two attempts of a task: n-grams of a block were not looked up")
+    ratio = np.zeros(len(data))
+    if len(names):
+        ratio[whole] = ratios[at][back]
     total = np.zeros(len(data) + 1)
     np.cumsum(ratio, out=total[1:])
     out[:, 0] = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(sizes, 1)
@@ -193,14 +297,25 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return centre, scale, w
 
 
-def _score(shared, fitted, with_text: int):
-    """Map batches whose text is column `with_text` to the same other columns and a score (or, not fitted, the features)."""
+def _score(fitted, text: int):
+    """Answers and pieces of rows, by block, to the rows, whose column `text` is the text, and a score (or, not fitted, the features)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, data, offsets in runs(batch.column(with_text)):
-                x = _features(data, offsets, shared.value)
-                rest = batch.slice(first, len(offsets) - 1).remove_column(with_text)
+        here, pieces, answers = None, [], None
+        for _, kind, block, payload in _rows(batches):
+            if block != here:
+                here, pieces, answers = block, [], None
+            if kind == _ASKED:
+                pieces.append(_unpacked(payload))
+                continue
+            if answers is None:
+                keys, ratios = (np.concatenate([p[c] for p in pieces]) if pieces else np.zeros(0, (np.uint64, np.float32)[c]) for c in range(2))
+                order = np.argsort(keys)
+                answers = keys[order], ratios[order]
+            batch = pa.ipc.open_stream(payload).read_next_batch()
+            for first, data, offsets in runs(batch.column(text)):
+                x = _features(data, offsets, answers)
+                rest = batch.slice(first, len(offsets) - 1)
                 if fitted is None:
                     yield rest.append_column("features", pa.array(list(x), pa.list_(pa.float64())))
                 else:
@@ -211,21 +326,37 @@ def _score(shared, fitted, with_text: int):
     return score
 
 
+def _looked_up(rows: DataFrame, text: str, ratios: DataFrame, fitted, name: str) -> DataFrame:
+    """`rows` with a score (or, not fitted, the features) as column `name`, by the exact table of ratios (kind, key, ratio).
+
+    Blocks of rows ask for each of their distinct n-grams once. The questions meet the table shard by shard, and the answers meet the
+    rows block by block: no task holds more than a shard or a block, and a common n-gram is asked for once a block.
+    """
+    shards = max(LEAST_SHARDS, -(-ratios.count() // SHARD_ROWS))
+    at = rows.columns.index(text)
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    asked = ratios.mapInArrow(_deal_table(shards), _ROW).unionByName(rows.mapInArrow(_ask(at, shards), _ROW))
+    answered = asked.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(_answer, _ROW)
+    return answered.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_score(fitted, at), f"{others}, `{name}` {'array<double>' if fitted is None else 'double'}")
+
+
 class ToxicityModel:
     """A fitted scorer; `score` adds a column to any table with a text column."""
 
-    def __init__(self, spark, tables, fitted):
-        self.shared, self.fitted = spark.sparkContext.broadcast(tables), fitted
+    def __init__(self, ratios: DataFrame, fitted):
+        self.ratios, self.fitted = ratios, fitted
 
     def score(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
         """All columns of `docs`, the text too, and the score; whole texts. Null and empty texts get the score of an empty text.
 
         A column that already has the name of the score is replaced.
         """
-        docs = docs.drop(name)
-        plain = docs.select("*", F.col(text).alias("__scored"))
-        others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return plain.mapInArrow(_score(self.shared, self.fitted, len(docs.columns)), f"{others}, `{name}` double")
+        return _looked_up(docs.drop(name), text, self.ratios, self.fitted, name)
+
+
+def _table(ratios: DataFrame) -> DataFrame:
+    """One row for every n-gram and context counted."""
+    return cut_lineage(ratios.select("kind", "key", F.col("ratio").cast("float").alias("ratio")))
 
 
 def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> ToxicityModel:
@@ -242,17 +373,18 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: st
     partial = usable.select(F.col(text).alias("text"), group.alias("part")).mapInArrow(_count, "gram bigint, " + ", ".join(f"{c} bigint" for c in COUNTS))
     counts = cut_lineage(partial.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS)))
     part = counts.filter("ordinary_a + toxic_a > 0").select("gram", F.col("toxic_a").alias("toxic"), F.col("ordinary_a").alias("ordinary"))
-    first = spark.sparkContext.broadcast(_tables(log_ratios(part)))
+    first = _table(log_ratios(part))
     size = usable.select(key).filter(held).count()
     share = min(1.0, CALIBRATION_ROWS / max(size, 1))
     sample = usable.filter(held & (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000)))
-    seen = sample.select(F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic")).mapInArrow(_score(first, None, 0), "toxic boolean, features array<double>").toArrow()
+    seen = _looked_up(sample.select((F.col(toxic) == 1).alias("toxic"), F.col(text).alias("text")), "text", first, None, "features").select("toxic", "features").toArrow()
     x = np.array(seen.column("features").combine_chunks().flatten().to_numpy(), float).reshape(-1, N_FEATURES)
     y = seen.column("toxic").to_numpy().astype(float)
     fitted = _fit(x, y)
-    first.destroy()
     both = counts.select("gram", (F.col("toxic_a") + F.col("toxic_b")).alias("toxic"), (F.col("ordinary_a") + F.col("ordinary_b")).alias("ordinary"))
-    return ToxicityModel(spark, _tables(log_ratios(both)), fitted)
+    ratios = _table(log_ratios(both))
+    release_shuffles(spark)  # the exchange of labelled texts, before texts are dealt again
+    return ToxicityModel(ratios, fitted)
 
 
 def is_held_out(doc_id: str = "doc_id"):

@@ -101,3 +101,20 @@ def test_filter_keeps_rows_as_they_are_and_handles_no_labels(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
     ids = spark.range(20).withColumnRenamed("id", "doc_id")
     assert [r["h"] for r in ids.select(toxicity.is_held_out().alias("h")).collect()] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(20)]
+
+
+def test_every_counted_ngram_keeps_its_own_ratio(spark):
+    """More n-grams than a fixed table of cells: each answers with its own ratio, an unseen one with its context's, an unknown one with 0."""
+    from pyspark.sql import functions as F
+
+    n, base, step = 1_500_000, int.from_bytes(b"!" * (ORDER - 1), "big"), 331
+    number = F.col("id") * step + base
+    grams = spark.range(n).select(F.lit(1).alias("kind"), (number * 256 + 97).alias("key"), (F.col("id") % 1000).cast("float").alias("ratio"))
+    backoffs = spark.range(n).select(F.lit(0).alias("kind"), number.alias("key"), (-(F.col("id") % 1000) - 1).cast("float").alias("ratio"))
+    context = lambda i: (i * step + base).to_bytes(ORDER - 1, "big")
+    plain = [i for i in range(0, n + 50_000, 97) if all(toxicity._LOWER[c] == c for c in context(i))]
+    ids = plain[:: len(plain) // 300]
+    assert min(ids) < n <= max(ids)
+    docs = spark.createDataFrame([(2 * i + b, context(i) + (b"a", b"b")[b]) for i in ids for b in (0, 1)], "doc_id bigint, text binary").repartition(3)
+    got = {r["doc_id"]: r["features"][0] * ORDER for r in toxicity._looked_up(docs, "text", grams.unionByName(backoffs), None, "features").collect()}
+    assert got == pytest.approx({2 * i + b: 0.0 if i >= n else (float(i % 1000), -float(i % 1000) - 1)[b] for i in ids for b in (0, 1)})
