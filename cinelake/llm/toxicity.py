@@ -18,7 +18,7 @@ from cinelake.llm.registry import release_shuffles
 from cinelake.llm.texts import mix, runs
 from cinelake.session import cut_lineage
 
-ORDER = 5
+ORDER = 6
 DISCOUNT = 0.75
 #: Texts of about so many bytes ask for their distinct n-grams together; what they hold travels in pieces of PIECE_BYTES.
 BLOCK_BYTES, PIECE_BYTES = 32 << 20, 4 << 20

@@ -118,3 +118,19 @@ def test_every_counted_ngram_keeps_its_own_ratio(spark):
     docs = spark.createDataFrame([(2 * i + b, context(i) + (b"a", b"b")[b]) for i in ids for b in (0, 1)], "doc_id bigint, text binary").repartition(3)
     got = {r["doc_id"]: r["features"][0] * ORDER for r in toxicity._looked_up(docs, "text", grams.unionByName(backoffs), None, "features").collect()}
     assert got == pytest.approx({2 * i + b: 0.0 if i >= n else (float(i % 1000), -float(i % 1000) - 1)[b] for i in ids for b in (0, 1)})
+
+
+def test_a_sixth_byte_tells_expressions_apart(spark):
+    """Both classes hold the same 5-byte n-grams; only pairs of first and last byte around four others differ."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(1200):
+        toxic = rng.randint(0, 1)
+        words = ["".join(rng.choice("aeiou") for _ in range(4)) for _ in range(20)]
+        for word in ("xbcdfy", "zbcdfw") if toxic else ("xbcdfw", "zbcdfy"):
+            words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")).collect()}
+    held = [(y, got[i]["predicted"]) for i, _, y in rows if got[i]["held_out"]]
+    assert len(held) > 200 and sum(a == b for a, b in held) / len(held) > 0.95
