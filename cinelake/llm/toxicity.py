@@ -285,8 +285,13 @@ def _features(data: np.ndarray, offsets: np.ndarray, answers) -> np.ndarray:
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps on standardised features: (centre, scale, weights with the constant last)."""
-    centre, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
+    """Logistic regression by Newton steps on standardised features: (centre, scale, weights with the constant last).
+
+    Without any rows nothing is known against a text: every score is 0 but for rounding.
+    """
+    if not len(x):
+        return np.zeros(N_FEATURES), np.ones(N_FEATURES), np.append(np.zeros(N_FEATURES), -30.0)
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.hstack([(x - centre) / scale, np.ones((len(x), 1))])
     w = np.zeros(N_FEATURES + 1)
     for _ in range(30):
@@ -362,7 +367,7 @@ def _table(ratios: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> ToxicityModel:
     """Learn from every row of `labelled` with a label; counts cover all of them, the calibration a bounded sample (by hash of the key).
 
-    Rows with a null key, label or text teach nothing. Without any rows every score is 0.5; with one class only, scores follow that class.
+    Rows with a null key, label or text teach nothing. Without rows for the calibration every score is 0 but for rounding; with one class only, scores follow that class.
     """
     spark = labelled.sparkSession
     hashed = F.xxhash64(F.col(key).cast("string"))

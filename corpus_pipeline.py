@@ -51,7 +51,7 @@ STAGES = [
     ("source_mix", mix_sources),
     ("packing", pack_sequences),
 ]
-#: Stages learn, hash and tokenize, which SQL cannot express; tests compare them with brute force.
+#: Stages learn, hash and tokenize, which SQL cannot express; tests compare the operators, not the whole pipeline, with brute force.
 ORACLE_SQL = None
 
 

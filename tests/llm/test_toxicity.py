@@ -134,3 +134,8 @@ def test_a_sixth_byte_tells_expressions_apart(spark):
     got = {r["doc_id"]: r for r in toxicity.score_documents(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")).collect()}
     held = [(y, got[i]["predicted"]) for i, _, y in rows if got[i]["held_out"]]
     assert len(held) > 200 and sum(a == b for a, b in held) / len(held) > 0.95
+
+
+def test_without_labels_no_document_is_dropped(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None), (None, "")], "doc_id bigint, text string")
+    assert toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).count() == 3
