@@ -64,8 +64,8 @@ def footage_duration(rows: DataFrame, keys: Sequence[str], duration: Column) ->
 
 
 def detection_summary(frames: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Frames, boxes and the number of classes per media, and its top class (`class_counts` has all). Frames without a box still count."""
-    totals = class_counts(boxes).groupBy("media_id").agg(
+    """Frames, boxes and the number of classes per media, and its top class (`boxes_per_class` has all). Frames without a box still count."""
+    totals = boxes_per_class(boxes).groupBy("media_id").agg(
         F.sum("n").alias("total_detections"), F.count("*").alias("n_classes"),
         F.max_by("class", F.struct("n", "class")).alias("top_class"),
     )
@@ -73,7 +73,7 @@ def detection_summary(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     return counted.join(totals, "media_id", "left").fillna(0, ["total_detections", "n_classes"])
 
 
-def class_counts(boxes: DataFrame) -> DataFrame:
+def boxes_per_class(boxes: DataFrame) -> DataFrame:
     """(media_id, class, n): boxes of every class of a media; a missing class is `unknown`."""
     return boxes.groupBy("media_id", F.coalesce("class", F.lit("unknown")).alias("class")).agg(F.count("*").alias("n"))
 

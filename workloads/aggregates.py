@@ -104,7 +104,7 @@ def detection_summary(c: Catalog):
 
 @query("agg11_class_counts", "select media_id, coalesce(class, 'unknown') as class, count(*) as n from detections group by all")
 def class_counts(c: Catalog):
-    return summaries.class_counts(c.detections)
+    return summaries.boxes_per_class(c.detections)
 
 
 @query("agg12_faces_per_cluster", "select media_id, coalesce(cluster_id, -1) as cluster_id, count(*) as n from faces group by all")
