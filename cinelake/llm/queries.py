@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinelake.llm import licenses, minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
+from cinelake.llm import language, licenses, minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -88,3 +88,11 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The licence of every document, found in it or inherited; its path is source, language and id."""
     return licenses.scan(table(spark, folder, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    fold = "crc32(cast(doc_id as string)) % 4"
+    found = language.predict(table(spark, folder, "documents"), learn=f"{fold} <> 2")
+    return found.select("doc_id", F.expr(f"coalesce({fold} = 2, false)").alias("held_out"), "lang_pred", "score", "n_words")
