@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinelake.llm import language, licenses, minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
+from cinelake.llm import conversation_repair, language, licenses, minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -96,3 +96,9 @@ def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
     fold = "crc32(cast(doc_id as string)) % 4"
     found = language.predict(table(spark, folder, "documents"), learn=f"{fold} <> 2")
     return found.select("doc_id", F.expr(f"coalesce({fold} = 2, false)").alias("held_out"), "lang_pred", "score", "n_words")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged by a fixed rule, with its faults and its cheapest repair."""
+    return conversation_repair.repair_damaged(table(spark, folder, "conversations"))
