@@ -12,11 +12,11 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cinelake.llm.texts import kept_in_worker
 from cinelake.operators.skew import ROWS_PER_SALT, range_segments, row_number_across, salted_lookup
 from cinelake.session import cut_lineage
 
@@ -24,6 +24,8 @@ KEEP, REROLE, DELETE, INSERT = 0, 2, 3, 2
 TRUNCATED = 1
 #: Rows solved together.
 SEGMENT = 4096
+#: Short conversations whose solution a worker remembers.
+MEMO = 50_000
 INITIALS = "sua"
 LEGAL = ("su", "ua", "au")
 CODE = ord("A")
@@ -119,9 +121,14 @@ for _code in map(chr, range(CODE, CODE + 16)):
 
 def solve(codes: str, entry: int = 0) -> list[tuple[int, str] | None]:
     """By state after the rows: the least (cost, audit) that leads there from `entry`."""
-    if len(codes) <= 32:
-        return _solve_short(codes, entry)
-    return _solve(codes, entry)
+    if len(codes) > 32:
+        return _solve(codes, entry)
+    known = kept_in_worker("short_audits", dict)
+    if (codes, entry) not in known:
+        if len(known) >= MEMO:
+            known.clear()
+        known[codes, entry] = _solve(codes, entry)
+    return known[codes, entry]
 
 
 def _solve(codes: str, entry: int) -> list[tuple[int, str] | None]:
@@ -147,9 +154,6 @@ def _solve(codes: str, entry: int) -> list[tuple[int, str] | None]:
     return [None if x is None else (x[0], audits.string(x[1])) for x in best]
 
 
-_solve_short = lru_cache(50_000)(_solve)
-
-
 def _before(a, b) -> bool:
     """Whether one chain of runs gives a lesser audit than another of the same length; chains are (runs before, letters)."""
     left, right = [], []
