@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinelake.llm import conversation_repair, language, licenses, minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
+from cinelake.llm import conversation_repair, conversation_trie, language, licenses, minhash, mixing, packing, pii, quality, substring_dedup, suffix_dedup, topk_segments, toxicity
 from cinelake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -102,3 +102,10 @@ def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, damaged by a fixed rule, with its faults and its cheapest repair."""
     return conversation_repair.repair_damaged(table(spark, folder, "conversations"))
+
+
+@query("op11_conversation_trie")
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct beginning of the conversations, each of which starts like the first of its hundred."""
+    turns, members = conversation_trie.rebuilt(conversation_trie.turn_digests(table(spark, folder, "conversations")))
+    return conversation_trie.prefix_trie(turns, members)
