@@ -1,107 +1,263 @@
-"""Density clustering under cosine distance, by block matrices.
+"""Density clustering under cosine distance, by exact metric partitioning.
 
-Vectors are put into blocks of bounded size and every pair of blocks is one task-sized group, multiplied with
-numpy. A group never returns its pairs: it returns neighbour counts, then a spanning forest of what it saw, so
-what is shuffled grows with rows x blocks even when a third of the vectors are near copies.
+Unit vectors within cosine distance eps of each other are within chord sqrt(2 eps). Cells of too many vectors are split by pivots: a vector
+belongs to the cell of its nearest pivot, and is copied to the other cells that may hold a neighbour of it. Two bounds keep copies few: the
+distance to the half-space on another pivot's side, and the distance to the ball around the pivot that holds all of its cell. Cells are split
+until they are small; how often a vector is copied depends on how close the cells around it are, not on how many there are.
+
+A cell then decides everything about its own vectors: their neighbour counts, the links among cores, the cluster a border vector joins. Its
+own vectors are held, what was copied to it streams past them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cinelake.functions.vectors import normalise
 from cinelake.operators.components import connected_components
 from cinelake.operators.skew import row_number_across, salted_lookup
+from cinelake.operators.topk import top_k
 from cinelake.session import cut_lineage
 
 BLOCK_ROWS = 2048
+PIVOTS = 32
+#: Vectors of one cell that a task deals to its children.
+ROWS_PER_TASK = 200_000
+#: Bounds are widened by this against rounding.
+_SLACK = 1e-9
+_FAR = np.iinfo("int64").max
 
 
-def _block_pairs(vectors: DataFrame, n_blocks: int, *columns: str) -> DataFrame:
-    """Each row once for every pair of blocks that includes its own; `left`/`right` tell its side."""
-    blocked = vectors.withColumn("__block", F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)).cast("int"))
-    return blocked.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(
-        F.least("__block", "__other").alias("bi"), F.greatest("__block", "__other").alias("bj"),
-        (F.col("__block") <= F.col("__other")).alias("left"), "row_id", "unit", *columns,
-    )
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    same = int(pdf["bi"].iloc[0]) == int(pdf["bj"].iloc[0])
-    left = pdf[pdf["left"]]
-    right = left if same else pdf[~pdf["left"]]
-    if left.empty or right.empty:
-        return left, right, np.zeros((len(left), len(right)))
-    return left, right, 1.0 - np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
-
-
-def _count_in_pair(eps: float):
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, distance = _sides(pdf)
-        close = distance <= eps
-        same = left is right
-        if same:
-            np.fill_diagonal(close, True)
-        out = pd.DataFrame({"row_id": left["row_id"], "n": close @ right["copies"].to_numpy()})
-        if not same:
-            other = pd.DataFrame({"row_id": right["row_id"], "n": close.T @ left["copies"].to_numpy()})
-            out = pd.concat([out, other])
-        return out.astype("int64")
-
-    return count
-
-
-def _forest(close: np.ndarray, n_left: int) -> list[tuple[int, int]]:
-    """Edges that span the components of a bipartite (or square) neighbour matrix, by breadth-first search."""
-    pending = np.ones(n_left, dtype=bool)
-    unseen = np.ones(close.shape[1], dtype=bool)
-    edges = []
-    for seed in range(n_left):
-        if not pending[seed]:
+def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of sorted batches with equal keys, in order; a key may come in several slices."""
+    for batch in batches:
+        if batch.num_rows == 0:
             continue
-        frontier = [seed]
-        pending[seed] = False
-        while frontier:
-            u = frontier.pop()
-            new = np.flatnonzero(close[u] & unseen)
-            unseen[new] = False
-            for v in new:
-                edges.append((u, int(v)))
-                onward = np.flatnonzero(close[:, v] & pending)
-                pending[onward] = False
-                edges.extend((int(w), int(v)) for w in onward)
-                frontier.extend(int(w) for w in onward)
-    return edges
-
-
-def _link_in_pair(eps: float):
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, distance = _sides(pdf)
-        edges = _forest(distance <= eps, len(left))
-        ls, rs = left["row_id"].to_numpy(), right["row_id"].to_numpy()
-        return pd.DataFrame({"a": [ls[u] for u, _ in edges], "b": [rs[v] for _, v in edges]}, dtype="int64")
-
-    return link
-
-
-def _adopt_in_pair(eps: float):
-    def adopt(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, distance = _sides(pdf)
-        close = distance <= eps
-        found = []
-        for rows, others, near in ((left, right, close), (right, left, close.T)):
-            border = ~rows["core"].to_numpy(dtype=bool)
-            labels = np.where(others["core"].to_numpy(dtype=bool), others["label"].fillna(-1).to_numpy(dtype="int64"), np.iinfo("int64").max)
-            best = np.where(near[border], labels[None, :], np.iinfo("int64").max).min(axis=1, initial=np.iinfo("int64").max)
-            found.append(pd.DataFrame({"row_id": rows["row_id"].to_numpy()[border], "label": best}))
-        out = pd.concat(found)
-        return out[out["label"] != np.iinfo("int64").max].astype("int64")
-
-    return adopt
+        columns = [batch.column(k).to_pylist() for k in keys]
+        start = 0
+        for i in range(1, batch.num_rows + 1):
+            if i == batch.num_rows or any(c[i] != c[start] for c in columns):
+                yield tuple(c[start] for c in columns), batch.slice(start, i - start)
+                start = i
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pivots of a cell, then its own vectors in; (cell, pivot, reach) out, the largest chord to the pivot so far."""
+    now, pivots = None, None
+    for (cell, salt, is_row), part in _groups(batches, "cell", "salt", "is_row"):
+        if (cell, salt) != now:
+            now, pivots = (cell, salt), []
+        if not is_row:
+            pivots.append(_matrix(part.column("unit")))
+            continue
+        dots = _matrix(part.column("unit")) @ np.concatenate(pivots).T
+        best = dots.argmax(axis=1)
+        chord = np.sqrt(np.maximum(2 - 2 * dots[np.arange(len(best)), best], 0))
+        kinds, place = np.unique(best, return_inverse=True)
+        reach = np.zeros(len(kinds))
+        np.maximum.at(reach, place, chord)
+        yield pa.RecordBatch.from_pydict({"cell": [cell] * len(kinds), "pivot": kinds.astype(np.int32), "reach": reach})
+
+
+def _dealt(radius: float):
+    """Pivots of a cell, then all its vectors in; vectors in child cells out, once as own and as often as they may have a neighbour elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, pivots, reach, apart = None, [], None, None, None
+        for (cell, salt, is_row), part in _groups(batches, "cell", "salt", "is_row"):
+            if (cell, salt) != now:
+                now, parts, pivots = (cell, salt), [], None
+            if not is_row:
+                parts.append(part)
+                continue
+            if pivots is None:
+                pivots = np.concatenate([_matrix(p.column("unit")) for p in parts])
+                reach = np.concatenate([np.asarray(p.column("reach"), dtype=np.float64) for p in parts])
+                apart = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0))
+            units = _matrix(part.column("unit"))
+            dots = units @ pivots.T
+            own = np.asarray(part.column("own").to_pylist(), dtype=bool)
+            near = np.sqrt(np.maximum(2 - 2 * dots, 0)) <= reach + radius + _SLACK
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for c in range(len(pivots)):
+                    side = (dots - dots[:, [c]]) / apart[c]
+                    side[:, apart[c] < 1e-7] = 0
+                    near[:, c] &= side.max(axis=1) <= radius + _SLACK
+            home = dots.argmax(axis=1)
+            near[own, home[own]] = True
+            row, child = np.nonzero(near)
+            is_own = own[row] & (home[row] == child)
+            moved = part.select(["row_id", "unit", "copies"]).take(pa.array(row))
+            yield pa.RecordBatch.from_pydict(
+                {"cell": [f"{cell}.{c}" for c in child], "own": is_own, "row_id": moved.column("row_id"), "unit": moved.column("unit"), "copies": moved.column("copies")}
+            )
+
+    return run
+
+
+_CELLS = "cell string, own boolean, row_id bigint, unit array<double>, copies bigint"
+
+
+def metric_cells(units: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, n_pivots: int = PIVOTS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(cell, own, row_id, unit, copies): every distinct unit vector once as own, and in every cell that may hold one within `eps` of it.
+
+    A cell has at most `block_rows` own vectors.
+    """
+    radius = math.sqrt(2 * eps)
+    cells = units.select(F.lit("0").alias("cell"), F.lit(True).alias("own"), "row_id", "unit", F.col("copies").cast("bigint").alias("copies"))
+    finished = None
+    level = 0
+    while True:
+        sizes = cut_lineage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own")))
+        large = sizes.filter(F.col("n_own") > block_rows).drop("n_own")
+        small = cells.join(sizes.filter((F.col("n_own") > 0) & (F.col("n_own") <= block_rows)).select("cell"), "cell", "left_semi")
+        finished = small if finished is None else finished.unionByName(small)
+        if large.isEmpty():
+            return finished
+        salts = F.ceil(F.col("n") / rows_per_task)
+        dealt = salted_lookup(cells, large.withColumn("salts", salts.cast("int")), ["cell"], "n").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("salts").cast("bigint")).cast("int"))
+        chosen = top_k(dealt.filter("own").select("cell", "row_id", "unit", F.xxhash64("row_id", F.lit(level)).alias("draw")), ["cell"], [F.col("draw").asc(), F.col("row_id").asc()], n_pivots)
+        chosen = cut_lineage(chosen.select("cell", (F.col("rank") - 1).cast("int").alias("pivot"), "unit"))
+        spread = large.select("cell", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)).alias("salt"))
+
+        def streamed(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+            heads = pivots.join(spread, "cell").withColumn("is_row", F.lit(False))
+            both = heads.unionByName(rows.drop("n", "salts").withColumn("is_row", F.lit(True)), allowMissingColumns=True)
+            return both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_row", "pivot")
+
+        reach = streamed(dealt.filter("own"), chosen).mapInArrow(_nearest, "cell string, pivot int, reach double")
+        reach = reach.groupBy("cell", "pivot").agg(F.max("reach").alias("reach"))
+        cells = cut_lineage(streamed(dealt, chosen.join(reach, ["cell", "pivot"])).mapInArrow(_dealt(radius), _CELLS))
+        level += 1
+
+
+def _cell_by_cell(rows: DataFrame, start, step, end, schema: str) -> DataFrame:
+    """Run `start(own)`, then `step(state, others)` per batch of vectors copied to the cell, then `end(state)`; step and end give batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, state = None, [], None
+
+        def begin():
+            return start(pa.Table.from_batches(own).combine_chunks()) if own else None
+
+        for (cell, is_own), part in _groups(batches, "cell", "own"):
+            if cell != now:
+                if own and state is None:
+                    state = begin()
+                if state is not None:
+                    yield from end(state)
+                now, own, state = cell, [], None
+            if is_own:
+                own.append(part)
+                continue
+            if state is None:
+                state = begin()
+            if state is not None:
+                yield from step(state, part)
+        if own and state is None:
+            state = begin()
+        if state is not None:
+            yield from end(state)
+
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("own").desc()).mapInArrow(run, schema)
+
+
+def _units(table: pa.Table) -> np.ndarray:
+    return _matrix(table.column("unit").combine_chunks())
+
+
+def _count(cells: DataFrame, eps: float) -> DataFrame:
+    """(row_id, n): rows within eps of every vector, itself and copies included."""
+
+    def start(own):
+        units, copies = _units(own), np.asarray(own.column("copies"))
+        close = 1.0 - units @ units.T <= eps
+        np.fill_diagonal(close, True)
+        return {"ids": own.column("row_id"), "units": units, "n": close @ copies}
+
+    def step(state, part):
+        state["n"] = state["n"] + (1.0 - state["units"] @ _matrix(part.column("unit")).T <= eps) @ np.asarray(part.column("copies"))
+        return ()
+
+    def end(state):
+        yield pa.RecordBatch.from_pydict({"row_id": state["ids"].combine_chunks(), "n": state["n"].astype(np.int64)})
+
+    return _cell_by_cell(cells, start, step, end, "row_id bigint, n bigint")
+
+
+def _root(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def _link(cores: DataFrame, eps: float) -> DataFrame:
+    """(a, b): links that span what each cell sees of the components of cores."""
+
+    def merged(parent, groups):
+        for rows in groups:
+            first = _root(parent, rows[0])
+            for i in rows[1:]:
+                other = _root(parent, i)
+                parent[max(first, other)] = first = min(first, other)
+
+    def start(own):
+        units = _units(own)
+        parent = np.arange(len(units))
+        close = 1.0 - units @ units.T <= eps
+        merged(parent, (np.append(np.flatnonzero(row), i) for i, row in enumerate(close)))
+        return {"ids": np.asarray(own.column("row_id")), "units": units, "parent": parent}
+
+    def step(state, part):
+        close = 1.0 - state["units"] @ _matrix(part.column("unit")).T <= eps
+        touched = np.flatnonzero(close.any(axis=0))
+        merged(state["parent"], (np.flatnonzero(close[:, j]) for j in touched))
+        first = close[:, touched].argmax(axis=0)
+        if len(touched):
+            yield pa.RecordBatch.from_pydict({"a": np.asarray(part.column("row_id"))[touched], "b": state["ids"][first]})
+
+    def end(state):
+        ids = state["ids"]
+        yield pa.RecordBatch.from_pydict({"a": ids, "b": ids[[_root(state["parent"], i) for i in range(len(ids))]]})
+
+    return _cell_by_cell(cores, start, step, end, "a bigint, b bigint")
+
+
+def _adopt(rows: DataFrame, eps: float) -> DataFrame:
+    """(row_id, label): for vectors that are no core, the least label among the cores within eps."""
+
+    def labels(table):
+        return np.asarray(table.column("label").fill_null(_FAR))
+
+    def least(units, others, of):
+        return np.where(1.0 - units @ others.T <= eps, of[None, :], _FAR).min(axis=1, initial=_FAR)
+
+    def start(own):
+        core = np.asarray(own.column("core").to_pylist(), dtype=bool)
+        units = _units(own)
+        border = units[~core]
+        return {"ids": np.asarray(own.column("row_id"))[~core], "units": border, "label": least(border, units[core], labels(own)[core])}
+
+    def step(state, part):
+        core = np.asarray(part.column("core").to_pylist(), dtype=bool)
+        state["label"] = np.minimum(state["label"], least(state["units"], _matrix(part.column("unit"))[core], labels(part)[core]))
+        return ()
+
+    def end(state):
+        found = state["label"] != _FAR
+        yield pa.RecordBatch.from_pydict({"row_id": state["ids"][found], "label": state["label"][found].astype(np.int64)})
+
+    return _cell_by_cell(rows, start, step, end, "row_id bigint, label bigint")
 
 
 def cosine_clusters(vectors: DataFrame, row_id: str, vector: str, eps: float = 0.5, min_samples: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -109,34 +265,26 @@ def cosine_clusters(vectors: DataFrame, row_id: str, vector: str, eps: float = 0
 
     Core rows have at least `min_samples` rows within `eps`, themselves included. Labels count from 0 in the
     order of each cluster's smallest core row; a border row takes the smallest label among its core neighbours.
-    Exact, hence quadratic in compute; memory and shuffle per task stay at block size.
+    Exact. Vectors that are all within reach of each other are compared in pairs of cells, whatever the partition.
     """
     rows = vectors.select(F.col(row_id).cast("bigint").alias("row_id"), normalise(F.col(vector)).alias("unit"))
     # Copies share their neighbours, so one of them stands for all, with their number as its weight.
     units = cut_lineage(rows.groupBy("unit").agg(F.min("row_id").alias("row_id"), F.count("*").alias("copies")))
-    n_blocks = max(1, math.ceil(units.count() / block_rows))
+    cells = cut_lineage(metric_cells(units, eps, block_rows))
 
-    counts = (
-        _block_pairs(units, n_blocks, "copies").groupBy("bi", "bj")
-        .applyInPandas(_count_in_pair(eps), "row_id bigint, n bigint").groupBy("row_id").agg(F.sum("n").alias("n"))
-    )
-    marked = cut_lineage(units.join(counts.select("row_id", (F.col("n") >= min_samples).alias("core")), "row_id"))
-    core = marked.filter("core")
-    links = _block_pairs(core, n_blocks).groupBy("bi", "bj").applyInPandas(_link_in_pair(eps), "a bigint, b bigint")
+    core = cut_lineage(_count(cells, eps).select("row_id", (F.col("n") >= min_samples).alias("core")))
+    links = _link(cells.join(core.filter("core").select("row_id"), "row_id", "left_semi"), eps)
     part = connected_components(links, "a", "b")
-    rooted = core.select("row_id").join(part.withColumnRenamed("node", "row_id"), "row_id", "left").select(
+    rooted = core.filter("core").select("row_id").join(part.withColumnRenamed("node", "row_id"), "row_id", "left").select(
         "row_id", F.coalesce("component", "row_id").alias("root")
     )
     # One row per cluster is numbered here, not one per vector.
-    roots = rooted.select("root").distinct()
-    numbered = _dense_numbers(roots, "root", "label")
+    numbered = _dense_numbers(rooted.select("root").distinct(), "root", "label")
     labelled_core = cut_lineage(rooted.join(numbered, "root").select("row_id", "label"))
-    with_labels = marked.join(labelled_core, "row_id", "left")
-    adopted = (
-        _block_pairs(with_labels, n_blocks, "core", "label").groupBy("bi", "bj")
-        .applyInPandas(_adopt_in_pair(eps), "row_id bigint, label bigint").groupBy("row_id").agg(F.min("label").alias("label"))
-    )
-    labels = labelled_core.unionByName(adopted)
+    # Cells without a border vector of their own have nothing to decide.
+    open_cells = cells.filter("own").join(core.filter("not core").select("row_id"), "row_id", "left_semi").select("cell").distinct()
+    asked = cells.join(open_cells, "cell", "left_semi").join(core, "row_id").join(labelled_core, "row_id", "left")
+    labels = labelled_core.unionByName(_adopt(asked, eps))
     known = units.join(labels, "row_id").select("unit", "copies", "label")
     return salted_lookup(rows, known, ["unit"], "copies").select("row_id", "label")
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinelake.operators.components import connected_components
+from cinelake.operators.cosine import metric_cells
 from cinelake.plans import activities, people
 
 
@@ -171,3 +172,44 @@ def test_merge(spark, rows):
     assert rows(rejects) == [(2, "at least 2 cluster ids required"), (3, "unknown cluster id"), (5, "unreadable time")]
     placed = activities.merged_members(members, requests, merged).orderBy("place").collect()
     assert [r.media_id for r in placed] == ["y", "z", "x"]
+
+
+def clumps(rng, n_clumps, each, dim):
+    centres = rng.normal(size=(n_clumps, dim))
+    points = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), each, axis=0) + rng.normal(0, 0.01, (n_clumps * each, dim))
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
+
+
+def unit_rows(spark, points):
+    return spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "row_id bigint, unit array<double>, copies bigint")
+
+
+def test_cells_hold_every_neighbour_and_stay_small(spark):
+    points = np.concatenate([clumps(np.random.default_rng(7), 20, 12, 6), np.random.default_rng(8).normal(size=(120, 6))])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    cells = {}
+    for r in metric_cells(unit_rows(spark, points), 0.05, block_rows=15, n_pivots=5, rows_per_task=40).collect():
+        cells.setdefault(r.cell, ([], []))[0 if r.own else 1].append(r.row_id)
+    homes = {i: c for c, (own, _) in cells.items() for i in own}
+    assert sorted(homes) == list(range(len(points))) and max(len(own) for own, _ in cells.values()) <= 15
+    near = 1 - points @ points.T <= 0.05
+    for i, c in homes.items():
+        assert set(np.flatnonzero(near[i])) <= set(cells[c][0]) | set(cells[c][1])
+
+
+def test_copies_do_not_grow_with_rows(spark):
+    """Six times the rows and cells, the same number of copies of each."""
+    copies = []
+    for n_clumps in (40, 240):
+        points = clumps(np.random.default_rng(3), n_clumps, 10, 24)
+        copies.append(metric_cells(unit_rows(spark, points), 0.02, block_rows=20, n_pivots=32).count() / len(points))
+    assert copies[1] < 1.5 * copies[0], copies
+
+
+def test_clusters_of_clumps_against_plain_dbscan(spark):
+    points = clumps(np.random.default_rng(11), 25, 8, 5)
+    points[50:60] = points[50]
+    faces = spark.createDataFrame([(i, "m", i, (p * 3).tolist()) for i, p in enumerate(points)], "row_id bigint, media_id string, frame_number bigint, embedding array<double>").withColumn("face_index", F.lit(0))
+    labelled, _ = people.cluster_faces(faces, eps=0.03, min_samples=4, block_rows=9)
+    got = [-1 if r.cluster_id is None else r.cluster_id for r in labelled.orderBy("row_id").collect()]
+    assert got == dbscan(points, 0.03, 4)
