@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions.vectors import cosine_distance
@@ -17,12 +21,17 @@ def split_on_flag(df: DataFrame, keys: Sequence[str], segment: str, order: Seque
     return running_sum_across(df, keys, segment, order, starts, name)
 
 
-def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, tie: str, name: str, segment_s: float = 86_400.0) -> DataFrame:
-    """Number the sessions of each key. A gap of exactly `gap_s` still joins. `ts` is in seconds."""
-    cut = df.withColumn("__day", F.floor(F.col(ts) / F.lit(segment_s)).cast("bigint"))
-    lagged = neighbour_across(cut, keys, "__day", [ts, tie], {"__before": ts})
-    out = split_on_flag(lagged, keys, "__day", [ts, tie], F.col(ts) - F.col("__before") > gap_s, name)
-    return out.drop("__before", "__day")
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, tie: str, name: str, rows_per_segment: int = ROWS_PER_SALT) -> DataFrame:
+    """Number the sessions of each key. A gap of exactly `gap_s` still joins. `ts` is in seconds.
+
+    A key with more than `rows_per_segment` rows, be they of one minute, is cut into ranges of (ts, tie). Each range is handed the last time
+    and the number of sessions begun before it.
+    """
+    order = [ts, tie]
+    cut = range_segments(df, keys, order, "__range", rows_per_segment)
+    lagged = neighbour_across(cut, keys, "__range", order, {"__before": ts})
+    out = split_on_flag(lagged, keys, "__range", order, F.col(ts) - F.col("__before") > gap_s, name)
+    return out.drop("__before", "__range")
 
 
 def vector_breaks(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[str], vector: str, threshold: float, name: str) -> DataFrame:
@@ -125,13 +134,15 @@ def subject_inside(path: DataFrame, keys: Sequence[str], inside: Column) -> Data
 
 
 def sliding_means(vectors: DataFrame, keys: Sequence[str], time: str, vector: str, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """Mean vector per key and sliding window (`window_start`)."""
-    parts = vectors.select(*keys, time, F.posexplode(vector).alias("__d", "__x"))
-    means = parts.groupBy(*keys, F.window(time, length, slide).alias("__w"), "__d").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
-    items = F.array_sort(F.collect_list(F.struct("__d", "__m")))
-    return means.groupBy(*keys, F.col("__w.start").alias("window_start")).agg(items.alias("__i")).select(
-        *keys, "window_start", F.transform("__i", lambda s: s["__m"]).alias("mean_vector")
-    )
+    """Mean vector per key and sliding window (`window_start`); null vectors do not count.
+
+    Vectors are summed once, per pane (the longest span that fits both length and slide); windows are merged from the sums of their panes.
+    """
+    pane = f"{math.gcd(*(int(pd.Timedelta(x).total_seconds() * 1000) for x in (length, slide)))} milliseconds"
+    rows = vectors.filter(F.col(vector).isNotNull()).select(*keys, F.window(time, pane)["start"].alias("__pane"), array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    panes = rows.groupBy(*keys, "__pane").agg(Summarizer.sum(F.col("__v")).alias("__v"), F.count(F.lit(1)).alias("__n"))
+    merged = panes.groupBy(*keys, F.window("__pane", length, slide)["start"].alias("window_start")).agg(Summarizer.sum(F.col("__v")).alias("__v"), F.sum("__n").alias("__n"))
+    return merged.select(*keys, "window_start", F.transform(vector_to_array("__v"), lambda x: x / F.col("__n")).alias("mean_vector"))
 
 
 def window_breaks(means: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -18,22 +18,39 @@ MAX_BROADCAST_QUERIES = 4096
 ROW_BLOCK = 16_384
 
 
-def _best_rows(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query ids, row ids, scores) of each query's k best rows; ties go to the smaller row id."""
-    place = np.empty(len(ids), np.int64)
-    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    for start in range(0, len(query_ids), QUERY_BATCH):
-        some = query_ids[start : start + QUERY_BATCH]
-        scores = vectors @ queries[start : start + QUERY_BATCH].T
-        keep = min(k, len(ids))
-        edge = -np.partition(-scores, keep - 1, axis=0)[keep - 1]
-        r, c = np.nonzero(scores >= edge[None, :])
-        order = np.lexsort((place[r], -scores[r, c], c))
-        r, c = r[order], c[order]
-        first = np.searchsorted(c, np.arange(len(some)))
-        won = np.arange(len(c)) - first[c] < k
-        r, c = r[won], c[won]
-        yield some[c], ids[r], scores[r, c]
+class Best:
+    """The k best rows of every query over all blocks seen; ties go to the smaller row id.
+
+    The k-th best score so far is a query's bound: a block's scores below it are never sorted or kept, and most blocks have no other.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.bound = np.full(len(queries), -np.inf)
+        self.query, self.ids, self.scores = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        found = []
+        for start in range(0, len(self.queries), QUERY_BATCH):
+            scores = vectors @ self.queries[start : start + QUERY_BATCH].T
+            edge = self.bound[start : start + QUERY_BATCH]
+            if len(ids) > self.k:
+                edge = np.maximum(edge, -np.partition(-scores, self.k - 1, axis=0)[self.k - 1])
+            row, query = np.nonzero(scores >= edge)
+            if len(row):
+                found.append((query + start, ids[row], scores[row, query]))
+        if not found:
+            return
+        query = np.concatenate([self.query, *[f[0] for f in found]])
+        ids = np.concatenate([*([] if self.ids is None else [self.ids]), *[f[1] for f in found]])
+        scores = np.concatenate([self.scores, *[f[2] for f in found]])
+        _, place = np.unique(ids, return_inverse=True)
+        order = np.lexsort((place, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = rank < self.k
+        self.bound[query[rank == self.k - 1]] = scores[rank == self.k - 1]
+        self.query, self.ids, self.scores = query[kept], ids[kept], scores[kept]
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -47,7 +64,7 @@ def exact_top_k(
     """(query, row, score, rank) of the k rows with the largest inner product, for every query.
 
     Queries are normalised. Up to `max_broadcast` of them, by count, travel to every task; more are cut into
-    blocks that meet blocks of rows. Either way a task hands on at most k rows per query and block of rows it read.
+    blocks that meet blocks of rows. A task hands on at most k rows per query.
     """
     q = queries.select(F.col(query_id), normalise(F.col(query_vector)).alias("__q"))
     rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(ident), F.col(vector).alias("__v"))
@@ -65,10 +82,12 @@ def exact_top_k(
 
         def scan(batches):
             qs, matrix = shared.value
+            best = Best(matrix, k)
             for pdf in batches:
                 if len(pdf):
-                    for found in _best_rows(pdf[ident].to_numpy(), _stack(pdf["__v"]), qs, matrix, k):
-                        yield frame(*found)
+                    best.add(pdf[ident].to_numpy(), _stack(pdf["__v"]))
+            if best.ids is not None:
+                yield frame(qs[best.query], best.ids, best.scores)
 
         scored = rows.mapInPandas(scan, schema)
     else:
@@ -82,8 +101,9 @@ def exact_top_k(
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return frame([], [], [])
-            parts = _best_rows(left[ident].to_numpy(), _stack(left["__v"]), right[query_id].to_numpy(), _stack(right["__q"]), k)
-            return pd.concat([frame(*p) for p in parts])
+            best = Best(_stack(right["__q"]), k)
+            best.add(left[ident].to_numpy(), _stack(left["__v"]))
+            return frame(right[query_id].to_numpy()[best.query], best.ids, best.scores)
 
         scored = a.groupBy("rb", "qb").cogroup(b.groupBy("rb", "qb")).applyInPandas(meet, schema)
     return top_k(scored, [query_id], [F.col("score").desc(), F.col(ident).asc()], k)

@@ -112,11 +112,12 @@ def sliding_means(vectors: DataFrame, time: str, vector: str, length: str = "5 m
 
 
 def sliding_sums(vectors: DataFrame, time: str, vector: str, length: str = "5 minutes", slide: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
-    """Per media, window and dimension: sum and count, from which means follow. Works in update mode."""
+    """Per media, window and dimension: sum and count, from which means follow. Vectors are summed whole and laid out at the end. Works in update mode."""
     timed = vectors.withWatermark(time, lateness) if vectors.isStreaming else vectors
-    parts = timed.select("media_id", time, F.posexplode(vector).alias("dim", "x"))
-    return parts.groupBy("media_id", F.window(time, length, slide).alias("w"), "dim").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count("*").alias("n")).select(
-        "media_id", F.col("w.start").alias("window_start"), "dim", "total", "n"
+    rows = timed.filter(F.col(vector).isNotNull()).select("media_id", time, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    sums = rows.groupBy("media_id", F.window(time, length, slide).alias("w")).agg(Summarizer.sum(F.col("__v")).alias("__s"), F.count("*").alias("n"))
+    return sums.select("media_id", F.col("w.start").alias("window_start"), F.posexplode(vector_to_array("__s")).alias("dim", "total"), "n").select(
+        "media_id", "window_start", "dim", "total", "n"
     )
 
 

@@ -30,35 +30,40 @@ def overlaps(c: Catalog):
     return out.filter("out_s > next_start").select("narrative_id", "track", "in_s", "out_s", "next_start")
 
 
-PATH = """p as (select media_id, frame, x from (select * from (select distinct media_id from detections), (select unnest(generate_series(0, 29))::bigint as frame)) left join
-    (select media_id, frame_number // 3 as frame, max(cx) as x from detections where class = 'purchase' group by all) using (media_id, frame))"""
-FILLED = f"""{PATH}, l as (select *, last_value(case when x is not null then frame end ignore nulls) over w as lf, last_value(x ignore nulls) over w as lx from p window w as (partition by media_id order by frame rows unbounded preceding)),
+PATH = """p as (select media_id, class, frame, x from (select media_id, class, unnest(generate_series(0, n))::bigint as frame from (select distinct media_id, class from detections) join
+    (select media_id, max(frame_number) // 3 as n from detections group by media_id) using (media_id)) left join
+    (select media_id, class, frame_number // 3 as frame, max(cx) as x from detections group by all) using (media_id, class, frame))"""
+FILLED = f"""{PATH}, l as (select *, last_value(case when x is not null then frame end ignore nulls) over w as lf, last_value(x ignore nulls) over w as lx from p window w as (partition by media_id, class order by frame rows unbounded preceding)),
     q as (select *, frame - coalesce(lf, -1) - 1 as into_gap, coalesce(lx, 50.0) as v from l),
-    f as (select media_id, frame, case when x is not null then x when into_gap < 1 then v when into_gap < 3 then v + (into_gap - 1) / 2.0 * (50.0 - v) else 50.0 end as x from q)"""
+    f as (select media_id, class, frame, case when x is not null then x when into_gap < 1 then v when into_gap < 3 then v + (into_gap - 1) / 2.0 * (50.0 - v) else 50.0 end as x from q)"""
+TRACK = ["media_id", "class"]
 
 
 def _path(c: Catalog) -> DataFrame:
-    seen = c.detections.filter("class = 'purchase'").groupBy("media_id", F.floor(F.col("frame_number") / 3).cast("bigint").alias("frame")).agg(F.max("cx").alias("x"))
-    frames = c.detections.select("media_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(29).cast("bigint"))))
-    return frames.join(seen, ["media_id", "frame"], "left").withColumn("y", F.col("x"))
+    """Every class of a media over all frames of that media."""
+    boxes = c.detections.select(*TRACK, F.floor(F.col("frame_number") / 3).cast("bigint").alias("frame"), "cx")
+    seen = boxes.groupBy(*TRACK, "frame").agg(F.max("cx").alias("x"))
+    last = boxes.groupBy("media_id").agg(F.max("frame").alias("last"))
+    frames = boxes.select(*TRACK).distinct().join(last, "media_id").select(*TRACK, F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("frame"))
+    return frames.join(seen, [*TRACK, "frame"], "left").withColumn("y", F.col("x"))
 
 
 def _filled(c: Catalog) -> DataFrame:
     mid = F.lit(50.0)
-    return ordered.fill_gaps(_path(c), ["media_id"], "frame", "x", "y", F.lit(1.0), mid, mid, hold_s=1.0, drift_s=2.0, segment_frames=8)
+    return ordered.fill_gaps(_path(c), TRACK, "frame", "x", "y", F.lit(1.0), mid, mid, hold_s=1.0, drift_s=2.0, segment_frames=8)
 
 
-@query("win04_gap_fill", f"with {FILLED} select media_id, frame, round(x, 6) as x from f")
+@query("win04_gap_fill", f"with {FILLED} select media_id, class, frame, round(x, 6) as x from f")
 def gap_fill(c: Catalog):
-    return _filled(c).select("media_id", "frame", F.round("x", 6).alias("x"))
+    return _filled(c).select(*TRACK, "frame", F.round("x", 6).alias("x"))
 
 
-@query("win05_smoothing", f"""with recursive {FILLED}, a as (select 1 - exp(-1.0 / 3.0) as alpha), s as (select media_id, frame, x as s from f where frame = 0
-    union all select f.media_id, f.frame, s.s + alpha * (f.x - s.s) from s join f on f.media_id = s.media_id and f.frame = s.frame + 1, a)
-    select media_id, frame, round(s, 6) as s from s""")
+@query("win05_smoothing", f"""with recursive {FILLED}, a as (select 1 - exp(-1.0 / 3.0) as alpha), s as (select media_id, class, frame, x as s from f where frame = 0
+    union all select f.media_id, f.class, f.frame, s.s + alpha * (f.x - s.s) from s join f on f.media_id = s.media_id and f.class = s.class and f.frame = s.frame + 1, a)
+    select media_id, class, frame, round(s, 6) as s from s""")
 def smoothing(c: Catalog):
     alpha = ordered.smoothing_alpha(F.lit(3.0), F.lit(1.0))
-    return ordered.smooth(_filled(c), ["media_id"], "frame", ["x"], alpha).select("media_id", "frame", F.round("x", 6).alias("s"))
+    return ordered.smooth(_filled(c), TRACK, "frame", ["x"], alpha).select(*TRACK, "frame", F.round("x", 6).alias("s"))
 
 
 @query("win06_timeline_offsets", """select narrative_id, pos, clip_id, round(coalesce(sum(out_s - in_s) over (partition by narrative_id order by pos, clip_id, in_s, out_s, level_db, track rows between unbounded preceding and 1 preceding), 0), 4) as offset_s from plan_clips""")
@@ -106,18 +111,18 @@ def sessions(c: Catalog):
 
 @query("win11_sessions_all", SESSION.format(gap=120, camera="0"))
 def all_sessions(c: Catalog):
-    return ordered.sessions(_clips(c, F.lit(0)), ["camera"], "ts_s", 120.0, "id", "session", segment_s=3600.0).select("camera", "id", "session")
+    return ordered.sessions(_clips(c, F.lit(0)), ["camera"], "ts_s", 120.0, "id", "session", rows_per_segment=2000).select("camera", "id", "session")
 
 
-@query("win12_crop_jumps", f"with {FILLED}, j as (select media_id, frame, abs(x - lag(x) over (partition by media_id order by frame)) as jump from f) select media_id, frame, round(jump, 6) as jump from j where jump > 100 * 0.02")
+@query("win12_crop_jumps", f"with {FILLED}, j as (select media_id, class, frame, abs(x - lag(x) over (partition by media_id, class order by frame)) as jump from f) select media_id, class, frame, round(jump, 6) as jump from j where jump > 100 * 0.02")
 def jumps(c: Catalog):
-    out = ordered.crop_jumps(_filled(c), ["media_id"], "frame", "x", F.lit(100.0), segment_frames=8)
-    return out.select("media_id", "frame", F.round("jump", 6).alias("jump"))
+    out = ordered.crop_jumps(_filled(c), TRACK, "frame", "x", F.lit(100.0), segment_frames=8)
+    return out.select(*TRACK, "frame", F.round("jump", 6).alias("jump"))
 
 
-@query("win12_subject_inside", f"with {FILLED} select media_id, round(avg((x between 30 and 70)::int), 6) as inside_share, avg((x between 30 and 70)::int) > 0.9 as meets_target from f group by media_id")
+@query("win12_subject_inside", f"with {FILLED} select media_id, class, round(avg((x between 30 and 70)::int), 6) as inside_share, avg((x between 30 and 70)::int) > 0.9 as meets_target from f group by media_id, class")
 def inside(c: Catalog):
-    return ordered.subject_inside(_filled(c), ["media_id"], F.col("x").between(30, 70)).withColumn("inside_share", F.round("inside_share", 6))
+    return ordered.subject_inside(_filled(c), TRACK, F.col("x").between(30, 70)).withColumn("inside_share", F.round("inside_share", 6))
 
 
 @query("win13_sliding_breaks", """with v as (select label, vec_id, (vec_id * 20) // 60 * 60 - 60 * k as w, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as d from embeddings, (select unnest([0, 1, 2, 3, 4]) as k)),
