@@ -159,3 +159,11 @@ def kept_in_worker(name: str, make):
     if name not in store:
         store[name] = make()
     return store[name]
+
+
+def free_name(df, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cinelake.llm.registry import release_shuffles
-from cinelake.llm.texts import mix, runs
+from cinelake.llm.texts import free_name, mix, runs
 from cinelake.session import cut_lineage
 
 ORDER = 6
@@ -29,6 +28,8 @@ STRETCHES = (1, 3, 10)
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 RIDGE = 1.0
+#: Log odds that a text is toxic before anything is known of it, and the least spread of a feature.
+PRIOR, LEAST_DEVIATION = -2.2, 1e-3
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -185,32 +186,56 @@ def _deal_table(shards: int):
     return deal
 
 
-def _ask(text: int, shards: int):
-    """The rows in pieces as they are, and the distinct n-grams of each block of them by shard."""
+def _blocks(batches: Iterator[pa.RecordBatch], text: int, split: int) -> Iterator[tuple[str, pa.RecordBatch | None]]:
+    """(block, piece) in the order of the rows, and (block, None) after its last piece. Blocks are named by the partition of the scan."""
+    part, n_blocks, size = None, 0, 0
+    for batch in batches:
+        if batch.num_rows:
+            part = batch.column(split)[0].as_py()
+        for first, data, offsets in runs(batch.column(text), PIECE_BYTES):
+            yield f"{part}-{n_blocks}", batch.slice(first, len(offsets) - 1)
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield f"{part}-{n_blocks}", None
+                n_blocks, size = n_blocks + 1, 0
+    if part is not None:
+        yield f"{part}-{n_blocks}", None
+
+
+def _ask(text: int, split: int, shards: int):
+    """The distinct n-grams of each block of rows by shard."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n_blocks, n_pieces, size = TaskContext.get().partitionId(), 0, 0, 0
         held: list[np.ndarray] = []
-        for batch in batches:
-            for first, data, offsets in runs(batch.column(text), PIECE_BYTES):
-                piece = batch.slice(first, len(offsets) - 1)
-                for _, some, places in runs(piece.column(text)):
-                    gram, whole = _grams(some, places)
-                    held.append(np.unique(gram[whole]))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
-                    out.write_batch(piece)
-                yield _row((part + n_pieces) % shards, _TEXTS, f"{part}-{n_blocks}", sink.getvalue().to_pybytes())
-                n_pieces, size = n_pieces + 1, size + len(data)
-                if size >= BLOCK_BYTES:
-                    yield from _dealt(_ASKED, f"{part}-{n_blocks}", np.unique(np.concatenate(held)), None, shards)
-                    held, size, n_blocks = [], 0, n_blocks + 1
-        if held:
-            yield from _dealt(_ASKED, f"{part}-{n_blocks}", np.unique(np.concatenate(held)), None, shards)
+        for block, piece in _blocks(batches, text, split):
+            if piece is None:
+                if held:
+                    yield from _dealt(_ASKED, block, np.unique(np.concatenate(held)), None, shards)
+                held = []
+                continue
+            for _, some, places in runs(piece.column(text)):
+                gram, whole = _grams(some, places)
+                held.append(np.unique(gram[whole]))
 
     return ask
 
 
+def _carry(text: int, split: int):
+    """The rows of each block in compressed pieces."""
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, piece in _blocks(batches, text, split):
+            if piece is None:
+                continue
+            piece = pa.RecordBatch.from_arrays([c for i, c in enumerate(piece.columns) if i != split], [n for i, n in enumerate(piece.schema.names) if i != split])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
+                out.write_batch(piece)
+            yield _row(0, _TEXTS, block, sink.getvalue().to_pybytes())
+
+    return carry
+
+
 def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where ascending keys hold what is wanted, and whether they do."""
     if not len(keys):
@@ -223,9 +248,6 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by shard, its table first: every n-gram asked for gets its own ratio, that of its context if it was never counted, or else 0."""
     here, table, ready = None, {}, False
     for place, kind, block, payload in _rows(batches):
-        if kind == _TEXTS:
-            yield _row(place, kind, block, payload)
-            continue
         if place != here:
             here, table, ready = place, {_CONTEXTS: [], _GRAMS: []}, False
         if kind != _ASKED:
@@ -261,7 +283,7 @@ def _features(data: np.ndarray, offsets: np.ndarray, answers) -> np.ndarray:
     names, back = np.unique(gram[whole], return_inverse=True)
     at, known = _at(grams, names)
     if not known.all():
-        raise RuntimeError("the texts changed between two attempts of a task: n-grams of a block were not looked up")
+        raise RuntimeError("two scans of the same rows found different partitions: n-grams of a block were not looked up")
     ratio = np.zeros(len(data))
     if len(names):
         ratio[whole] = ratios[at][back]
@@ -287,22 +309,24 @@ def _features(data: np.ndarray, offsets: np.ndarray, answers) -> np.ndarray:
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression by Newton steps on standardised features: (centre, scale, weights with the constant last).
 
-    Without any rows nothing is known against a text: every score is 0 but for rounding.
+    The constant is drawn towards `PRIOR`, so that a handful of rows does not speak against every text. With rows of one class only, or
+    none, nothing is known against a text: every score is 0 but for rounding.
     """
-    if not len(x):
+    if not len(x) or y.min() == y.max():
         return np.zeros(N_FEATURES), np.ones(N_FEATURES), np.append(np.zeros(N_FEATURES), -30.0)
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), LEAST_DEVIATION)
     z = np.hstack([(x - centre) / scale, np.ones((len(x), 1))])
-    w = np.zeros(N_FEATURES + 1)
+    prior = np.append(np.zeros(N_FEATURES), PRIOR)
+    w = prior.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (y - p) - RIDGE * w
+        slope = z.T @ (y - p) - RIDGE * (w - prior)
         curve = (z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w))
         w = w + np.linalg.solve(curve, slope)
     return centre, scale, w
 
 
-def _score(fitted, text: int):
+def _score(fitted, text: int, name: str):
     """Answers and pieces of rows, by block, to the rows, whose column `text` is the text, and a score (or, not fitted, the features)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,11 +346,11 @@ def _score(fitted, text: int):
                 x = _features(data, offsets, answers)
                 rest = batch.slice(first, len(offsets) - 1)
                 if fitted is None:
-                    yield rest.append_column("features", pa.array(list(x), pa.list_(pa.float64())))
+                    yield rest.append_column(name, pa.array(list(x), pa.list_(pa.float64())))
                 else:
                     centre, scale, w = fitted
                     z = np.clip(((x - centre) / scale) @ w[:-1] + w[-1], -30, 30)
-                    yield rest.append_column("score", pa.array(1 / (1 + np.exp(-z))))
+                    yield rest.append_column(name, pa.array(1 / (1 + np.exp(-z))))
 
     return score
 
@@ -335,14 +359,21 @@ def _looked_up(rows: DataFrame, text: str, ratios: DataFrame, fitted, name: str)
     """`rows` with a score (or, not fitted, the features) as column `name`, by the exact table of ratios (kind, key, ratio).
 
     Blocks of rows ask for each of their distinct n-grams once. The questions meet the table shard by shard, and the answers meet the
-    rows block by block: no task holds more than a shard or a block, and a common n-gram is asked for once a block.
+    rows block by block: no task holds more than a shard or a block, and a common n-gram is asked for once a block. Only questions go to
+    the shards; the rows, scanned again, go to their blocks. Both scans must deal rows to partitions alike, as those of files and
+    checkpoints do; anything else is written first.
     """
+    if "Exchange" in rows._jdf.queryExecution().sparkPlan().toString() or "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = cut_lineage(rows)
     shards = max(LEAST_SHARDS, -(-ratios.count() // SHARD_ROWS))
     at = rows.columns.index(text)
     others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    asked = ratios.mapInArrow(_deal_table(shards), _ROW).unionByName(rows.mapInArrow(_ask(at, shards), _ROW))
+    split = len(rows.columns)
+    dealt = rows.withColumn(free_name(rows, "__split"), F.spark_partition_id())
+    asked = ratios.mapInArrow(_deal_table(shards), _ROW).unionByName(dealt.mapInArrow(_ask(at, split, shards), _ROW))
     answered = asked.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(_answer, _ROW)
-    return answered.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_score(fitted, at), f"{others}, `{name}` {'array<double>' if fitted is None else 'double'}")
+    both = answered.unionByName(dealt.mapInArrow(_carry(at, split), _ROW))
+    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_score(fitted, at, name), f"{others}, `{name}` {'array<double>' if fitted is None else 'double'}")
 
 
 class ToxicityModel:
@@ -367,7 +398,7 @@ def _table(ratios: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> ToxicityModel:
     """Learn from every row of `labelled` with a label; counts cover all of them, the calibration a bounded sample (by hash of the key).
 
-    Rows with a null key, label or text teach nothing. Without rows for the calibration every score is 0 but for rounding; with one class only, scores follow that class.
+    Rows with a null key, label or text teach nothing. Unless both the counted rows and the calibration have both classes, every score is 0 but for rounding.
     """
     spark = labelled.sparkSession
     hashed = F.xxhash64(F.col(key).cast("string"))
@@ -385,7 +416,8 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: st
     seen = _looked_up(sample.select((F.col(toxic) == 1).alias("toxic"), F.col(text).alias("text")), "text", first, None, "features").select("toxic", "features").toArrow()
     x = np.array(seen.column("features").combine_chunks().flatten().to_numpy(), float).reshape(-1, N_FEATURES)
     y = seen.column("toxic").to_numpy().astype(float)
-    fitted = _fit(x, y)
+    known = part.agg(F.max("toxic"), F.max("ordinary")).first()
+    fitted = _fit(x, y) if known[0] and known[1] else _fit(x[:0], y[:0])
     both = counts.select("gram", (F.col("toxic_a") + F.col("toxic_b")).alias("toxic"), (F.col("ordinary_a") + F.col("ordinary_b")).alias("ordinary"))
     ratios = _table(log_ratios(both))
     release_shuffles(spark)  # the exchange of labelled texts, before texts are dealt again
@@ -411,6 +443,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose score stays below the threshold, with all their columns."""
-    scored = train_on_labels(docs, labels).score(docs, name="__toxicity")
-    return scored.filter(F.col("__toxicity") < threshold).select(*docs.columns)
+    """The rows of `docs` whose score stays below the threshold, with all their columns, whatever they are called.
+
+    With labels too few to learn from all rows stay; a null text is scored as an empty one; no rows give no rows; repeated rows are rows.
+    """
+    name = free_name(docs, "__toxicity")
+    return train_on_labels(docs, labels).score(docs, name=name).filter(F.col(name) < threshold).select(*docs.columns)

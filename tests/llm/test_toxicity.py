@@ -3,6 +3,7 @@ import zlib
 from math import log
 
 import pytest
+from pyspark.sql import functions as F
 
 from cinelake.llm import toxicity
 
@@ -139,3 +140,40 @@ def test_a_sixth_byte_tells_expressions_apart(spark):
 def test_without_labels_no_document_is_dropped(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None), (None, "")], "doc_id bigint, text string")
     assert toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).count() == 3
+
+
+def test_few_labels_keep_documents(spark):
+    """Twelve ordinary labels and one toxic, whichever half the toxic one falls into; one of each; ordinary or toxic ones only."""
+    docs = spark.createDataFrame([(i, f"an ordinary text number {i} about the weather") for i in range(13)], "doc_id bigint, text string")
+    open_ids = [i for i in range(13) if zlib.crc32(str(i).encode()) % 4 != 2]
+    for bad in open_ids[:3]:
+        labels = spark.createDataFrame([(i, int(i == bad)) for i in range(13)], "doc_id bigint, toxic int")
+        assert toxicity.without_toxic(docs, labels).count() >= 12
+    two = spark.createDataFrame([(open_ids[0], 0), (open_ids[1], 1)], "doc_id bigint, toxic int")
+    assert toxicity.without_toxic(docs, two).count() == 13
+    for only in (0, 1):
+        assert toxicity.without_toxic(docs, docs.select("doc_id").withColumn("toxic", F.lit(only))).count() == 13
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "some text", 0.5, 7, "x"), (1, "some text", 0.5, 7, "x"), (1, "other", None, 8, "y")], "doc_id bigint, text string, __toxicity double, __split int, score string")
+    kept = toxicity.without_toxic(docs, spark.createDataFrame([(1, 0), (1, 1)], "doc_id bigint, toxic int"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_questions_and_rows_of_many_blocks_meet(spark, monkeypatch, tmp_path):
+    """Files read in several partitions and blocks: every row finds its answers although texts do not travel with the questions."""
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 300)
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcdef", k=rng.randint(1, 8))) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    grams = {}
+    for _, t in rows:
+        for i in range(len(t) - ORDER + 1):
+            grams[t[i : i + ORDER]] = float(zlib.crc32(t[i : i + ORDER].encode()) % 100)
+    table = spark.createDataFrame([(1, int.from_bytes(g.encode(), "big"), v) for g, v in grams.items()], "kind int, key bigint, ratio float")
+    got = {r["doc_id"]: r["features"][0] for r in toxicity._looked_up(docs, "text", table, None, "features").collect()}
+    want = {i: sum(grams[t[j : j + ORDER]] for j in range(len(t) - ORDER + 1)) / max(len(t), 1) for i, t in rows}
+    assert got == pytest.approx(want, rel=1e-5)
