@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.llm.registry import release_shuffles
-from cinelake.llm.texts import Spans, Words, mix, runs
+from cinelake.llm.texts import Spans, Words, mix, runs, shielded
 from cinelake.operators.components import connected_components
 from cinelake.session import cut_lineage
 
@@ -239,10 +239,13 @@ def _classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
     """From rows of doc_id, text and node: (doc_id, node) of every row, (node, found) of linked texts, and the verified links (a, b)."""
     signed = cut_lineage(rows.select("doc_id", "node", "text").mapInArrow(_sign, "doc_id bigint, node bigint, size bigint, bands array<bigint>, print binary"))
     firsts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    single = cut_lineage(signed.filter("size > 0").join(firsts, ["node", "doc_id"]))
+    # one row of a text stands for all of them: sizes, bands and prints follow from the text
+    single = cut_lineage(signed.filter("size > 0").drop("doc_id").dropDuplicates(["node"]))
     buckets = _open(single.select("node", "size", F.col("node").alias("class"), F.explode("bands").alias("bucket")))
     wanted = buckets.select("node").distinct().join(firsts, "node")
-    texts = cut_lineage(rows.select("node", "doc_id", "text").join(wanted, ["node", "doc_id"]).select("node", "text"))
+    l, r = rows.select("node", "doc_id", "text").alias("l"), wanted.alias("r")  # noqa: E741
+    same = (F.col("l.node") == F.col("r.node")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
+    texts = cut_lineage(l.join(r, same).select("l.node", "l.text").dropDuplicates(["node"]))
 
     release_shuffles(rows.sparkSession)
     links = classes = None
@@ -278,11 +281,16 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, doc_id: str
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every near-duplicate class, with all its columns: the one with the smallest id (null last, then by text)."""
+    """One row of every near-duplicate class, with all its columns, whatever they are called: the one with the smallest id (null last, then by text).
+
+    Rows whose ids are all null are linked like others; of repeated rows one stays; a null text counts as empty; no rows give no rows.
+    """
+    names = docs.columns
+    docs = shielded(docs)
     rows = docs.withColumn("__node", _node(F.col(text).cast("string"))).withColumn("__id", F.col(doc_id).cast("bigint"))
     named, classes, _ = _classes(rows.select(F.col("__id").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("__node").alias("node")), threshold)
     placed = named.join(classes, "node", "left").select("doc_id", "node", F.coalesce("found", "node").alias("class"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best")
     kept = placed.groupBy("class").agg(best).select(F.col("best.node").alias("__node"), F.col("best.doc_id").alias("__kept"))
     met = rows.join(kept, "__node").filter(F.col("__id").eqNullSafe(F.col("__kept")))
-    return met.dropDuplicates(["__node"]).select(*docs.columns)
+    return met.dropDuplicates(["__node"]).select(*docs.columns).toDF(*names)

@@ -167,3 +167,12 @@ def free_name(df, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def shielded(df):
+    """`df` with columns whose names begin like an operator's own (two underscores) renamed; `toDF(*df.columns)` gives the names back."""
+    out = df
+    for c in df.columns:
+        if c.startswith("__"):
+            out = out.withColumnRenamed(c, free_name(out, "kept" + c.strip("_")))
+    return out

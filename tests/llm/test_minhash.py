@@ -90,3 +90,19 @@ def test_one_row_of_each_class_stays(spark):
     assert kept == [(-1, "c"), (2, "b"), (7, "d")]
     assert minhash.keep_one_of_each(docs).columns == docs.columns
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_null_ids_are_linked_and_repeated_rows_count_once(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, text), (None, text + " more"), (None, text + " more"), (5, "a b c d e f g h"), (5, "a b c d e f g h"), (6, "a b c d e f g h i"), (6, "a b c d e f g h i")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = minhash.keep_one_of_each(docs).collect()
+    assert len(kept) == 2 and sorted(r.doc_id or 0 for r in kept) == [0, 5]
+    links = {(r.doc_id, r.class_id, r.n_links) for r in minhash.near_duplicates(docs).collect()}
+    assert links == {(None, None, 1), (5, 5, 1), (6, 5, 1)}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 7, "n", True)], "doc_id bigint, text string, __id int, __node string, __kept boolean")
+    assert [tuple(r) for r in minhash.keep_one_of_each(docs).collect()] == [(1, "one two three four five six", 7, "n", True)]
+    assert minhash.keep_one_of_each(docs).columns == docs.columns
