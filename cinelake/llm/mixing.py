@@ -7,13 +7,17 @@ source's block indices (a new one for every pass over it), and blocks are joined
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinelake.llm.ranks import running_totals
+from cinelake.llm.texts import shielded
 from cinelake.session import cut_lineage
 
 BLOCK, BLOCKS_PER_SOURCE = 64, 1024
 MOST_SHARDS, SLOTS_PER_SHARD = 256, 4096
+SLOTS_PER_TASK = 250_000
 MOST_PASSES = 3
 ROUNDS = 16
 _PIECE = 4096
@@ -60,15 +64,20 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, swap)
 
 
-def _expanded(df: DataFrame, count: Column, name: str) -> DataFrame:
-    """`count` copies of every row, numbered from 0 in `name`, in two steps so that no row becomes one huge array."""
+def _expanded(df: DataFrame, count: Column, name: str, tasks: int | None) -> DataFrame:
+    """`count` copies of every row, numbered from 0 in `name`, in two steps so that no row becomes one huge array.
+
+    The pieces are few and small before they are laid out, so the number of tasks is given (by default that of any shuffle) and not left
+    to the size of the pieces.
+    """
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = df.withColumn("__count", count).filter("__count > 0").withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__count") - 1) / _PIECE))))
     start = F.col("__piece") * _PIECE
-    dealt = pieces.repartition(F.xxhash64(*[c for c in pieces.columns]))
+    dealt = pieces.repartition(tasks, F.xxhash64(*pieces.columns))
     return dealt.withColumn(name, F.explode(F.sequence(start, F.least(start + _PIECE, F.col("__count")) - 1))).drop("__count", "__piece")
 
 
-def draw_counts(sources: DataFrame, shards: int) -> DataFrame:
+def draw_counts(sources: DataFrame, shards: int, tasks: int | None = None) -> DataFrame:
     """(source, shard, first_slot, taken): how many blocks each output shard takes of each source.
 
     `sources` has source, n_blocks and expected (blocks the whole mix should take). A shard's draw is multinomial by the residual method:
@@ -83,7 +92,7 @@ def draw_counts(sources: DataFrame, shards: int) -> DataFrame:
     draws = cells.groupBy("shard").agg(F.max("upper").alias("all"))
     # the number of draws is the remainder's whole part, and one more with the probability of what is left over
     draws = draws.withColumn("n", F.floor("all") + (unit("shard", F.lit("more")) < F.col("all") - F.floor("all")).cast("bigint"))
-    draws = _expanded(draws, F.col("n"), "draw").select("shard", (unit("shard", "draw", F.lit("draw")) * F.col("all")).alias("upper"))
+    draws = _expanded(draws, F.col("n"), "draw", tasks).select("shard", (unit("shard", "draw", F.lit("draw")) * F.col("all")).alias("upper"))
     # draws and the sources' upper bounds in one order: a draw goes to the next bound
     line = cells.select("shard", "upper", F.struct("source").alias("owner"), F.lit(1).alias("bound"))
     line = line.unionByName(draws.select("shard", "upper", F.lit(None).cast(line.schema["owner"].dataType).alias("owner"), F.lit(0).alias("bound")))
@@ -101,9 +110,9 @@ def draw_counts(sources: DataFrame, shards: int) -> DataFrame:
     return slots.withColumn("taken", F.greatest(F.lit(0), F.least("taken", room)).cast("bigint"))
 
 
-def mixed_blocks(counts: DataFrame) -> DataFrame:
+def mixed_blocks(counts: DataFrame, tasks: int | None = None) -> DataFrame:
     """(source, shard, slot, block): every slot of every shard with the block it takes."""
-    slots = _expanded(counts, F.col("taken"), "__at").withColumn("slot", F.col("first_slot") + F.col("__at"))
+    slots = _expanded(counts, F.col("taken"), "__at", tasks).withColumn("slot", F.col("first_slot") + F.col("__at"))
     epoch = F.floor(F.col("slot") / F.col("n_blocks"))
     block = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.coalesce("source", F.lit("\x00")), epoch)
     return slots.select("source", "shard", "slot", block.alias("block"))
@@ -124,13 +133,14 @@ def _planned(keyed: DataFrame, shards: int | None) -> DataFrame:
     """
     rows = cut_lineage(keyed)
     sources = cut_lineage(sized_sources(rows))
+    slots = sources.agg(F.sum("expected")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(slots / SLOTS_PER_TASK))
     if shards is None:
-        slots = sources.agg(F.sum("expected")).first()[0] or 0
         shards = int(min(MOST_SHARDS, max(1, slots // SLOTS_PER_SHARD)))
     placed = running_totals(rows, ["source"], ["key"], "size", "start").drop("group_rows", "group_total")
     l, r = placed.alias("l"), sources.alias("r")  # noqa: E741
     full = l.join(r, F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.source_size", "r.target", "r.block_length")
-    times = mixed_blocks(draw_counts(sources.select("source", "n_blocks", "expected"), shards)).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = mixed_blocks(draw_counts(sources.select("source", "n_blocks", "expected"), shards, tasks), tasks).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     first, last = F.floor(F.col("start") / F.col("block_length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block_length"))
     parts = full.filter("size > 0").select("key", "source", "start", "size", "block_length", F.explode(F.sequence(first, last)).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_length")) - F.greatest(F.col("start"), F.col("block") * F.col("block_length"))
@@ -162,9 +172,12 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, text: str = "tex
     """The mix itself, with the columns of `docs`: up to `MOST_PASSES` rows a document.
 
     The n-th row holds the words of the blocks that the mix takes at least n times, joined by one space; where that is the whole document,
-    its text is left as it is. Rows without words are not part of the mix.
+    its text is left as it is. Rows without words are not part of the mix. Columns may have any names; no rows give no rows.
     """
-    rows = docs.withColumn("__key", F.xxhash64(*docs.columns))
+    names = docs.columns
+    docs = shielded(docs)
+    # two hashes of 64 bits: rows that share a key are equal
+    rows = docs.withColumn("__key", F.concat_ws(":", F.xxhash64(*docs.columns), F.xxhash64(F.lit("key"), *docs.columns)))
     planned = _planned(rows.select(F.col("__key").alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), shards)
     plans = planned.filter("taken > 0").groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "block_length", "times")).alias("__plans"))
     met = rows.join(plans, "__key").dropDuplicates(["__key"]).withColumn("__plan", F.explode("__plans")).drop("__plans")
@@ -174,4 +187,4 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, text: str = "tex
     place = lambda i: (F.floor((start + i) / length) - F.floor(start / length)).cast("int")
     some = F.array_join(F.filter(words, lambda w, i: F.get(F.col("__plan.times"), place(i)) >= F.col("__pass")), " ")
     taken = F.when(F.array_min("__plan.times") >= F.col("__pass"), F.col(text)).otherwise(some)
-    return met.withColumn(text, taken).select(*docs.columns)
+    return met.withColumn(text, taken).select(*docs.columns).toDF(*names)

@@ -90,3 +90,12 @@ def test_targets_stop_at_three_times_the_size(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
+
+
+def test_columns_of_any_name_stay_and_slots_are_dealt(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", "a b c d e f", 9, "p", i) for i in range(60)], "doc_id bigint, source string, text string, __key int, __plan string, __pass bigint")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {(r["__key"], r["__plan"]) for r in mixed.collect()} == {(9, "p")}
+    pieces = spark.createDataFrame([(1, 50_000)], "k int, n bigint")
+    sizes = mixing._expanded(pieces, F.col("n"), "at", 9).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 50_000
