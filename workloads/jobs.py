@@ -183,12 +183,13 @@ def feedback(c: Catalog):
 
 
 @query("job09_fetch_list", """select o_orderkey as narrative_id, '| Music | ' || o_orderpriority || ' | 00:00:00.000 | ' || printf('%.1f', (o_custkey % 60)::double) || 's | Freesound, MusicGen, AudioJungle | ' || case when o_custkey % 60 > 30 then 'High' else 'Medium' end || ' |' as line from orders where o_orderstatus <> 'F'
-    union all select o_orderkey, '| B-Roll | sea | 00:01:00.000 | 2.0s | Pexels, Pixabay, Artgrid | Medium |' from orders""")
+    union all select o_orderkey, '| B-Roll | sea | 00:01:00.000 | 2.0s | Pexels, Pixabay, Artgrid | Medium |' from orders
+    union all select o_orderkey, unnest(['# Unresolved Asset Fetch List', '', '| Type | Description | Start Time | Duration | Suggested Sources | Priority |', '| --- | --- | --- | --- | --- | --- |']) from orders""")
 def fetch_list(c: Catalog):
     doc = F.concat(F.lit('{"music": [{"mood": "'), F.col("o_orderpriority"), F.lit('", "duration": '), (F.col("o_custkey") % 60).cast("string"), F.lit('}], "broll_requests": [{"description": "sea", "duration": 2, "start_time": "00:01:00.000"}]}'))
     wanted = assets.asset_requests(c.orders.select(F.col("o_orderkey").alias("narrative_id"), doc.alias("edl_json")))
     found = c.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("narrative_id"), F.lit("Music").alias("kind"), F.lit(0).cast("bigint").alias("pos"), F.lit("m.wav").alias("path"))
-    return assets.fetch_list_lines(assets.resolve_assets(wanted, found)).filter("kind_pos >= 0").select("narrative_id", "line")
+    return assets.fetch_list_lines(assets.resolve_assets(wanted, found)).select("narrative_id", "line")
 
 
 @query("job10_timeline_rows", """select narrative_id, track, row_number() over (partition by narrative_id, track order by in_s, pos, clip_id, out_s) - 1 as place, clip_id, in_s, round(out_s - in_s, 4) as duration_s, coalesce('f' || cast(m.clip_id as varchar), cast(p.clip_id as varchar)) as target from plan_clips p left join (select clip_id from clip_media) m using (clip_id)""")
@@ -287,11 +288,12 @@ def render_issue_counts(c: Catalog):
     return issues.groupBy(F.col("check").alias("check_name")).agg(F.count("*").alias("n"))
 
 
-@query("exp18_render_issues", """with r as (select o_orderkey as render_id, o_custkey % 100 + 10.0 as dur, o_orderkey % 90 + 10.0 as tgt, o_orderstatus as st from orders)
-    select render_id, 'Duration ' || printf('%.1f', dur) || 's differs from target ' || printf('%.1f', tgt) || 's by more than 1s' as message from r where abs(dur - tgt) > 1 union all select render_id, 'Resolution 1920x720 does not match expected 1920x1080' from r where st = 'P'""")
+@query("exp18_render_issues", """with r as (select o_orderkey as render_id, o_custkey % 100 + 10.0 as dur, o_orderkey % 90 + 10.0 as tgt, o_orderstatus as st, o_orderpriority as pr, trunc(o_totalprice * 50) / 1048576.0 as mb, mb / (dur / 60.0) as rate from orders)
+    select render_id, 'Duration ' || printf('%.1f', dur) || 's differs from target ' || printf('%.1f', tgt) || 's by more than 1s' as message from r where abs(dur - tgt) > 1 union all select render_id, 'Resolution 1920x720 does not match expected 1920x1080' from r where st = 'P'
+    union all select render_id, 'Codec ''hevc'' does not match expected ''h264''' from r where pr = '5-LOW'
+    union all select render_id, 'File size ' || printf('%.1f', mb) || ' MB (' || printf('%.1f', rate) || ' MB/min) ' || case when rate < 8 then 'is below expected minimum of 8 MB/min' else 'exceeds expected maximum of 15 MB/min' end from r where rate < 8 or rate > 15""")
 def render_issues(c: Catalog):
-    out = render_qa.probe_issues(_renders(c))
-    return out.filter(F.col("check").isin("duration", "resolution")).select("render_id", "message")
+    return render_qa.probe_issues(_renders(c)).select("render_id", "message")
 
 
 @query("exp19_measurement_logs", """select o_orderkey as render_id, pos, case when pos = 1 then -1 else 1.5 end::double as start_s, case when pos = 0 then 0.5 else 0.5 end::double as duration_s from orders, (select unnest([0, 1])::bigint as pos)""")

@@ -189,14 +189,17 @@ def tags(c: Catalog):
 
 @query("join23_timeline_diff", """with p as (select narrative_id, track, clip_id, in_s, out_s from plan_clips),
     a as (select narrative_id, clip_id, arg_max(in_s, k) as in_s, arg_max(out_s, k) as out_s from (select narrative_id, clip_id, in_s + case when pos % 3 = 0 then 0.5 else 0 end as in_s, out_s,
-        pos * 1000000 + in_s * 1000 + level_db + out_s / 1000 as k, pos from plan_clips where level_db > -25) group by all)
+        pos * 1000000 + in_s * 1000 + level_db + out_s / 1000 as k, pos from plan_clips where level_db > -25) group by all),
+    pn as (select narrative_id, count(*) as n, count(distinct track) as t from plan_clips group by 1), an as (select narrative_id, count(*) as n, count(distinct track) as t from plan_clips where level_db > -25 group by 1)
     select narrative_id, clip_id, 'missing' as change, round(in_s, 3) as planned, -1.0::double as actual from p where not exists (select 1 from a where a.narrative_id = p.narrative_id and a.clip_id = p.clip_id)
     union all select p.narrative_id, p.clip_id, 'start', round(p.in_s, 3), round(a.in_s, 3) from p join a on a.narrative_id = p.narrative_id and a.clip_id = p.clip_id where abs(a.in_s - p.in_s) > 0.05
-    union all select p.narrative_id, p.clip_id, 'duration', round(p.out_s - p.in_s, 3), round(a.out_s - a.in_s, 3) from p join a on a.narrative_id = p.narrative_id and a.clip_id = p.clip_id where abs((a.out_s - a.in_s) - (p.out_s - p.in_s)) > 0.05""")
+    union all select p.narrative_id, p.clip_id, 'duration', round(p.out_s - p.in_s, 3), round(a.out_s - a.in_s, 3) from p join a on a.narrative_id = p.narrative_id and a.clip_id = p.clip_id where abs((a.out_s - a.in_s) - (p.out_s - p.in_s)) > 0.05
+    union all select narrative_id, null, kind, planned, actual from (select narrative_id, 'clip_count' as kind, pn.n::double as planned, coalesce(an.n, 0)::double as actual from pn left join an using (narrative_id)
+        union all select narrative_id, 'track_count', pn.t, coalesce(an.t, 0) from pn left join an using (narrative_id)) where planned <> actual""")
 def diff(c: Catalog):
     planned = c.plan_clips.select("narrative_id", "track", "clip_id", "pos", "in_s", "out_s")
     place = F.col("pos") * 1000000 + F.col("in_s") * 1000 + F.col("level_db") + F.col("out_s") / 1000
     moved = c.plan_clips.filter("level_db > -25").withColumns({"__k": place, "new_in": F.col("in_s") + F.when(F.col("pos") % 3 == 0, 0.5).otherwise(0.0)})
     actual = moved.select("narrative_id", "track", "clip_id", F.col("__k").alias("pos"), F.col("new_in").alias("in_s"), "out_s")
-    out = timeline.timeline_diff(planned, actual).filter("change in ('missing', 'start', 'duration')")
+    out = timeline.timeline_diff(planned, actual)
     return out.select("narrative_id", "clip_id", "change", F.round("planned", 3).alias("planned"), F.round(F.coalesce("actual", F.lit(-1.0)), 3).alias("actual"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cinelake.operators import maintenance, relations
 from cinelake.session import ensure_checkpoint_dir
+from cinelake.sources import documents
 from cinelake.sources.tables import CatalogTables
 from workloads.registry import query
 from workloads.views import Catalog
@@ -100,3 +101,14 @@ def rejects(c: Catalog):
 @query("udf05_review_decisions", "select narrative_id, case when narrative_id in (select narrative_id from uploaded) then 'approved' else 'rejected' end as status from narratives")
 def decisions(c: Catalog):
     return relations.review_decisions(c.narratives.select("narrative_id"), c.uploaded.select("narrative_id"))
+
+
+@query("src13_written_lines", "select event_type, 'event ' || event_id || ' of user ' || user_id as line from events union all select event_type, '' from events where event_id % 100 = 0")
+def written_lines(c: Catalog):
+    """Documents written line by line, and read again."""
+    folder = f"{ensure_checkpoint_dir(c.spark)}/documents/{uuid.uuid4().hex}"
+    line = F.concat(F.lit("event "), F.col("event_id"), F.lit(" of user "), F.col("user_id"))
+    lines = c.events.select("event_type", "event_id", F.lit(0).alias("part"), line.alias("line"))
+    breaks = c.events.filter("event_id % 100 = 0").select("event_type", "event_id", F.lit(1).alias("part"), F.lit("").alias("line"))
+    documents.write_lines(lines.unionByName(breaks), "event_type", ["event_id", "part"], "line", folder)
+    return c.spark.read.text(folder).select("event_type", F.col("value").alias("line"))
