@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cinelake.functions.documents import flat_event_json
-from cinelake.operators.summaries import jobs_by_status
+from cinelake.operators.summaries import JOB_STATES, jobs_by_status
 from cinelake.schemas import EVENT_TYPES, STAGE_ALIASES
 
 
@@ -55,6 +55,68 @@ def live_stage_status(job_states: DataFrame) -> DataFrame:
     return jobs_by_status(job_states)
 
 
+def _expiring(events: DataFrame, key: str, time: str, keep: str, lateness: str, fold, schema: str, state: str) -> DataFrame:
+    """Keyed state that ends: `fold(key, rows, state or None)` gives (state, output rows); a key that is silent for `keep` is forgotten."""
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        # A key has a handful of rows per micro-batch, whose size the source limits.
+        rows = pd.concat(list(batches))
+        new, out = fold(keys[0], rows, held.get if held.exists else None)
+        held.update(new)
+        due = int(rows[time].max().value // 1_000_000) + keep_ms
+        held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return events.withWatermark(time, lateness).groupBy(key).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stage_changes(events: DataFrame, time: str, keep: str = "24 hours", lateness: str = "10 minutes") -> DataFrame:
+    """(stage, status, change, job_id): jobs that a stage and status gains (1) or loses (-1), as they happen; `stage_status` sums them at any time.
+
+    events: job_id, event_id, stage, status and the event time. The newest event id of a job counts. A job that is silent for `keep` stays
+    counted where it was, but its state ends; if it reports again it counts as a new job.
+    """
+
+    def fold(job, rows: pd.DataFrame, held):
+        last = rows.loc[rows["event_id"].idxmax()]
+        now = (int(last["event_id"]), last["stage"], last["status"])
+        if held is not None and held[0] >= now[0]:
+            return held, []
+        if held is not None and held[1:] == now[1:]:
+            return now, []
+        gone = [] if held is None else [(held[1], held[2], -1, job)]
+        return now, [*gone, (now[1], now[2], 1, job)]
+
+    kinds = dict(events.dtypes)
+    schema = f"stage {kinds['stage']}, status string, change bigint, job_id {kinds['job_id']}"
+    return _expiring(events, "job_id", time, keep, lateness, fold, schema, f"event_id bigint, stage {kinds['stage']}, status string")
+
+
+def stage_status(changes: DataFrame) -> DataFrame:
+    """Jobs per stage and status from the changes so far, as `live_stage_status` counts them."""
+    n = F.col("change")
+    counts = [F.coalesce(F.sum(F.when(F.col("status") == s, n)), F.lit(0)).alias(s) for s in JOB_STATES]
+    return changes.groupBy("stage").agg(F.sum(n).alias("total"), *counts).filter("total > 0")
+
+
+def run_spending(stages: DataFrame, time: str, budget_s: float, keep: str = "48 hours", lateness: str = "10 minutes") -> DataFrame:
+    """As `run_budget`, one row per run and micro-batch that adds to it; the state of a run that is silent for `keep` ends."""
+
+    def fold(run, rows: pd.DataFrame, held):
+        n, spent = held or (0, 0.0)
+        n, spent = n + len(rows), spent + float(rows["elapsed_seconds"].sum())
+        return (n, spent), [(run, spent, n, budget_s - spent, spent / budget_s * 100)]
+
+    schema = f"run_id {dict(stages.dtypes)['run_id']}, spent_s double, n_stages bigint, budget_remaining_s double, used_pct double"
+    return _expiring(stages, "run_id", time, keep, lateness, fold, schema, "n_stages bigint, spent_s double")
+
+
 def job_durations(started: DataFrame, finished: DataFrame, within: str = "24 hours", lateness: str = "1 hour") -> DataFrame:
     """Pair each start with its finish. started: job_id, started_at; finished: job_id, finished_at, outcome.
 

@@ -120,3 +120,31 @@ def test_notifications(spark, rows):
 def test_stage_names(spark):
     df = spark.createDataFrame([("SOURCE_ASSETS",), ("EDL",), ("source",)], "s string")
     assert [r[0] for r in df.select(ev.stage_name(F.col("s"))).collect()] == ["source", "edl", "source"]
+
+
+def state_rows(stream, tmp_path):
+    """Rows that the stream's state holds at its end, and everything it wrote."""
+    kept = []
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, i: kept.extend(b.collect())).start()
+    query.awaitTermination()
+    return query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"], kept
+
+
+def test_state_of_finished_jobs_ends(spark, rows, tmp_path):
+    schema = "job_id string, event_id bigint, stage string, status string, at timestamp"
+    first = [(f"old{i}", i, "ingest", "done", at(i)) for i in range(20)]
+    later = [("a", 100, "ingest", "running", at(200_000)), ("b", 101, "ingest", "running", at(200_000))]
+    last = [("a", 102, "render", "done", at(300_000)), ("b", 99, "ingest", "error", at(300_000))]
+    stream = arriving(spark, tmp_path, schema, [first, later, last])
+    left, written = state_rows(ev.stage_changes(stream, "at", keep="30 hours"), tmp_path)
+    assert left == 2
+    status = ev.stage_status(spark.createDataFrame(written))
+    assert rows(status, "stage", "total", "running", "done", "error") == [("ingest", 21, 1, 20, 0), ("render", 1, 0, 1, 0)]
+
+
+def test_state_of_finished_runs_ends(spark, tmp_path):
+    schema = "run_id bigint, elapsed_seconds double, at timestamp"
+    stream = arriving(spark, tmp_path, schema, [[(1, 10.0, at(0)), (1, 5.0, at(60))], [(2, 7.0, at(400_000))], [(2, 1.0, at(400_100))]])
+    left, written = state_rows(ev.run_spending(stream, "at", 100.0), tmp_path)
+    assert left == 1
+    assert [(r.run_id, r.spent_s, r.n_stages, r.budget_remaining_s) for r in written] == [(1, 15.0, 2, 85.0), (2, 7.0, 1, 93.0), (2, 8.0, 2, 92.0)]

@@ -52,6 +52,15 @@ def live_status(c: Catalog):
     return ev.live_stage_status(states)
 
 
+@query("str04_stage_changes", """select stage, count(*) as total, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'running') as running, count(*) filter (status = 'done') as done, count(*) filter (status = 'error') as error
+    from (select arg_max(user_id % 9, event_id) as stage, arg_max(case event_type when 'error' then 'error' when 'click' then 'running' when 'view' then 'pending' else 'done' end, event_id) as status from events group by user_id) group by stage""")
+def stage_changes(c: Catalog):
+    """The same from changes written while the stream runs, with state that ends."""
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "pending").otherwise("done")
+    rows = stream(c).select(F.col("user_id").alias("job_id"), "event_id", (F.col("user_id") % 9).alias("stage"), status.alias("status"), "ts")
+    return ev.stage_status(run_to_table(ev.stage_changes(rows, "ts"), "append"))
+
+
 @query("str05_job_durations", "select event_id as job_id, event_type as outcome, round(value * 60, 3) as duration_seconds from events where event_type <> 'error'")
 def durations(c: Catalog):
     started = stream(c).select(F.col("event_id").alias("job_id"), F.col("ts").alias("started_at"))
@@ -83,6 +92,13 @@ def budget(c: Catalog):
     return out.select("run_id", "n_stages", F.round("spent_s", 3).alias("spent_s"), F.round("budget_remaining_s", 3).alias("budget_remaining_s"))
 
 
+@query("str07_run_spending", "select extract(day from ts)::bigint as run_id, count(*) as n_stages, round(sum(value), 3) as spent_s, round(1000 - sum(value), 3) as budget_remaining_s from events group by 1")
+def spending(c: Catalog):
+    rows = stream(c).select(F.dayofmonth("ts").cast("bigint").alias("run_id"), F.col("value").alias("elapsed_seconds"), "ts")
+    out = newest(run_to_table(ev.run_spending(rows, "ts", 1000.0), "append"), ["run_id"])
+    return out.select("run_id", "n_stages", F.round("spent_s", 3).alias("spent_s"), F.round("budget_remaining_s", 3).alias("budget_remaining_s"))
+
+
 @query("str08_stalled_jobs", """select cast(user_id as varchar) as job_id, cast(user_id % 9 as varchar) as stage, 7200.0::double as running_s from (select *, lead(ts) over (partition by user_id order by ts) as nx from events) where event_type = 'click'
     and epoch_us(coalesce(nx, (select max(ts) - interval 10 minutes from events))) / 1e6 - epoch_us(ts) / 1e6 > 7200""")
 def stalled(c: Catalog):
