@@ -194,41 +194,43 @@ def _count(cells: DataFrame, eps: float) -> DataFrame:
     return _cell_by_cell(cells, start, step, end, "row_id bigint, n bigint")
 
 
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def _spread(close: np.ndarray) -> np.ndarray:
+    """Components of a symmetric neighbour matrix, each named by its first row."""
+    label = np.full(len(close), -1, np.int64)
+    for seed in range(len(close)):
+        if label[seed] >= 0:
+            continue
+        frontier = np.array([seed])
+        label[seed] = seed
+        while len(frontier):
+            frontier = np.flatnonzero(close[frontier].any(axis=0) & (label < 0))
+            label[frontier] = seed
+    return label
 
 
 def _link(cores: DataFrame, eps: float) -> DataFrame:
     """(a, b): links that span what each cell sees of the components of cores."""
 
-    def merged(parent, groups):
-        for rows in groups:
-            first = _root(parent, rows[0])
-            for i in rows[1:]:
-                other = _root(parent, i)
-                parent[max(first, other)] = first = min(first, other)
-
     def start(own):
         units = _units(own)
-        parent = np.arange(len(units))
-        close = 1.0 - units @ units.T <= eps
-        merged(parent, (np.append(np.flatnonzero(row), i) for i, row in enumerate(close)))
-        return {"ids": np.asarray(own.column("row_id")), "units": units, "parent": parent}
+        return {"ids": np.asarray(own.column("row_id")), "units": units, "label": _spread(1.0 - units @ units.T <= eps)}
 
     def step(state, part):
         close = 1.0 - state["units"] @ _matrix(part.column("unit")).T <= eps
         touched = np.flatnonzero(close.any(axis=0))
-        merged(state["parent"], (np.flatnonzero(close[:, j]) for j in touched))
-        first = close[:, touched].argmax(axis=0)
+        label = state["label"]
+        for j in touched:
+            if (label == label[0]).all():
+                break
+            met = np.unique(label[close[:, j]])
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
         if len(touched):
+            first = close[:, touched].argmax(axis=0)
             yield pa.RecordBatch.from_pydict({"a": np.asarray(part.column("row_id"))[touched], "b": state["ids"][first]})
 
     def end(state):
-        ids = state["ids"]
-        yield pa.RecordBatch.from_pydict({"a": ids, "b": ids[[_root(state["parent"], i) for i in range(len(ids))]]})
+        yield pa.RecordBatch.from_pydict({"a": state["ids"], "b": state["ids"][state["label"]]})
 
     return _cell_by_cell(cores, start, step, end, "a bigint, b bigint")
 

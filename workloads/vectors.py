@@ -71,7 +71,7 @@ FACES = """recursive v as (select vec_id as i, list_transform(embedding, lambda
 @query("job17_face_clusters", f"with {FACES} select vec_id as row_id, coalesce(out.label, -1)::bigint as cluster_id from embeddings left join out on i = vec_id")
 def face_clusters(c: Catalog):
     faces = c.embeddings.select(F.col("vec_id").alias("row_id"), F.col("label").alias("media_id"), F.col("vec_id").alias("frame_number"), F.lit(0).alias("face_index"), "embedding")
-    labelled, _ = people.cluster_faces(faces, eps=0.6, min_samples=3, block_rows=400)
+    labelled, _ = people.cluster_faces(faces, eps=0.6, min_samples=3)
     return labelled.select("row_id", F.coalesce("cluster_id", F.lit(-1).cast("bigint")).alias("cluster_id"))
 
 
@@ -80,7 +80,7 @@ def face_clusters(c: Catalog):
     select label::bigint as cluster_id, samples as sample_image_paths, round(v[1] / sqrt(list_inner_product(v, v)), 5) as first_value, (select count(*) from out o where o.label = c.label) as n_faces from c join s using (label)""")
 def centroids(c: Catalog):
     faces = c.embeddings.select(F.col("vec_id").alias("row_id"), F.col("label").alias("media_id"), F.col("vec_id").alias("frame_number"), F.lit(0).alias("face_index"), "embedding")
-    _, clusters = people.cluster_faces(faces, eps=0.6, min_samples=3, block_rows=400)
+    _, clusters = people.cluster_faces(faces, eps=0.6, min_samples=3)
     return clusters.select("cluster_id", "sample_image_paths", F.round(F.col("representative_embedding")[0], 5).alias("first_value"), "n_faces")
 
 
