@@ -44,4 +44,4 @@ def test_run_gives_the_same_rows(spark, stages):
 
 def test_queries_have_one_entry_per_operator():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14))
