@@ -10,10 +10,10 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from struct import pack
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,41 +30,50 @@ _ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+class _Known(dict):
+    """Values by key; missing ones are made, and kept unless the key is long."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= KEPT_LENGTH:
+            self[key] = value
+        return value
+
+
 class _Encoder:
-    """Token ids as little-endian bytes; words met before are looked up, and what is kept is bounded."""
+    """Token ids as little-endian bytes; parts of words met before, and words of texts beyond ASCII, are looked up. What is kept is bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # words never reach over white space, so a text is the sum of its words; str.split knows four separators the tokenizer does not
-        lists = [[] if _ODD.search(t) else t.split() for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        if len(self.parts) > KEPT_PARTS:
-            self.parts = {}
-        new = set().union(*lists).difference(self.words)
-        cut = {w: _ASCII_PARTS.findall(w.lower()) if w.isascii() and "<|" not in w else [w] for w in new}
-        missing = list(set().union(*cut.values()).difference(self.parts))
-        self.parts.update(zip(missing, self._ids(missing)))
-        self.words.update((w, b"".join([self.parts[p] for p in parts])) for w, parts in cut.items())
-        done = [b"".join([self.words[w] for w in words]) for words in lists]
-        for w in [w for w in new if len(w) > KEPT_LENGTH]:
-            del self.words[w]
-        for p in [p for p in missing if len(p) > KEPT_LENGTH]:
-            del self.parts[p]
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
-            done[i] = ids
-        return done
+        self.parts = _Known(self._ids)
+        self.words = _Known(self._word)
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _ascii(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _ASCII_PARTS.findall(text.lower())))
+
+    def _word(self, word: str) -> bytes:
+        return self._ascii(word) if word.isascii() and "<|" not in word else self.parts[word]
+
+    def encode(self, text: str) -> bytes:
+        for known, most in ((self.words, KEPT_WORDS), (self.parts, KEPT_PARTS)):
+            if len(known) > most:
+                known.clear()
+        if _ODD.search(text):  # separators that Python counts as white space and the tokenizer does not
+            return self._ids(text)
+        if text.isascii() and "<|" not in text:
+            return self._ascii(text)
+        # neither words nor parts reach over white space, so a text is the sum of its words
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -72,24 +81,15 @@ def _pieces(path: str, capacity: int, end_id: int):
         encoder = kept_in_worker(path, lambda: _Encoder(path))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            first = 0
-            while first < len(ids):
-                last, size = first, 0
-                group = []
-                while last < len(ids) and (size < 1 << 20 or not group):
-                    group.append(texts[last].as_py() or "")
-                    size += len(group[-1])
-                    last += 1
-                rows = []
-                for doc_id, data in zip(ids[first:last], encoder.encode(group)):
-                    data += pack("<I", end_id)
-                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                columns = list(zip(*rows))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-                first = last
+            rows = []
+            for doc_id, text in zip(ids, texts):
+                data = encoder.encode(text.as_py() or "") + pack("<I", end_id)
+                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[at : at + 4 * capacity]
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
 
