@@ -5,8 +5,9 @@ of two; the earliest point that falls into a signature slot below the shingle's
 the probability of their weighted Jaccard similarity. Slots are banded, and what shares a band is verified on exact multiset overlap.
 
 Within a bucket, texts are first compared with a leader, so links grow with the texts and not with their square. Where a bucket then still
-holds several classes, its signatures meet in blocks inside tasks: these pass on the pairs of a forest that joins the classes over the most
-similar signatures, and at last every pair of different classes whose signatures allow the similarity, so no link is lost to the order.
+holds several classes, its signatures meet in blocks inside tasks, which name the rows that have a partner of another class whose signature
+allows the similarity. The texts of these rows meet in the same blocks, where every such pair is verified and a forest of the links leaves
+the task: what is sent grows with the rows of a block and not with its pairs, and no link is lost to the order.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Pairs at the least similarity agree in 102 of 128 slots on average; fewer than these happen once in 30,000 of them.
 LEAST_SLOTS = 84
-LEADER_ROUNDS, FOREST_ROUNDS = 1, 1
 _RUN, _PER_SALT, _BLOCK = 2 << 20, 256, 1024
+LEADER_ROUNDS = 1
+#: Shingles of the texts of a block, unless one text has more.
+_BLOCK_SHINGLES = 1 << 20
+#: Elements that at most so many texts of a block share are counted pair by pair, others as columns of a product.
+_RARE, _COLUMNS = 8, 2048
 _GOLD, _ALL = 0x9E3779B97F4A7C15, 2**64 - 1
 
 
@@ -95,6 +100,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.bincount(text, weights=weights, minlength=n).astype(np.int64)
             values = signatures(text, hashes, weights, n)
             bands, prints = _banded(values), (mix(values.view(np.uint64)) >> np.uint64(48)).astype("<u2")
+            prints = np.hstack([prints, bands.astype("<u4").view("<u2")])  # 16 bits of every slot, then 32 of every band
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
             yield others.slice(first, n).append_column("size", pa.array(size)).append_column("bands", lists).append_column("print", pa.array([p.tobytes() for p in prints], pa.binary()))
 
@@ -156,8 +162,8 @@ def _leader_pairs(buckets: DataFrame, threshold: float, order: int) -> DataFrame
     return met.filter(_sized_alike(F.col("leader.size"), F.col("size"), threshold)).select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _forest(a: np.ndarray, b: np.ndarray, kind: np.ndarray, agreed: np.ndarray) -> np.ndarray:
-    """Of the pairs (a, b), those of a forest over the classes `kind` that joins the most similar first (Kruskal's)."""
+def _forest(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Of the links (a, b), the places of those that join classes `kind` not joined by earlier ones."""
     root = {k: k for k in np.unique(kind).tolist()}
 
     def find(k):
@@ -166,7 +172,7 @@ def _forest(a: np.ndarray, b: np.ndarray, kind: np.ndarray, agreed: np.ndarray)
             k = root[k]
         return k
 
-    left, chosen = np.argsort(-agreed, kind="stable"), []
+    left, chosen = np.arange(len(a)), []
     while len(left):
         for i in left[:4096].tolist():
             x, y = find(int(kind[a[i]])), find(int(kind[b[i]]))
@@ -180,53 +186,147 @@ def _forest(a: np.ndarray, b: np.ndarray, kind: np.ndarray, agreed: np.ndarray)
     return np.array(chosen, np.int64)
 
 
-def _alike(threshold: float, forest: bool):
-    """Stream rows of blocks in order; pass on pairs of different classes whose signatures and sizes allow the similarity, or a forest of them."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        block = None
-
-        def pairs():
-            node, kind, size = (np.array(c) for c in zip(*(h[:3] for h in held)))
-            slots = np.frombuffer(b"".join(h[3] for h in held), "<u2").reshape(len(held), SLOTS)
-            found = []
-            step = max(1, (32 << 20) // (len(node) * SLOTS))
-            for i in range(0, len(node), step):
-                agreed = (slots[i : i + step, None, :] == slots[None, :, :]).sum(axis=2, dtype=np.int16)
-                rows, cols = np.nonzero(agreed >= LEAST_SLOTS)
-                at = rows + i
-                good = (node[at] < node[cols]) & (kind[at] != kind[cols]) & (np.minimum(size[at], size[cols]) >= threshold * np.maximum(size[at], size[cols]))
-                found.append((at[good], cols[good], agreed[rows[good], cols[good]]))
-            a, b, agreed = (np.concatenate(f) for f in zip(*found))
-            if forest and len(a):
-                kept = _forest(a, b, kind, agreed)
-                a, b = a[kept], b[kept]
-            return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
+def _common(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Exact multiset overlaps of all pairs of texts, each given by its (hashes, weights).
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != block:
-                    if len(held) > 1:
-                        yield pairs()
-                    block, held = row[:3], []
-                held.append(row[3:])
-        if len(held) > 1:
-            yield pairs()
+    A shingle of weight w is w elements, (shingle, 1) to (shingle, w): the overlap of multisets is the number of common elements.
+    """
+    n = len(texts)
+    weights = np.concatenate([w for _, w in texts]).astype(np.int64)
+    ends = np.cumsum(weights)
+    level = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - weights, weights)
+    owner = np.repeat(np.repeat(np.arange(n), [len(h) for h, _ in texts]), weights)
+    element = np.repeat(np.concatenate([h for h, _ in texts]), weights)
+    order = np.lexsort((owner, level, element))
+    owner, level, element = owner[order], level[order], element[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (element[1:] != element[:-1]) | (level[1:] != level[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(owner)))
+    out = np.zeros(n * n, np.int64)
+    for c in range(2, _RARE + 1):
+        first = at[count == c]
+        if len(first):
+            pairs = [owner[first + j] * n + owner[first + i] for i in range(c) for j in range(i)]
+            out += np.bincount(np.concatenate(pairs), minlength=n * n)
+    out = out.reshape(n, n)
+    frequent = np.flatnonzero(count > _RARE)
+    for i in range(0, len(frequent), _COLUMNS):
+        some = frequent[i : i + _COLUMNS]
+        column = np.repeat(np.arange(len(some)), count[some])
+        place = np.repeat(at[some] - np.cumsum(count[some]) + count[some], count[some]) + np.arange(len(column))
+        held = np.zeros((n, len(some)), np.float32)
+        held[owner[place], column] = 1
+        out += np.triu(held @ held.T, 1).astype(np.int64)
+    return out + out.T
+
+
+def _may_link(kind: np.ndarray, size: np.ndarray, own: np.ndarray, bands: np.ndarray, slots: np.ndarray, block: tuple, threshold: float):
+    """(a, b) of the block's pairs of different classes that this block decides: signatures and sizes allow the similarity, and no earlier
+    band is shared, so that a pair is decided in one block only."""
+    bucket, i, j = block
+    band = int(np.flatnonzero(bands[0] == bucket % 2**32)[0])
+    step = max(1, (32 << 20) // (len(kind) * SLOTS))
+    for first in range(0, len(kind), step):
+        agreed = (slots[first : first + step, None, :] == slots[None, :, :]).sum(axis=2, dtype=np.int16)
+        a, b = np.nonzero(agreed >= LEAST_SLOTS)
+        a += first
+        good = (a < b) & (kind[a] != kind[b]) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]))
+        if i != j:
+            good &= own[a] != own[b]
+        a, b = a[good], b[good]
+        for part in range(0, len(a), 1 << 18):
+            x, y = a[part : part + (1 << 18)], b[part : part + (1 << 18)]
+            here = ~(bands[x, :band] == bands[y, :band]).any(axis=1)
+            yield x[here], y[here]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows_of) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(bucket, i, j) and the rows of each block, from a stream in order."""
+    held: list[tuple] = []
+    block = None
+    for batch in batches:
+        for key, row in rows_of(batch):
+            if key != block:
+                if len(held) > 1:
+                    yield block, held
+                block, held = key, []
+            held.append(row)
+    if len(held) > 1:
+        yield block, held
+
+
+def _signed_rows(batch: pa.RecordBatch) -> Iterator[tuple[tuple, tuple]]:
+    for row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+        yield row[:3], row[3:]
+
+
+def _arrays(held: list[tuple]):
+    node, kind, size, own = (np.array(c) for c in zip(*(h[:4] for h in held)))
+    prints = np.frombuffer(b"".join(h[4] for h in held), "<u2").reshape(len(held), -1)
+    return node, kind, size, own, prints[:, SLOTS:].copy().view("<u4"), prints[:, :SLOTS]
+
+
+def _partnered(threshold: float):
+    """Stream signed rows of blocks in order; pass on the rows that have a pair to be verified in their block."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _blocks(batches, _signed_rows):
+            node, kind, size, own, bands, slots = _arrays(held)
+            met = np.zeros(len(node), bool)
+            for a, b in _may_link(kind, size, own, bands, slots, block, threshold):
+                met[a] = met[b] = True
+            if met.any():
+                n = int(met.sum())
+                keys = [pa.array(np.full(n, k), pa.int64()) for k in block]
+                yield pa.RecordBatch.from_arrays(keys + [pa.array(node[met], pa.int64())], ["bucket", "i", "j", "node"])
 
-    return compare
+    return find
+
+
+def _linked(threshold: float):
+    """Stream signed rows with their texts, block by block; verify the pairs and pass on a forest of the links."""
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple, tuple]]:
+        signed = _signed_rows(batch)
+        for _, data, offsets in runs(batch.column(8), _RUN):
+            text, hashes, weights = shingles(data, offsets)
+            bounds = np.searchsorted(text, np.arange(len(offsets)))
+            for k in range(len(offsets) - 1):
+                key, row = next(signed)
+                yield key, (*row, hashes[bounds[k] : bounds[k + 1]].copy(), weights[bounds[k] : bounds[k + 1]].copy())
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _blocks(batches, rows_of):
+            node, kind, size, own, bands, slots = _arrays(held)
+            both = _common([h[5:7] for h in held])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in _may_link(kind, size, own, bands, slots, block, threshold):
+                good = both[x, y] >= threshold * (size[x] + size[y] - both[x, y])
+                a.append(x[good])
+                b.append(y[good])
+                x, y = np.concatenate(a), np.concatenate(b)
+                kept = _forest(x, y, kind)
+                a, b = [x[kept]], [y[kept]]
+            x, y = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(node[x], pa.int64()), pa.array(node[y], pa.int64())], ["a", "b"])
+
+    return verify
 
 
-def _block_pairs(buckets: DataFrame, signed: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """Candidate pairs across classes in the buckets that still hold several, found in blocks of about `_BLOCK` texts."""
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+def _block_links(buckets: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Verified links across classes in the buckets that still hold several, a forest of them from each block of rows."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     rows = buckets.join(sizes, "bucket").join(signed.select("node", "print"), "node")
-    n_blocks = F.floor(F.col("n") / _BLOCK) + 1
+    n_blocks = F.floor(F.greatest(F.col("n") / _BLOCK, F.least("n", F.col("shingles") / _BLOCK_SHINGLES))) + 1
     own = F.pmod(F.xxhash64("node", F.lit("block")), n_blocks)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class", "size", "print")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class", "size", "own", "print")
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(_alike(threshold, forest), "a bigint, b bigint").distinct()
+    met = cut_lineage(dealt.mapInArrow(_partnered(threshold), "bucket bigint, i bigint, j bigint, node bigint"))
+    again = rows.join(met, ["bucket", "i", "j", "node"]).join(texts, "node")
+    again = again.select(*rows.columns, "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    return again.mapInArrow(_linked(threshold), "a bigint, b bigint")
 
 
 def _open(buckets: DataFrame) -> DataFrame:
@@ -249,16 +349,13 @@ def _classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
 
     release_shuffles(rows.sparkSession)
     links = classes = None
-    turns = [lambda: _leader_pairs(buckets, threshold, turn)] * LEADER_ROUNDS
-    turns += [lambda: _block_pairs(buckets, single, threshold, True)] * FOREST_ROUNDS + [lambda: _block_pairs(buckets, single, threshold, False)]
-    for turn, candidates in enumerate(turns):
-        pairs = cut_lineage(candidates())
-        if classes is not None and pairs.isEmpty():
-            continue
-        fresh = cut_lineage(_verified(pairs, texts, threshold))
+    steps = [lambda: _verified(_leader_pairs(buckets, threshold, 0), texts, threshold)] * LEADER_ROUNDS
+    for step in (*steps, lambda: _block_links(buckets, single, texts, threshold)):
+        if classes is not None:
+            buckets = _open(buckets.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found"))
+        fresh = cut_lineage(step())
         links = fresh if links is None else links.unionByName(fresh)
         classes = connected_components(links, "a", "b").withColumnRenamed("component", "found")
-        buckets = _open(buckets.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found"))
         release_shuffles(rows.sparkSession)
     return signed.select("doc_id", "node"), classes, links
 

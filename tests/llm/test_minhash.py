@@ -60,16 +60,36 @@ def test_classes_match_all_pairs(spark, texts, monkeypatch):
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
-@pytest.mark.parametrize("forests", [0, 1])
-def test_links_that_leaders_miss_are_found(spark, texts, monkeypatch, forests):
+@pytest.mark.parametrize("block, shingles", [(4, 1 << 20), (1024, 500)])
+def test_links_that_leaders_miss_are_found(spark, texts, monkeypatch, block, shingles):
     monkeypatch.setattr(minhash, "LEADER_ROUNDS", 0)
-    monkeypatch.setattr(minhash, "FOREST_ROUNDS", forests)
-    monkeypatch.setattr(minhash, "_BLOCK", 4)
+    monkeypatch.setattr(minhash, "_BLOCK", block)
+    monkeypatch.setattr(minhash, "_BLOCK_SHINGLES", shingles)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
+@pytest.mark.parametrize("rare", [1, 3, 8])
+def test_overlaps_of_a_block_are_exact(monkeypatch, rare):
+    monkeypatch.setattr(minhash, "_RARE", rare)
+    monkeypatch.setattr(minhash, "_COLUMNS", 7)
+    rng = random.Random(9)
+    bags = [Counter(rng.choices(range(1, 60), k=rng.randint(1, 80))) for _ in range(20)]
+    held = [(np.array(sorted(b), np.uint64), np.array([b[k] for k in sorted(b)])) for b in bags]
+    both = minhash._common(held)
+    assert all(both[i, j] == sum((bags[i] & bags[j]).values()) for i in range(20) for j in range(20) if i != j)
+
+
+def test_a_block_sends_rows_and_a_forest_for_many_near_misses(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join("x" if k in (i % 50, i * 7 % 50 + 50) else w for k, w in enumerate(words)) + f" t{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+    assert [got[i].class_id for i in range(120)] == classes([t for _, t in rows])
+    assert sum(r.n_links for r in got.values()) < 40 * len(rows)
+
+
 def test_slots_agree_as_often_as_the_bags_overlap():
     rng = np.random.default_rng(3)
     agreed, expected = [], []
