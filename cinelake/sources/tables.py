@@ -1,68 +1,46 @@
-"""The catalog on disk: Parquet buckets of each table behind numbered pointers, the highest of which counts.
+"""The catalog on disk: every table is a folder of whole versions in plain Parquet, the newest finished of which counts.
 
-Rows are bucketed by a hash of the table's first key column. A version folder holds the buckets one change wrote, and
-a pointer lists the buckets that make up the table. So an append adds files and rewrites none, and an upsert,
-update or delete rewrites the buckets its keys fall into and no others.
+An append adds files to that version. Any other change writes the table anew through the functions of
+`operators.maintenance`; Spark's `_SUCCESS` mark, written last, says that a version is whole.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinelake.operators import maintenance
 from cinelake.schemas import DEFAULTS, KEYS, REFERENCES, TABLES
 
-_BUCKET, _POINTER = "__bucket", "CURRENT-"
+_VERSION = "version-"
 
 
 class CatalogTables:
     """Reads and changes the tables below one root path, by one writer at a time.
 
-    A change is written whole, then published by creating the next pointer, which never replaces a file: until then readers
-    see the old rows, whatever becomes of the writer. `buckets`
-    is fixed for the life of a catalog: choose it so that a bucket of the largest table is worth rewriting.
+    Whatever becomes of the writer of a new version, readers see the old rows until it is whole. Old versions stay.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
+    def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _latest(self, name: str) -> int:
-        """The number of the pointer that counts; 0 before the first change."""
-        fs, path = self._fs()
+    def versions(self, name: str) -> dict[int, bool]:
+        """The numbers of the table's versions, and whether each is whole."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
         folder = path(f"{self.root}/{name}")
-        if not fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        numbers = [int(n.removeprefix(_POINTER)) for n in names if n.startswith(_POINTER)]
-        return max(numbers, default=0)
-
-    def parts(self, name: str) -> list[str]:
-        """The bucket folders the table is made of now."""
-        number = self._latest(name)
-        if not number:
-            return []
-        return [r[0] for r in self.spark.read.text(f"{self.root}/{name}/{_POINTER}{number}").collect() if r[0]]
-
-    @staticmethod
-    def _bucket_of(part: str) -> int:
-        return int(part.rsplit("=", 1)[1])
-
-    def read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
-        """The table's rows, or those of some buckets; an unwritten table is empty."""
-        parts = [p for p in self.parts(name) if buckets is None or self._bucket_of(p) in buckets]
-        if not parts:
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return {int(p.getName().removeprefix(_VERSION)): fs.exists(path(p, "_SUCCESS")) for p in found if p.getName().startswith(_VERSION)}
+
+    def _folder(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/{_VERSION}{version}"
+
+    def read(self, name: str) -> DataFrame:
+        """The table's rows; an unwritten table is empty."""
+        version = max((v for v, whole in self.versions(name).items() if whole), default=None)
+        if version is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
+        return self.spark.read.schema(TABLES[name]).parquet(self._folder(name, version))
 
     def conform(self, name: str, df: DataFrame, insert: bool = True) -> DataFrame:
         """Columns in table order and type; missing ones are null, or for new rows the column's default, as are their nulls."""
@@ -75,93 +53,57 @@ class CatalogTables:
             out.append(column.cast(field.dataType).alias(field.name))
         return df.select(*out)
 
-    def _bucket(self, name: str):
-        key = KEYS[name][0]
-        field = next(f for f in self.spark.createDataFrame([], TABLES[name]).schema.fields if f.name == key)
-        return F.pmod(F.xxhash64(F.col(key).cast(field.dataType)), F.lit(self.buckets)).cast("int")
-
-    def _touched(self, name: str, keys: DataFrame) -> set[int]:
-        """Buckets the keys fall into; at most `buckets` numbers."""
-        if KEYS[name][0] not in keys.columns:
-            return set(range(self.buckets))
-        return {r[0] for r in keys.select(self._bucket(name).alias("b")).distinct().collect()}
-
-    def _write(self, name: str, df: DataFrame) -> list[str]:
-        version = f"v-{uuid.uuid4().hex}"
-        target = f"{self.root}/{name}/{version}"
-        # Rebalancing keeps a bucket's files few and splits a bucket that holds much of the table.
-        rows = self.conform(name, df, insert=False).withColumn(_BUCKET, self._bucket(name)).hint("rebalance", _BUCKET)
-        rows.sortWithinPartitions(_BUCKET, *KEYS[name]).write.partitionBy(_BUCKET).parquet(target)
-        fs, path = self._fs()
-        found = [s.getPath().getName() for s in fs.listStatus(path(target)) if s.isDirectory()]
-        return sorted(f"{version}/{n}" for n in found if n.startswith(f"{_BUCKET}="))
-
-    def _switch(self, name: str, parts: list[str]) -> None:
-        fs, path = self._fs()
-        target = f"{self.root}/{name}/{_POINTER}{self._latest(name) + 1}"
-        staged = f"{self.root}/{name}/NEXT-{uuid.uuid4().hex}"
-        stream = fs.create(path(staged), False)
-        stream.write(bytearray("\n".join(parts).encode()))
-        stream.close()
-        if fs.exists(path(target)) or not fs.rename(path(staged), path(target)):
-            raise OSError(f"could not publish {target}")
-
-    def _rewrite(self, name: str, buckets: set[int], change: Callable[[DataFrame], DataFrame]) -> None:
-        """Replace some buckets by what `change` makes of their rows."""
-        kept = [p for p in self.parts(name) if self._bucket_of(p) not in buckets]
-        self._switch(name, kept + self._write(name, change(self.read(name, buckets))))
+    def _write(self, name: str, df: DataFrame) -> None:
+        version = max(self.versions(name), default=0) + 1
+        self.conform(name, df, insert=False).write.parquet(self._folder(name, version))
 
     def replace_all(self, name: str, df: DataFrame) -> None:
-        """Write all rows anew, then switch to them."""
-        self._switch(name, self._write(name, self.conform(name, df)))
+        """Write all rows anew."""
+        self._write(name, self.conform(name, df))
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows with new keys; a clash raises. Nothing happens for no rows. Existing files stay as they are."""
         if rows.isEmpty():
             return
         rows = self.conform(name, rows)
-        clash = maintenance.key_conflicts(self.read(name, self._touched(name, rows)), rows, KEYS[name]).limit(1).collect()
+        clash = maintenance.key_conflicts(self.read(name), rows, KEYS[name]).limit(1).collect()
         if clash:
             raise maintenance.KeyConflict(f"key {clash[0].asDict()} cannot be appended to {name}")
-        self._switch(name, self.parts(name) + self._write(name, rows))
+        version = max((v for v, whole in self.versions(name).items() if whole), default=None)
+        if version is None:
+            self._write(name, rows)
+        else:
+            rows.write.mode("append").parquet(self._folder(name, version))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Replace rows by key, or add them; a repeated key raises `KeyConflict`."""
-        rows = self.conform(name, rows)
-        self._rewrite(name, self._touched(name, rows), lambda old: maintenance.upsert_replace(old, rows, KEYS[name]))
+        self._write(name, maintenance.upsert_replace(self.read(name), self.conform(name, rows), KEYS[name]))
 
     def merge(self, name: str, rows: DataFrame) -> None:
         """Values that are given win; rows with new keys are added with the defaults. A repeated key raises `KeyConflict`."""
-        keys = list(KEYS[name])
-
-        def change(old: DataFrame) -> DataFrame:
-            given = maintenance.latest(rows, keys, None)
-            known = maintenance.upsert_merge(old, given.join(old.select(*keys), keys, "left_semi"), keys)
-            return known.unionByName(self.conform(name, given.join(old.select(*keys), keys, "left_anti")))
-
-        self._rewrite(name, self._touched(name, rows), change)
+        keys, old = list(KEYS[name]), self.read(name)
+        given = maintenance.latest(rows, keys, None)
+        known = maintenance.upsert_merge(old, given.join(old.select(*keys), keys, "left_semi"), keys)
+        self._write(name, known.unionByName(self.conform(name, given.join(old.select(*keys), keys, "left_anti"))))
 
     def insert_if_absent(self, name: str, rows: DataFrame) -> None:
         """Append the rows whose keys are new."""
-        rows = self.conform(name, rows)
-        self.append(name, rows.join(self.read(name, self._touched(name, rows)).select(*KEYS[name]), list(KEYS[name]), "left_anti"))
+        self.append(name, self.conform(name, rows).join(self.read(name).select(*KEYS[name]), list(KEYS[name]), "left_anti"))
 
     def update(self, name: str, patch: DataFrame) -> int:
         """Patch rows by key, where null clears; returns how many were touched. A repeated key raises `KeyConflict`."""
-        keys = list(KEYS[name])
-        allowed = maintenance.UPDATABLE.get(name, [f for f in self.read(name, set()).columns if f not in keys])
+        keys, old = list(KEYS[name]), self.read(name)
+        allowed = maintenance.UPDATABLE.get(name, [f for f in old.columns if f not in keys])
         bad = sorted(set(patch.columns) - set(keys) - set(allowed))
         if bad:
             raise ValueError(f"Disallowed column(s) for {name}: {bad}")
-        buckets = self._touched(name, patch)
-        touched = maintenance.affected_rows(self.read(name, buckets), patch, keys).first()["affected"]
+        touched = maintenance.affected_rows(old, patch, keys).first()["affected"]
         if touched:
-            self._rewrite(name, buckets, lambda old: maintenance.keyed_update(old, patch, keys, allowed))
+            self._write(name, maintenance.keyed_update(old, patch, keys, allowed))
         return touched
 
     def delete(self, name: str, keys: DataFrame) -> None:
-        shared = [k for k in KEYS[name] if k in keys.columns]
-        self._rewrite(name, self._touched(name, keys), lambda old: maintenance.keyed_delete(old, keys, shared))
+        self._write(name, maintenance.keyed_delete(self.read(name), keys, [k for k in KEYS[name] if k in keys.columns]))
 
     def rejects(self, name: str) -> DataFrame:
         """Rows of the table whose references do not resolve, with the column at fault."""
