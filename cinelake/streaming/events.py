@@ -64,8 +64,8 @@ def _expiring(events: DataFrame, key: str, time: str, keep: str, lateness: str,
         if held.hasTimedOut:
             held.remove()
             return
-        # A key has a handful of rows per micro-batch, whose size the source limits.
-        rows = pd.concat(list(batches))
+        # A key has a handful of rows per micro-batch, whose size the source limits. Parts of a key number their rows anew.
+        rows = pd.concat(list(batches), ignore_index=True)
         new, out = fold(keys[0], rows, held.get if held.exists else None)
         held.update(new)
         due = int(rows[time].max().value // 1_000_000) + keep_ms
@@ -215,7 +215,7 @@ def gate_decisions(events: DataFrame, lateness: str = "10 minutes") -> DataFrame
             return
         since, limit = state.get if state.exists else (None, None)
         # A gate sees a handful of events per micro-batch, whose size the source limits.
-        rows = pd.concat(list(batches)).sort_values("at")
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("at")
         for row in rows.itertuples():
             at = row.at.value / 1e9
             if since is not None and limit and limit > 0 and at - since > limit:
@@ -256,7 +256,7 @@ def stalled_jobs(events: DataFrame, limit_s: float, lateness: str = "10 minutes"
             state.remove()
             yield pd.DataFrame([(key[0], stage, limit_s)], columns=["job_id", "stage", "running_s"])
             return
-        rows = pd.concat(list(batches)).sort_values("at")
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("at")
         stage, since = state.get if state.exists else (None, None)
         for row in rows.itertuples():
             at = row.at.value / 1e9

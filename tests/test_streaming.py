@@ -148,3 +148,16 @@ def test_state_of_finished_runs_ends(spark, tmp_path):
     left, written = state_rows(ev.run_spending(stream, "at", 100.0), tmp_path)
     assert left == 1
     assert [(r.run_id, r.spent_s, r.n_stages, r.budget_remaining_s) for r in written] == [(1, 15.0, 2, 85.0), (2, 7.0, 1, 93.0), (2, 8.0, 2, 92.0)]
+
+
+def test_stage_changes_of_a_key_in_several_arrow_batches(spark, rows, tmp_path):
+    schema = "job_id bigint, event_id bigint, stage bigint, status string, at timestamp"
+    batch = [(i % 3, i, i % 9, "running" if i % 2 else "done", at(i)) for i in range(90)]
+    stream = arriving(spark, tmp_path, schema, [batch])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        changes = run_to_table(ev.stage_changes(stream, "at"), "append", str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows(changes, "job_id", "stage", "status", "change") == [(j, (87 + j) % 9, "running" if (87 + j) % 2 else "done", 1) for j in range(3)]
