@@ -44,10 +44,17 @@ QUALITY_FAIR = "Moderate visual quality"
 QUALITY_POOR = "Low visual quality - many unclear frames"
 
 
+def exact_sum(value: Column, digits: int) -> Column:
+    """The sum of doubles taken to `digits` decimals, the same in whatever order rows are added; null if there are none. Values that a decimal cannot hold (1e19 and more, NaN) are added as they are."""
+    exact = value.try_cast(f"decimal({19 + digits},{digits})")
+    rest = F.sum(F.when(exact.isNull(), value))
+    return F.when(F.count(value) > 0, F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0)))
+
+
 def confidence_notes(rows: DataFrame, keys: Sequence[str], confidence: Column) -> DataFrame:
-    """Mean and least confidence per key with the sentence about picture quality. Values that are no numbers are skipped."""
+    """Mean (of values taken to 9 decimals) and least confidence per key with the sentence about picture quality. Values that are no numbers are skipped."""
     value = confidence.try_cast("double")
-    agg = rows.groupBy(*keys).agg(F.avg(value).alias("avg_conf"), F.min(value).alias("min_conf"))
+    agg = rows.groupBy(*keys).agg((exact_sum(value, 9) / F.count(value)).alias("avg_conf"), F.min(value).alias("min_conf"))
     mean, least = F.col("avg_conf"), F.col("min_conf")
     band = F.when(mean >= 0.8, QUALITY_GOOD).when(mean >= 0.6, QUALITY_FAIR).otherwise(QUALITY_POOR)
     weak = F.when(least < 0.5, fill(QUALITY_WEAK, fixed(least, 2)))
@@ -56,9 +63,9 @@ def confidence_notes(rows: DataFrame, keys: Sequence[str], confidence: Column) -
 
 
 def footage_duration(rows: DataFrame, keys: Sequence[str], duration: Column) -> DataFrame:
-    """Seconds of footage per key and their text; no footage is `unknown`."""
+    """Seconds of footage per key, summed in whole microseconds, and their text; no footage is `unknown`."""
     total = F.col("total_s")
-    agg = rows.groupBy(*keys).agg(F.coalesce(F.sum(duration.try_cast("double")), F.lit(0.0)).alias("total_s"))
+    agg = rows.groupBy(*keys).agg(F.coalesce(exact_sum(duration.try_cast("double"), 6), F.lit(0.0)).alias("total_s"))
     text = fill("{}s ({} min)", fixed(total, 0), fixed(total / F.lit(60.0), 1))
     return agg.withColumn("duration_text", F.when(total > 0, text).otherwise("unknown"))
 

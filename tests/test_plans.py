@@ -209,3 +209,34 @@ def test_upload_metadata(spark):
     got = {r.narrative_id: r for r in publishing.upload_metadata(narratives, "ids", scripts, clusters, classes).collect()}
     assert (got["n"].title, got["n"].description, got["n"].tags) == ("T", "D\n\none two", "Swim,Walk,dog,person")
     assert (got["m"].title, got["m"].description, got["m"].tags) == ("m", "", "dog,person")
+
+
+def test_sums_of_confidences_and_durations_do_not_depend_on_row_order(spark, rows):
+    from cinelake.operators.summaries import confidence_notes, footage_duration
+
+    values = [0.1] * 10 + [0.7] * 3 + [1e-7, 2.3, 0.05] * 7
+    table = spark.createDataFrame([(k, v) for k, vs in (("up", sorted(values)), ("down", sorted(values)[::-1]), ("none", [None])) for v in vs], "k string, v double").coalesce(1)
+    mean = {r.k: r.avg_conf for r in confidence_notes(table, ["k"], F.col("v")).collect()}
+    assert mean["up"] == mean["down"] == (1.0 + 2.1 + 7e-7 + 16.1 + 0.35) / 34 and mean["none"] is None
+    # 5,000,000 tenths and a half: the sum sits on a tie that any error moves.
+    tenths = spark.range(0, 50_000, 1, 1).select(F.lit("a").alias("k"), F.lit(0.1).alias("v")).unionByName(spark.createDataFrame([("a", 0.5)], "k string, v double"))
+    assert rows(footage_duration(tenths, ["k"], F.col("v")), "total_s", "duration_text") == [(5000.5, "5000s (83.3 min)")]
+    odd = spark.createDataFrame([("a", 1e25), ("a", 1.0), ("b", float("nan")), ("b", 1.0)], "k string, v double")
+    assert [r.total_s for r in footage_duration(odd, ["k"], F.col("v")).orderBy("k").collect()][0] == 1e25
+
+
+def test_half_a_byte_decides_on_the_size_rule_as_its_sql_says(spark, tmp_path):
+    """A size of 2097151.5 bytes is 2097151: below 8 MB a minute over 15 s, which 2097152 is not."""
+    import duckdb
+
+    from workloads import load
+
+    queries, oracles = load()
+    orders = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    spark.createDataFrame([(1, 5, "O", 41943.03, "1-URGENT"), (2, 5, "O", 41943.04, "1-URGENT")], orders).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    for name in ("job14_render_qa", "agg21_render_issue_counts"):
+        df = queries[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(df.columns)} from ({oracles[name]}) where {'n > 0' if 'n' in df.columns else 'true'}").fetchall()
+        assert sorted(tuple(r) for r in df.collect()) == sorted(want), name
