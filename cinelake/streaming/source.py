@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +12,13 @@ from pyspark.sql.types import StructType
 from cinelake.session import ensure_checkpoint_dir
 
 
+def table_glob(folder: str, name: str) -> str:
+    """The path of a table that is one file or a folder of files, as a stream may read it: a stream's plain path has to be a folder."""
+    if re.search(r"[\\{}\[\]*?]", folder):
+        raise ValueError(f"streams read no folder with a pattern's characters in its name: {folder}")
+    return f"{folder}/{{{name}}}"
+
+
 def event_stream(spark: SparkSession, folder: str, schema: StructType | str, pattern: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream. The query's checkpoint takes the place of a reader's cursor."""
     reader = spark.readStream.schema(schema)

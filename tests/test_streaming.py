@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinelake.streaming import events as ev
-from cinelake.streaming.source import event_stream, newest, run_to_table
+from cinelake.streaming.source import event_stream, newest, run_to_table, table_glob
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -161,3 +161,15 @@ def test_stage_changes_of_a_key_in_several_arrow_batches(spark, rows, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert rows(changes, "job_id", "stage", "status", "change") == [(j, (87 + j) % 9, "running" if (87 + j) % 2 else "done", 1) for j in range(3)]
+
+
+def test_tables_of_one_file_and_of_many_as_streams(spark, rows, tmp_path):
+    df = spark.range(10)
+    folder = tmp_path / "sf"
+    df.repartition(3).write.parquet(str(folder / "many.parquet"))
+    df.toPandas().to_parquet(folder / "one.parquet")
+    for name in ("many.parquet", "one.parquet"):
+        out = run_to_table(event_stream(spark, table_glob(str(folder), name), df.schema), "append")
+        assert rows(out, "id") == [(i,) for i in range(10)], name
+    with pytest.raises(ValueError):
+        table_glob("/data/sf[1]", "one.parquet")

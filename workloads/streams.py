@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from cinelake.session import ensure_checkpoint_dir
 from cinelake.sources.tables import CatalogTables
 from cinelake.streaming import events as ev
-from cinelake.streaming.source import event_stream, events_since, newest, run_to_table
+from cinelake.streaming.source import event_stream, events_since, newest, run_to_table, table_glob
 from cinelake.streaming.upkeep import ingest_batches
 from workloads.registry import query
 from workloads.views import Catalog
 
 
 def stream(c: Catalog, table: str = "events") -> DataFrame:
-    rows = event_stream(c.spark, c.folder, c.table(table).schema, f"{table}.parquet")
+    rows = event_stream(c.spark, table_glob(c.folder, f"{table}.parquet"), c.table(table).schema)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
