@@ -92,27 +92,31 @@ def parse_labels(responses: DataFrame, text: str = "response") -> tuple[DataFram
 
 
 def parse_narratives(responses: DataFrame, text: str = "response") -> tuple[DataFrame, DataFrame]:
-    """(proposed narratives, quarantine). One bad entry spoils its whole response, as nothing of it is stored."""
+    """(proposed narratives with the `target_id` of their response, quarantine). One bad entry spoils its whole response, as nothing of it is stored."""
     rows = _checked(responses, (), text, is_list=True)
     items = F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")
-    entries = rows.filter("error is null").select("target_id", text, F.posexplode_outer(items).alias("pos", "e"))
-    e = F.col("e")
-    fields = F.try_variant_get(e, "$", "map<string,variant>")
-    missing = F.array_join(F.filter(F.array(*[F.lit(x) for x in sorted(REQUIRED["narrative"])]), lambda n: ~F.map_contains_key(fields, n)), ", ")
-    error = F.when(F.col("pos").isNull(), None).when(fields.isNull(), "entry is no object").when(missing != "", F.concat(F.lit("missing "), missing)).when(
-        F.try_variant_get(e, "$.proposed_duration_seconds", "string").try_cast("double").isNull(), "proposed_duration_seconds is no number"
+
+    def wrong(e):
+        fields = F.try_variant_get(e, "$", "map<string,variant>")
+        missing = F.array_join(F.filter(F.array(*[F.lit(x) for x in sorted(REQUIRED["narrative"])]), lambda n: ~F.map_contains_key(fields, n)), ", ")
+        return F.when(fields.isNull(), "entry is no object").when(missing != "", F.concat(F.lit("missing "), missing)).when(
+            F.try_variant_get(e, "$.proposed_duration_seconds", "string").try_cast("double").isNull(), "proposed_duration_seconds is no number"
+        )
+
+    # A response is judged on its row: the first bad entry in it is its error.
+    read = rows.withColumn("items", F.when(F.col("error").isNull(), items)).withColumn(
+        "error", F.coalesce("error", F.get(F.filter(F.transform("items", wrong), lambda x: x.isNotNull()), F.lit(0)))
     )
-    read = entries.withColumn("error", error)
-    spoiled = read.filter("error is not null").groupBy("target_id").agg(F.min_by("error", "pos").alias("error"), F.first(text).alias(text))
+    e = F.col("e")
     at = lambda path, t="string": F.try_variant_get(e, path, t)
-    good = read.filter("pos is not null").join(spoiled.select("target_id"), "target_id", "left_anti").select(
+    good = read.filter("error is null").select("target_id", F.posexplode("items").alias("pos", "e")).select(
         F.sha2(F.concat_ws(":", F.col("target_id").cast("string"), F.col("pos").cast("string")), 256).alias("narrative_id"),
         at("$.title").alias("title"), F.coalesce(at("$.reasoning"), F.lit("")).alias("description"),
         at("$.proposed_duration_seconds").try_cast("double").alias("proposed_duration_seconds"),
         at("$.activity_cluster_ids").alias("activity_cluster_ids_json"), F.coalesce(F.when(F.schema_of_variant(at("$.arc", "variant")).startswith("OBJECT"), at("$.arc")), F.lit("{}")).alias("arc_notes"),
-        F.nullif(F.coalesce(at("$.emotional_journey"), F.lit("")), F.lit("")).alias("emotional_journey"), F.lit("proposed").alias("status"),
+        F.nullif(F.coalesce(at("$.emotional_journey"), F.lit("")), F.lit("")).alias("emotional_journey"), F.lit("proposed").alias("status"), "target_id",
     )
-    return good, rows.filter("error is not null").select("target_id", "error", text).unionByName(spoiled)
+    return good, read.filter("error is not null").select("target_id", "error", text)
 
 
 def parse_scripts(responses: DataFrame, text: str = "response") -> tuple[DataFrame, DataFrame]:

@@ -240,3 +240,26 @@ def test_half_a_byte_decides_on_the_size_rule_as_its_sql_says(spark, tmp_path):
         df = queries[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(df.columns)} from ({oracles[name]}) where {'n > 0' if 'n' in df.columns else 'true'}").fetchall()
         assert sorted(tuple(r) for r in df.collect()) == sorted(want), name
+
+
+def test_narrative_responses_are_judged_without_a_join(spark, rows):
+    responses = spark.createDataFrame([("a", "[7]"), ("b", '[{"title": "t", "activity_cluster_ids": [], "proposed_duration_seconds": 2}]')], "target_id string, response string")
+    good, bad = prompts.parse_narratives(responses)
+    assert rows(good, "target_id", "title") == [("b", "t")] and rows(bad, "target_id", "error") == [("a", "entry is no object")]
+    for df in (good, bad):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_sections_of_clusters_are_those_of_every_narrative(spark, rows):
+    media, shots, tables, people = _seed(spark)
+    clusters = spark.createDataFrame([("c1", "Walk", "A walk"), ("c2", None, None)], "cluster_id string, label string, description string")
+    members = spark.createDataFrame([("c1", 0, "v2"), ("c1", 1, "v1"), ("gone", 0, "v1")], "cluster_id string, pos int, media_id string")
+    narratives = spark.createDataFrame([("n1", ["c1", "gone", "c2"]), ("n2", ["c1", "c1"])], "narrative_id string, ids array<string>")
+    shot_rows = storyboard.shot_signals(shots, media, tables, people)
+    whole = storyboard.narrative_storyboard(narratives, "ids", clusters, members, shot_rows)
+    counts = whole.groupBy("narrative_id", "cluster_pos", "cluster_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    once = storyboard.cluster_storyboards(clusters, members, shot_rows)
+    assert once.count() == 5
+    sections = once.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    assert rows(storyboard.listed_sections(narratives, "ids", sections)) == rows(counts) and counts.count() == 4
