@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cinelake.functions.vectors import dot, normalise
+from cinelake.functions.vectors import normalise
 from cinelake.operators.topk import top_k
 
 QUERY_BATCH = 512
@@ -94,22 +94,41 @@ def exact_top_k(
         n_rows = rows.count()
         q_blocks = math.ceil(n_queries / max_broadcast)
         r_blocks = max(1, math.ceil(n_rows / ROW_BLOCK))
-        spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        a = rows.withColumn("rb", F.pmod(F.xxhash64(ident), F.lit(r_blocks)).cast("int")).withColumn("qb", spread(q_blocks))
-        b = q.withColumn("qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).cast("int")).withColumn("rb", spread(r_blocks))
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return frame([], [], [])
-            best = Best(_stack(right["__q"]), k)
-            best.add(left[ident].to_numpy(), _stack(left["__v"]))
-            return frame(right[query_id].to_numpy()[best.query], best.ids, best.scores)
-
-        scored = a.groupBy("rb", "qb").cogroup(b.groupBy("rb", "qb")).applyInPandas(meet, schema)
+        a = rows.withColumn("rb", _block(ident, F.lit(r_blocks))).withColumn("qb", _every(F.lit(q_blocks)))
+        b = q.withColumn("qb", _block(query_id, F.lit(q_blocks))).withColumn("rb", _every(F.lit(r_blocks)))
+        scored = _meeting(a, b, ["rb", "qb"], ident, query_id, k, schema)
     return top_k(scored, [query_id], [F.col("score").desc(), F.col(ident).asc()], k)
 
 
-def train_lists(vectors: DataFrame, vector: str, n_lists: int, seed: int = 1, max_iter: int = 20) -> KMeansModel:
+def _block(ident: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(ident), n.cast("bigint")).cast("int")
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+
+
+def _meeting(rows: DataFrame, queries: DataFrame, keys: list[str], ident: str, query_id: str, k: int, schema: str) -> DataFrame:
+    """The k best rows (`__v`) of every query (`__q`) within each block of rows and queries with equal keys."""
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({query_id: [], ident: [], "score": []})
+        best = Best(_stack(right["__q"]), k)
+        best.add(left[ident].to_numpy(), _stack(left["__v"]))
+        return pd.DataFrame({query_id: right[query_id].to_numpy()[best.query], ident: best.ids, "score": best.scores})
+
+    return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(meet, schema)
+
+
+#: An index is fitted on at most about this many vectors, chosen by their hash; every row is indexed.
+TRAIN_ROWS = 50_000
+
+
+def train_lists(vectors: DataFrame, vector: str, n_lists: int, seed: int = 1, max_iter: int = 20, n_rows: int | None = None) -> KMeansModel:
+    share = TRAIN_ROWS / max(n_rows if n_rows is not None else vectors.count(), 1)
+    if share < 1:
+        vectors = vectors.filter(F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
     features = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     return KMeans(k=n_lists, seed=seed, maxIter=max_iter).fit(features)
 
@@ -134,7 +153,15 @@ def probe_top_k(
     probes = nearest.select(query_id, "list_id").join(
         queries.select(query_id, normalise(F.col(query_vector)).alias("__q")), query_id
     )
-    candidates = indexed.join(probes, "list_id").select(query_id, ident, dot(F.col(vector), F.col("__q")).alias("score"))
+    schema = f"{query_id} {dict(queries.dtypes)[query_id]}, {ident} {dict(indexed.dtypes)[ident]}, score double"
+    # A list is cut into blocks of rows and of queries, each pair of which is one product.
+    rows = indexed.filter(F.col(vector).isNotNull()).select("list_id", F.col(ident), F.col(vector).alias("__v"))
+    r_blocks = rows.groupBy("list_id").agg(F.ceil(F.count("*") / ROW_BLOCK).alias("__r"))
+    q_blocks = probes.groupBy("list_id").agg(F.ceil(F.count("*") / MAX_BROADCAST_QUERIES).alias("__n"))
+    blocks = r_blocks.join(q_blocks, "list_id")
+    a = rows.join(blocks, "list_id").withColumn("rb", _block(ident, F.col("__r"))).withColumn("qb", _every(F.col("__n"))).drop("__r", "__n")
+    b = probes.join(blocks, "list_id").withColumn("qb", _block(query_id, F.col("__n"))).withColumn("rb", _every(F.col("__r"))).drop("__r", "__n")
+    candidates = _meeting(a, b, ["list_id", "rb", "qb"], ident, query_id, k, schema)
     return top_k(candidates, [query_id], [F.col("score").desc(), F.col(ident).asc()], k)
 
 

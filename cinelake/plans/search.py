@@ -10,11 +10,11 @@ from cinelake.operators.vector_search import assign_lists, centroid_table, exact
 
 
 def build_index(vectors: DataFrame, vector: str, seed: int = 1, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(vectors with list_id, centres), with about sqrt(n) lists, two at least. Whether to search by index or exactly is the caller's choice."""
+    """(vectors with list_id, centres), with about sqrt(n) lists, two at least, fitted on a bounded sample of the vectors. Whether to search by index or exactly is the caller's choice."""
     n = vectors.count()
     if n == 0:
         return vectors.withColumn("list_id", F.lit(0)), vectors.sparkSession.createDataFrame([], "list_id int, centroid array<double>")
-    model = train_lists(vectors, vector, max(2, int(math.sqrt(n))), seed, max_iter)
+    model = train_lists(vectors, vector, max(2, int(math.sqrt(n))), seed, max_iter, n)
     return assign_lists(vectors, vector, model), centroid_table(vectors.sparkSession, model)
 
 

@@ -76,3 +76,18 @@ def test_top_classes_and_boxes_per_class(spark, rows):
     top = summaries.top_classes(boxes.filter("class is not null"), ["media_id"], "class", ["pos"], 2, "top")
     assert rows(top) == [("m", "b (2), a (2)")]
     assert rows(summaries.boxes_per_class(boxes), "media_id", "class", "n") == [("m", "a", 2), ("m", "b", 2), ("m", "c", 1), ("n", "unknown", 1)]
+
+
+def test_probed_lists_meet_queries_in_blocks(spark, rows, monkeypatch):
+    """All lists probed, lists and their queries cut into small blocks: what exact search finds, and no row per pair."""
+    from cinelake.plans import search
+
+    monkeypatch.setattr(vector_search, "ROW_BLOCK", 16)
+    monkeypatch.setattr(vector_search, "MAX_BROADCAST_QUERIES", 5)
+    points = np.random.default_rng(8).normal(size=(300, 6)).round(2)
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, v array<double>")
+    queries = vectors.filter("id % 10 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    index = search.build_index(vectors, "v")
+    found = search.search(vectors, "id", "v", queries, "q", "qv", 4, index, nprobe=1000)
+    assert rows(found, "q", "id", "rank") == rows(vector_search.exact_top_k(vectors, "id", "v", queries, "q", "qv", 4, max_broadcast=4096), "q", "id", "rank")
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
