@@ -68,8 +68,11 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"cell": [cell] * len(kinds), "pivot": kinds.astype(np.int32), "reach": reach})
 
 
-def _dealt(radius: float):
-    """Pivots of a cell, then all its vectors in; vectors in child cells out, once as own and as often as they may have a neighbour elsewhere."""
+def _dealt(radius: float, counted: bool = False):
+    """Pivots of a cell, then all its vectors in; vectors in child cells out, once as own and as often as they may have a neighbour elsewhere.
+
+    `counted` gives (cell, n_in, n_out) instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, pivots, reach, apart = None, [], None, None, None
@@ -94,7 +97,12 @@ def _dealt(radius: float):
                     near[:, c] &= side.max(axis=1) <= radius + _SLACK
             home = dots.argmax(axis=1)
             near[own, home[own]] = True
+            if counted:
+                yield pa.RecordBatch.from_pydict({"cell": [cell], "n_in": [len(near)], "n_out": [int(near.sum())]})
+                continue
             row, child = np.nonzero(near)
+            if not len(row):
+                continue
             is_own = own[row] & (home[row] == child)
             moved = part.select(["row_id", "unit", "copies"]).take(pa.array(row))
             yield pa.RecordBatch.from_pydict(
@@ -107,10 +115,17 @@ def _dealt(radius: float):
 _CELLS = "cell string, own boolean, row_id bigint, unit array<double>, copies bigint"
 
 
+#: Copies a vector's cell may hold for each of its own vectors before it is cut into blocks instead of split by pivots, the number of blocks
+#: aimed at, how much larger than a split cell a block may be, and how many vectors judge that.
+MAX_COPIES, BLOCKS, WIDE, JUDGED = 16, 16, 32, 20_000
+
+
 def metric_cells(units: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, n_pivots: int = PIVOTS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(cell, own, row_id, unit, copies): every distinct unit vector once as own, and in every cell that may hold one within `eps` of it.
 
-    A cell has at most `block_rows` own vectors.
+    A cell has at most `block_rows` own vectors. Where pivots do not tell vectors apart (a cell would hold more than `MAX_COPIES` vectors
+    for each of its own), the own vectors are cut into `BLOCKS` blocks, each of which all vectors of the cell are copied to, and into more
+    of them when a block would exceed `WIDE * block_rows`.
     """
     radius = math.sqrt(2 * eps)
     cells = units.select(F.lit("0").alias("cell"), F.lit(True).alias("own"), "row_id", "unit", F.col("copies").cast("bigint").alias("copies"))
@@ -118,7 +133,8 @@ def metric_cells(units: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, n_p
     level = 0
     while True:
         sizes = cut_lineage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own")))
-        large = sizes.filter(F.col("n_own") > block_rows).drop("n_own")
+        owns = sizes.filter(F.col("n_own") > block_rows)
+        large = owns.drop("n_own")
         small = cells.join(sizes.filter((F.col("n_own") > 0) & (F.col("n_own") <= block_rows)).select("cell"), "cell", "left_semi")
         finished = small if finished is None else finished.unionByName(small)
         if large.isEmpty():
@@ -132,11 +148,25 @@ def metric_cells(units: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, n_p
         def streamed(rows: DataFrame, pivots: DataFrame) -> DataFrame:
             heads = pivots.join(spread, "cell").withColumn("is_row", F.lit(False))
             both = heads.unionByName(rows.drop("n", "salts").withColumn("is_row", F.lit(True)), allowMissingColumns=True)
-            return both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_row", "pivot")
+            return both.repartition(F.xxhash64("cell", "salt")).sortWithinPartitions("cell", "salt", "is_row", "pivot")
 
         reach = streamed(dealt.filter("own"), chosen).mapInArrow(_nearest, "cell string, pivot int, reach double")
         reach = reach.groupBy("cell", "pivot").agg(F.max("reach").alias("reach"))
-        cells = cut_lineage(streamed(dealt, chosen.join(reach, ["cell", "pivot"])).mapInArrow(_dealt(radius), _CELLS))
+        placed = cut_lineage(chosen.join(reach, ["cell", "pivot"]))
+        some = dealt.filter(F.pmod(F.xxhash64("row_id", "cell"), F.ceil(F.col("n") / JUDGED)) == 0)
+        judged = streamed(some, placed).mapInArrow(_dealt(radius, counted=True), "cell string, n_in bigint, n_out bigint")
+        growth = judged.groupBy("cell").agg((F.sum("n_out") / F.sum("n_in")).alias("growth"))
+        blocks = F.greatest(F.least(F.ceil(F.col("n_own") / block_rows), F.lit(BLOCKS)), F.ceil(F.col("n_own") / (WIDE * block_rows))).cast("int")
+        wide = cut_lineage(owns.join(growth, "cell").filter(F.col("growth") * F.col("n") > MAX_COPIES * F.col("n_own")).select("cell", blocks.alias("blocks")))
+        if not wide.isEmpty():
+            home = F.pmod(F.xxhash64("row_id", F.lit("block")), F.col("blocks"))
+            everywhere = cells.join(F.broadcast(wide), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            finished = finished.unionByName(everywhere.select(
+                F.concat_ws("/", "cell", "block").alias("cell"), (F.col("own") & (home == F.col("block"))).alias("own"), "row_id", "unit", "copies"
+            ))
+            dealt = dealt.join(wide.select("cell"), "cell", "left_anti")
+            placed = placed.join(wide.select("cell"), "cell", "left_anti")
+        cells = cut_lineage(streamed(dealt, placed).mapInArrow(_dealt(radius), _CELLS))
         level += 1
 
 
@@ -168,24 +198,39 @@ def _cell_by_cell(rows: DataFrame, start, step, end, schema: str) -> DataFrame:
         if state is not None:
             yield from end(state)
 
-    return rows.repartition("cell").sortWithinPartitions("cell", F.col("own").desc()).mapInArrow(run, schema)
+    # By a hash of its own: a plain repartition by cell is dropped after a join on cell, whose shuffle may then be read map by map.
+    return rows.repartition(F.xxhash64("cell")).sortWithinPartitions("cell", F.col("own").desc()).mapInArrow(run, schema)
 
 
 def _units(table: pa.Table) -> np.ndarray:
     return _matrix(table.column("unit").combine_chunks())
 
 
+#: Products of a cell are made in parts of at most about this many entries.
+_ENTRIES = 8_000_000
+
+
+def _parts(n: int, width: int) -> Iterator[slice]:
+    rows = max(1, _ENTRIES // max(width, 1))
+    return (slice(i, min(i + rows, n)) for i in range(0, n, rows))
+
+
 def _count(cells: DataFrame, eps: float) -> DataFrame:
     """(row_id, n): rows within eps of every vector, itself and copies included."""
 
     def start(own):
         units, copies = _units(own), np.asarray(own.column("copies"))
-        close = 1.0 - units @ units.T <= eps
-        np.fill_diagonal(close, True)
-        return {"ids": own.column("row_id"), "units": units, "n": close @ copies}
+        n = np.zeros(len(units), np.int64)
+        for some in _parts(len(units), len(units)):
+            close = 1.0 - units[some] @ units.T <= eps
+            close[np.arange(len(close)), np.arange(some.start, some.stop)] = True
+            n[some] = close @ copies
+        return {"ids": own.column("row_id"), "units": units, "n": n}
 
     def step(state, part):
-        state["n"] = state["n"] + (1.0 - state["units"] @ _matrix(part.column("unit")).T <= eps) @ np.asarray(part.column("copies"))
+        others, copies = _matrix(part.column("unit")), np.asarray(part.column("copies"))
+        for some in _parts(len(others), len(state["units"])):
+            state["n"] += (1.0 - state["units"] @ others[some].T <= eps) @ copies[some]
         return ()
 
     def end(state):
@@ -194,16 +239,20 @@ def _count(cells: DataFrame, eps: float) -> DataFrame:
     return _cell_by_cell(cells, start, step, end, "row_id bigint, n bigint")
 
 
-def _spread(close: np.ndarray) -> np.ndarray:
-    """Components of a symmetric neighbour matrix, each named by its first row."""
-    label = np.full(len(close), -1, np.int64)
-    for seed in range(len(close)):
+def _spread(units: np.ndarray, eps: float) -> np.ndarray:
+    """Components of vectors within eps of each other, each named by its first row. Neighbours are found as a frontier needs them."""
+    label = np.full(len(units), -1, np.int64)
+    for seed in range(len(units)):
         if label[seed] >= 0:
             continue
         frontier = np.array([seed])
         label[seed] = seed
         while len(frontier):
-            frontier = np.flatnonzero(close[frontier].any(axis=0) & (label < 0))
+            left = np.flatnonzero(label < 0)
+            found = np.zeros(len(left), bool)
+            for some in _parts(len(frontier), len(left)):
+                found |= (1.0 - units[frontier[some]] @ units[left].T <= eps).any(axis=0)
+            frontier = left[found]
             label[frontier] = seed
     return label
 
@@ -213,21 +262,22 @@ def _link(cores: DataFrame, eps: float) -> DataFrame:
 
     def start(own):
         units = _units(own)
-        return {"ids": np.asarray(own.column("row_id")), "units": units, "label": _spread(1.0 - units @ units.T <= eps)}
+        return {"ids": np.asarray(own.column("row_id")), "units": units, "label": _spread(units, eps)}
 
     def step(state, part):
-        close = 1.0 - state["units"] @ _matrix(part.column("unit")).T <= eps
-        touched = np.flatnonzero(close.any(axis=0))
-        label = state["label"]
-        for j in touched:
-            if (label == label[0]).all():
-                break
-            met = np.unique(label[close[:, j]])
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
-        if len(touched):
-            first = close[:, touched].argmax(axis=0)
-            yield pa.RecordBatch.from_pydict({"a": np.asarray(part.column("row_id"))[touched], "b": state["ids"][first]})
+        others, ids, label = _matrix(part.column("unit")), np.asarray(part.column("row_id")), state["label"]
+        for some in _parts(len(others), len(state["units"])):
+            close = 1.0 - state["units"] @ others[some].T <= eps
+            touched = np.flatnonzero(close.any(axis=0))
+            for j in touched:
+                if (label == label[0]).all():
+                    break
+                met = np.unique(label[close[:, j]])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+            if len(touched):
+                first = close[:, touched].argmax(axis=0)
+                yield pa.RecordBatch.from_pydict({"a": ids[some][touched], "b": state["ids"][first]})
 
     def end(state):
         yield pa.RecordBatch.from_pydict({"a": state["ids"], "b": state["ids"][state["label"]]})
@@ -242,7 +292,10 @@ def _adopt(rows: DataFrame, eps: float) -> DataFrame:
         return np.asarray(table.column("label").fill_null(_FAR))
 
     def least(units, others, of):
-        return np.where(1.0 - units @ others.T <= eps, of[None, :], _FAR).min(axis=1, initial=_FAR)
+        best = np.full(len(units), _FAR)
+        for some in _parts(len(others), len(units)):
+            best = np.minimum(best, np.where(1.0 - units @ others[some].T <= eps, of[None, some], _FAR).min(axis=1, initial=_FAR))
+        return best
 
     def start(own):
         core = np.asarray(own.column("core").to_pylist(), dtype=bool)

@@ -213,3 +213,14 @@ def test_clusters_of_clumps_against_plain_dbscan(spark):
     labelled, _ = people.cluster_faces(faces, eps=0.03, min_samples=4, block_rows=9)
     got = [-1 if r.cluster_id is None else r.cluster_id for r in labelled.orderBy("row_id").collect()]
     assert got == dbscan(points, 0.03, 4)
+
+
+def test_vectors_that_pivots_cannot_tell_apart_are_cut_into_blocks(spark):
+    points = np.random.default_rng(5).normal(size=(700, 24))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    cells = metric_cells(unit_rows(spark, points), 0.45, block_rows=40).groupBy("cell").count().collect()
+    assert sum(r["count"] for r in cells) <= 18 * len(points) and any("/" in r.cell for r in cells)
+    faces = spark.createDataFrame([(i, "m", i, (p * 3).tolist()) for i, p in enumerate(points)], "row_id bigint, media_id string, frame_number bigint, embedding array<double>").withColumn("face_index", F.lit(0))
+    labelled, _ = people.cluster_faces(faces, eps=0.45, min_samples=4, block_rows=40)
+    got = [-1 if r.cluster_id is None else r.cluster_id for r in labelled.orderBy("row_id").collect()]
+    assert got == dbscan(points, 0.45, 4)
