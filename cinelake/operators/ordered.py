@@ -8,10 +8,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinelake.functions.vectors import cosine_distance
-from cinelake.operators.skew import ROWS_PER_SALT, affine_scan, last_known_across, neighbour_across, range_segments, running_sum_across
+from cinelake.operators.skew import ROWS_PER_SALT, affine_scan, has_hot_key, last_known_across, neighbour_across, range_segments, running_sum_across
 from cinelake.session import cut_lineage
 
 
@@ -49,9 +49,14 @@ def with_next_clip(clips: DataFrame, keys: Sequence[str], start: str, order: Seq
 
     A clip overlaps when its end lies after `next_start`; touching is fine. Only neighbours are compared.
     """
-    cut = range_segments(clips.filter(F.col(start).isNotNull()), keys, [start, *order], rows_per_segment=rows_per_segment)
-    ahead = neighbour_across(cut, keys, "__segment", [start, *order], {"next_start": start, **(more or {})}, ahead=True)
-    return ahead.drop("__segment").filter(F.col("next_start").isNotNull())
+    placed, columns = clips.filter(F.col(start).isNotNull()), {"next_start": start, **(more or {})}
+    if has_hot_key(placed, keys, rows_per_segment):
+        cut = range_segments(placed, keys, [start, *order], rows_per_segment=rows_per_segment)
+        ahead = neighbour_across(cut, keys, "__segment", [start, *order], columns, ahead=True).drop("__segment")
+    else:
+        along = Window.partitionBy(*keys).orderBy(start, *order)
+        ahead = placed.withColumns({new: F.lead(old).over(along) for new, old in columns.items()})
+    return ahead.filter(F.col("next_start").isNotNull())
 
 
 def fill_gaps(
@@ -103,6 +108,9 @@ def smoothing_alpha(tau: Column, fps: Column) -> Column:
 
 def timeline_offsets(clips: DataFrame, keys: Sequence[str], pos: str, tie: Sequence[str], length: Column, name: str = "offset_s", rows_per_segment: int = ROWS_PER_SALT) -> DataFrame:
     """Where each clip starts on the timeline: the lengths of the clips before it."""
+    if not has_hot_key(clips, keys, rows_per_segment):
+        before = Window.partitionBy(*keys).orderBy(pos, *tie).rowsBetween(Window.unboundedPreceding, -1)
+        return clips.withColumn(name, F.coalesce(F.sum(length).over(before), F.lit(0)))
     cut = range_segments(clips, keys, [pos, *tie], rows_per_segment=rows_per_segment)
     return running_sum_across(cut, keys, "__segment", [pos, *tie], length, name, exclusive=True).drop("__segment")
 

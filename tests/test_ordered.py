@@ -91,3 +91,14 @@ def test_probed_lists_meet_queries_in_blocks(spark, rows, monkeypatch):
     found = search.search(vectors, "id", "v", queries, "q", "qv", 4, index, nprobe=1000)
     assert rows(found, "q", "id", "rank") == rows(vector_search.exact_top_k(vectors, "id", "v", queries, "q", "qv", 4, max_broadcast=4096), "q", "id", "rank")
     assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_windows_where_no_key_is_hot(spark, rows):
+    """The same next clips and offsets as from segments, without their carried rows."""
+    rng = random.Random(2)
+    clips = spark.createDataFrame([(rng.randint(0, 3), rng.choice([None, 1.0, 2.0, 5.5]), i, rng.randint(1, 9) / 2) for i in range(200)], "k int, start double, pos int, n double")
+    nexts = [ordered.with_next_clip(clips, ["k"], "start", ["pos"], {"next_n": "n"}, rows_per_segment=r) for r in (1000, 7)]
+    offsets = [ordered.timeline_offsets(clips, ["k"], "pos", ["start"], F.col("n"), rows_per_segment=r) for r in (1000, 7)]
+    for plain, cut in (nexts, offsets):
+        assert rows(plain, *sorted(plain.columns)) == rows(cut, *sorted(plain.columns))
+        assert "Union" not in plain._jdf.queryExecution().optimizedPlan().toString()
