@@ -26,8 +26,11 @@ def asset_requests(plans: DataFrame) -> DataFrame:
 
 
 def resolve_assets(requests: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Requests with the path found for them, null where there is none. resolved: narrative_id, kind, pos, path."""
-    return requests.join(resolved.withColumnRenamed("path", "resolved_path"), ["narrative_id", "kind", "pos"], "left")
+    """Requests with the path found for them, null where there is none. resolved: narrative_id, kind, pos, path.
+
+    Found paths compress so well that Spark may take millions of them for a small table and broadcast them, so a merge join is asked for.
+    """
+    return requests.join(resolved.withColumnRenamed("path", "resolved_path").hint("merge"), ["narrative_id", "kind", "pos"], "left")
 
 
 def fetch_list(requests: DataFrame) -> DataFrame:

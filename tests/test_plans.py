@@ -263,3 +263,12 @@ def test_sections_of_clusters_are_those_of_every_narrative(spark, rows):
     assert once.count() == 5
     sections = once.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     assert rows(storyboard.listed_sections(narratives, "ids", sections)) == rows(counts) and counts.count() == 4
+
+
+def test_found_assets_are_merged_not_broadcast(spark):
+    wanted = spark.createDataFrame([(1, "Music", 0), (2, "Music", 0)], "narrative_id bigint, kind string, pos bigint")
+    found = spark.createDataFrame([(1, "Music", 0, "m.wav")], "narrative_id bigint, kind string, pos bigint, path string")
+    out = assets.resolve_assets(wanted, found)
+    assert sorted((r.narrative_id, r.resolved_path) for r in out.collect()) == [(1, "m.wav"), (2, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
