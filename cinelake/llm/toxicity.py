@@ -408,8 +408,10 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: st
     group = F.when(held, F.lit(2)).otherwise(F.lit(0)) + (F.col(toxic) == 1).cast("int")
     partial = usable.select(F.col(text).alias("text"), group.alias("part")).mapInArrow(_count, "gram bigint, " + ", ".join(f"{c} bigint" for c in COUNTS))
     counts = cut_lineage(partial.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS)))
+    release_shuffles(spark)  # here and below: what a step exchanged is not kept on disk through the next one
     part = counts.filter("ordinary_a + toxic_a > 0").select("gram", F.col("toxic_a").alias("toxic"), F.col("ordinary_a").alias("ordinary"))
     first = _table(log_ratios(part))
+    release_shuffles(spark)
     size = usable.select(key).filter(held).count()
     share = min(1.0, CALIBRATION_ROWS / max(size, 1))
     sample = usable.filter(held & (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000)))
@@ -418,9 +420,11 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: st
     y = seen.column("toxic").to_numpy().astype(float)
     known = part.agg(F.max("toxic"), F.max("ordinary")).first()
     fitted = _fit(x, y) if known[0] and known[1] else _fit(x[:0], y[:0])
+    del first, part, sample
+    release_shuffles(spark)
     both = counts.select("gram", (F.col("toxic_a") + F.col("toxic_b")).alias("toxic"), (F.col("ordinary_a") + F.col("ordinary_b")).alias("ordinary"))
     ratios = _table(log_ratios(both))
-    release_shuffles(spark)  # the exchange of labelled texts, before texts are dealt again
+    release_shuffles(spark)  # before texts are dealt again
     return ToxicityModel(ratios, fitted)
 
 

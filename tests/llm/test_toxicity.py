@@ -177,3 +177,13 @@ def test_questions_and_rows_of_many_blocks_meet(spark, monkeypatch, tmp_path):
     got = {r["doc_id"]: r["features"][0] for r in toxicity._looked_up(docs, "text", table, None, "features").collect()}
     want = {i: sum(grams[t[j : j + ORDER]] for j in range(len(t) - ORDER + 1)) / max(len(t), 1) for i, t in rows}
     assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_shuffle_files_are_released_after_every_step_of_training(spark, monkeypatch):
+    steps = []
+    for name in ("_table", "_looked_up", "release_shuffles"):
+        monkeypatch.setattr(toxicity, name, lambda *args, f=getattr(toxicity, name), name=name: (f(*args), steps.append(name))[0])
+    rows = corpus(200, 4)
+    toxicity.train(spark.createDataFrame([(i, t, y) for i, t, y in rows], "doc_id bigint, text string, toxic int"))
+    release = "release_shuffles"
+    assert steps == [release, "_table", release, "_looked_up", release, "_table", release]
