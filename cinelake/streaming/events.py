@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -194,6 +195,14 @@ def session_activities(clips: DataFrame, key: str, time: str, gap: str = "30 min
 GATE_SCHEMA = "gate string, decision string, decided_by string, note string, waited_s double"
 
 
+def _in_order(batches: Iterator[pd.DataFrame], time: str, *columns: str) -> Iterator[tuple]:
+    """(seconds, columns) of a key's rows by time, without an object per row. A key has a handful of rows per micro-batch, whose size the source limits."""
+    rows = pd.concat(list(batches), ignore_index=True)
+    at = rows[time].to_numpy("datetime64[ns]")
+    order = np.argsort(at, kind="stable")
+    return zip((at[order].astype("int64") / 1e9).tolist(), *(rows[c].to_numpy()[order].tolist() for c in columns))
+
+
 def gate_decisions(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Outcome of each gate. events: gate, at, kind (arrive, approve, skip), mode, timeout_hours.
 
@@ -201,34 +210,31 @@ def gate_decisions(events: DataFrame, lateness: str = "10 minutes") -> DataFrame
     positive timeout it is approved once strictly more time has passed. Waiting gates are kept in state with an
     event-time timer.
     """
+    names = [part.split()[0] for part in GATE_SCHEMA.split(", ")]
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         gate = key[0]
-
-        def out(decision: str, by: str, note: str | None, waited: float) -> pd.DataFrame:
-            return pd.DataFrame([(gate, decision, by, note, waited)], columns=["gate", "decision", "decided_by", "note", "waited_s"])
-
         if state.hasTimedOut:
             _, limit = state.get
             state.remove()
-            yield out("approved", "system", "auto-approved: timeout", float(limit))
+            yield pd.DataFrame([(gate, "approved", "system", "auto-approved: timeout", float(limit))], columns=names)
             return
         since, limit = state.get if state.exists else (None, None)
-        # A gate sees a handful of events per micro-batch, whose size the source limits.
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("at")
-        for row in rows.itertuples():
-            at = row.at.value / 1e9
+        out = []
+        for at, kind, mode, hours in _in_order(batches, "at", "kind", "mode", "timeout_hours"):
             if since is not None and limit and limit > 0 and at - since > limit:
-                yield out("approved", "system", "auto-approved: timeout", float(limit))
+                out.append((gate, "approved", "system", "auto-approved: timeout", float(limit)))
                 since = limit = None
-            if row.kind == "arrive" and since is None:
-                if row.mode == "pause":
-                    since, limit = at, (row.timeout_hours or 0.0) * 3600.0
+            if kind == "arrive" and since is None:
+                if mode == "pause":
+                    since, limit = at, (hours or 0.0) * 3600.0
                 else:
-                    yield out("approved", "system", None, 0.0)
-            elif row.kind in ("approve", "skip") and since is not None:
-                yield out("approved" if row.kind == "approve" else "skipped", "user", None, at - since)
+                    out.append((gate, "approved", "system", None, 0.0))
+            elif kind in ("approve", "skip") and since is not None:
+                out.append((gate, "approved" if kind == "approve" else "skipped", "user", None, at - since))
                 since = limit = None
+        if out:
+            yield pd.DataFrame(out, columns=names)
         if since is None:
             if state.exists:
                 state.remove()
@@ -256,17 +262,18 @@ def stalled_jobs(events: DataFrame, limit_s: float, lateness: str = "10 minutes"
             state.remove()
             yield pd.DataFrame([(key[0], stage, limit_s)], columns=["job_id", "stage", "running_s"])
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("at")
         stage, since = state.get if state.exists else (None, None)
-        for row in rows.itertuples():
-            at = row.at.value / 1e9
+        out = []
+        for at, kind, name in _in_order(batches, "at", "kind", "stage"):
             if since is not None and at - since > limit_s:
-                yield pd.DataFrame([(key[0], stage, limit_s)], columns=["job_id", "stage", "running_s"])
+                out.append((key[0], stage, limit_s))
                 since = None
-            if row.kind == "start":
-                stage, since = row.stage, at
+            if kind == "start":
+                stage, since = name, at
             else:
                 since = None
+        if out:
+            yield pd.DataFrame(out, columns=["job_id", "stage", "running_s"])
         if since is None:
             if state.exists:
                 state.remove()

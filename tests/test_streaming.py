@@ -173,3 +173,39 @@ def test_tables_of_one_file_and_of_many_as_streams(spark, rows, tmp_path):
         assert rows(out, "id") == [(i,) for i in range(10)], name
     with pytest.raises(ValueError):
         table_glob("/data/sf[1]", "one.parquet")
+
+
+class _Caught:
+    """In place of a stream and of a key's state: keeps the function that would run on each key."""
+
+    exists = hasTimedOut = False
+
+    def withWatermark(self, *_):  # noqa: N802
+        return self
+
+    def groupBy(self, *_):  # noqa: N802
+        return self
+
+    def applyInPandasWithState(self, step, *_):  # noqa: N802
+        return step
+
+
+def test_decisions_of_a_key_leave_in_one_frame(spark):
+    import pandas as pd
+
+    at = pd.date_range("2024-01-01", periods=200, freq="s")[::-1]
+    kind = ["approve", "arrive"] * 100
+    rows = pd.DataFrame({"gate": "g", "at": at, "kind": kind, "mode": "pause", "timeout_hours": 4.0})
+    out = list(ev.gate_decisions(_Caught())(("g",), iter([rows[:70], rows[70:]]), _Caught()))
+    assert [len(frame) for frame in out] == [100] and set(out[0]["waited_s"]) == {1.0}
+    rows = pd.DataFrame({"job_id": "j", "stage": "s", "at": at, "kind": ["finish", "start"] * 100})
+    out = list(ev.stalled_jobs(_Caught(), 0.5)(("j",), iter([rows]), _Caught()))
+    assert [len(frame) for frame in out] == [100]
+
+
+def test_rows_of_one_instant_keep_their_order(spark):
+    import pandas as pd
+
+    rows = pd.DataFrame({"at": pd.to_datetime([None] + ["2024-01-01 00:00:01"] * 50 + ["2024-01-01 00:00:00"]), "n": range(52)})
+    got = list(ev._in_order(iter([rows[:20], rows[20:]]), "at", "n"))
+    assert [n for _, n in got] == [51, *range(1, 51), 0] and got[1][0] - got[0][0] == 1.0
