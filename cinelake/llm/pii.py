@@ -2,7 +2,7 @@
 
 Every text is scanned for four kinds by fixed rules. Beside them, generators with high recall propose spans that may overlap; boosted trees
 weigh their format and context, and a threshold calibrated on held-back candidates selects further spans. What the rules find teaches the
-trees how personal data stands in these texts: each hit of a bounded sample of rows is written in the other ways people use ("[at]", no "+",
+trees how personal data stands in these texts: each hit of every row is written in the other ways people use ("[at]", no "+",
 brackets, dots), which the rules miss, and is an example in its own context; candidates that are no hit are the counter-examples.
 Scanning and scoring are expressions on the row: no join, no shuffle, no Python.
 """
@@ -32,7 +32,6 @@ GENERATORS = (
 #: Words just before a candidate: of contact and payment, and of numbers that are something else.
 CUES = r"(?i)\b(?:e-?mails?|phone|tel|telephone|call|fax|mobile|cell|text|contact|reach|write|whatsapp|card|visa|pay)\b"
 OTHER_CUES = r"(?i)\b(?:ssn|isbn|issn|doi|order|invoice|account|ref|sku|id|version|serial|date|page|year|case|ticket)\b"
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 20_000
 LEAST_PRECISION = 0.95
 TREES, DEPTH = 12, 3
 _BLOCK, _CONTEXT = 256, 24
@@ -249,32 +248,23 @@ def _examples(part: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, text: str = "text") -> SpanModel | None:
-    """Boosted trees taught by rewritten hits and other candidates of a sample of at most about `SAMPLE_DOCS` rows (by hash of the text).
+    """Boosted trees taught by the rewritten hits and other candidates of every row. Examples with the same features and label are one
+    weighted row, so what the trees see is as long as there are different examples; the threshold is judged on all held-back ones.
 
     None if there are examples of one class only: then the rules stand alone.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    part = docs.select(F.col(text).alias("text"))
-    if share < 1:
-        part = part.filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    seen = _examples(part).repartition(4, "k").persist()
+    held = (F.pmod(F.xxhash64("k"), F.lit(4)) == 0).alias("held")
+    merged = _examples(docs.select(F.col(text).alias("text"))).groupBy("x", "label", held).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    seen = merged.sortWithinPartitions("x", "label", "held").withColumn("features", array_to_vector("x")).persist()
     try:
-        sizes = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
-        if len(sizes) < 2:
+        if seen.filter(~F.col("held")).select("label").distinct().count() < 2:
             return None
-        share = min(1.0, SAMPLE_CANDIDATES / sum(sizes.values()))
-        some = seen.filter(F.pmod("k", F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("features", array_to_vector("x"))
-        held = F.pmod(F.xxhash64("k"), F.lit(4)) == 0
-        learning = some.filter(~held)
-        if learning.select("label").distinct().count() < 2:
-            return None
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(learning)
-        judged = model.transform(some.filter(held)).select("label", F.ceil(vector_to_array("probability")[1] * 100).alias("bin"))
-        bins = {r["bin"]: (r["n"], r["good"]) for r in judged.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()}
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="n").fit(seen.filter(~F.col("held")))
+        judged = model.transform(seen.filter("held")).select("label", "n", F.ceil(vector_to_array("probability")[1] * 100).alias("bin"))
+        bins = {r["bin"]: (r["n"], r["good"]) for r in judged.groupBy("bin").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()}
     finally:
         seen.unpersist()
     threshold, n, good = 1.0, 0, 0.0

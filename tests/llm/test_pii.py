@@ -156,3 +156,15 @@ def test_base_spans_are_the_same_with_a_model(spark):
 
 def test_one_class_only_leaves_the_rules_alone(spark):
     assert pii.train(spark.createDataFrame([("only words",), (None,)], "text string")) is None
+
+
+def test_every_row_is_an_example(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(part):
+        raise Seen(part.count())
+
+    monkeypatch.setattr(pii, "_examples", stop)
+    with pytest.raises(Seen, match="^25000$"):
+        pii.train(spark.range(25_000).selectExpr("concat('call +1 415 555 ', id) as text"))
