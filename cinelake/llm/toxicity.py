@@ -27,6 +27,8 @@ STRETCHES = (1, 3, 10)
 #: The calibration is fitted on at most about this many labelled rows.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
+#: Labelled ids are marked in a bitmap of about so many bits each, in blocks of BLOCK_BITS (as `bitmap_construct_agg` makes them), at most MOST_BLOCKS (8 MB).
+BITS_PER_ID, BLOCK_BITS, MOST_BLOCKS = 16, 1 << 15, 2048
 RIDGE = 1.0
 #: Log odds that a text is toxic before anything is known of it, and the least spread of a feature.
 PRIOR, LEAST_DEVIATION = -2.2, 1e-3
@@ -424,6 +426,7 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: st
     release_shuffles(spark)
     both = counts.select("gram", (F.col("toxic_a") + F.col("toxic_b")).alias("toxic"), (F.col("ordinary_a") + F.col("ordinary_b")).alias("ordinary"))
     ratios = _table(log_ratios(both))
+    del both, counts
     release_shuffles(spark)  # before texts are dealt again
     return ToxicityModel(ratios, fitted)
 
@@ -432,11 +435,28 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def likely_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id may be in `labels`: all that are, and few others. An exact join must follow.
+
+    Texts without a label need not be shuffled for it. Ids are marked in a bitmap of bounded size; with more ids than it has bits
+    for, more texts pass.
+    """
+    if docs.schema["doc_id"].dataType != labels.schema["doc_id"].dataType:
+        return docs  # equal ids of different types have different hashes
+    blocks = min(max(-(-labels.count() * BITS_PER_ID // BLOCK_BITS), 1), MOST_BLOCKS)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(blocks * BLOCK_BITS))
+    block, bit = F.floor(place / BLOCK_BITS), place % BLOCK_BITS
+    marks = labels.groupBy(block.alias("__block")).agg(F.bitmap_construct_agg(bit).alias("__marks"))
+    byte = F.conv(F.hex(F.expr("substring(__marks, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("bigint")
+    met = docs.withColumns({"__block": block, "__bit": bit}).join(F.broadcast(marks), "__block")
+    return met.filter(F.getbit(byte, F.col("__bit") % 8) == 1).select(*docs.columns)
+
+
 def train_on_labels(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Train on the labelled documents outside the held-out quarter. A document with several labels teaches all of them."""
     open_docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~is_held_out())
     open_labels = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out())
-    return train(open_docs.join(open_labels.hint("merge"), "doc_id"))  # labels grow with the documents: one way to join at every size
+    return train(likely_labelled(open_docs, open_labels).join(open_labels.hint("merge"), "doc_id"))  # labels grow with the documents: one way to join at every size
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 import zlib
 from math import log
 
@@ -187,3 +189,41 @@ def test_shuffle_files_are_released_after_every_step_of_training(spark, monkeypa
     toxicity.train(spark.createDataFrame([(i, t, y) for i, t, y in rows], "doc_id bigint, text string, toxic int"))
     release = "release_shuffles"
     assert steps == [release, "_table", release, "_looked_up", release, "_table", release]
+
+
+def shuffled_rows(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_texts_without_a_label_are_not_shuffled_for_training(spark, monkeypatch):
+    """Labels for a tenth of the documents, some twice, some for none of them: the join gets all rows, and few texts are moved for it."""
+    monkeypatch.setattr(toxicity, "train", lambda labelled: labelled)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    pairs = [(i, i // 10 % 2) for i in range(0, 6000, 10)] + [(20, 1), (70_000, 1), (None, 1)]
+    labels = spark.createDataFrame(pairs, "doc_id bigint, toxic int")
+    before = shuffled_rows(spark)
+    got = sorted(map(tuple, toxicity.train_on_labels(docs, labels).select("doc_id", "text", "toxic").collect()))
+    assert got == sorted((i, f"text {i}", y) for i, y in pairs if i is not None and i < 6000 and zlib.crc32(str(i).encode()) % 4 != 2)
+    assert shuffled_rows(spark) - before < 2000
+
+
+@pytest.mark.parametrize("bits, most", [(16, 2048), (256, 2048), (256, 1)])
+def test_marks_keep_every_labelled_document(spark, monkeypatch, bits, most):
+    monkeypatch.setattr(toxicity, "BITS_PER_ID", bits)
+    monkeypatch.setattr(toxicity, "MOST_BLOCKS", most)
+    docs = spark.range(-20_000, 20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    labels = docs.filter("doc_id % 20 = 0").select("doc_id")
+    kept = {r["doc_id"] for r in toxicity.likely_labelled(docs, labels).collect()}
+    assert kept >= set(range(-20_000, 20_000, 20)) and len(kept) < 8000
+    assert toxicity.likely_labelled(docs, labels.select(F.col("doc_id").cast("string"))).count() == 40_000
+
+
+def test_counts_are_given_up_before_texts_are_dealt_again(spark, monkeypatch):
+    made, held = [], []
+    monkeypatch.setattr(toxicity, "cut_lineage", lambda df, f=toxicity.cut_lineage: (out := f(df), made.append(weakref.ref(out)))[0])
+    monkeypatch.setattr(toxicity, "release_shuffles", lambda spark: held.append((gc.collect(), made[0]() is not None)[1]))
+    model = toxicity.train(spark.createDataFrame(corpus(200, 4), "doc_id bigint, text string, toxic int"))
+    assert model is not None and held == [True, True, True, False]
