@@ -23,6 +23,8 @@ DISCOUNT = 0.75
 BLOCK_BYTES, PIECE_BYTES = 32 << 20, 4 << 20
 #: The table of log ratios is dealt to shards of about this many rows; a task holds one shard at a time.
 SHARD_ROWS, LEAST_SHARDS = 500_000, 64
+#: A worker merges what it holds whenever about so many numbers came in, and hands on counts of so many n-grams in batches of so many rows.
+MERGE_GRAMS, MOST_GRAMS, BATCH_GRAMS = 1 << 20, 2 << 20, 1 << 16
 STRETCHES = (1, 3, 10)
 #: The calibration is fitted on at most about this many labelled rows.
 CALIBRATION_ROWS = 20_000
@@ -51,39 +53,64 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return gram, place >= ORDER - 1
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of n-grams by half and class; merged within the task so that each n-gram leaves it about once."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Ascending, each once. `np.unique` may build a hash table many times as large."""
+    numbers = np.sort(numbers)
+    new = np.ones(len(numbers), bool)
+    np.not_equal(numbers[1:], numbers[:-1], out=new[1:])
+    return numbers[new]
+
 
-    def merged():
-        names, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        counts = np.vstack([h[1] for h in held])
-        return names, np.stack([np.bincount(at, weights=c, minlength=len(names)) for c in counts.T], axis=1)
+def _added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One ascending array of keys and the sum of each one's counts; `held` is emptied."""
+    keys, counts = (np.concatenate([h[c] for h in held]) for c in range(2))
+    held.clear()
+    order = np.argsort(keys)
+    keys = keys[order]
+    counts = counts[order]
+    del order
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return keys[new], np.add.reduceat(counts, np.flatnonzero(new)) if len(keys) else counts
 
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of n-grams by half and class; merged within the task so that each n-gram leaves it about once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # n-gram and column as one number, and how often it was met
+    coming = 0
     for batch in batches:
-        group = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
         for first, data, offsets in runs(batch.column(0)):
             gram, whole = _grams(data, offsets)
-            column = np.repeat(group[first : first + len(offsets) - 1], np.diff(offsets))[whole]
-            names, at = np.unique(gram[whole], return_inverse=True)
-            held.append((names, np.bincount(at * 4 + column, minlength=4 * len(names)).reshape(-1, 4).astype(float)))
-            size += len(names)
-            if size > 2_000_000:
-                held = [merged()]
-                if len(held[0][0]) > 1_000_000:
-                    yield _partial(held.pop())
-                size = sum(len(h[0]) for h in held)
+            gram <<= np.uint64(2)
+            gram |= np.repeat(group[first : first + len(offsets) - 1], np.diff(offsets))
+            keys = np.sort(gram[whole])
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            held.append((keys[at], np.diff(np.append(at, len(keys)))))
+            coming += len(at)
+            if coming > MERGE_GRAMS:
+                held, coming = [_added_up(held)], 0
+                if len(held[0][0]) > MOST_GRAMS:
+                    yield from _partial(*held.pop())
     if held:
-        yield _partial(merged())
+        yield from _partial(*_added_up(held))
 
 
 COUNTS = ("ordinary_a", "toxic_a", "ordinary_b", "toxic_b")
 
 
-def _partial(counts) -> pa.RecordBatch:
-    names, table = counts
-    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *(pa.array(c.astype(np.int64)) for c in table.T)], ["gram", *COUNTS])
+def _partial(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Ascending keys and counts as one row for every n-gram, a few at a time."""
+    grams = keys >> np.uint64(2)
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(grams))
+    for i in range(0, len(starts), BATCH_GRAMS):
+        here, last = starts[i : i + BATCH_GRAMS], ends[min(i + BATCH_GRAMS, len(ends)) - 1]
+        table = np.zeros((len(COUNTS), len(here)), np.int64)
+        some = slice(here[0], last)
+        row = np.repeat(np.arange(len(here)), np.diff(np.append(here, last)))
+        table[(keys[some] & np.uint64(3)).astype(np.int64), row] = counts[some]
+        yield pa.RecordBatch.from_arrays([pa.array(grams[here].astype(np.int64)), *(pa.array(c) for c in table)], ["gram", *COUNTS])
 
 
 def log_ratios(grams: DataFrame) -> DataFrame:
@@ -209,15 +236,19 @@ def _ask(text: int, split: int, shards: int):
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        coming = 0
         for block, piece in _blocks(batches, text, split):
             if piece is None:
                 if held:
-                    yield from _dealt(_ASKED, block, np.unique(np.concatenate(held)), None, shards)
-                held = []
+                    yield from _dealt(_ASKED, block, _distinct(np.concatenate(held)), None, shards)
+                held, coming = [], 0
                 continue
             for _, some, places in runs(piece.column(text)):
                 gram, whole = _grams(some, places)
-                held.append(np.unique(gram[whole]))
+                held.append(_distinct(gram[whole]))
+                coming += len(held[-1])
+                if coming > max(MERGE_GRAMS, len(held[0])):
+                    held, coming = [_distinct(np.concatenate(held))], 0
 
     return ask
 

@@ -1,13 +1,18 @@
 import gc
 import random
+import tracemalloc
 import weakref
 import zlib
+from collections import Counter
 from math import log
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cinelake.llm import toxicity
+from cinelake.llm.registry import prepare
 
 ORDER = toxicity.ORDER
 
@@ -227,3 +232,54 @@ def test_counts_are_given_up_before_texts_are_dealt_again(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "release_shuffles", lambda spark: held.append((gc.collect(), made[0]() is not None)[1]))
     model = toxicity.train(spark.createDataFrame(corpus(200, 4), "doc_id bigint, text string, toxic int"))
     assert model is not None and held == [True, True, True, False]
+
+
+def alike_texts(n, size):
+    """Texts of `size` bytes that share most n-grams, in batches of one."""
+    letters = np.frombuffer(b"abcdefgh", np.uint8)[np.random.default_rng(7).integers(0, 8, size)].tobytes().decode()
+    return [f"{i:06d}{letters}" for i in range(n)]
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_holds_its_distinct_ngrams_and_little_more():
+    texts = alike_texts(100, 200_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array([t]), pa.array([0], pa.int32())], ["text", "split"]) for t in texts]
+    asked, peak = peak_of(lambda: [r[3] for r in toxicity._rows(toxicity._ask(0, 1, 8)(iter(batches)))])
+    got = np.sort(np.concatenate([toxicity._unpacked(p)[0] for p in asked]))
+    want = {t[j : j + ORDER] for t in texts[:1] for j in range(len(t) - ORDER + 1)} | {t[j : j + ORDER] for t in texts for j in range(ORDER + 1)}
+    assert {int(g).to_bytes(ORDER, "big").decode() for g in got} == want and len(got) == len(want)
+    assert peak < 70
+
+
+def test_counts_leave_in_small_batches_and_add_up(monkeypatch):
+    for name, value in (("MERGE_GRAMS", 3000), ("MOST_GRAMS", 9000), ("BATCH_GRAMS", 1000)):
+        monkeypatch.setattr(toxicity, name, value, raising=False)
+    rows = [(t, i % 4) for i, (_, t, _) in enumerate(corpus(400, 9))] + [("", 0), ("short", 1), (None, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows[i : i + 50]], pa.string()), pa.array([g for _, g in rows[i : i + 50]], pa.int32())], ["text", "part"]) for i in range(0, len(rows), 50)]
+    made = list(toxicity._count(iter(batches)))
+    got = Counter()
+    for b in made:
+        for gram, *counts in zip(*(c.to_pylist() for c in b.columns)):
+            got.update({(gram, c): n for c, n in enumerate(counts) if n})
+    want = Counter((int.from_bytes(t[j : j + ORDER].encode(), "big"), g) for t, g in rows if t for j in range(len(t) - ORDER + 1))
+    assert got == want and len(made) > 3
+    assert max(b.num_rows for b in made) <= 1000
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Packed pieces of a megabyte: a task and the JVM beside it hold a few of them, not a thousand."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    prepare(spark)
+    got = [r["n"] for r in spark.range(0, 32, 1, 1).select(F.expr("repeat('x', 1000000)").alias("t")).mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) > 32_000_000 and max(got) < 8_000_000
