@@ -145,12 +145,13 @@ def _planned(keyed: DataFrame, shards: int | None) -> DataFrame:
     parts = full.filter("size > 0").select("key", "source", "start", "size", "block_length", F.explode(F.sequence(first, last)).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_length")) - F.greatest(F.col("start"), F.col("block") * F.col("block_length"))
     parts = parts.withColumn("overlap", overlap).drop("size", "block_length")
-    l, r = parts.alias("l"), times.alias("r")  # noqa: E741
+    # what was laid out by `explode` is far more than Spark's estimate of it: merged, or it would be broadcast
+    l, r = parts.alias("l"), times.hint("merge").alias("r")  # noqa: E741
     met = l.join(r, (F.col("l.block") == F.col("r.block")) & F.col("l.source").eqNullSafe(F.col("r.source")), "left").select("l.*", F.coalesce("times", F.lit(0)).alias("times"))
     given = met.groupBy("key", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"), F.array_sort(F.collect_list(F.struct("block", "times"))).alias("blocks"))
     # an empty row starts where the next one does and has no blocks
     empty = full.filter("size = 0").withColumn("taken", F.lit(0).cast("bigint")).withColumn("times", F.array().cast("array<bigint>"))
-    filled = full.filter("size > 0").join(given, ["key", "start"]).withColumn("times", F.transform("blocks", lambda b: b["times"])).drop("blocks")
+    filled = full.filter("size > 0").join(given.hint("merge"), ["key", "start"]).withColumn("times", F.transform("blocks", lambda b: b["times"])).drop("blocks")
     return filled.unionByName(empty)
 
 

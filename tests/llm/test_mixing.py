@@ -99,3 +99,13 @@ def test_columns_of_any_name_stay_and_slots_are_dealt(spark):
     pieces = spark.createDataFrame([(1, 50_000)], "k int, n bigint")
     sizes = mixing._expanded(pieces, F.col("n"), "at", 9).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 50_000
+
+
+def test_blocks_are_merged_and_not_broadcast(spark, rows):
+    """Slots and blocks are laid out from a few rows, so Spark takes them for small at every size."""
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mixing.mix(docs)
+    mixed.collect()
+    plan = mixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"SortMergeJoin \[(?:block|key)#", plan)) == 2
+    assert not re.search(r"BroadcastHashJoin \[(?:block|key)#", plan)
