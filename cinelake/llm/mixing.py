@@ -181,7 +181,7 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, text: str = "tex
     rows = docs.withColumn("__key", F.concat_ws(":", F.xxhash64(*docs.columns), F.xxhash64(F.lit("key"), *docs.columns)))
     planned = _planned(rows.select(F.col("__key").alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), shards)
     plans = planned.filter("taken > 0").groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "block_length", "times")).alias("__plans"))
-    met = rows.join(plans, "__key").dropDuplicates(["__key"]).withColumn("__plan", F.explode("__plans")).drop("__plans")
+    met = rows.join(plans.hint("merge"), "__key").dropDuplicates(["__key"]).withColumn("__plan", F.explode("__plans")).drop("__plans")
     met = met.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max("__plan.times").cast("int"))))
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     length, start = F.col("__plan.block_length"), F.col("__plan.start")

@@ -104,8 +104,8 @@ def test_columns_of_any_name_stay_and_slots_are_dealt(spark):
 def test_blocks_are_merged_and_not_broadcast(spark, rows):
     """Slots and blocks are laid out from a few rows, so Spark takes them for small at every size."""
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    mixed = mixing.mix(docs)
-    mixed.collect()
-    plan = mixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert len(re.findall(r"SortMergeJoin \[(?:block|key)#", plan)) == 2
-    assert not re.search(r"BroadcastHashJoin \[(?:block|key)#", plan)
+    for mixed, joins in ((mixing.mix(docs), 2), (mixing.mixed_documents(docs), 3)):
+        mixed.collect()
+        plan = mixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(r"SortMergeJoin \[(?:block|key|__key)#", plan)) == joins
+        assert not re.search(r"BroadcastHashJoin \[(?:block|key|__key)#", plan)
