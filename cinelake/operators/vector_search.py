@@ -13,44 +13,88 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cinelake.functions.vectors import normalise
 from cinelake.operators.topk import top_k
 
-QUERY_BATCH = 512
+QUERY_BATCH, ROW_BATCH = 512, 4096
 MAX_BROADCAST_QUERIES = 4096
 ROW_BLOCK = 16_384
+#: Blocks of larger tables hold up to this many times more, so that rows and queries are copied to fewer meetings.
+MOST_GROWTH, BLOCKS = 4, 16
 
 
 class Best:
     """The k best rows of every query over all blocks seen; ties go to the smaller row id.
 
     The k-th best score so far is a query's bound: a block's scores below it are never sorted or kept, and most blocks have no other.
+    Products of matrices only choose; what they choose is summed component by component, so that equal vectors have equal scores
+    wherever they lie.
     """
 
     def __init__(self, queries: np.ndarray, k: int):
         self.queries, self.k = queries, k
         self.bound = np.full(len(queries), -np.inf)
-        self.query, self.ids, self.scores = np.zeros(0, np.int64), None, np.zeros(0)
+        self.held = {}
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        found = []
-        for start in range(0, len(self.queries), QUERY_BATCH):
-            scores = vectors @ self.queries[start : start + QUERY_BATCH].T
-            edge = self.bound[start : start + QUERY_BATCH]
-            if len(ids) > self.k:
-                edge = np.maximum(edge, -np.partition(-scores, self.k - 1, axis=0)[self.k - 1])
-            row, query = np.nonzero(scores >= edge)
-            if len(row):
-                found.append((query + start, ids[row], scores[row, query]))
-        if not found:
+        if not len(ids):
             return
-        query = np.concatenate([self.query, *[f[0] for f in found]])
-        ids = np.concatenate([*([] if self.ids is None else [self.ids]), *[f[1] for f in found]])
-        scores = np.concatenate([self.scores, *[f[2] for f in found]])
+        asked = np.arange(len(self.queries))
+        ids, vectors = self._first_copies(ids, vectors)
+        slack = 4 * vectors.shape[1] * np.finfo(np.float64).eps * _longest(vectors) * _longest(self.queries)
+        for part in np.split(asked, np.flatnonzero(np.diff(asked // QUERY_BATCH)) + 1):
+            for start in range(0, len(ids) if len(part) else 0, ROW_BATCH):
+                self._meet(part, ids[start : start + ROW_BATCH], vectors[start : start + ROW_BATCH], slack)
+
+    def _first_copies(self, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of equal vectors the k rows with the smallest ids: no query takes another."""
+        _, group = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.itemsize * vectors.shape[1]}").ravel(), return_inverse=True)
+        if group.max() + 1 == len(ids):
+            return ids, vectors
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], group))
+        group = group[order]
+        kept = np.sort(order[np.arange(len(group)) - np.searchsorted(group, group) < self.k])
+        return ids[kept], vectors[kept]
+
+    def _meet(self, part: np.ndarray, ids: np.ndarray, vectors: np.ndarray, slack: float) -> None:
+        queries, edge = self.queries[part], self.bound[part] - slack
+        scores = vectors @ queries.T
+        if len(ids) > self.k and np.isneginf(edge).any():
+            edge = np.maximum(edge, -np.partition(-scores, self.k - 1, axis=0)[self.k - 1] - 2 * slack)
+        row, query = np.nonzero(scores >= edge)
+        if not len(row):
+            return
+        exact = np.zeros(len(row))
+        for x, y in zip(vectors.T, queries.T):
+            exact += x[row] * y[query]
+        query, ids = part[query], ids[row]
+        before = self.held.get(batch := int(part[0]) // QUERY_BATCH)
+        if before is not None:
+            query, ids, exact = (np.concatenate(x) for x in zip(before, (query, ids, exact)))
         _, place = np.unique(ids, return_inverse=True)
-        order = np.lexsort((place, -scores, query))
-        query, ids, scores = query[order], ids[order], scores[order]
+        order = np.lexsort((place, -exact, query))
+        query, ids, exact = query[order], ids[order], exact[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query)
         kept = rank < self.k
-        self.bound[query[rank == self.k - 1]] = scores[rank == self.k - 1]
-        self.query, self.ids, self.scores = query[kept], ids[kept], scores[kept]
+        self.bound[query[rank == self.k - 1]] = exact[rank == self.k - 1]
+        self.held[batch] = query[kept], ids[kept], exact[kept]
+
+    def _all(self, i: int) -> np.ndarray | None:
+        return np.concatenate([self.held[b][i] for b in sorted(self.held)]) if self.held else None
+
+    @property
+    def query(self) -> np.ndarray:
+        return np.zeros(0, np.int64) if not self.held else self._all(0)
+
+    @property
+    def ids(self) -> np.ndarray | None:
+        return self._all(1)
+
+    @property
+    def scores(self) -> np.ndarray:
+        return np.zeros(0) if not self.held else self._all(2)
+
+
+def _longest(vectors: np.ndarray) -> float:
+    lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    return lengths[np.isfinite(lengths)].max(initial=0.0)
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -92,14 +136,18 @@ def exact_top_k(
         scored = rows.mapInPandas(scan, schema)
     else:
         n_rows = rows.count()
-        q_blocks = math.ceil(n_queries / max_broadcast)
-        r_blocks = max(1, math.ceil(n_rows / ROW_BLOCK))
+        q_blocks = math.ceil(n_queries / _block_size(n_queries, max_broadcast))
+        r_blocks = max(1, math.ceil(n_rows / _block_size(n_rows, ROW_BLOCK)))
         a = rows.withColumn("rb", _block(ident, F.lit(r_blocks))).withColumn("qb", _every(F.lit(q_blocks)))
         b = q.withColumn("qb", _block(query_id, F.lit(q_blocks))).withColumn("rb", _every(F.lit(r_blocks)))
-        scored = _meeting(a, b, ["rb", "qb"], ident, query_id, k, schema)
+        scored = _meeting(a, b, ["rb", "qb"], q_blocks * r_blocks, ident, query_id, k, schema)
     return top_k(scored, [query_id], [F.col("score").desc(), F.col(ident).asc()], k)
 
 
+def _block_size(n: int, least: int) -> int:
+    return max(least, min(MOST_GROWTH * least, n // BLOCKS))
+
+
 def _block(ident: str, n: Column) -> Column:
     return F.pmod(F.xxhash64(ident), n.cast("bigint")).cast("int")
 
@@ -108,8 +156,11 @@ def _every(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
 
 
-def _meeting(rows: DataFrame, queries: DataFrame, keys: list[str], ident: str, query_id: str, k: int, schema: str) -> DataFrame:
-    """The k best rows (`__v`) of every query (`__q`) within each block of rows and queries with equal keys."""
+def _meeting(rows: DataFrame, queries: DataFrame, keys: list[str], tasks: int, ident: str, query_id: str, k: int, schema: str) -> DataFrame:
+    """The k best rows (`__v`) of every query (`__q`) within each block of rows and queries with equal keys.
+
+    Meetings are long and their rows few, so the number of tasks is given.
+    """
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -118,7 +169,8 @@ def _meeting(rows: DataFrame, queries: DataFrame, keys: list[str], ident: str, q
         best.add(left[ident].to_numpy(), _stack(left["__v"]))
         return pd.DataFrame({query_id: right[query_id].to_numpy()[best.query], ident: best.ids, "score": best.scores})
 
-    return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(meet, schema)
+    left, right = rows.repartition(tasks, *keys), queries.repartition(tasks, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
 
 
 #: An index is fitted on at most about this many vectors, chosen by their hash; every row is indexed.
@@ -161,7 +213,8 @@ def probe_top_k(
     blocks = r_blocks.join(q_blocks, "list_id")
     a = rows.join(blocks, "list_id").withColumn("rb", _block(ident, F.col("__r"))).withColumn("qb", _every(F.col("__n"))).drop("__r", "__n")
     b = probes.join(blocks, "list_id").withColumn("qb", _block(query_id, F.col("__n"))).withColumn("rb", _every(F.col("__r"))).drop("__r", "__n")
-    candidates = _meeting(a, b, ["list_id", "rb", "qb"], ident, query_id, k, schema)
+    tasks = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = _meeting(a, b, ["list_id", "rb", "qb"], tasks, ident, query_id, k, schema)
     return top_k(candidates, [query_id], [F.col("score").desc(), F.col(ident).asc()], k)
 
 

@@ -102,3 +102,30 @@ def test_plain_windows_where_no_key_is_hot(spark, rows):
     for plain, cut in (nexts, offsets):
         assert rows(plain, *sorted(plain.columns)) == rows(cut, *sorted(plain.columns))
         assert "Union" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_in_different_blocks_rank_by_id(monkeypatch):
+    """Blocks of any shape, met in any order: equal vectors have equal scores, and the smallest ids of them are kept."""
+    rng = np.random.default_rng(5)
+    few, queries = rng.normal(size=(9, 64)), rng.normal(size=(40, 64))
+    vectors, ids = few[rng.integers(0, 9, 700)], rng.permutation(700)
+    monkeypatch.setattr(vector_search, "QUERY_BATCH", 7)
+    monkeypatch.setattr(vector_search, "ROW_BATCH", 11)
+    best = vector_search.Best(queries, 5)
+    for part in np.split(np.arange(700), [1, 3, 90, 91, 400]):
+        best.add(ids[part], vectors[part])
+    for q in range(40):
+        score = np.zeros(700)
+        for x, y in zip(vectors.T, queries[q]):
+            score += x * y
+        assert best.ids[best.query == q].tolist() == ids[np.lexsort((ids, -score))[:5]].tolist()
+
+
+def test_every_vector_asks(spark):
+    from workloads import load
+
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/embeddings.parquet").count()
+    for name in ("top04_exact_search", "top05_all_lists"):
+        found = load()[0][name](spark, folder)
+        assert found.select("q").distinct().count() == n and found.count() == 10 * n
