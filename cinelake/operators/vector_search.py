@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinelake.functions.vectors import normalise
 from cinelake.operators.topk import top_k
@@ -33,10 +33,11 @@ class Best:
         self.bound = np.full(len(queries), -np.inf)
         self.held = {}
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Show a block to the queries at the places `asked`, by default to all."""
         if not len(ids):
             return
-        asked = np.arange(len(self.queries))
+        asked = np.arange(len(self.queries)) if asked is None else asked
         ids, vectors = self._first_copies(ids, vectors)
         slack = 4 * vectors.shape[1] * np.finfo(np.float64).eps * _longest(vectors) * _longest(self.queries)
         for part in np.split(asked, np.flatnonzero(np.diff(asked // QUERY_BATCH)) + 1):
@@ -159,14 +160,26 @@ def _every(n: Column) -> Column:
 def _meeting(rows: DataFrame, queries: DataFrame, keys: list[str], tasks: int, ident: str, query_id: str, k: int, schema: str) -> DataFrame:
     """The k best rows (`__v`) of every query (`__q`) within each block of rows and queries with equal keys.
 
-    Meetings are long and their rows few, so the number of tasks is given.
+    Where rows have a `list_id` and queries `lists`, a query meets the rows of these lists only, or of all if null. Meetings are long and
+    their rows few, so the number of tasks is given.
     """
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({query_id: [], ident: [], "score": []})
-        best = Best(_stack(right["__q"]), k)
-        best.add(left[ident].to_numpy(), _stack(left["__v"]))
+        ids, vectors, best = left[ident].to_numpy(), _stack(left["__v"]), Best(_stack(right["__q"]), k)
+        if "lists" not in right or right["lists"].isna().all():
+            best.add(ids, vectors)
+        else:
+            here, place = np.unique(left["list_id"].to_numpy(), return_inverse=True)
+            probed = np.stack([np.isin(here, lists) for lists in right["lists"]])
+            # lists that the same queries probe are shown together
+            who, group = np.unique(probed.T, axis=0, return_inverse=True)
+            for i, asks in enumerate(who):
+                mine = group.ravel()[place] == i
+                best.add(ids[mine], vectors[mine], np.flatnonzero(asks))
+        if best.ids is None:
+            return pd.DataFrame({query_id: [], ident: [], "score": []})
         return pd.DataFrame({query_id: right[query_id].to_numpy()[best.query], ident: best.ids, "score": best.scores})
 
     left, right = rows.repartition(tasks, *keys), queries.repartition(tasks, *keys)
@@ -200,21 +213,33 @@ def centroid_table(spark, model: KMeansModel) -> DataFrame:
 def probe_top_k(
     indexed: DataFrame, ident: str, vector: str, centroids: DataFrame, queries: DataFrame, query_id: str, query_vector: str, k: int, nprobe: int = 1
 ) -> DataFrame:
-    """Approximate top-k: only rows in the `nprobe` lists nearest to the query are compared."""
-    nearest = exact_top_k(centroids, "list_id", "centroid", queries, query_id, query_vector, nprobe)
-    probes = nearest.select(query_id, "list_id").join(
-        queries.select(query_id, normalise(F.col(query_vector)).alias("__q")), query_id
-    )
-    schema = f"{query_id} {dict(queries.dtypes)[query_id]}, {ident} {dict(indexed.dtypes)[ident]}, score double"
-    # A list is cut into blocks of rows and of queries, each pair of which is one product.
+    """Approximate top-k: only rows in the `nprobe` lists nearest to the query are compared.
+
+    Lists, one after another, fill shelves of about a block of rows, and a query travels once to a shelf, with the lists it probes there.
+    Where every list is probed, no centre needs to be ranked.
+    """
+    asking = queries.select(query_id, normalise(F.col(query_vector)).alias("__q"))
     rows = indexed.filter(F.col(vector).isNotNull()).select("list_id", F.col(ident), F.col(vector).alias("__v"))
-    r_blocks = rows.groupBy("list_id").agg(F.ceil(F.count("*") / ROW_BLOCK).alias("__r"))
-    q_blocks = probes.groupBy("list_id").agg(F.ceil(F.count("*") / MAX_BROADCAST_QUERIES).alias("__n"))
-    blocks = r_blocks.join(q_blocks, "list_id")
-    a = rows.join(blocks, "list_id").withColumn("rb", _block(ident, F.col("__r"))).withColumn("qb", _every(F.col("__n"))).drop("__r", "__n")
-    b = probes.join(blocks, "list_id").withColumn("qb", _block(query_id, F.col("__n"))).withColumn("rb", _every(F.col("__r"))).drop("__r", "__n")
-    tasks = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = _meeting(a, b, ["list_id", "rb", "qb"], tasks, ident, query_id, k, schema)
+    schema = f"{query_id} {dict(queries.dtypes)[query_id]}, {ident} {dict(indexed.dtypes)[ident]}, score double"
+    n_queries, n_rows = asking.count(), rows.count()
+    row_block, query_block = _block_size(n_rows, ROW_BLOCK), _block_size(n_queries, MAX_BROADCAST_QUERIES)
+    before = F.sum("__n").over(Window.orderBy("list_id").rowsBetween(Window.unboundedPreceding, -1))  # about sqrt(n) lists
+    lists = rows.groupBy("list_id").agg(F.count("*").alias("__n")).withColumn("shelf", F.floor(F.coalesce(before, F.lit(0)) / row_block))
+    # a list of more rows is cut into blocks of its own
+    lists = lists.select("list_id", "shelf", F.ceil(F.col("__n") / row_block).alias("__r"))
+    if nprobe >= centroids.count():
+        q_blocks = F.lit(max(1, math.ceil(n_queries / query_block)))
+        shelves = lists.groupBy("shelf").agg(F.max("__r").alias("__r")).withColumn("__b", q_blocks)
+        probes = asking.withColumn("lists", F.lit(None).cast("array<int>")).crossJoin(F.broadcast(shelves))
+    else:
+        nearest = exact_top_k(centroids, "list_id", "centroid", queries, query_id, query_vector, nprobe).select(query_id, "list_id")
+        probes = nearest.join(lists, "list_id").groupBy(query_id, "shelf").agg(F.collect_list("list_id").alias("lists"), F.max("__r").alias("__r"))
+        shelves = probes.groupBy("shelf").agg(F.ceil(F.count("*") / query_block).alias("__b"))
+        probes = probes.join(shelves, "shelf").join(asking, query_id)
+    a = rows.join(lists, "list_id").join(shelves.select("shelf", "__b"), "shelf").withColumn("rb", _block(ident, F.col("__r"))).withColumn("qb", _every(F.col("__b"))).drop("__r", "__b")
+    b = probes.withColumn("qb", _block(query_id, F.col("__b"))).withColumn("rb", _every(F.col("__r"))).select(F.col("shelf").alias("shelf"), "rb", "qb", query_id, "__q", "lists")
+    tasks = math.ceil(n_rows / row_block) * math.ceil(n_queries / query_block)
+    candidates = _meeting(a, b, ["shelf", "rb", "qb"], max(1, tasks), ident, query_id, k, schema)
     return top_k(candidates, [query_id], [F.col("score").desc(), F.col(ident).asc()], k)
 
 

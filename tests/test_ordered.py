@@ -121,6 +121,26 @@ def test_copies_in_different_blocks_rank_by_id(monkeypatch):
         assert best.ids[best.query == q].tolist() == ids[np.lexsort((ids, -score))[:5]].tolist()
 
 
+def test_shelves_hold_lists_that_some_queries_probe(spark, rows, monkeypatch):
+    """Some lists probed: only rows of these are found, the best of them, however lists share blocks."""
+    from cinelake.plans import search
+
+    monkeypatch.setattr(vector_search, "ROW_BLOCK", 40)
+    monkeypatch.setattr(vector_search, "MAX_BROADCAST_QUERIES", 8)
+    points = np.random.default_rng(9).normal(size=(300, 6)).round(2)
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, v array<double>")
+    queries = vectors.filter("id % 9 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    indexed, centres = search.build_index(vectors, "v")
+    found = rows(search.search(vectors, "id", "v", queries, "q", "qv", 4, (indexed, centres), nprobe=3), "q", "id", "rank")
+    lists, means = {r["id"]: r["list_id"] for r in indexed.collect()}, {r["list_id"]: np.array(r["centroid"]) for r in centres.collect()}
+    want = []
+    for q in range(0, 300, 9):
+        probed = sorted(means, key=lambda c: -means[c] @ points[q])[:3]
+        best = sorted((i for i in lists if lists[i] in probed), key=lambda i: (-points[i] @ points[q], i))[:4]
+        want += [(q, i, rank + 1) for rank, i in enumerate(best)]
+    assert found == sorted(want, key=repr)
+
+
 def test_every_vector_asks(spark):
     from workloads import load
 
